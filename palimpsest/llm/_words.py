@@ -93,3 +93,47 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
         out = (out ^ words[k : k + count]) * _MULTIPLIER
         out ^= out >> _S29
     return mixed(out)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a * _MULTIPLIER + b)
+
+
+def runs(words: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """Hashes of each n consecutive word hashes for several n, by doubling: a run is the join of its binary parts."""
+    powers, out = {1: mixed(words)}, []
+    for n in sizes:
+        count, at, done = len(words) - n + 1, 0, None
+        for bit in range(n.bit_length() - 1, -1, -1):
+            if not n >> bit & 1:
+                continue
+            for k in range(bit):
+                if 2 << k not in powers:
+                    half = powers[1 << k]
+                    powers[2 << k] = _joined(half[: max(0, len(half) - (1 << k))], half[1 << k :])
+            part = powers[1 << bit][at : at + max(0, count)]
+            done = part if done is None else _joined(done, part)
+            at += 1 << bit
+        out.append(done)
+    return out
+
+
+def extremes(x: np.ndarray, n: int, pick=np.minimum) -> np.ndarray:
+    """The least (or greatest) of each n consecutive values."""
+    size = 1
+    while size * 2 <= n:
+        x = pick(x[:-size], x[size:]) if len(x) > size else x[:0]
+        size *= 2
+    rest = n - size
+    return pick(x[: max(0, len(x) - rest)], x[rest:]) if rest else x
+
+
+_INDEX: dict[str, WordIndex] = {}
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts one after another, and the number of words of each."""
+    index = _INDEX.setdefault("hashes", WordIndex(hashes))
+    numbers, (h,) = index(texts)
+    lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
+    return (h[np.concatenate(numbers)] if len(numbers) else np.empty(0, np.uint64)), lengths
