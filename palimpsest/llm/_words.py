@@ -45,7 +45,7 @@ class WordIndex:
     it holds more than `limit` words, so its memory is bounded; numbers hold within one slice only.
     """
 
-    def __init__(self, describe: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = 300_000):
+    def __init__(self, describe: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = 600_000):
         self.describe, self.limit = describe, limit
         self._clear()
 

@@ -30,6 +30,8 @@ _SIGNS = re.compile(r"[^\w\s]+")
 
 
 def _shape(word: str) -> str:
+    if word.islower() and word.isalpha():
+        return f"a{min(6, len(word).bit_length())}{'' if word.isascii() else 'u'}"
     letters = [c for c in word if c.isalpha()]
     case = "0" if not letters else "A" if len(letters) > 1 and all(c.isupper() for c in letters) else "Aa" if word[0].isupper() else "aA" if any(c.isupper() for c in letters) else "a"
     signs = "".join(dict.fromkeys(x[:3] for x in _SIGNS.findall(word)))[:6]
@@ -38,7 +40,9 @@ def _shape(word: str) -> str:
 
 def _described(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     texts = [w.decode("utf-8", "replace") for w in words]
-    return (np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in texts), np.uint64, len(texts)), np.fromiter((xxhash.xxh3_64_intdigest(_shape(w)) for w in texts), np.uint64, len(texts)))
+    shapes = [_shape(w) for w in texts]
+    known = {x: xxhash.xxh3_64_intdigest(x) for x in set(shapes)}
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in texts), np.uint64, len(texts)), np.fromiter(map(known.__getitem__, shapes), np.uint64, len(texts))
 
 
 _INDEX: list[WordIndex] = []

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import packing, telephony, token_store, tokens
-from palimpsest.llm._shared import documents, materialise
+from palimpsest.llm import decontaminate, language, near_dedup, packing, quality, substring, telephony, token_store, tokens, toxicity
+from palimpsest.llm._shared import documents, materialise, remainder
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -18,10 +18,24 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=2048)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), threshold=0.8)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), limit=512)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.filter(remainder("doc_id", 4) != 2))
+    return language.identify(docs, model).withColumn("held_out", remainder("doc_id", 4) == 2)
+
+
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The codec follows from the payload's checksum, so that all three occur and equal texts stay equal."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -41,6 +55,26 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.fit(documents(spark, sf_dir), labels.filter(remainder("doc_id", 5) != 0))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), toxicity_model(spark, sf_dir)).withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels.filter(remainder("doc_id", 5) != 0))
+    return quality.score(docs, model, threshold=0.3).withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return substring.remove_repeats(docs, window=20).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
