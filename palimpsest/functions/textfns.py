@@ -75,11 +75,11 @@ def normalise_url(c: Column) -> Column:
 
 
 def occurrences(c: Column, term: str) -> Column:
-    """Overlapping occurrences of a term, without regard to case."""
-    low, n = F.lower(c), len(term)
-    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
-    # a text without the term is not walked through
-    return F.when(F.contains(low, F.lit(term.lower())), F.size(F.filter(starts, lambda i: F.substr(low, i, F.lit(n)) == term.lower()))).otherwise(0)
+    """Overlapping occurrences of a term, without regard to case. Only a term that can overlap itself needs a pattern."""
+    low, t = F.lower(c), term.lower()
+    if any(t[:n] == t[-n:] for n in range(1, len(t))):
+        return F.regexp_count(low, F.lit(rf"(?=\Q{t}\E)"))
+    return ((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("int")
 
 
 def preview(c: Column, n: int = 200) -> Column:

@@ -329,11 +329,10 @@ def review_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("memory_id", action.alias("action"))
 
 
-@query("select memory_id, round(weight * 0.35::double + (case tier when 'core' then 0.3 when 'pinned' then 0.2 else 0.1 end)::double * 0.25::double + greatest(0, 1 - (importance - 1) * 0.15::double) * 0.15::double + (case when importance <= 2 then 0.85 when importance <= 3 then 0.65 else 0.35 end)::double * 0.25::double, 3) as score from memories")
+@query("select memory_id, round(weight * 0.35::double + (case tier when 'core' then 0.3 when 'pinned' then 0.2 else 0.1 end)::double * 0.25::double + greatest(0, 1 - (importance - 1) * 0.15::double) * 0.15::double + (case when importance <= 2 then 0.85 when importance <= 3 then 0.65 else 0.35 end)::double * 0.25::double, 4) as score from memories")
 def decision_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     speed = F.when(F.col("tier") == "core", "fast").when(F.col("tier") == "pinned", "mid").otherwise("slow")
-    full = ops.decision_score(F.col("weight"), speed, F.col("importance"))
-    return memories(spark, sf_dir).select("memory_id", F.round(full, 3).alias("score"))
+    return memories(spark, sf_dir).select("memory_id", ops.decision_score(F.col("weight"), speed, F.col("importance")).alias("score"))
 
 
 @query("with x as (select item_id, text, item_id % 10 as g from benchmark), f as (select x.item_id, g, count(d.doc_id) as hits from x left join documents d on contains(d.text, x.text) group by x.item_id, g) :: select g, count(*) as expected, count(*) filter (where hits > 0) as found, round(count(*) filter (where hits > 0)::double / count(*), 6) as recall from f group by g")
@@ -345,14 +344,13 @@ def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     lead = F.array_join(F.slice(F.split("text", "[ \n]"), 1, 5), " ")
     keyed = items.select("item_id", F.col("text").alias("passage"), lead.alias("lead"))
-    words = F.split(F.regexp_replace("text", "\n", " "), " ")
-    runs = F.when(F.size(words) >= 5, F.transform(F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.array_join(F.slice(words, i + 1, 5), " "))).otherwise(F.array().cast("array<string>"))
-    ends = F.element_at(F.split("lead", " "), -1)
+    words = F.split(F.translate("text", "\n", " "), " ")
+    shifted = F.arrays_zip(*[F.slice(words, k, F.greatest(F.size(words) - 4, F.lit(0))).alias(f"w{k}") for k in range(1, 6)])
+    runs = F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(1, 6)]))
     small = keyed.agg(F.sum(F.length("passage"))).first()[0] or 0
     side = F.broadcast(keyed) if small < 8 << 20 else keyed
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("lead"))
     found = docs.join(side, "lead").filter(F.contains("text", F.col("passage"))).select("item_id").distinct().withColumn("hit", F.lit(1))
-    del ends
     both = items.select("item_id", (F.col("item_id") % 10).alias("g")).join(found, "item_id", "left")
     return both.groupBy("g").agg(F.count("*").alias("expected"), F.count("hit").alias("found")).withColumn("recall", F.round(F.col("found") / F.col("expected"), 6))
 
