@@ -279,11 +279,17 @@ def dup_normalised_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(textfns.content_hash(F.col("text"))).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("first_id", "n")
 
 
-@query("select a.memory_id as a, min(b.memory_id) as b from memories a join memories b on a.title = b.title and a.memory_type = b.memory_type and a.conflict_key = b.conflict_key and a.memory_id < b.memory_id and a.authority <> b.authority and a.conflict_key = 'k3' group by a.memory_id")
+@query("select a.memory_id, min(b.memory_id) as other from memories a join memories b on a.title = b.title and a.memory_type = b.memory_type and a.authority <> b.authority group by a.memory_id")
 def title_conflict_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memories(spark, sf_dir).filter("conflict_key = 'k3'").select("memory_id", "title", "memory_type", "authority")
-    b = rows.toDF("b", "title", "memory_type", "_authority")
-    return rows.join(b, ["title", "memory_type"]).filter("memory_id < b and authority <> _authority").groupBy(F.col("memory_id").alias("a")).agg(F.min("b").alias("b"))
+    """The least id of the same title and type with another authority.
+
+    One row for each authority of a group is enough to tell, so no pairs within a group are made.
+    """
+    rows = memories(spark, sf_dir).select("memory_id", "title", "memory_type", "authority")
+    least = rows.groupBy("title", "memory_type", "authority").agg(F.min("memory_id").alias("id"))
+    known = least.groupBy("title", "memory_type").agg(F.collect_list(F.struct("authority", "id")).alias("known"))
+    other = F.array_min(F.transform(F.filter("known", lambda x: x.authority != F.col("authority")), lambda x: x.id))
+    return rows.join(known, ["title", "memory_type"]).select("memory_id", other.alias("other")).filter("other is not null")
 
 
 @query("select count(*) as documents, count(*) filter (where text is null or trim(text) = '') as emptied, count(distinct doc_id) as ids, (select count(*) from labels l where not exists (select 1 from documents d where d.doc_id = l.doc_id)) as orphan_labels from documents")

@@ -215,9 +215,9 @@ def message_three_way_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(c, "conv_id").join(s, "source").select("conv_id", "turn", "turns", "n_docs")
 
 
-@query("select d.memory_id, m.message_id from memories d join messages m on m.conversation_id = d.memory_id % 100 and m.sequence = 1 where d.privacy = 'private' and d.scope in ('', 'all', 'a2,all') and lower(d.project) = 'p2'")
+@query("select d.memory_id, m.message_id from memories d join messages m on m.conversation_id = d.memory_id % 100 and m.sequence = 1 where d.privacy = 'private' and d.scope in ('', 'all', 'a2,all') and lower(d.project) = 'p3'")
 def linked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = memories(spark, sf_dir).filter((F.col("privacy") == "private") & search.scope_visible(F.col("scopes"), None) & (F.lower("project") == "p2"))
+    d = memories(spark, sf_dir).filter((F.col("privacy") == "private") & search.scope_visible(F.col("scopes"), None) & (F.lower("project") == "p3"))
     m = messages(spark, sf_dir).filter("sequence = 1")
     return d.join(m, d.memory_id % 100 == m.conversation_id).select("memory_id", "message_id")
 
@@ -261,9 +261,9 @@ def project_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(x, "project", "left").select("project", "memories", "core", F.coalesce("messages", F.lit(0)).cast("bigint").alias("messages"))
 
 
-@query("with e as (select vec_id, round(abs(embedding[1]::double), 3) as score from embeddings) :: select vec_id, score from e where score >= 0.55 and score < 0.999")
+@query("with e as (select vec_id, round(least(1, 4 * abs(embedding[1]::double)), 3) as score from embeddings) :: select vec_id, score from e where score >= 0.55 and score < 0.999")
 def recall_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.abs(F.get("embedding", F.lit(0)).cast("double")), 3).alias("score"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.least(F.lit(1.0), 4 * F.abs(F.get("embedding", F.lit(0)).cast("double"))), 3).alias("score"))
     return e.filter(search.plausible_recall(F.col("score"), F.lit("a"), F.lit("b")))
 
 
