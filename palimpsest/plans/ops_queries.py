@@ -279,16 +279,16 @@ def dup_normalised_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(textfns.content_hash(F.col("text"))).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("first_id", "n")
 
 
-@query("select a.memory_id, min(b.memory_id) as other from memories a join memories b on a.title = b.title and a.memory_type = b.memory_type and a.authority <> b.authority group by a.memory_id")
+@query("select a.memory_id, min(b.memory_id) as other from memories a join memories b on a.title = b.title and a.memory_type = b.memory_type and a.tier <> b.tier group by a.memory_id")
 def title_conflict_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least id of the same title and type with another authority.
+    """The least id of the same title and type in another tier.
 
-    One row for each authority of a group is enough to tell, so no pairs within a group are made.
+    One row for each tier of a group is enough to tell, so no pairs within a group are made.
     """
-    rows = memories(spark, sf_dir).select("memory_id", "title", "memory_type", "authority")
-    least = rows.groupBy("title", "memory_type", "authority").agg(F.min("memory_id").alias("id"))
-    known = least.groupBy("title", "memory_type").agg(F.collect_list(F.struct("authority", "id")).alias("known"))
-    other = F.array_min(F.transform(F.filter("known", lambda x: x.authority != F.col("authority")), lambda x: x.id))
+    rows = memories(spark, sf_dir).select("memory_id", "title", "memory_type", "tier")
+    least = rows.groupBy("title", "memory_type", "tier").agg(F.min("memory_id").alias("id"))
+    known = least.groupBy("title", "memory_type").agg(F.collect_list(F.struct("tier", "id")).alias("known"))
+    other = F.array_min(F.transform(F.filter("known", lambda x: x.tier != F.col("tier")), lambda x: x.id))
     return rows.join(known, ["title", "memory_type"]).select("memory_id", other.alias("other")).filter("other is not null")
 
 

@@ -194,14 +194,15 @@ def page_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best match of each candidate among core memories of its title and language, by matching blocks, from 0.92 on.
+    """Best match of each candidate among core memories of its language and opening, by matching blocks, from 0.92 on.
 
-    Pairs are blocked by title, language and a length ratio that the score cannot exceed, so no cross join is made.
+    Pairs are blocked by language, the first 32 word characters and a length ratio that the score cannot exceed, so no cross
+    join is made; the score is of whole texts.
     """
-    rows = memories(spark, sf_dir).select("memory_id", "title", "heading", "tier", "text")
-    core = rows.filter("tier = 'core'").select(F.col("memory_id").alias("core_id"), "title", "heading", F.col("text").alias("core_text"))
+    rows = memories(spark, sf_dir).select("memory_id", "heading", "tier", "text", F.substring(textfns.letters_only(F.col("text")), 1, 32).alias("opening"))
+    core = rows.filter("tier = 'core'").select(F.col("memory_id").alias("core_id"), "heading", "opening", F.col("text").alias("core_text"))
     a, b = F.length("text"), F.length("core_text")
-    pairs = rows.filter("tier = 'pinned'").join(core, ["title", "heading"]).filter((a > 0) & (2 * F.least(a, b) >= 0.92 * (a + b)))
+    pairs = rows.filter("tier <> 'core'").join(core, ["heading", "opening"]).filter((a > 0) & (2 * F.least(a, b) >= 0.92 * (a + b)))
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
