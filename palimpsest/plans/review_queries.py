@@ -210,3 +210,15 @@ def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = pairs.withColumn("score", ratio("text", "core_text")).filter("score >= 0.92")
     return scored.groupBy("memory_id").agg(F.max_by("core_id", F.struct("score", -F.col("core_id"))).alias("core_id"), F.max("score").alias("score"))
+
+
+@query("with c as (select *, memory_id % 6 as day, count(*) over (partition by text) > 1 and memory_id > min(memory_id) over (partition by text) as dup, case when memory_id % 8 = 0 then null else (memory_id % 50)::double / 50 end as alike, case when memory_type = 'knowledge' then 'category' end as r1, case when memory_id % 31 = 0 then 'notification' end as r2, case when memory_id % 40 < 10 then 'confidence' end as r3 from memories), g as (select *, case when status = '' then 'rejected:schema' when memory_id % 29 = 0 then 'rejected:process_log' when dup then 'rejected:duplicate' when memory_id % 23 = 0 then 'review:title_conflict' when alike is null then 'deferred:no_similarity' when alike >= 0.92 then 'rejected:semantic_duplicate' when concat_ws('+', r1, r2, r3) <> '' then 'review:' || concat_ws('+', r1, r2, r3) end as gate from c) :: select memory_id, coalesce(gate, case when row_number() over (partition by gate is null, day order by importance desc, memory_id) <= 10 then 'promoted' else 'deferred:daily_limit' end) as outcome from g")
+def promotion_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("memory_id")
+    rows = memories(spark, sf_dir).withColumn("_h", F.sha2(F.col("text").cast("binary"), 256))
+    first = rows.groupBy("_h").agg(F.min("memory_id").alias("first_id"))
+    tested = rows.join(first, "_h", "left").select(
+        "memory_id", "importance", (i % 6).alias("day"), (F.col("status") != "").alias("schema_ok"), (i % 29 == 0).alias("process_log"), (F.col("memory_type") != "knowledge").alias("category_ok"), (i % 31 == 0).alias("notification"),
+        F.when(i % 40 < 10, 0.5).otherwise(0.95).alias("confidence"), F.coalesce(i > F.col("first_id"), F.lit(False)).alias("duplicate"), (i % 23 == 0).alias("title_conflict"), F.when(i % 8 != 0, (i % 50) / 50).alias("similarity"),
+    )
+    return review.promotion_outcome(tested, ["day"], [F.desc("importance"), F.col("memory_id")]).select("memory_id", "outcome")
