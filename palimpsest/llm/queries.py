@@ -79,5 +79,32 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_WORDS = "select doc_id, unnest(words) as word, unnest(range(len(words))) as i, len(words) as n from (select doc_id, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') as words from {table})"
+
+OP2_SQL = f"""
+with recursive texts as (select min(doc_id) as doc_id, text from documents where text is not null group by text),
+words as ({_WORDS.format(text="text", table="texts")}),
+runs as (select doc_id, n, string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 4 following) as shingle, count(*) over (partition by doc_id order by i rows between current row and 4 following) as size, i from words),
+shingles as (select distinct doc_id, shingle from runs where size = 5 or (n < 5 and i = 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c >= 0.8 * (x.n + y.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reached(node, root) as (select doc_id, doc_id from texts union select l.b, r.root from reached r join both_ways l on l.a = r.node),
+named as (select d.doc_id, coalesce(c.class_id, d.doc_id) as class_id from documents d left join texts t on t.text = d.text left join (select node, min(root) as class_id from reached group by node) c on c.node = t.doc_id)
+select doc_id, class_id, count(*) over (partition by class_id) as n_in_class, doc_id = class_id as keep from named
+"""
+
+OP10_SQL = f"""
+with words as ({_WORDS.format(text="coalesce(text, '')", table="documents")}),
+suffixes as (select doc_id, i, word, string_agg(word, ' ') over w as label, count(*) over w as size from words window w as (partition by doc_id order by i rows between current row and 19 following)),
+leaves as (select doc_id, i, row_number() over (partition by label order by doc_id, i) as leaf from suffixes where size = 20),
+marked as (select s.doc_id, s.i, s.word, max(case when leaf > 1 then 1 else 0 end) over (partition by s.doc_id order by s.i rows between 19 preceding and current row) as gone from suffixes s left join leaves l on l.doc_id = s.doc_id and l.i = s.i),
+told as (select doc_id, count(*) as n_words, cast(sum(gone) as bigint) as n_removed, sha256(coalesce(string_agg(word, ' ' order by i) filter (where gone = 0), '')) as kept_sha256 from marked group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, coalesce(kept_sha256, sha256('')) as kept_sha256 from documents d left join told t on t.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Operators 2 and 10 have exact results that SQL can say; the others need tokenizers, models, codecs or templates."""
+    return {"op2_near_dedup": OP2_SQL, "op10_substring_dedup": OP10_SQL}

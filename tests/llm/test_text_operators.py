@@ -200,3 +200,14 @@ def test_isotonic_never_falls():
     x = rng.normal(size=500)
     at, value = toxicity.isotonic(x, (rng.random(500) < 1 / (1 + np.exp(-x))).astype(float))
     assert (np.diff(at) >= 0).all() and (np.diff(value) >= -1e-12).all()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = getattr(queries, name)(spark, "/root/testdata/sf0.001").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
