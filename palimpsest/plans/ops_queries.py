@@ -136,7 +136,7 @@ def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     at = micros(F.col("ts"))
     order = F.struct("ts", "event_id")
-    return e.groupBy("user_id").agg(F.min(made_at).alias("started"), F.max(made_at).alias("last_at"), F.count("*").alias("n"), F.min_by("event_type", order).alias("first_type"), F.max_by("event_type", order).alias("last_type"))
+    return e.groupBy("user_id").agg(F.min(at).alias("started"), F.max(at).alias("last_at"), F.count("*").alias("n"), F.min_by("event_type", order).alias("first_type"), F.max_by("event_type", order).alias("last_type"))
 
 
 @query("select path, status, attempts from (select path, status, attempts, row_number() over (partition by path order by made_at desc, attempts desc, job_id desc) as p from jobs) where p = 1")
@@ -224,10 +224,10 @@ def vector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.coverage(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
-@query("select round(embedding[1]::double, 1) as a, round(embedding[2]::double, 1) as b, count(*) as n, count(distinct label) as labels from embeddings group by 1, 2 having count(distinct label) > 1")
+@query("select round(embedding[1]::double, 1) + 0.0 as a, round(embedding[2]::double, 1) + 0.0 as b, count(*) as n, count(distinct label) as labels from embeddings group by 1, 2 having count(distinct label) > 1")
 def vector_degenerate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors that agree after rounding while what they stand for differs (here by their first two values)."""
-    part = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double"), 1)
+    part = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double"), 1) + 0.0
     return table(spark, sf_dir, "embeddings").groupBy(part(0).alias("a"), part(1).alias("b")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).filter("labels > 1")
 
 

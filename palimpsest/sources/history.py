@@ -11,6 +11,11 @@ PARTS = "struct<id:string,author:struct<role:string,name:string>,content:struct<
 EXPORT = f"id string, title string, current_node string, create_time double, mapping map<string,struct<parent:string,message:{PARTS}>>"
 
 
+def strip(c: Column) -> Column:
+    """Without blanks and line breaks at either end."""
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+
+
 def history_json(spark: SparkSession, path: str) -> DataFrame:
     """One row a message of inbox files: conversation, title, position, and the message's fields."""
     read = spark.read.schema(HISTORY).json(path, multiLine=True)
@@ -40,7 +45,7 @@ def history_markdown(files: DataFrame) -> DataFrame:
     parts = [F.regexp_extract_all("value", F.lit(block), i) for i in (1, 2, 3, 4)]
     return (
         files.select("path", head("conversation_id").alias("conversation_id"), head("title").alias("title"), F.posexplode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "abcd", strict=True)])).alias("sequence", "b"))
-        .select("path", "conversation_id", "title", "sequence", F.trim("b.a").alias("role"), F.trim("b.b").alias("timestamp"), F.trim("b.c").alias("message_id"), F.trim("b.d").alias("content"))
+        .select("path", "conversation_id", "title", "sequence", *(strip(F.col(f"b.{c}")).alias(n) for c, n in zip("abcd", ["role", "timestamp", "message_id", "content"], strict=True)))
     )
 
 
@@ -113,7 +118,7 @@ def page_text(html: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, _BLOCKS, "\n"), r"(?s)<[^>]*>", "")
     for name, sign in _ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\x{00A0}]+", " "), r"\s*\n\s*", "\n"))
+    return strip(F.regexp_replace(F.regexp_replace(text, r"[ \t\x{00A0}]+", " "), r"\s*\n\s*", "\n"))
 
 
 def page_title(html: Column) -> Column:
