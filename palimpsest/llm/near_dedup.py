@@ -9,15 +9,18 @@ Texts that agree on all slots of a band share a bucket. In a bucket of up to FEW
 pairs are made with one pivot a round: first the member that meets the most others over all its buckets, which is the text that
 the others are copies of, then the best and later a random one of those outside the bucket's main class, against all of other
 classes. Pairs that pass an exact length bound are verified on their shingle sets; verified links make classes, and rounds go
-on until one brings no link. So a bucket of n texts costs about n pairs a round, however many of them are alike, and texts that
-only resemble a member which is not the pivot are still met, as bands have other members. Equal texts are one node throughout.
-With 24 bands of 4 slots a pair at 0.8 misses all bands with probability 3e-6.
+on while one links more than a tenth of the texts that are left. A round costs about n pairs in a bucket of n texts. Pivots only
+save work: buckets that still hold several classes are then settled by an exact prefix-filter join of all their texts. Two texts
+of n and m shingles can only reach the threshold t if they share one of the first n - ceil(t n) + 1 and m - ceil(t m) + 1 of
+their shingles in any one order, here rare ones first, so every such pair of two classes is met and verified. Equal texts are
+one node throughout. With 24 bands of 4 slots a pair at 0.8 misses all bands with probability 3e-6.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -28,6 +31,12 @@ BANDS, ROWS = 24, 4
 #: Texts of a bucket whose pairs are all candidates.
 FEW = 6
 SHINGLE = 5
+#: Pivot rounds go on while one links this share of the texts in open buckets.
+WORTH = 0.1
+#: Counters that order shingles from rare to common; one holds the shingles of one remainder.
+CELLS = 1 << 20
+#: Rows of a shingle outside its main class that one task compares with the others.
+SALTED = 1024
 _TO_UNIT = 2.0**-53
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -110,6 +119,44 @@ def _sets(texts: DataFrame, text_col: str) -> DataFrame:
     return texts.select("node", text_col).mapInArrow(made, "node binary, shingles array<int>")
 
 
+def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
+    """(node, class, n, place, shingle): the rarest of each node's n shingles, one of which any text as like as `threshold` shares."""
+    counted = rows.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(CELLS)).alias("cell")).count().toArrow()
+    loads = np.zeros(CELLS, np.int64)
+    loads[counted["cell"].to_numpy()] = counted["count"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(loads)
+
+    def made(batches):
+        for batch in batches:
+            values = batch.column("shingles").flatten().to_numpy()
+            sizes = pc.list_value_length(batch.column("shingles")).to_numpy()
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((values, shared.value[values.view(np.uint32) % CELLS], owner))
+            place, n = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
+            at = np.flatnonzero(place <= n - np.ceil(threshold * n - 1e-9))
+            whose = pa.array(owner[at])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(whose), batch.column("class").take(whose), pa.array(n[at], pa.int32()), pa.array(place[at], pa.int32()), pa.array(values[order][at], pa.int32())], ["node", "class", "n", "place", "shingle"])
+
+    return rows.select("node", "class", "shingles").mapInArrow(made, "node binary, class binary, n int, place int, shingle int")
+
+
+def _settled(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, n, b, n_p): all pairs of nodes of different classes that may be as like as `threshold`, some more than once.
+
+    In each shingle's group those outside its largest class meet all; they are dealt over tasks by salts.
+    """
+    held = materialise(_prefixes(rows, threshold), "prefixes")
+    counted = held.groupBy("shingle", "class").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.count("*").alias("classes"), (F.sum("k") - F.max("k")).alias("others"))
+    groups = counted.filter("classes > 1").select("shingle", "main", F.ceil(F.col("others") / SALTED).cast("int").alias("salts"))
+    met = held.join(groups, "shingle")
+    every = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    other = met.filter("class <> main").select("shingle", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.col("node").alias("b"), F.col("class").alias("class_p"), F.col("n").alias("n_p"), F.col("place").alias("place_p"))
+    once = (F.col("class") == F.col("main")) | (F.col("node") < F.col("b"))
+    fits = F.least(F.col("n") - F.col("place"), F.col("n_p") - F.col("place_p")) >= threshold / (1 + threshold) * (F.col("n") + F.col("n_p")) - 1e-6
+    on = (every["shingle"] == other["shingle"]) & (every["salt"] == other["salt"]) & (F.col("class") != F.col("class_p")) & once & fits
+    return every.hint("merge").join(other, on).select(F.col("node").alias("a"), "n", "b", "n_p")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, class) of every node in links: class is the least node that it is connected with.
 
@@ -162,27 +209,35 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     pairs = few.join(few.toDF("key", "b", "n_p"), "key").filter("a < b").select("a", "n", "b", "n_p")
     many = members.filter(F.col("size") > FEW).select("key", "node", "n", "degree")
     first = lambda *more: F.max(F.struct(*more, "degree", "node", "n", "class")).alias("p")
+    def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+        ends = links
+        for e in ("a", "b"):
+            ends = ends.join(classes.toDF(e, f"class_{e}"), e, "left").withColumn(f"class_{e}", F.coalesce(f"class_{e}", e))
+        roots = components(ends, "class_a", "class_b").toDF("class", "root")
+        known = classes.union(links.select("a", "a").union(links.select("b", "b")).distinct().toDF("node", "class").join(classes.select("node"), "node", "left_anti"))
+        return materialise(known.join(roots, "class", "left").select("node", F.coalesce("root", "class").alias("class")), "classes")
+
     classes, turn, mine = None, 0, many.withColumn("class", F.col("node")).repartition("key")
     while True:
         leads = mine.groupBy("key").agg(first())
         if turn:
-            mine = materialise(mine.join(mine.groupBy("key").agg(F.min("class").alias("main"), F.max("class").alias("last")).filter("main <> last").drop("last"), "key"), "open")
+            mains = mine.groupBy("key", "class").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.count("*").alias("classes"))
+            mine = materialise(mine.join(mains.filter("classes > 1").drop("classes"), "key"), "open")
             leads = mine.filter("class <> main").groupBy("key").agg(first(*([F.xxhash64("node", F.lit(turn)).alias("order")] if turn > 1 else [])))
         met = mine.join(leads, "key").filter("class <> p.class").select(F.col("node").alias("a"), "n", F.col("p.node").alias("b"), F.col("p.n").alias("n_p"))
         links = verified(met if turn else met.union(pairs))
-        if turn and links.isEmpty():
+        found = links.count() if turn else 1
+        if found:
+            classes = joined(classes, links) if turn else materialise(components(links), "classes")
+        if turn and found <= WORTH * mine.count():
             break
-        if turn:
-            ends = links
-            for e in ("a", "b"):
-                ends = ends.join(classes.toDF(e, f"class_{e}"), e, "left").withColumn(f"class_{e}", F.coalesce(f"class_{e}", e))
-            roots = components(ends, "class_a", "class_b").toDF("class", "root")
-            known = classes.union(links.select("a", "a").union(links.select("b", "b")).distinct().toDF("node", "class").join(classes.select("node"), "node", "left_anti"))
-            classes = materialise(known.join(roots, "class", "left").select("node", F.coalesce("root", "class").alias("class")), "classes")
-        else:
-            classes = materialise(components(links), "classes")
         turn += 1
         mine = many.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).repartition("key")
+    left = mine.select("node").distinct().join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    if not left.isEmpty():
+        links = verified(_settled(sets.join(left, "node"), threshold))
+        if not links.isEmpty():
+            classes = joined(classes, links)
     numbered = materialise(sketched.select("_id", "node").join(classes, "node", "left").select("_id", F.coalesce("class", "node").alias("class"), F.monotonically_increasing_id().alias("_row")), "rows")
     sized = numbered.groupBy("class").agg(F.min("_id").alias("class_id"), F.count("*").alias("n_in_class"), F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_row"))["_row"].alias("_kept"))
     out = numbered.join(sized, "class").select(F.col("_id").alias(id_col), "class_id", "n_in_class", (F.col("_row") == F.col("_kept")).alias("keep"))

@@ -120,6 +120,26 @@ def test_near_duplicates_large_groups_and_chains(spark):
     assert near_dedup.near_duplicates(odd(spark, [])).count() == 0
 
 
+def test_near_duplicates_in_a_bucket_without_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "sketch", lambda docs, id_col, text_col, *_: one_bucket(docs, id_col, text_col))
+    rng = random.Random(11)
+    rows = []
+    for k in range(25):  # 25 pairs on one template, each alike only within itself
+        own = [f"o{k}_{j}" for j in range(60)]
+        rows += [(2 * k, " ".join([*(f"t{j}" for j in range(60)), *own])), (2 * k + 1, " ".join([*(f"t{j}" for j in range(60)), *own[:-3], f"x{k}"]))]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(odd(spark, rows)).collect()}
+    assert got == classes_by_hand(rows) and len(set(got.values())) == 25
+    monkeypatch.setattr(near_dedup, "SALTED", 2)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(odd(spark, rows)).collect()} == got
+
+
+def one_bucket(docs, id_col, text_col):
+    """The sketch of a table whose texts all meet in one band and nowhere else."""
+    n = F.udf(lambda t: len(shingle_set(t)), "long")
+    return docs.select(F.col(id_col).alias("_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("node"), n(text_col).alias("n_shingles"), F.array(F.lit(1).cast("long")).alias("bands"))
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(5)
     ids = rng.integers(1, 2**63, 300).astype(np.uint64)
