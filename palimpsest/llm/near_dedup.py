@@ -1,6 +1,7 @@
-"""Operator 2: near-duplicate classes by ProbMinHash over weighted five-word shingles, banding and exact verification.
+"""Operator 2: near-duplicate classes by ProbMinHash over five-word shingles, banding and exact verification.
 
-Each shingle of a text is a Poisson process whose rate is its weight, 1 + ln(occurrences). Arrivals fall on random slots; a
+Each distinct shingle of a text is a Poisson process whose rate is its weight. Links are told by sets of shingles, so all weigh 1,
+however often a text repeats them. Arrivals fall on random slots; a
 slot keeps the shingle that arrives first. Arrivals are made in rounds, and a shingle leaves as soon as its next arrival is
 later than the latest first arrival of all slots, so long texts need little more than one arrival a shingle. Two texts agree
 on a slot with the probability Jaccard of their weighted shingles, which is the plain Jaccard where weights are equal.
@@ -94,8 +95,8 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
 
     def made(batches):
         for s in slices(batches, text_col):
-            owner, value, times = shingles(as_bytes(s.column(text_col)))
-            slots = probminhash(owner, value, 1 + np.log(times), s.num_rows, bands * rows).reshape(-1, rows)
+            owner, value, _ = shingles(as_bytes(s.column(text_col)))
+            slots = probminhash(owner, value, np.ones(len(owner)), s.num_rows, bands * rows).reshape(-1, rows)
             acc = np.tile(np.arange(1, bands + 1, dtype=np.uint64), s.num_rows)
             for k in range(rows):
                 acc = mixed(acc * np.uint64(_GOLDEN) + slots[:, k])

@@ -134,6 +134,14 @@ def test_near_duplicates_in_a_bucket_without_a_hub(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(odd(spark, rows)).collect()} == got
 
 
+def test_near_duplicates_with_repeated_blocks(spark):
+    own, block = " ".join(f"w{k}" for k in range(50)), "a b c d e f g "
+    rows = odd(spark, [(1, f"{own} {block * 3}"), (2, f"{own} {block * 100}")])
+    one, other = (r.bands for r in near_dedup.sketch(rows).orderBy("_id").collect())
+    assert one == other
+    assert {r.class_id for r in near_dedup.near_duplicates(rows).collect()} == {1}
+
+
 def one_bucket(docs, id_col, text_col):
     """The sketch of a table whose texts all meet in one band and nowhere else."""
     n = F.udf(lambda t: len(shingle_set(t)), "long")
