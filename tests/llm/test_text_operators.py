@@ -184,6 +184,16 @@ def test_decontamination_of_changed_questions(spark):
     assert decontaminate.find_contamination(odd(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_occurrence(spark):
+    item = "Alice buys 12 apples for 3 dollars each and gives Bob half of all the apples that she bought then Alice has how many apples left"
+    other = item.replace("Alice", "Carol").replace("12", "40").replace("3", "5").replace("Bob", "Dave")
+    sums = "7 12 19 33 48 51 67 82 90 104"
+    bench = spark.createDataFrame([(1, item), (2, sums), (3, "Is 17 prime")], "item_id int, text string")
+    rows = [(1, f"{item} so we ask again {other}"), (2, f"the list {sums} was read"), (3, "the list 8 13 20 34 49 52 68 83 91 105 was read"), (4, "we asked: Is 17 prime ?"), (5, "we asked: Is 18 prime ?")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(odd(spark, rows), bench).collect()}
+    assert got == {(1, 1), (2, 2), (4, 3)}
+
+
 def test_language_held_out(spark, docs):
     got = queries.op5_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
