@@ -51,8 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all that is left into sequences of 2048 tokens."""
-    cut = packing.tokenize_pieces(docs, public_tokenizers.path(BYTE_BPE), capacity=2048)
-    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
+    return packing.pack(packing.tokenize_pieces(docs, public_tokenizers.path(BYTE_BPE), capacity=2048, with_ids=False), capacity=2048)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("substring_dedup", drop_repeats), ("decontamination", drop_contaminated), ("packing", pack)]

@@ -10,6 +10,7 @@ read their sequence and place from the patterns. No piece is moved for that but
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -111,30 +112,38 @@ def placements(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndar
     return {n: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for n, r in runs.items()}
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids) of each piece; ids as unsigned 32-bit little-endian bytes.
+def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, ids) of each piece; ids as unsigned 32-bit little-endian bytes, with their checksum.
 
     A document is its text's ids and then end_id. One longer than the capacity is cut into pieces of that length, of
-    which only the first may be shorter. A null text counts as empty: one piece that holds end_id.
+    which only the first may be shorter. A null text counts as empty: one piece that holds end_id. Repeated rows and null ids
+    stay; other columns, whatever their names, are not read; an empty table gives an empty result. with_ids=False leaves the
+    ids in the worker, where only their places and checksums are wanted.
     """
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
+    fields = [T.StructField(id_col, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
+    schema = T.StructType([*fields, *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
     def cut(batches):
-        enc = encoder(tokenizer, "ids")
+        enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype)
         for s in slices(batches, text_col):
-            row, piece, start, length, blobs = [], [], [], [], []
-            for i, ids in enumerate(enc.encode([x or "" for x in s.column(text_col).to_pylist()])):
-                ids = np.concatenate([ids, end]).astype("<u4")
-                bounds = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
+            row, piece, start, length, crcs, blobs = [], [], [], [], [], []
+            for i, ids in enumerate(enc.encode(s.column(text_col))):
+                held = np.concatenate([ids, end]).astype("<u4").tobytes()
+                n = len(ids) + 1
+                bounds = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
                     row.append(i)
                     piece.append(k)
                     start.append(a)
                     length.append(b - a)
-                    blobs.append(ids[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([s.column(id_col).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(blobs, pa.binary())], [id_col, "piece", "start", "length", "ids"])
+                    blob = held[4 * a : 4 * b]
+                    crcs.append(zlib.crc32(blob))
+                    if with_ids:
+                        blobs.append(blob)
+            told = [s.column(id_col).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crcs))]
+            yield pa.RecordBatch.from_arrays([*told, *([pa.array(blobs, pa.binary())] if with_ids else [])], schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 

@@ -13,8 +13,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.tokenize_pieces(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), capacity=2048)
-    pieces = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    pieces = packing.tokenize_pieces(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), capacity=2048, with_ids=False)
     return packing.pack(pieces, capacity=2048)
 
 

@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
     def encoded(batches):
         from pyspark import TaskContext
 
-        pid, enc, seq, start = TaskContext.get().partitionId(), encoder(tokenizer, "ids"), 0, 0
+        pid, enc, seq, start = TaskContext.get().partitionId(), encoder(tokenizer), 0, 0
         keys: list = []
         held: list[np.ndarray] = []
         size = 0
@@ -131,7 +131,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
 
         end = np.array([end_id], enc.dtype)
         for s in slices(batches, text_col):
-            for key, ids in zip(s.column(id_col).to_pylist(), enc.encode([x or "" for x in s.column(text_col).to_pylist()]), strict=True):
+            for key, ids in zip(s.column(id_col).to_pylist(), enc.encode(s.column(text_col)), strict=True):
                 keys.append(key)
                 held.append(np.concatenate([ids, end]))
                 size += len(ids) + 1

@@ -7,9 +7,11 @@ chunk is encoded once per worker; a worker keeps a bounded number of them.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from palimpsest.llm._shared import slices
 #: A chunk: blanks, then printed characters; where a character that is a blank of another kind precedes a blank, they stay together.
 _CHUNK = re.compile(r"[ \n]*[^ \n]+(?:(?<=\s)[ \n]+[^ \n]*)*|[ \n]+")
 _SAFE = re.compile(r"(?<=\S)[ \n]")
+#: A blank that follows white space; texts without one are cut before every blank and line break.
+_ODD = r"[\t-\r\x1c-\x1f \x{85}\pZ][ \n]"
 #: Characters of one text that are cut into chunks at once.
 _PART = 1 << 20
 
@@ -47,53 +51,153 @@ class _Chunks(dict):
         return number
 
 
+def _spelled(key: str) -> str:
+    """The chunk that a key of the cache stands for.
+
+    A key without blanks is a chunk that one blank precedes, or that begins with a line break; one that ends with a blank is
+    the begin of a text; one that begins with a blank is the chunk itself.
+    """
+    if key[:1] == " ":
+        return key[1:]
+    if key[-1:] == " ":
+        return key[:-1]
+    return key if key[:1] == "\n" else f" {key}"
+
+
+def _grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """held with `more` written behind its first `used` entries; room is doubled, so that appending is linear."""
+    if used + len(more) > len(held):
+        wider = np.empty(max(2 * len(held), used + len(more), 1 << 16), held.dtype)
+        wider[:used] = held[:used]
+        held = wider
+    held[used : used + len(more)] = more
+    return held
+
+
 class ChunkEncoder:
-    """Ids of texts by a byte-level BPE file of the tokenizers library; special strings in texts as the library has them."""
+    """Ids of texts by a byte-level BPE file of the tokenizers library; special strings in texts as the library has them.
+
+    Chunks of a slice are cut and numbered by Arrow, and each distinct one is looked up once. Beyond `limit` chunks those
+    that only one slice has used leave first. A file whose rules are others is used on whole texts.
+    """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        rules = json.loads(self.tokenizer.to_str())
+        before = rules.get("pre_tokenizer") or {}
+        self.local = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not rules.get("normalizer")
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self._clear()
-
-    def _clear(self):
-        self.numbers, self.flat, self.lengths = _Chunks(), np.empty(0, self.dtype), np.empty(0, np.int64)
-
-    def _numbered(self, text: str) -> np.ndarray:
-        get = self.numbers.__getitem__
-        found = [np.fromiter(map(get, c), np.int64, len(c)) for c in (_CHUNK.findall(p) for p in parts(text))]
-        return found[0] if len(found) == 1 else np.concatenate(found)
-
-    def _learn(self, ids: bool):
+        self._hold(_Chunks(), np.empty(0, self.dtype), np.empty(0, np.int64), np.empty(0, np.int32))
+
+    def _hold(self, numbers, flat, lengths, uses):
+        self.numbers, self.flat, self.lengths, self.uses = numbers, flat, lengths, uses
+        self.starts, self.known, self.n_flat = np.cumsum(lengths) - lengths, len(lengths), len(flat)
+
+    def _evict(self):
+        least, uses = 2, self.uses[: self.known]
+        while np.count_nonzero(uses >= least) > self.limit // 2:
+            least *= 2
+        kept = np.flatnonzero(uses >= least)
+        keys, numbers = list(self.numbers), _Chunks()
+        for k in kept.tolist():
+            dict.__setitem__(numbers, keys[k], len(numbers))
+        lengths = self.lengths[kept]
+        self._hold(numbers, self.flat[_spans(self.starts[kept], lengths)], lengths, uses[kept] // 2)
+
+    def _learn(self):
         new, self.numbers.new = self.numbers.new, []
         for k in range(0, len(new), 20_000):
-            got = self.tokenizer.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False)
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, got), np.int64, len(got))])
-            if ids:
-                self.flat = np.concatenate([self.flat, np.concatenate([np.asarray(e.ids, self.dtype) for e in got])])
-
-    def counts(self, texts: list[str]) -> np.ndarray:
-        if len(self.numbers) > self.limit:
-            self._clear()
-        found = [self._numbered(t) for t in texts]
-        self._learn(ids=False)
-        return np.fromiter((self.lengths[x].sum() for x in found), np.int64, len(found))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+            got = self.tokenizer.encode_batch_fast([_spelled(x) for x in new[k : k + 20_000]], add_special_tokens=False)
+            ids = [e.ids for e in got]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum()))
+            self.starts = _grown(self.starts, self.known, self.n_flat + np.cumsum(sizes) - sizes)
+            self.lengths, self.uses = _grown(self.lengths, self.known, sizes), _grown(self.uses, self.known, np.zeros(len(ids), np.int32))
+            self.flat = _grown(self.flat, self.n_flat, flat)
+            self.known, self.n_flat = self.known + len(ids), self.n_flat + len(flat)
+
+    def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunk numbers of all texts one after another, how many each text has, and the distinct ones of most."""
+        get = self.numbers.__getitem__
+        odd = np.asarray(pc.match_substring_regex(texts, _ODD))
+        plain = texts.filter(pa.array(~odd)) if odd.any() else texts
+        split = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        coded = split.flatten().dictionary_encode()
+        mine = np.fromiter(map(get, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
+        found = mine[coded.indices.to_numpy()]
+        sizes = np.asarray(pc.list_value_length(split), np.int64)
+        begins = np.cumsum(sizes) - sizes
+        found[begins] = np.fromiter((get(f"{x} ") for x in split.flatten().take(pa.array(begins)).to_pylist()), np.int32, len(begins))
+        if not odd.any():
+            return found, sizes, mine
+        cut = [np.fromiter((get(f" {c}") for c in _CHUNK.findall(x)), np.int32) for x in texts.filter(pa.array(odd)).to_pylist()]
+        all_sizes = np.empty(len(texts), np.int64)
+        all_sizes[~odd], all_sizes[odd] = sizes, list(map(len, cut))
+        whole = np.empty(int(all_sizes.sum()), np.int32)
+        from_odd = np.repeat(odd, all_sizes)
+        whole[~from_odd], whole[from_odd] = found, np.concatenate(cut)
+        return whole, all_sizes, mine
+
+    def _read(self, texts: pa.Array, ids: bool) -> tuple[np.ndarray | None, np.ndarray]:
         if len(self.numbers) > self.limit:
-            self._clear()
-        found = [self._numbered(t) for t in texts]
-        self._learn(ids=True)
-        starts = np.cumsum(self.lengths) - self.lengths
-        out = []
-        for x in found:
-            n = self.lengths[x]
-            total = int(n.sum())
-            shift = starts[x] - (np.cumsum(n) - n)
-            out.append(self.flat[np.repeat(shift, n) + np.arange(total)])
-        return out
+            self._evict()
+        found, sizes, used = self._numbered(texts)
+        self._learn()
+        self.uses[used] += 1
+        lengths = self.lengths[found]
+        upto = np.append(0, np.cumsum(lengths))
+        ends = np.cumsum(sizes)
+        return (self.flat[_spans(self.starts[found], lengths)] if ids else None), upto[ends] - upto[ends - sizes]
+
+    def _parts(self, texts) -> Iterator[tuple[pa.Array, bool]]:
+        """Texts as Arrow strings; a long one comes in parts, each of which goes on with the text before."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "")
+        long = np.flatnonzero(np.asarray(pc.binary_length(texts)) > 4 * _PART)
+        at = 0
+        for i in long.tolist():
+            if i > at:
+                yield texts.slice(at, i - at), False
+            for k, part in enumerate(parts(texts[i].as_py())):
+                yield pa.array([part], pa.string()), k > 0
+            at = i + 1
+        if at < len(texts):
+            yield texts.slice(at), False
+
+    def counts(self, texts) -> np.ndarray:
+        if not self.local:
+            return np.fromiter(map(len, self.encode(texts)), np.int64)
+        out: list[np.ndarray] = []
+        for part, more in self._parts(texts):
+            sizes = self._read(part, False)[1]
+            if more:
+                out[-1] = out[-1] + sizes
+            else:
+                out.append(sizes)
+        return np.concatenate(out) if out else np.empty(0, np.int64)
+
+    def encode(self, texts) -> list[np.ndarray]:
+        if not self.local:
+            whole = [x or "" for x in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
+            return [np.asarray(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        out: list[list[np.ndarray]] = []
+        for part, more in self._parts(texts):
+            flat, sizes = self._read(part, True)
+            split = np.split(flat, np.cumsum(sizes)[:-1])
+            if more:
+                out[-1] += split
+            else:
+                out += [[x] for x in split]
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class PieceEncoder:
@@ -106,22 +210,23 @@ class PieceEncoder:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(x, np.uint32) for x in self.model.encode(texts, num_threads=1)]
+    def encode(self, texts) -> list[np.ndarray]:
+        whole = [x or "" for x in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
+        return [np.asarray(x, np.uint32) for x in self.model.encode(whole, num_threads=1)]
 
-    def counts(self, texts: list[str]) -> np.ndarray:
-        return np.fromiter(map(len, self.model.encode(texts, num_threads=1)), np.int64, len(texts))
+    def counts(self, texts) -> np.ndarray:
+        return np.fromiter(map(len, self.encode(texts)), np.int64, len(texts))
 
 
-_ENCODERS: dict[tuple[str, str], object] = {}
+_ENCODERS: dict[str, object] = {}
 
 
-def encoder(path: str, use: str):
-    """This worker's encoder for a file; counting and encoding keep different things, hence `use`."""
-    if (path, use) not in _ENCODERS:
+def encoder(path: str):
+    """This worker's encoder for a file."""
+    if path not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, use] = PieceEncoder(path) if path.endswith(".model") else ChunkEncoder(path)
-    return _ENCODERS[path, use]
+        _ENCODERS[path] = PieceEncoder(path) if path.endswith(".model") else ChunkEncoder(path)
+    return _ENCODERS[path]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,9 +240,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def counted(batches):
-        enc = encoder(tokenizer, "count")
+        enc = encoder(tokenizer)
         for s in slices(batches, text_col):
-            n = enc.counts([x or "" for x in s.column(text_col).to_pylist()])
+            n = enc.counts(s.column(text_col))
             size = pc.cast(pc.fill_null(pc.binary_length(s.column(text_col)), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([s.column(id_col), size, pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 

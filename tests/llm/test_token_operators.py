@@ -49,7 +49,7 @@ def test_counts_of_odd_texts(spark):
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r  ab1'.<|>"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_chunks_encode_as_whole_texts(text):
     t = Tokenizer.from_file(PATH)
-    assert tokens.encoder(PATH, "ids").encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+    assert tokens.encoder(PATH).encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_packing(spark, truth):
