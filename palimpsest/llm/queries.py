@@ -44,8 +44,7 @@ def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = F.element_at(F.array(F.lit("mulaw"), F.lit("alaw"), F.lit("adpcm")), (F.crc32("payload") % 3 + 1).cast("int"))
     made = documents(spark, sf_dir).select("doc_id", payload.alias("payload"), size.cast("long").alias("n_bytes")).withColumn("codec", codec)
     stored = materialise(telephony.store_media(made.withColumn("key", F.struct("doc_id", "n_bytes")), id_col="key"), "media")
-    read = telephony.decode_media(stored, rate=16000, id_col="key")
-    return telephony.digest(read, id_col="key").select("key.*", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return telephony.describe_media(stored, rate=16000, id_col="key").select("key.*", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

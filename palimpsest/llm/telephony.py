@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 import struct
+import zlib
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,15 @@ from pyspark.sql import DataFrame
 from palimpsest.llm._shared import slices
 
 #: WAVE format tags (fixed values of the RIFF registry).
-TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
+TAGS = {"pcm": 1, "alaw": 6, "mulaw": 7, "adpcm": 17}
 NAMES = {v: k for k, v in TAGS.items()}
 RATE = 8000
 #: Code bytes of an ADPCM block; the header adds four.
 BLOCK_CODES = 192
+#: Bytes of media that a task decodes at once; samples take up to 16 times as much.
+MEDIA_BYTES = 1 << 20
+#: Samples that are resampled at once.
+BLOCK_SAMPLES = 1 << 18
 
 #: Step sizes and index changes of IMA ADPCM (fixed values of the format).
 STEPS = np.array([
@@ -69,19 +75,22 @@ def _chunk(name: bytes, data: bytes) -> bytes:
     return name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
 
 
-def write_wav(payload: bytes, codec: str) -> bytes:
+def write_wav(payload: bytes, codec: str, rate: int = RATE) -> bytes:
     """A mono WAVE file whose samples (or ADPCM codes, with zeroed block headers) are the payload's bytes."""
+    if codec == "pcm":
+        body = b"WAVE" + _chunk(b"fmt ", struct.pack("<HHIIHH", TAGS[codec], 1, rate, 2 * rate, 2, 16)) + _chunk(b"data", payload)
+        return b"RIFF" + struct.pack("<I", len(body)) + body
     if codec == "adpcm":
         if len(payload) % BLOCK_CODES:
             raise ValueError(f"ADPCM needs a multiple of {BLOCK_CODES} bytes")
         rows = np.frombuffer(payload, np.uint8).reshape(-1, BLOCK_CODES)
         data = np.hstack([np.zeros((len(rows), 4), np.uint8), rows]).tobytes()
         per = BLOCK_CODES * 2 + 1
-        form = struct.pack("<HHIIHHHH", TAGS[codec], 1, RATE, RATE * (BLOCK_CODES + 4) // per, BLOCK_CODES + 4, 4, 2, per)
+        form = struct.pack("<HHIIHHHH", TAGS[codec], 1, rate, rate * (BLOCK_CODES + 4) // per, BLOCK_CODES + 4, 4, 2, per)
         samples = len(rows) * per
     else:
         data, samples = payload, len(payload)
-        form = struct.pack("<HHIIHHH", TAGS[codec], 1, RATE, RATE, 1, 8, 0)
+        form = struct.pack("<HHIIHHH", TAGS[codec], 1, rate, rate, 1, 8, 0)
     body = b"WAVE" + _chunk(b"fmt ", form) + _chunk(b"fact", struct.pack("<I", samples)) + _chunk(b"data", data)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
@@ -105,27 +114,29 @@ def read_wav(media: bytes) -> tuple[str, int, int, bytes]:
 def codes_of(media: bytes) -> bytes:
     """The 8-bit samples, or the codes of ADPCM blocks without their headers."""
     codec, _, block, data = read_wav(media)
+    return _codes(codec, block, data)
+
+
+def _codes(codec: str, block: int, data: bytes) -> bytes:
     return np.frombuffer(data, np.uint8).reshape(-1, block)[:, 4:].tobytes() if codec == "adpcm" else data
 
 
-def decode_many(media: list[bytes]) -> list[tuple[int, np.ndarray]]:
-    """(rate, 16-bit samples) of each file; the ADPCM blocks of all files are decoded together."""
+def decode_many(media: list[bytes]):
+    """(codec, rate, codes, 16-bit samples) of each file, in turn; the ADPCM blocks of all files are decoded together."""
     read = [read_wav(m) for m in media]
-    out: list = [None] * len(media)
-    by_block: dict[int, list[int]] = {}
-    for i, (codec, rate, block, data) in enumerate(read):
+    blocks: dict[int, list[bytes]] = {}
+    for codec, _, block, data in read:
+        if codec == "adpcm":
+            blocks.setdefault(block, []).append(data)
+    decoded = {block: decode_adpcm(np.frombuffer(b"".join(d), np.uint8).reshape(-1, block)) for block, d in blocks.items()}
+    at = dict.fromkeys(decoded, 0)
+    for codec, rate, block, data in read:
         if codec == "adpcm":
-            by_block.setdefault(block, []).append(i)
+            first, at[block] = at[block], at[block] + len(data) // block
+            pcm = decoded[block][first : at[block]].ravel()
         else:
-            out[i] = rate, expansion(codec)[np.frombuffer(data, np.uint8)]
-    for block, files in by_block.items():
-        pcm = decode_adpcm(np.concatenate([np.frombuffer(read[i][3], np.uint8).reshape(-1, block) for i in files]))
-        at = 0
-        for i in files:
-            n = len(read[i][3]) // block
-            out[i] = read[i][1], pcm[at : at + n].ravel()
-            at += n
-    return out
+            pcm = np.frombuffer(data, "<i2") if codec == "pcm" else expansion(codec)[np.frombuffer(data, np.uint8)]
+        yield codec, rate, _codes(codec, block, data), pcm
 
 
 @lru_cache
@@ -138,75 +149,96 @@ def _phases(up: int, down: int, half: int = 8) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """16-bit samples at another rate."""
+    """16-bit samples at another rate, made block by block, so that memory besides the result is bounded."""
     if rate == to or not len(pcm):
         return pcm
     up, down = to // math.gcd(rate, to), rate // math.gcd(rate, to)
-    taps = _phases(up, down)
+    taps = _phases(up, down).astype(np.float32)
     half = taps.shape[1] // 2
-    x = np.pad(pcm.astype(np.float32), (half - 1, half), mode="edge")
-    wide = np.empty((len(pcm), up), np.float32)
-    for p in range(up):
-        wide[:, p] = pcm if p == 0 and up >= down else np.convolve(x, taps[p, ::-1].astype(np.float32), mode="valid")
-    return np.clip(np.rint(wide.reshape(-1)[::down]), -32768, 32767).astype(np.int16)
+    step = BLOCK_SAMPLES // down * down
+    out = []
+    for first in range(0, len(pcm), step):
+        last = min(first + step, len(pcm))
+        around = pcm[max(0, first - half + 1) : last + half].astype(np.float32)
+        x = np.pad(around, (max(0, half - 1 - first), max(0, last + half - len(pcm))), mode="edge")
+        wide = np.empty((last - first, up), np.float32)
+        for p in range(up):
+            wide[:, p] = pcm[first:last] if p == 0 and up >= down else np.convolve(x, taps[p, ::-1], mode="valid")
+        out.append(np.clip(np.rint(wide.reshape(-1)[::down]), -32768, 32767).astype(np.int16))
+    return np.concatenate(out)
+
+
+def _kind(df: DataFrame, id_col: str) -> str:
+    return df.schema[id_col].simpleString().split(":", 1)[1]
 
 
 def store_media(payloads: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, payload, codec) to (id, media): a WAVE file for each row. A null payload or codec gives null media."""
-    kind = payloads.schema[id_col].simpleString().split(":", 1)[1]
+    """(id, payload, codec) to (id, media): a WAVE file for each row.
+
+    A null payload or codec gives null media. Repeated rows, null ids and ties stay, other columns are not read, and an empty
+    table gives an empty result; the same holds for the functions below.
+    """
 
     def stored(batches):
         for s in slices(batches, "payload"):
             media = [write_wav(p, c) if p is not None and c is not None else None for p, c in zip(s.column("payload").to_pylist(), s.column("codec").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([s.column(id_col), pa.array(media, pa.binary())], [id_col, "media"])
 
-    return payloads.select(id_col, "payload", "codec").mapInArrow(stored, f"{id_col} {kind}, media binary")
+    return payloads.select(id_col, "payload", "codec").mapInArrow(stored, f"{id_col} {_kind(payloads, id_col)}, media binary")
+
+
+def _decoded(batch: pa.RecordBatch):
+    """(row, media, codec, rate, codes, samples) of the rows of a batch that have media."""
+    rows = batch.column("media").to_pylist()
+    known = [i for i, m in enumerate(rows) if m is not None]
+    for i, told in zip(known, decode_many([rows[i] for i in known]), strict=True):
+        yield i, rows[i], *told
 
 
 def decode_media(media: DataFrame, rate: int = 16000, id_col: str = "doc_id") -> DataFrame:
-    """(id, media) to (id, media, codes, codec, rate, pcm): the codes read back, and 16-bit PCM at `rate`.
+    """(id, media) to (id, codec, codes, pcm): the codes read back, and 16-bit PCM at `rate` as a WAVE file of its own.
 
+    This is the stored form of resampled audio; where only its features are wanted, describe_media keeps it in the worker.
     Null media gives nulls. Equal media give equal values; rows are independent, so no shuffle and no skew.
     """
-    kind = media.schema[id_col].simpleString().split(":", 1)[1]
-    names = [id_col, "media", "codes", "codec", "rate", "pcm"]
 
     def decoded(batches):
-        for s in slices(batches, "media"):
-            rows = s.column("media").to_pylist()
-            known = [i for i, m in enumerate(rows) if m is not None]
-            codes, codec, out = [None] * len(rows), [None] * len(rows), [None] * len(rows)
-            for i, (hz, pcm) in zip(known, decode_many([rows[i] for i in known]), strict=True):
-                codes[i], codec[i], out[i] = codes_of(rows[i]), read_wav(rows[i])[0], resample(pcm, hz, rate).astype("<i2").tobytes()
-            yield pa.RecordBatch.from_arrays([s.column(id_col), s.column("media"), pa.array(codes, pa.binary()), pa.array(codec, pa.string()), pa.array([rate if x is not None else None for x in out], pa.int32()), pa.array(out, pa.binary())], names)
+        for s in slices(batches, "media", MEDIA_BYTES):
+            codec, codes, out = ([None] * s.num_rows for _ in range(3))
+            for i, _, name, hz, raw, pcm in _decoded(s):
+                codec[i], codes[i], out[i] = name, raw, write_wav(resample(pcm, hz, rate).astype("<i2").tobytes(), "pcm", rate)
+            yield pa.RecordBatch.from_arrays([s.column(id_col), pa.array(codec, pa.string()), pa.array(codes, pa.binary()), pa.array(out, pa.binary())], [id_col, "codec", "codes", "pcm"])
 
-    return media.select(id_col, "media").mapInArrow(decoded, f"{id_col} {kind}, media binary, codes binary, codec string, rate int, pcm binary")
+    return media.select(id_col, "media").mapInArrow(decoded, f"{id_col} {_kind(media, id_col)}, codec string, codes binary, pcm binary")
 
 
-def pcm_features(pcm: bytes) -> str:
-    """Samples, peak, root mean square and zero crossings, from integers."""
-    x = np.frombuffer(pcm, "<i2").astype(np.int64)
-    if not len(x):
-        return "n=0;peak=0;rms=0;zc=0"
-    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"n={len(x)};peak={int(np.abs(x).max())};rms={math.isqrt(int((x * x).sum()) // len(x))};zc={crossings}"
+def pcm_features(x: np.ndarray) -> str:
+    """Samples, peak, root mean square and zero crossings, from integers, and the checksum of the bytes."""
+    peak = power = crossings = 0
+    for first in range(0, len(x), BLOCK_SAMPLES):
+        part = x[max(0, first - 1) : first + BLOCK_SAMPLES].astype(np.int64)
+        crossings += int(np.count_nonzero((part[1:] < 0) != (part[:-1] < 0)))
+        own = part[1:] if first else part
+        peak, power = max(peak, int(np.abs(own).max())), power + int((own * own).sum())
+    return f"n={len(x)};peak={peak};rms={math.isqrt(power // len(x)) if len(x) else 0};zc={crossings};pcm_crc32={zlib.crc32(x.astype('<i2').tobytes())}"
 
 
-def digest(read: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Sizes and checksums of the codes and media of a decoded table, and the features of its PCM as text.
+def describe_media(media: DataFrame, rate: int = 16000, id_col: str = "doc_id") -> DataFrame:
+    """Sizes and checksums of the codes and of the media, and the features of the PCM at `rate`, as read back from the bytes.
 
-    The PCM is twice as many samples of twice the bytes; only its features and checksum leave the function.
+    Media is decoded, resampled and described in one function, slice by slice, so PCM, which is 4 to 8 times the size of its
+    codes, never leaves the worker. Null media gives nulls.
     """
-    import hashlib
-    import zlib
-
-    kind = read.schema[id_col].simpleString().split(":", 1)[1]
     names = [id_col, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def told(batches):
-        for s in slices(batches, "media"):
-            codes, media = s.column("codes").to_pylist(), s.column("media").to_pylist()
-            feature = [f"{c};rate={r};{pcm_features(p)};pcm_crc32={zlib.crc32(p)}" for c, r, p in zip(s.column("codec").to_pylist(), s.column("rate").to_pylist(), s.column("pcm").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([s.column(id_col), pa.array(map(len, codes), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in codes]), pa.array([zlib.crc32(x[-16:]) for x in codes], pa.int64()), pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in media]), pa.array(feature)], names)
-
-    return read.mapInArrow(told, f"{id_col} {kind}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        for s in slices(batches, "media", MEDIA_BYTES):
+            out = [[None] * s.num_rows for _ in names[1:]]
+            for i, raw, codec, hz, codes, pcm in _decoded(s):
+                feature = f"{codec};rate={rate};{pcm_features(resample(pcm, hz, rate))}"
+                for column, x in zip(out, (len(codes), sha256(codes).hexdigest(), zlib.crc32(codes[-16:]), len(raw), sha256(raw).hexdigest(), feature), strict=True):
+                    column[i] = x
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([s.column(id_col), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names)
+
+    return media.select(id_col, "media").mapInArrow(told, f"{id_col} {_kind(media, id_col)}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -132,7 +133,7 @@ def test_codecs():
     assert (mu[0], mu[0x80], mu[0xFF], mu[0x7F]) == (-32124, 32124, 0, 0)
     assert (a[0x55], a[0xD5], a[0x2A], a[0xAA]) == (-8, 8, -32256, 32256)
     data = bytes(range(192)) * 2
-    for codec in telephony.TAGS:
+    for codec in ("mulaw", "alaw", "adpcm"):
         media = telephony.write_wav(data, codec)
         assert telephony.codes_of(media) == data and telephony.read_wav(media)[0] == codec
     tone = (8000 * np.sin(np.arange(800) / 9)).astype(np.int16)
@@ -140,10 +141,59 @@ def test_codecs():
     assert len(up) == 1600 and np.abs(up[::2][20:-20].astype(int) - tone[20:-20]).max() <= 1
 
 
+def adpcm_by_hand(block):
+    """One sample at a time, as the format's text says."""
+    value, index = int.from_bytes(block[:2], "little", signed=True), min(max(block[2], 0), 88)
+    out = [value]
+    for byte in block[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = int(telephony.STEPS[index])
+            size = step >> 3
+            for bit, part in ((4, step), (2, step >> 1), (1, step >> 2)):
+                size += part if code & bit else 0
+            value = max(-32768, min(32767, value - size if code & 8 else value + size))
+            index = max(0, min(88, index + int(telephony.CHANGES[code & 7])))
+            out.append(value)
+    return out
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.binary(min_size=20, max_size=20), min_size=1, max_size=5))
+def test_adpcm_blocks_against_single_steps(blocks):
+    got = telephony.decode_adpcm(np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, 20))
+    assert got.tolist() == [adpcm_by_hand(b) for b in blocks]
+
+
+def test_resampling_in_blocks(monkeypatch):
+    x = np.random.default_rng(1).integers(-9000, 9000, 5000).astype(np.int16)
+    for to in (16000, 12000, 4000, 6000):
+        whole = telephony.resample(x, 8000, to)
+        monkeypatch.setattr(telephony, "BLOCK_SAMPLES", 640)
+        assert (telephony.resample(x, 8000, to) == whole).all() and len(whole) == len(x) * to // 8000
+        assert telephony.pcm_features(x) == features_by_hand(x)
+        monkeypatch.undo()
+
+
+def features_by_hand(x):
+    v = [int(k) for k in x]
+    zc = sum((a < 0) != (b < 0) for a, b in zip(v, v[1:], strict=False))
+    return f"n={len(v)};peak={max(map(abs, v))};rms={math.isqrt(sum(k * k for k in v) // len(v))};zc={zc};pcm_crc32={zlib.crc32(x.tobytes())}"
+
+
 def test_media_odd(spark):
-    rows = spark.createDataFrame([(1, bytearray(b"x" * 192), "adpcm"), (2, None, "mulaw"), (None, bytearray(b"y" * 192), None)], "doc_id long, payload binary, codec string")
-    got = {r.doc_id: r.codes for r in telephony.decode_media(telephony.store_media(rows)).collect()}
-    assert got == {1: b"x" * 192, 2: None, None: None}
+    data = bytes(range(256)) * 30_000
+    rows = [(1, bytearray(b"x" * 192), "adpcm", "p"), (2, None, "mulaw", "p"), (None, bytearray(b"y" * 192), None, "p"), (3, bytearray(data), "alaw", "p"), (3, bytearray(data), "adpcm", "p"), (4, bytearray(b""), "mulaw", "p")]
+    df = spark.createDataFrame(rows, "doc_id long, payload binary, codec string, media string")
+    stored = telephony.store_media(df).cache()
+    got = {(r.doc_id, r.codec): r for r in telephony.decode_media(stored).collect()}
+    assert got[1, "adpcm"].codes == b"x" * 192 and got[2, None].codes is None and got[None, None].pcm is None
+    assert got[3, "alaw"].codes == data and got[3, "adpcm"].codes == data and got[4, "mulaw"].codes == b""
+    codec, rate, _, pcm = telephony.read_wav(bytes(got[3, "alaw"].pcm))
+    assert (codec, rate, len(pcm)) == ("pcm", 16000, 4 * len(data))
+    told = {(r.doc_id, r.payload_bytes): r for r in telephony.describe_media(stored).collect()}
+    assert told[2, None].feature is None and told[4, 0].feature.startswith("mulaw;rate=16000;n=0")
+    assert {r.feature for r in telephony.describe_media(stored).filter("doc_id = 3").collect()} >= {f"alaw;rate=16000;{telephony.pcm_features(np.frombuffer(pcm, '<i2'))}"}
+    assert telephony.describe_media(stored.limit(0)).count() == 0 and telephony.decode_media(stored.limit(0)).count() == 0
 
 
 def test_pipeline(spark):
