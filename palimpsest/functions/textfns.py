@@ -22,6 +22,13 @@ PRIVACY_PATTERNS = [
 TRACKING_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid"]
 
 
+def _java(pattern: str) -> str:
+    """A pattern for Java with Unicode classes; blanks are those of the patterns' own engine, which has four separators more."""
+    blank = r"\s\x1c-\x1f"
+    text = pattern.replace(r"\s", f"[{blank}]").replace(r"\S", f"[^{blank}]")
+    return "(?U)" + text
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -42,41 +49,68 @@ def letters_only(c: Column) -> Column:
 
 def privacy_counts(c: Column) -> dict[str, Column]:
     """Hits of each kind of sensitive text, on the unmasked text."""
-    return {kind: F.regexp_count(c, F.lit(pattern)) for kind, _, pattern in PRIVACY_PATTERNS}
+    return {kind: F.regexp_count(c, F.lit(_java(pattern))) for kind, _, pattern in PRIVACY_PATTERNS}
+
+
+def privacy_hits(c: Column, severity: str | None = None) -> Column:
+    """Whether any pattern (of a severity) is found; each stops at its first hit."""
+    hit = F.lit(False)
+    for _, s, p in PRIVACY_PATTERNS:
+        hit = hit | c.rlike(_java(p)) if severity in (None, s) else hit
+    return F.coalesce(hit, F.lit(False))
 
 
 def privacy_class(c: Column) -> Column:
     """restricted if there is any hit of high severity, else private."""
-    high = [F.regexp_count(c, F.lit(p)) > 0 for _, severity, p in PRIVACY_PATTERNS if severity == "high"]
-    hit = high[0]
-    for x in high[1:]:
-        hit = hit | x
-    return F.when(hit, "restricted").otherwise("private")
+    return F.when(privacy_hits(c, "high"), "restricted").otherwise("private")
 
 
 def redact(c: Column) -> Column:
-    """Masks the patterns one after another: an earlier mask can hide a later hit."""
+    """Masks the patterns one after another: an earlier mask can hide a later hit. Null gives the empty text."""
     for kind, _, pattern in PRIVACY_PATTERNS:
-        c = F.regexp_replace(c, pattern, f"[REDACTED:{kind}]")
-    return c
+        c = F.regexp_replace(c, _java(pattern), f"[REDACTED:{kind}]")
+    return F.coalesce(c, F.lit(""))
+
+
+def _decoded(c: Column) -> Column:
+    """A form value: plus signs are blanks, percent signs with two hexadecimal digits are bytes of UTF-8, others stay."""
+    safe = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.try_url_decode(safe)
+
+
+def _encoded(c: Column) -> Column:
+    """A form value again; unlike the JVM's encoder, '~' stays and '*' does not."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
+def _netloc_parts(c: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """(scheme, host, port, path, query) of a URL by the generic grammar, which unlike java.net.URI admits any character."""
+    part = lambda n: F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?$", n)
+    host = F.regexp_replace(part(2), r"^[^@]*@", "")
+    bare = F.regexp_extract(host, r"^(\[[^\]]*\]|[^:]*)(?::(\d*))?$", 1)
+    return F.lower(part(1)), F.lower(F.translate(bare, "[]", "")), F.regexp_extract(host, r"^(?:\[[^\]]*\]|[^:]*)(?::(\d*))?$", 1), part(3), part(4)
 
 
 def normalise_url(c: Column) -> Column:
-    """Scheme and host in lower case, no fragment, default ports or tracking keys, sorted query, no last slash; '' if not http(s)."""
-    url = F.trim(c)
-    scheme, host = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), F.lower(F.try_parse_url(url, F.lit("HOST")))
-    port = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*?:(\d+)(?:[/?#]|$)", 1)
-    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"/+$", "")
-    pairs = F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&")
-    kept = F.array_sort(F.filter(pairs, lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING_KEYS)))
-    query = F.array_join(kept, "&")
-    out = F.concat(scheme, F.lit("://"), host, F.when((port != "") & ~port.isin("80", "443"), F.concat(F.lit(":"), port)).otherwise(""), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    """Scheme and host in lower case, no fragment, default ports or tracking keys, no last slash; '' if not http(s).
+
+    The query is decoded, sorted by key and value and encoded again; keys without a value keep an empty one.
+    """
+    scheme, host, port, path, query = _netloc_parts(F.trim(F.regexp_replace(c, r"[\t\r\n]", "")))
+    bare = F.regexp_replace(path, r"/+$", "")
+    cut = lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.when(F.contains(p, F.lit("=")), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")).alias("v"))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), cut)
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p.k).isin(TRACKING_KEYS)))
+    joined = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p.k), F.lit("="), _encoded(p.v))), "&")
+    number = F.when(port != "", port.cast("int"))
+    shown = F.when(number.isNotNull() & ~number.isin(0, 80, 443), F.concat(F.lit(":"), number.cast("string"))).otherwise("")
+    out = F.concat(scheme, F.lit("://"), host, shown, F.when(bare == "", "/").otherwise(bare), F.when(joined == "", "").otherwise(F.concat(F.lit("?"), joined)))
     return F.when(scheme.isin("http", "https") & (host != ""), out).otherwise("")
 
 
-def occurrences(c: Column, term: str) -> Column:
+def occurrences(c: Column, term: str, lowered: bool = False) -> Column:
     """Overlapping occurrences of a term, without regard to case. Only a term that can overlap itself needs a pattern."""
-    low, t = F.lower(c), term.lower()
+    low, t = c if lowered else F.lower(c), term.lower()
     if any(t[:n] == t[-n:] for n in range(1, len(t))):
         return F.regexp_count(low, F.lit(rf"(?=\Q{t}\E)"))
     return ((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("int")
@@ -110,3 +144,9 @@ def failure_reason(c: Column) -> Column:
 def failure_key(source: Column, stage: Column, reason: Column) -> Column:
     parts = [F.coalesce(x, F.lit("")) for x in (source, stage, reason)]
     return F.substring(F.sha2(F.concat_ws("\x00", *parts).cast("binary"), 256), 1, 16)
+
+
+def completeness(text: Column, transcript: Column, html: Column) -> Column:
+    """How much of a page was captured: both texts, one of a readable length, something, or nothing but its address."""
+    full = lambda c: F.coalesce(c, F.lit("")) != ""
+    return F.when(full(transcript) & full(text), "full").when(full(transcript) | (F.length(F.coalesce(text, F.lit(""))) >= 500), "content").when(full(html) | full(text), "partial").otherwise("metadata_only")

@@ -57,6 +57,23 @@ def classify_sync(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.select("identity", action.alias("action"))
 
 
+def apply_sync(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """The stored versions after a sync, with state and reason: new ones added, superseded ones closed, the rest repaired,
+    archived or kept. One full outer join; what becomes of an identity is one array of versions, exploded."""
+    kinds = classify_sync(expected, actual)
+    new = expected.select("identity", F.col("version").alias("_nv"), F.col("title").alias("_nt"))
+    old = actual.select("identity", F.col("version").alias("_ov"), F.col("title").alias("_ot"))
+    both = kinds.join(new, "identity", "left").join(old, "identity", "left")
+    row = lambda v, t, state, reason: F.struct(F.col(v).alias("version"), F.col(t).alias("title"), F.lit(state).alias("state"), reason.cast("string").alias("reason"))
+    none = F.lit(None)
+    active, kept = row("_nv", "_nt", "active", none), row("_ov", "_ot", "active", none)
+    versions = (
+        F.when(F.col("action").isin("add", "repair"), F.array(active)).when(F.col("action") == "supersede", F.array(active, row("_ov", "_ot", "superseded", F.lit("new_version"))))
+        .when(F.col("action") == "unchanged", F.array(kept)).when(F.startswith("action", F.lit("archive:")), F.array(row("_ov", "_ot", "archived", F.substring("action", 9, 64))))
+    )
+    return both.select("identity", F.explode(versions).alias("v")).select("identity", "v.*")
+
+
 def close_versions(history: DataFrame, key: str, order: list[str], start: str) -> DataFrame:
     """Every version but the last of a key ends where the next one starts, and is superseded."""
     nxt = F.lead(start).over(Window.partitionBy(key).orderBy(*order))
@@ -77,22 +94,39 @@ def newest(rows: DataFrame, per: list[str] | None, order: list[Column], k: int)
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).filter(F.col("_place") <= k).drop("_place")
 
 
-def running_total(rows: DataFrame, bucket: Column, order: list[str], size: str, name: str = "before") -> DataFrame:
-    """Adds the total of size of all rows that come before, in two levels: buckets first, then within a bucket.
+def ranged(rows: DataFrame, by: Column, n: int = 256, name: str = "_range") -> DataFrame:
+    """Adds the number of one of n ranges of `by`, which must be a number; ranges ascend and hold about equally many rows.
+
+    The edges are approximate percentiles: one row of n - 1 numbers, whatever the number of rows. A row finds its range by
+    two steps of about sqrt(n) comparisons.
+    """
+    step = max(1, int(n**0.5))
+    edges = rows.agg(F.percentile_approx(by, [k / n for k in range(1, n)], 100 * n).alias("_edges"))
+    below = lambda array: F.size(F.filter(array, lambda e: e < by))
+    coarse = below(F.transform(F.sequence(F.lit(step), F.lit(n - 1), F.lit(step)), lambda i: F.get("_edges", i - 1)))
+    found = rows.crossJoin(F.broadcast(edges)).withColumn("_coarse", F.coalesce(coarse, F.lit(0)))
+    fine = below(F.slice("_edges", F.col("_coarse") * step + 1, F.lit(step)))
+    return found.withColumn(name, F.col("_coarse") * step + F.coalesce(fine, F.lit(0))).drop("_edges", "_coarse")
+
+
+def running_total(rows: DataFrame, by: Column, order: list[str], size: str, name: str = "before") -> DataFrame:
+    """Adds the total of size of all rows that come before, in two levels: ranges of `by` first, then within a range.
 
-    bucket must ascend with order. So the ordered sum over all rows never meets in one task; only one row a bucket does.
+    `by` is a number that ascends with order and has no value that a large share of the rows hold. So the ordered sum over
+    all rows never meets in one task; only one row for each of the 256 ranges does.
     """
-    dealt = rows.withColumn("_bucket", bucket)
-    sums = dealt.groupBy("_bucket").agg(F.sum(size).alias("_sum"))
-    shift = sums.select("_bucket", (F.sum("_sum").over(Window.orderBy("_bucket")) - F.col("_sum")).alias("_shift"))
-    within = F.sum(size).over(Window.partitionBy("_bucket").orderBy(*order)) - F.col(size)
-    return dealt.withColumn("_within", within).join(shift, "_bucket").withColumn(name, F.col("_within") + F.col("_shift")).drop("_bucket", "_within", "_shift")
+    dealt = ranged(rows, by)
+    sums = dealt.groupBy("_range").agg(F.sum(size).alias("_sum"))
+    shift = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_shift"))
+    within = F.sum(size).over(Window.partitionBy("_range").orderBy(*order)) - F.col(size)
+    total = dealt.withColumn("_within", within).join(F.broadcast(shift), "_range")
+    return total.withColumn(name, F.col("_within") + F.col("_shift")).drop("_range", "_within", "_shift")
 
 
-def evict(rows: DataFrame, bucket: Column, order: list[str], size: str, cap: int) -> DataFrame:
+def evict(rows: DataFrame, by: Column, order: list[str], size: str, cap: int) -> DataFrame:
     """The oldest rows that must go until the rest is within the cap."""
     total = rows.agg(F.sum(size).alias("_total"))
-    return running_total(rows, bucket, order, size).crossJoin(F.broadcast(total)).filter(F.col("_total") - F.col("before") > cap).drop("_total")
+    return running_total(rows, by, order, size).crossJoin(F.broadcast(total)).filter(F.col("_total") - F.col("before") > cap).drop("_total")
 
 
 def missing(expected: DataFrame, stored: DataFrame, key: str) -> DataFrame:
@@ -102,3 +136,8 @@ def missing(expected: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 def record_once(log: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New events whose id the log does not hold yet, one of each."""
     return new.dropDuplicates([key]).join(log.select(key), key, "left_anti")
+
+
+def increment(rows: DataFrame, new: DataFrame, session: str) -> DataFrame:
+    """All rows of the sessions that have new rows: sessions are exported as a whole, so an increment stands for itself."""
+    return rows.join(new.select(session).distinct(), session, "left_semi")

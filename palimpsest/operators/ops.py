@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import merge
+
 JOB_STATUSES = ["queued", "running", "retrying", "completed", "failed"]
 #: Points of review findings and the levels of their capped sum (fixed values).
 LEVELS = [(90, "critical"), (60, "high"), (25, "medium")]
@@ -23,12 +25,19 @@ def pivot_counts(rows: DataFrame, by: str, column: str, values: list[str]) -> Da
     return rows.groupBy(by).agg(*(F.count_if(F.col(column) == v).alias(v) for v in values))
 
 
-def failures(rows: DataFrame, key: list[str], keep: int = 5) -> DataFrame:
-    """Count, first and last time, most attempts and the first few distinct ids of each group of failures."""
-    return rows.groupBy(*key).agg(
-        F.count("*").alias("n"), F.min("made_at").alias("first_at"), F.max("made_at").alias("last_at"), F.max("attempts").alias("max_attempts"),
-        F.array_join(F.slice(F.array_sort(F.collect_set("id")), 1, keep), ",").alias("ids"),
-    )
+def failures(rows: DataFrame, key: list[str], keep: int = 5, id_col: str = "id") -> DataFrame:
+    """Count, first and last time, most attempts and the `keep` least distinct ids of each group of failures.
+
+    Ids are limited by their rank, which Spark cuts within each task before the shuffle, so a group however large sends at most
+    `keep` of them from a task and no array grows with it.
+    """
+    figures = rows.groupBy(*key).agg(
+        F.count("*").alias("n"), F.min("made_at").alias("first_at"), F.max("made_at").alias("last_at"), F.max("attempts").alias("max_attempts")
+    )
+    place = F.dense_rank().over(Window.partitionBy(*key).orderBy(id_col))
+    least = rows.select(*key, id_col).withColumn("_place", place).filter(F.col("_place") <= keep).select(*key, id_col).distinct()
+    listed = least.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(F.col(id_col))).cast("array<string>"), ",").alias("ids"))
+    return figures.join(listed, key)
 
 
 def collapse(rows: DataFrame, per: str, order: list[str]) -> DataFrame:
@@ -56,12 +65,12 @@ def contiguity(rows: DataFrame, group: str, ordinal: str, first: int = 0) -> Dat
 def indexed_percentile(rows: DataFrame, value: str, q: float) -> DataFrame:
     """The element at int(n * q) of all values in order, not an interpolated one.
 
-    Values are counted first, so only distinct ones are ordered, and the running count is made over at most one row a value.
+    Values are counted first, and the running count over distinct ones is made in two levels, so no task orders them all.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
     total = counts.agg(F.sum("_c").alias("_n"))
-    upto = counts.withColumn("_upto", F.sum("_c").over(Window.orderBy(value)))
-    return upto.crossJoin(F.broadcast(total)).filter(F.col("_upto") > F.floor(F.col("_n") * q)).agg(F.min(value).alias("value"))
+    upto = merge.running_total(counts, F.col(value), [value], "_c", "_before").crossJoin(F.broadcast(total))
+    return upto.filter(F.col("_before") + F.col("_c") > F.floor(F.col("_n") * q)).agg(F.min(value).alias("value"))
 
 
 def capped_risk(points: Column) -> tuple[Column, Column]:
@@ -112,3 +121,60 @@ def unique_resolution(alternatives: list[DataFrame], ref: str, target: str) -> D
     for a in alternatives[1:]:
         both = both.unionByName(a)
     return both.distinct().groupBy(ref).agg(F.count("*").alias("n"), F.min(target).alias(target)).select(ref, F.when(F.col("n") == 1, F.col(target)).alias(target), F.when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("outcome"))
+
+
+def contained_passages(docs: DataFrame, items: DataFrame, item: str, passage: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8 << 20) -> DataFrame:
+    """(item, id) of every passage that a text contains, as it is written, word bounds or not. Empty passages are in every text.
+
+    Passages of seven words and more meet texts through their second to sixth word, which stand between blanks in the text too,
+    wherever the passage begins: a hash join on those five words, broadcast while the passages are few. Only ids and hashes are
+    exploded; texts come back for the pairs found. Shorter passages are a query set of their own, compared directly, in
+    blocks of a bounded size.
+    """
+    words = lambda c: F.split(F.translate(c, "\n", " "), " ")
+    cut = items.select(item, passage, words(passage).alias("_w"))
+    long = cut.filter(F.size("_w") >= 7).select(item, passage, F.xxhash64(*[F.get("_w", F.lit(k)) for k in range(1, 6)]).alias("_key"))
+    short = cut.filter(F.size("_w") < 7).select(item, passage)
+    sizes = items.agg(F.sum(F.length(passage)).alias("n"), F.count("*").alias("m")).first()
+    small = (sizes.n or 0) + 64 * sizes.m <= block_chars
+    read = docs.select(id_col, text_col)
+    split = read.withColumn("_w", words(text_col))
+    near = F.arrays_zip(*[F.slice("_w", k, F.greatest(F.size("_w") - 4, F.lit(0))).alias(f"w{k}") for k in range(1, 6)])
+    runs = split.select(id_col, F.explode(F.array_distinct(F.transform(near, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(1, 6)])))).alias("_key"))
+    side = F.broadcast(long) if small else long
+    pairs = runs.join(side, "_key").select(id_col, item, passage).distinct()
+    exact = pairs.join(read, id_col).filter(F.contains(F.col(text_col), F.col(passage))).select(item, id_col)
+    blocks = 1 if small else -(-((sizes.n or 0) + 64 * sizes.m) // block_chars)
+    for k in range(blocks):
+        block = short if blocks == 1 else short.filter(F.pmod(F.xxhash64(item), F.lit(blocks)) == k)
+        exact = exact.unionByName(read.join(F.broadcast(block), F.contains(F.col(text_col), F.col(passage))).select(item, id_col))
+    return exact.distinct()
+
+
+def pack_parity(rows: DataFrame, per: str, key: str, order: str, also: str) -> DataFrame:
+    """Two parities of a pack with rows (per, key): whether ordering by (order, key) gives the order by key, and whether the rows
+    marked `also` are all. Orders agree exactly where `order` never falls along the key; no list of a group is made.
+
+    The greatest `order` before a row is taken in ranges of the key first, so that no group is one task's.
+    """
+    ranges = merge.ranged(rows, F.col(key))
+    tops = ranges.groupBy(per, "_range").agg(F.min(order).alias("least"), F.max(order).alias("top"))
+    before = F.max("top").over(Window.partitionBy(per).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    crossed = tops.withColumn("_b", before).groupBy(per).agg(F.bool_or(F.coalesce(F.col("_b") > F.col("least"), F.lit(False))).alias("crossed"))
+    last = F.lag(order).over(Window.partitionBy(per, "_range").orderBy(key))
+    inside = ranges.withColumn("_l", last).groupBy(per).agg(F.bool_or(F.coalesce(F.col("_l") > F.col(order), F.lit(False))).alias("inside"), F.bool_and(also).alias("all_also"))
+    both = crossed.join(inside, per)
+    return both.select(per, F.when(F.col("crossed") | F.col("inside"), "order").otherwise("equal").alias("by_order"), F.when(F.col("all_also"), "equal").otherwise("length").alias("by_rule"))
+
+
+def vector_state(rebuild: Column, ready: Column, coverage: Column) -> Column:
+    """State of a vector index: a due rebuild comes before a missing one, then its coverage decides."""
+    return F.when(rebuild, "degraded").when(~ready, "unavailable").when(coverage.isin("degraded", "unavailable"), coverage).otherwise("healthy")
+
+
+def overall_state(*parts: str) -> Column:
+    """healthy only if every part is; one that is degraded or unavailable degrades the whole."""
+    bad = F.lit(False)
+    for p in parts:
+        bad = bad | F.col(p).isin("degraded", "unavailable")
+    return F.when(bad, "degraded").otherwise("healthy")

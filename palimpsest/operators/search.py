@@ -13,31 +13,64 @@ K1, B = 1.2, 0.75
 RRF = 60
 
 
-def lexical(chunks: DataFrame, terms: list[str], allowed: Column | None = None, key: str = "chunk_id", limit: int | None = None) -> DataFrame:
+def _lowered(chunks: DataFrame) -> DataFrame:
+    """The searched columns in lower case, made once; nulls are empty."""
+    return chunks.withColumns({f"_{c}": F.lower(F.coalesce(c, F.lit(""))) for c in WEIGHTS})
+
+
+def lexical(chunks: DataFrame, terms: list[str], allowed: Column | None = None, key: str = "chunk_id", limit: int | None = None, postings: DataFrame | None = None) -> DataFrame:
     """Chunks that hold every term (in whichever columns), with bm25 and lexical_score, best first.
 
     Corpus statistics are of all chunks, filtered ones too; they are one aggregate over one scan. Terms under three
-    characters match nothing, as with trigrams.
+    characters match nothing, as with trigrams. With postings (trigram_postings of the same chunks) only chunks that hold all
+    trigrams of the terms are read for scoring.
     """
     low = [t.lower() for t in terms]
     if not low or min(map(len, low)) < 3:
         return chunks.filter(F.lit(False)).withColumns({"bm25": F.lit(0.0), "lexical_score": F.lit(0.0)})
-    size = sum((F.greatest(F.length(F.coalesce(c, F.lit(""))) - 2, F.lit(0)) for c in WEIGHTS), F.lit(0))
-    holds = [sum((F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(t)).cast("int") for c in WEIGHTS), F.lit(0)) > 0 for t in low]
-    stats = chunks.agg(F.count("*").alias("_n"), F.avg(size).alias("_avg"), *(F.count_if(h).alias(f"_n{i}") for i, h in enumerate(holds)))
+    length = sum((F.greatest(F.length(F.coalesce(c, F.lit(""))) - 2, F.lit(0)) for c in WEIGHTS), F.lit(0))
+
+    def holds(t: str) -> Column:
+        hit = F.lit(False)
+        for c in WEIGHTS:
+            hit = hit | F.contains(F.col(f"_{c}"), F.lit(t))
+        return hit
+
+    stats = _lowered(chunks).agg(F.count("*").alias("_n"), F.avg(length).alias("_avg"), *(F.count_if(holds(t)).alias(f"_n{i}") for i, t in enumerate(low)))
     hits = chunks.filter(allowed) if allowed is not None else chunks
-    for h in holds:
-        hits = hits.filter(h)
+    if postings is not None:
+        hits = hits.join(posted(postings, low, key), key, "left_semi")
+    hits = _lowered(hits)
+    for t in low:
+        hits = hits.filter(holds(t))
     hits = hits.crossJoin(F.broadcast(stats))  # one row of statistics
     total = F.lit(0.0)
     for i, t in enumerate(low):
-        tf = sum((w * occurrences(F.coalesce(c, F.lit("")), t) for c, w in WEIGHTS.items()), F.lit(0.0))
+        tf = sum((w * occurrences(F.col(f"_{c}"), t, lowered=True) for c, w in WEIGHTS.items()), F.lit(0.0))
         raw = F.log((F.col("_n") - F.col(f"_n{i}") + 0.5) / (F.col(f"_n{i}") + 0.5))
-        total = total + F.when(raw <= 0, 1e-6).otherwise(raw) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.col("_avg")))
-    out = hits.withColumn("bm25", -total).withColumn("lexical_score", 1 / (1 + F.abs("bm25"))).drop("_n", "_avg", *(f"_n{i}" for i in range(len(low))))
+        total = total + F.when(raw <= 0, 1e-6).otherwise(raw) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("_avg")))
+    out = hits.withColumn("bm25", -total).withColumn("lexical_score", 1 / (1 + F.abs("bm25")))
+    out = out.drop("_n", "_avg", *(f"_n{i}" for i in range(len(low))), *(f"_{c}" for c in WEIGHTS))
     return out.orderBy("bm25", key).limit(limit) if limit else out
 
 
+def _grams(c: Column) -> Column:
+    return F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+
+
+def trigram_postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(gram, key) of every distinct trigram of every chunk, over its searched columns in lower case: an index to be written
+    partitioned or clustered by gram, so that a search reads the grams of its terms only."""
+    low = _lowered(chunks).select(key, *(F.col(f"_{c}") for c in WEIGHTS))
+    return low.select(F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col(f"_{c}")) for c in WEIGHTS])))).alias("gram"), key)
+
+
+def posted(postings: DataFrame, terms: list[str], key: str = "chunk_id") -> DataFrame:
+    """Keys of chunks that hold all trigrams of all terms; only postings of those grams are read."""
+    grams = sorted({t[i : i + 3] for t in terms for i in range(len(t) - 2)})
+    return postings.filter(F.col("gram").isin(grams)).groupBy(key).agg(F.count("*").alias("_g")).filter(F.col("_g") == len(grams)).select(key)
+
+
 def substring(chunks: DataFrame, pieces: list[str], key: str = "chunk_id", limit: int | None = None) -> DataFrame:
     """Chunks that hold all pieces in their columns together; title hits first."""
     joined = F.lower(F.concat_ws(" ", *WEIGHTS))
@@ -101,10 +134,15 @@ def cap_per_memory(ranked: DataFrame, most: int = 3, memory: str = "memory_id",
 
 
 def resolve_authority(rows: DataFrame, group: list[str], key: str = "conflict_key", rank: str = "authority") -> DataFrame:
-    """Hides rows of lower authority within a conflict group; ties at the top stay. Rows without a key are never in conflict."""
+    """Hides rows of lower authority within a conflict group; ties at the top stay. Rows without a key are never in conflict.
+
+    The greatest rank of each group is aggregated with map-side combine and joined; rows without a key, however many, take no
+    part in that and are not shuffled.
+    """
     named = F.trim(F.coalesce(key, F.lit(""))) != ""
-    top = F.max(rank).over(Window.partitionBy(*group, key))
-    return rows.withColumn("_top", F.when(named, top)).filter(F.col("_top").isNull() | (F.col(rank) >= F.col("_top"))).drop("_top")
+    top = rows.filter(named).groupBy(*group, key).agg(F.max(rank).alias("_top"))
+    kept = rows.filter(named).join(top, [*group, key]).filter(F.col(rank) >= F.col("_top"))
+    return kept.select(*rows.columns).unionByName(rows.filter(~named))
 
 
 def channel_split(rows: DataFrame, evidence: Column, n: int, order: list) -> DataFrame:
@@ -122,5 +160,52 @@ def scope_visible(scopes: Column, agent: str | None, listing: bool = False) -> C
 
 
 def plausible_recall(score: Column, query: Column, content: Column) -> Column:
-    """Scores under 0.55 go; a near-perfect one stays only if one text holds the other."""
-    return (score >= 0.55) & ((score < 0.999) | F.contains(F.lower(query), F.lower(content)) | F.contains(F.lower(content), F.lower(query)))
+    """Scores under 0.55 go; a near-perfect one stays only if one text, without outer blanks, holds the other and none is empty."""
+    q, c = F.trim(F.coalesce(query, F.lit(""))), F.trim(F.coalesce(content, F.lit("")))
+    return (score >= 0.55) & ((score < 0.999) | ((q != "") & (c != "") & (F.contains(q, c) | F.contains(c, q))))
+
+
+# conditions that callers put together
+
+
+def equal_or_any(column: str, wanted: str | None) -> Column:
+    """Equality that is no condition when nothing is wanted."""
+    return F.lit(True) if wanted in (None, "") else F.col(column) == wanted
+
+
+def in_or_any(column: str, wanted: list[str]) -> Column:
+    """Membership; an empty list is no condition."""
+    return F.col(column).isin(wanted) if wanted else F.lit(True)
+
+
+def in_or_none(column: str, wanted: list[str]) -> Column:
+    """Membership; an empty list denies all."""
+    return F.col(column).isin(wanted) if wanted else F.lit(False)
+
+
+def json_member(column: str, wanted: str) -> Column:
+    """Whether a JSON list of texts holds one; null and malformed lists hold none."""
+    return F.coalesce(F.array_contains(F.from_json(column, "array<string>"), wanted), F.lit(False))
+
+
+def like_any(columns: list[str], text: str) -> Column:
+    """Whether any column holds the text as it is written, without regard to case; '%' and '_' are no wildcards."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(text.lower()))
+    return hit
+
+
+def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0, most: int = 200) -> DataFrame:
+    """A page of rows in order, each with the total and whether more follow; a limit outside 1..most is an error."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be between 1 and {most}")
+    if offset < 0:
+        raise ValueError("offset must be greater than or equal to zero")
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
+
+
+def clamped(limit: int, most: int = 50) -> int:
+    """A limit of a caller that is bounded instead of refused."""
+    return min(max(limit, 1), most)

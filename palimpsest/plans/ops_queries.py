@@ -9,7 +9,7 @@ from palimpsest.functions import textfns
 from palimpsest.functions.timefns import backoff_seconds, micros, percent
 from palimpsest.operators import merge, ops
 from palimpsest.plans.registry import query
-from palimpsest.plans.tables import jobs, memories, messages, table
+from palimpsest.plans.tables import jobs, memories, messages, spread, table
 from palimpsest.sources import chunking, history
 
 
@@ -54,9 +54,7 @@ def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with f as (select *, {_KEY} as failure from jobs where status in ('failed', 'retrying')), d as (select *, row_number() over (partition by failure order by job_id) as place from f) :: select failure, count(*) as n, min(made_at) as first_at, max(made_at) as last_at, max(attempts) as max_attempts, string_agg(cast(job_id as varchar), ',' order by job_id) filter (where place <= 5) as ids from d group by failure")
 def failure_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _failed(spark, sf_dir).withColumn("id", F.lpad(F.col("job_id").cast("string"), 20, "0"))
-    out = ops.failures(rows, ["failure"])
-    return out.withColumn("ids", F.array_join(F.transform(F.split("ids", ","), lambda x: F.regexp_replace(x, "^0+(?=.)", "")), ","))
+    return ops.failures(_failed(spark, sf_dir), ["failure"], id_col="job_id")
 
 
 @query(f"with f as (select *, {_KEY} as failure from jobs where status in ('failed', 'retrying')) :: select failure, count(*) as n from f group by failure having count(*) > 2")
@@ -117,7 +115,7 @@ def event_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with w as (select doc_id, sum(n_chars) over (order by doc_id rows unbounded preceding) - n_chars as before, sum(n_chars) over () as total from documents) :: select doc_id from w where total - before > 1000000")
 def storage_cap_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return merge.evict(docs, F.floor(F.col("doc_id") / 500), ["doc_id"], "n_chars", 1_000_000).select("doc_id")
+    return merge.evict(docs, F.col("doc_id"), ["doc_id"], "n_chars", 1_000_000).select("doc_id")
 
 
 @query("with r as (select doc_id, n_chars, row_number() over (partition by n_chars >= 1000 order by doc_id desc) as p from documents where doc_id % 7 <> 0), e as (select doc_id, n_chars from r where p > 100), w as (select doc_id, sum(n_chars) over (order by doc_id rows unbounded preceding) - n_chars as before from e) :: select doc_id from w where before < 200000")
@@ -126,9 +124,10 @@ def raw_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     protected = docs.filter("doc_id % 7 = 0").select("doc_id")
     free = docs.join(protected, "doc_id", "left_anti")
-    place = F.row_number().over(Window.partitionBy(F.col("n_chars") >= 1000).orderBy(F.desc("doc_id")))
-    eligible = free.withColumn("_p", place).filter("_p > 100").drop("_p")
-    return merge.running_total(eligible, F.floor(F.col("doc_id") / 500), ["doc_id"], "n_chars").filter("before < 200000").select("doc_id")
+    newest = [free.filter(c).orderBy(F.desc("doc_id")).limit(100) for c in ("n_chars >= 1000", "n_chars < 1000")]
+    kept = F.broadcast(newest[0].union(newest[1]).select("doc_id"))  # 200 rows
+    eligible = free.join(kept, "doc_id", "left_anti")
+    return merge.running_total(eligible, F.col("doc_id"), ["doc_id"], "n_chars").filter("before < 200000").select("doc_id")
 
 
 @query("select user_id, min(epoch_us(ts)) as started, max(epoch_us(ts)) as last_at, count(*) as n, arg_min(event_type, struct_pack(a := ts, b := event_id)) as first_type, arg_max(event_type, struct_pack(a := ts, b := event_id)) as last_type from events group by user_id")
@@ -177,16 +176,38 @@ def value_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.value_gate(messages(spark, sf_dir), "conversation_id", "content", 4, 900, "heed|[0-9]{4}")
 
 
-@query("select conversation_id, sha256(string_agg(role || ':' || content, chr(10) order by sequence)) as digest from messages group by conversation_id")
+@query("""
+with p as (
+  select conversation_id, sequence // 1000 as part,
+    sha256(string_agg(sha256(role || ':' || content), '' order by sequence)) as h
+  from messages group by 1, 2
+) :: select conversation_id, sha256(string_agg(h, '' order by part)) as digest from p group by conversation_id
+""")
 def conversation_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = F.array_sort(F.collect_list(F.struct("sequence", F.concat_ws(":", "role", "content").alias("line"))))
-    return messages(spark, sf_dir).groupBy("conversation_id").agg(F.sha2(F.array_join(F.transform(listed, lambda x: x.line), "\n").cast("binary"), 256).alias("digest"))
+    """A digest of digests: of each message, then of each thousand of them in order, then of the conversation.
 
+    So what meets in one row is a bounded number of digests and never the texts of a conversation.
+    """
+    line = F.sha2(F.concat_ws(":", "role", "content").cast("binary"), 256)
+
+    def joined(order: str, value):
+        listed = F.array_sort(F.collect_list(F.struct(order, value.alias("_h"))))
+        return F.sha2(F.array_join(F.transform(listed, lambda x: x["_h"]), "").cast("binary"), 256)
+
+    parts = messages(spark, sf_dir).groupBy("conversation_id", F.floor(F.col("sequence") / 1000).alias("part")).agg(joined("sequence", line).alias("h"))
+    return parts.groupBy("conversation_id").agg(joined("part", F.col("h")).alias("digest"))
 
-@query("with c as (select conversation_id, count(*) as n from messages group by conversation_id), d as (select memory_id as conversation_id, n_at from (select memory_id, importance + 3 as n_at from memories where memory_id < 60)) :: select c.conversation_id, c.n from c left join d using (conversation_id) where d.conversation_id is null or d.n_at <> c.n")
+
+@query("""
+with c as (select conversation_id, count(*) as n from messages group by conversation_id),
+d as (select conversation_id, count(*) as n_at from messages where role <> 'system' group by conversation_id) ::
+select c.conversation_id, c.n from c left join d using (conversation_id) where d.conversation_id is null or d.n_at <> c.n
+""")
 def pending_distillation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = messages(spark, sf_dir).groupBy("conversation_id").agg(F.count("*").alias("n"))
-    d = memories(spark, sf_dir).filter("memory_id < 60").select(F.col("memory_id").alias("conversation_id"), (F.col("importance") + 3).alias("n_at"))
+    """Conversations that were never distilled, or have other messages now than then (here: all but those of the system)."""
+    m = messages(spark, sf_dir)
+    c = m.groupBy("conversation_id").agg(F.count("*").alias("n"))
+    d = m.filter("role <> 'system'").groupBy("conversation_id").agg(F.count("*").alias("n_at"))
     return c.join(d, "conversation_id", "left").filter("n_at is null or n_at <> n").select("conversation_id", "n")
 
 
@@ -200,11 +221,17 @@ def identity_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.count_distinct("message_id").alias("ids"), F.count_distinct(F.sha2(F.col("content").cast("binary"), 256)).alias("hashes"))
 
 
-@query("with a as (select conversation_id, max(sequence) as top from messages group by conversation_id), r as (select message_id, cast(conversation_id as varchar) as ref from messages union select message_id, role || cast(sequence as varchar) from messages where conversation_id < 3) :: select ref, case when count(*) = 1 then min(message_id) end as message_id, case when count(*) = 1 then 'resolved' else 'ambiguous' end as outcome from r group by ref")
+@query("""
+with r as (
+  select message_id, message_id as ref from messages union select message_id, cast(conversation_id as varchar) from messages
+  union select message_id, conversation_id || '/' || sequence from messages union select message_id, source_id || ':' || role || sequence from messages
+) :: select ref, case when count(*) = 1 then min(message_id) end as message_id, case when count(*) = 1 then 'resolved' else 'ambiguous' end as outcome from r group by ref
+""")
 def ref_resolution_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = messages(spark, sf_dir)
-    ways = [m.select(F.col("conversation_id").cast("string").alias("ref"), "message_id"), m.filter("conversation_id < 3").select(F.concat("role", F.col("sequence").cast("string")).alias("ref"), "message_id")]
-    return ops.unique_resolution(ways, "ref", "message_id")
+    """References by id, by conversation, by path and by source and turn: each way is an equi-join key of its own, of all messages."""
+    m = messages(spark, sf_dir).withColumn("c", F.col("conversation_id").cast("string")).withColumn("s", F.col("sequence").cast("string"))
+    keys = [F.col("message_id"), F.col("c"), F.concat("c", F.lit("/"), "s"), F.concat("source_id", F.lit(":"), "role", "s")]
+    return ops.unique_resolution([m.select(k.alias("ref"), "message_id") for k in keys], "ref", "message_id")
 
 
 @query("select j.job_id from jobs j where not exists (select 1 from messages m where m.conversation_id = j.job_id) and not exists (select 1 from memories d where d.title = 'src' || cast(j.job_id % 40 as varchar))")
@@ -224,11 +251,21 @@ def vector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.coverage(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
-@query("select round(embedding[1]::double, 1) + 0.0 as a, round(embedding[2]::double, 1) + 0.0 as b, count(*) as n, count(distinct label) as labels from embeddings group by 1, 2 having count(distinct label) > 1")
+@query("""
+with v as (select vec_id, embedding, label from embeddings union all select vec_id + 1000000, embedding, label + vec_id % 2 from embeddings where vec_id % 5 = 0),
+r as (select vec_id, label, list_transform(embedding, lambda x: round(x::double, 6) + 0.0) as k from v) ::
+select min(vec_id) as first_id, count(*) as n, count(distinct label) as labels from r group by k having count(distinct label) > 1
+""")
 def vector_degenerate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors that agree after rounding while what they stand for differs (here by their first two values)."""
-    part = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double"), 1) + 0.0
-    return table(spark, sf_dir, "embeddings").groupBy(part(0).alias("a"), part(1).alias("b")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).filter("labels > 1")
+    """Vectors that agree in all values after rounding to six places while what they stand for differs.
+
+    A fifth of the vectors is stored a second time, half of them for other contents.
+    """
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("bigint").alias("label"))
+    again = e.filter("vec_id % 5 = 0").select(F.col("vec_id") + 1_000_000, "embedding", F.col("label") + F.col("vec_id") % 2)
+    rounded = F.transform("embedding", lambda x: F.round(x.cast("double"), 6) + 0.0)
+    groups = e.union(again).groupBy(rounded.alias("k")).agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.count_distinct("label").alias("labels"))
+    return groups.filter("labels > 1").select("first_id", "n", "labels")
 
 
 # documents: merges and duplicates
@@ -239,13 +276,60 @@ def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).filter("memory_type = 'decision'").join(messages(spark, sf_dir).select(F.col("conversation_id").alias("memory_id")), "memory_id", "left_anti").select("memory_id")
 
 
-@query("with e as (select memory_id % 300 as identity, max(memory_id) as version, max(title) as title, max(status) as status, count(*) > 2 as gated, bool_or(memory_id % 37 = 0) as emptied from memories where memory_id % 5 <> 0 group by 1), a as (select memory_id % 320 as identity, max(memory_id) as version, max(title) as title, max(status) as status from memories where memory_id % 5 <> 0 and memory_id < 900 and memory_id % 3 <> 0 group by 1) :: select coalesce(e.identity, a.identity) as identity, case when e.identity is null then 'archive:identity_removed' when emptied then case when a.identity is not null then 'archive:content_cleared' else 'ignore' end when not gated then case when a.identity is not null then 'archive:value_gate' else 'ignore' end when a.identity is null then 'add' when e.version <> a.version then 'supersede' when e.title <> a.title or e.status <> a.status then 'repair' else 'unchanged' end as action from e full join a on a.identity = e.identity")
-def evidence_sync_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memories(spark, sf_dir).filter("memory_id % 5 <> 0")
+_SIDES = """
+e as (
+  select title || '/' || heading || '/' || memory_type || '/' || importance as identity, max(memory_id) as version, max(title) as title,
+    max(status) as status, count(*) > 2 as gated, bool_or(memory_id % 37 = 0) as emptied
+  from memories where review = 'approved' group by 1
+), a as (
+  select title || '/' || heading || '/' || memory_type || '/' || importance as identity, max(memory_id) as version, max(title) as title, max(status) as status
+  from memories where privacy = 'private' group by 1
+), s as (
+  select coalesce(e.identity, a.identity) as identity, e.version as new_version, a.version as old_version, e.title as new_title, a.title as old_title,
+  case when e.identity is null then 'archive:identity_removed'
+    when emptied then case when a.identity is not null then 'archive:content_cleared' else 'ignore' end
+    when not gated then case when a.identity is not null then 'archive:value_gate' else 'ignore' end
+    when a.identity is null then 'add' when e.version <> a.version then 'supersede'
+    when e.title <> a.title or e.status <> a.status then 'repair' else 'unchanged' end as action
+  from e full join a on a.identity = e.identity
+)"""
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What the sources say (approved rows) and what is stored (private rows), each by identity; both come from the whole table."""
+    rows = memories(spark, sf_dir).withColumn("identity", F.concat_ws("/", "title", "heading", "memory_type", "importance"))
     same = [F.max("memory_id").alias("version"), F.max("title").alias("title"), F.max("status").alias("status")]
-    expected = rows.groupBy((F.col("memory_id") % 300).alias("identity")).agg(*same, (F.count("*") > 2).alias("gated"), F.bool_or(F.col("memory_id") % 37 == 0).alias("emptied"))
-    actual = rows.filter("memory_id < 900 and memory_id % 3 <> 0").groupBy((F.col("memory_id") % 320).alias("identity")).agg(*same)
-    return merge.classify_sync(expected, actual)
+    gates = [(F.count("*") > 2).alias("gated"), F.bool_or(F.col("memory_id") % 37 == 0).alias("emptied")]
+    return rows.filter("review = 'approved'").groupBy("identity").agg(*same, *gates), rows.filter("privacy = 'private'").groupBy("identity").agg(*same)
+
+
+@query(f"with {_SIDES} :: select identity, action from s")
+def evidence_sync_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.classify_sync(*_sides(spark, sf_dir))
+
+
+@query(f"""
+with {_SIDES}, n as (
+  select identity, new_version as version, new_title as title, 'active' as state, cast(null as varchar) as reason from s where action in ('add', 'supersede', 'repair')
+  union all select identity, old_version, old_title, 'superseded', 'new_version' from s where action = 'supersede'
+  union all select identity, old_version, old_title, 'active', null from s where action = 'unchanged'
+  union all select identity, old_version, old_title, 'archived', substr(action, 9) from s where action like 'archive:%'
+) :: select identity, version, title, state, reason from n
+""")
+def evidence_sync_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored table after the sync: new versions, closed ones, repaired and archived ones."""
+    return merge.apply_sync(*_sides(spark, sf_dir)).select("identity", "version", "title", "state", "reason")
+
+
+@query(f"""
+with {_SIDES} :: select count(*) filter (where action = 'add') as added, 2 * count(*) filter (where action = 'supersede') + count(*) filter (where action = 'repair') as updated,
+count(*) filter (where action like 'archive:%') as removed, count(*) filter (where action = 'unchanged') as unchanged from s
+""")
+def evidence_sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A superseding counts twice among the updated: the closed version and the new one."""
+    a = merge.classify_sync(*_sides(spark, sf_dir)).select("action")
+    is_ = lambda x: F.count_if(F.col("action") == x)
+    return a.agg(is_("add").alias("added"), (2 * is_("supersede") + is_("repair")).alias("updated"), F.count_if(F.startswith("action", F.lit("archive:"))).alias("removed"), is_("unchanged").alias("unchanged"))
 
 
 @query("select memory_id, cast(row_number() over (partition by title order by importance, memory_id) as int) as version, lead(memory_id) over (partition by title order by importance, memory_id) as valid_to, case when lead(memory_id) over (partition by title order by importance, memory_id) is null then 'active' else 'superseded' end as state from memories")
@@ -341,23 +425,17 @@ def decision_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).select("memory_id", ops.decision_score(F.col("weight"), speed, F.col("importance")).alias("score"))
 
 
-@query("with x as (select item_id, text, item_id % 10 as g from benchmark), f as (select x.item_id, g, count(d.doc_id) as hits from x left join documents d on contains(d.text, x.text) group by x.item_id, g) :: select g, count(*) as expected, count(*) filter (where hits > 0) as found, round(count(*) filter (where hits > 0)::double / count(*), 6) as recall from f group by g")
+@query("""
+with x as (select item_id, text, item_id % 10 as g from benchmark union all select item_id + 1000000, substr(text, 4, 25), item_id % 10 from benchmark),
+f as (select x.item_id, g, count(d.doc_id) as hits from x left join documents d on contains(d.text, x.text) group by x.item_id, g) ::
+select g, count(*) as expected, count(*) filter (where hits > 0) as found, round(count(*) filter (where hits > 0)::double / count(*), 6) as recall from f group by g
+""")
 def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which expected passages are found word for word, and the recall of each group.
-
-    Passages meet documents through their first five words, a hash join; only such pairs are compared in full.
-    """
-    items = table(spark, sf_dir, "benchmark")
-    lead = F.array_join(F.slice(F.split("text", "[ \n]"), 1, 5), " ")
-    keyed = items.select("item_id", F.col("text").alias("passage"), lead.alias("lead"))
-    words = F.split(F.translate("text", "\n", " "), " ")
-    shifted = F.arrays_zip(*[F.slice(words, k, F.greatest(F.size(words) - 4, F.lit(0))).alias(f"w{k}") for k in range(1, 6)])
-    runs = F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(1, 6)]))
-    small = keyed.agg(F.sum(F.length("passage"))).first()[0] or 0
-    side = F.broadcast(keyed) if small < 8 << 20 else keyed
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("lead"))
-    found = docs.join(side, "lead").filter(F.contains("text", F.col("passage"))).select("item_id").distinct().withColumn("hit", F.lit(1))
-    both = items.select("item_id", (F.col("item_id") % 10).alias("g")).join(found, "item_id", "left")
+    """Which expected passages, and pieces of them that start and end within words, are found, and the recall of each group."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), (F.col("item_id") % 10).alias("g"))
+    items = items.union(items.select(F.col("item_id") + 1_000_000, F.substring("passage", 4, 25), "g"))
+    found = ops.contained_passages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), items, "item_id", "passage").select("item_id").distinct()
+    both = items.join(found.withColumn("hit", F.lit(1)), "item_id", "left")
     return both.groupBy("g").agg(F.count("*").alias("expected"), F.count("hit").alias("found")).withColumn("recall", F.round(F.col("found") / F.col("expected"), 6))
 
 
@@ -377,7 +455,7 @@ def percentile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def import_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected and stored rows compared by position; positions come from a partitioned count, not one global window."""
     def placed(df: DataFrame, key: str, name: str) -> DataFrame:
-        return merge.running_total(df.select(F.col(key).alias(name)).withColumn("_one", F.lit(1)), F.floor(F.col(name) / 1000), [name], "_one", "i").drop("_one")
+        return merge.running_total(df.select(F.col(key).alias(name)).withColumn("_one", F.lit(1)), F.col(name), [name], "_one", "i").drop("_one")
 
     o, d = placed(table(spark, sf_dir, "benchmark"), "item_id", "o"), placed(table(spark, sf_dir, "labels"), "doc_id", "d")
     return o.join(d, "i", "full_outer").agg(F.count("*").alias("positions"), F.count_if(F.col("o").isNull()).alias("extra"), F.count_if(F.col("d").isNull()).alias("missing"), F.count_if(F.col("o") == F.col("d")).alias("same"))
@@ -391,12 +469,17 @@ def select_facts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(first), "conflict_key").filter("tier = 'core'").select("memory_id", "conflict_key")
 
 
-@query("select project, case when a = b then 'equal' when len(a) <> len(b) then 'length' else 'order' end as parity from (select project, list(memory_id order by memory_id) filter (where memory_id < 400) as a, list(memory_id order by authority, memory_id) filter (where memory_id < 400 + importance * 0) as b from memories group by project)")
+@query("""
+with p as (
+  select project, list(memory_id order by memory_id) filter (where tier <> 'normal') as a, list(memory_id order by authority, memory_id) filter (where tier <> 'normal') as b,
+    list(memory_id order by memory_id) filter (where tier = 'core' or review = 'approved' and tier = 'pinned') as c from memories group by project
+) :: select project, case when a = b then 'equal' when len(a) <> len(b) then 'length' else 'order' end as by_order,
+case when a = c then 'equal' when len(a) <> len(c) then 'length' else 'order' end as by_rule from p
+""")
 def pack_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.col("memory_id") < 400
-    ids = lambda *o: F.transform(F.array_sort(F.collect_list(F.when(part, F.struct(*o)))), lambda x: x.memory_id)
-    both = memories(spark, sf_dir).groupBy("project").agg(ids("memory_id").alias("a"), ids("authority", "memory_id").alias("b"))
-    return both.select("project", F.when(F.col("a") == F.col("b"), "equal").when(F.size("a") != F.size("b"), "length").otherwise("order").alias("parity"))
+    """Whether two packs hold the same identities in the same order; packs are told by a digest of ranges, not by their lists."""
+    rows = memories(spark, sf_dir).filter("tier <> 'normal'").select("project", "memory_id", "authority", ((F.col("tier") == "core") | (F.col("review") == "approved")).alias("also"))
+    return ops.pack_parity(rows, "project", "memory_id", "authority", "also")
 
 
 # text and sources
@@ -410,9 +493,10 @@ def privacy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def privacy_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ten patterns; two need lookarounds, which the oracle's engine lacks."""
-    text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", textfns.privacy_class(text).alias("privacy"), textfns.redact(text).alias("redacted"))
+    """All ten patterns; two need lookarounds, which the oracle's engine lacks. Texts without a hit are not rewritten."""
+    text = F.coalesce("text", F.lit(""))
+    hit = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("hit", textfns.privacy_hits(text))
+    return hit.select("doc_id", F.when(F.col("hit"), textfns.privacy_class(text)).otherwise("private").alias("privacy"), F.when(F.col("hit"), textfns.redact(text)).otherwise(text).alias("redacted"))
 
 
 @query()
@@ -429,12 +513,12 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "html", history.page_text(F.col("html")).alias("text"))
-    return pages.select("page_id", "text", history.completeness(F.col("text")).alias("completeness"))
+    return pages.select("page_id", "text", textfns.completeness(F.col("text"), F.lit(""), F.col("html")).alias("completeness"))
 
 
 @query()
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunks(table(spark, sf_dir, "documents"))
+    return chunking.chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @query("select doc_id, substr(replace(text, chr(10), ' '), 1, 200) as preview, cast(length(text) as int) as n from documents")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import textfns
-from palimpsest.operators import merge, review
+from palimpsest.operators import merge, review, search
 from palimpsest.plans.registry import query
-from palimpsest.plans.tables import jobs, memories, messages, table
+from palimpsest.plans.search_queries import QUERY_VECTOR, _vector_sql
+from palimpsest.plans.tables import jobs, memories, messages, spread, table
 
 
 @query("select project, count(*) as n, case when bool_or(status = '') then null else count(*) filter (where status = 'active') end as active from memories group by project")
@@ -128,14 +128,14 @@ def left_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("memory_id", "project", "title").join(p, "project", "left").join(t, "title", "left").select("memory_id", "n_members", "top")
 
 
-@query("select memory_id, max(score) as score from (select memory_id, 0.55::double as score from memories where contains(lower(text), 'heed') union all select memory_id, 0.65::double from memories where contains(lower(title), 'src1') union all select vec_id, round(0.7 * abs(embedding[1]::double), 6) from embeddings where abs(embedding[1]::double) > 0.1) group by memory_id")
+@query("select memory_id, max(score) as score from (select memory_id, 0.55::double as score from memories where contains(lower(text), 'heed') union all select memory_id, 0.65::double from memories where contains(lower(title), 'src1') union all select vec_id, round(0.7 * score, 4) from (" + _vector_sql("cosine", 50) + ") where score > 0) group by memory_id")
 def legacy_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several lists with scores of their own; a row keeps its best."""
     m = memories(spark, sf_dir)
-    near = F.abs(F.get("embedding", F.lit(0)).cast("double"))
+    near = search.vector_topk(table(spark, sf_dir, "embeddings"), QUERY_VECTOR, 50).withColumn("score", F.round("score", 6))
     lists = [
         m.filter(F.contains(F.lower("text"), F.lit("heed"))).select("memory_id", F.lit(0.55).alias("score")), m.filter(F.contains(F.lower("title"), F.lit("src1"))).select("memory_id", F.lit(0.65)),
-        table(spark, sf_dir, "embeddings").filter(near > 0.1).select("vec_id", F.round(0.7 * near, 6)),
+        near.filter("score > 0").select("vec_id", F.round(0.7 * F.col("score"), 4)),
     ]
     return lists[0].union(lists[1]).union(lists[2]).groupBy("memory_id").agg(F.max("score").alias("score"))
 
@@ -194,22 +194,12 @@ def page_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best match of each candidate among core memories of its language and opening, by matching blocks, from 0.92 on.
-
-    Pairs are blocked by language, the first 32 word characters and a length ratio that the score cannot exceed, so no cross
-    join is made; the score is of whole texts.
-    """
-    rows = memories(spark, sf_dir).select("memory_id", "heading", "tier", "text", F.substring(textfns.letters_only(F.col("text")), 1, 32).alias("opening"))
-    core = rows.filter("tier = 'core'").select(F.col("memory_id").alias("core_id"), "heading", "opening", F.col("text").alias("core_text"))
-    a, b = F.length("text"), F.length("core_text")
-    pairs = rows.filter("tier <> 'core'").join(core, ["heading", "opening"]).filter((a > 0) & (2 * F.least(a, b) >= 0.92 * (a + b)))
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return review.matching_ratios(x, y)
-
-    scored = pairs.withColumn("score", ratio("text", "core_text")).filter("score >= 0.92")
-    return scored.groupBy("memory_id").agg(F.max_by("core_id", F.struct("score", -F.col("core_id"))).alias("core_id"), F.max("score").alias("score"))
+    """Candidates that a core memory duplicates: by containment, by summary and points (lines), or by matching blocks from 0.88 on."""
+    rows = spread(memories(spark, sf_dir).select("memory_id", "tier", "text"))
+    lines = F.transform(F.split("text", "\n"), textfns.letters_only)
+    told = rows.select("memory_id", "tier", textfns.letters_only(F.coalesce("text", F.lit(""))).alias("text"), F.get(lines, F.lit(0)).alias("summary"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("points"))
+    core = told.filter("tier = 'core'").select(F.col("memory_id").alias("core_id"), "text")
+    return review.full_text_duplicates(told.filter("tier <> 'core'"), core, "memory_id")
 
 
 @query("with c as (select *, memory_id % 6 as day, count(*) over (partition by text) > 1 and memory_id > min(memory_id) over (partition by text) as dup, case when memory_id % 8 = 0 then null else (memory_id % 50)::double / 50 end as alike, case when memory_type = 'knowledge' then 'category' end as r1, case when memory_id % 31 = 0 then 'notification' end as r2, case when memory_id % 40 < 10 then 'confidence' end as r3 from memories), g as (select *, case when status = '' then 'rejected:schema' when memory_id % 29 = 0 then 'rejected:process_log' when dup then 'rejected:duplicate' when memory_id % 23 = 0 then 'review:title_conflict' when alike is null then 'deferred:no_similarity' when alike >= 0.92 then 'rejected:semantic_duplicate' when concat_ws('+', r1, r2, r3) <> '' then 'review:' || concat_ws('+', r1, r2, r3) end as gate from c) :: select memory_id, coalesce(gate, case when row_number() over (partition by gate is null, day order by importance desc, memory_id) <= 10 then 'promoted' else 'deferred:daily_limit' end) as outcome from g")

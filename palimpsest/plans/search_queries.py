@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.timefns import validity_reason
 from palimpsest.operators import merge, search
 from palimpsest.plans.registry import query
-from palimpsest.plans.tables import memories, messages, table
+from palimpsest.plans.tables import memories, messages, spread, table
 
 QUERY_VECTOR = [((7 * i) % 11 - 5) / 10 for i in range(64)]
 AS_OF = "2026-01-20T00:00:00Z"
@@ -31,10 +31,17 @@ def _bm25_sql(terms: list[str]) -> str:
 
 @query(f"with {_bm25_sql(['heed', 'tion'])} :: select chunk_id, round(bm25, 6) as bm25, round(1 / (1 + abs(bm25)), 6) as lexical_score from scored order by scored.bm25, chunk_id limit 20")
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.lexical(memories(spark, sf_dir), ["heed", "tion"], limit=20)
+    hits = search.lexical(spread(memories(spark, sf_dir)), ["heed", "tion"], limit=20)
     return hits.select("chunk_id", F.round("bm25", 6).alias("bm25"), F.round("lexical_score", 6).alias("lexical_score"))
 
 
+@query(f"with {_bm25_sql(['heed', 'tion'])} :: select chunk_id, round(bm25, 6) as bm25 from scored order by scored.bm25, chunk_id limit 20")
+def lexical_search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through a trigram index."""
+    rows = spread(memories(spark, sf_dir))
+    return search.lexical(rows, ["heed", "tion"], limit=20, postings=search.trigram_postings(rows)).select("chunk_id", F.round("bm25", 6).alias("bm25"))
+
+
 @query(f"with {_bm25_sql(['heed'])} :: select chunk_id, round(bm25, 6) as bm25 from scored where privacy = 'private' order by scored.bm25, chunk_id limit 15")
 def lexical_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters choose rows, but statistics stay those of the whole table."""
@@ -52,7 +59,7 @@ def substring_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.substring(memories(spark, sf_dir), ["src3", "de"]).select("chunk_id", F.greatest(F.contains(F.lower("title"), F.lit("src3")).cast("int"), F.lit(0)).alias("title_hit"))
 
 
-def _vector_sql(metric: str) -> str:
+def _vector_sql(metric: str, k: int = 10) -> str:
     q = "[" + ", ".join(f"{x}::double" for x in QUERY_VECTOR) + "]"
     v = "list_transform(embedding, lambda x: x::double)"
     both = f"list_zip({v}, {q})"
@@ -63,7 +70,7 @@ def _vector_sql(metric: str) -> str:
     }
     norm = f"(sqrt(list_sum(list_transform({v}, lambda x: x * x))) * {sum(x * x for x in QUERY_VECTOR) ** 0.5}::double)"
     e["cosine"] = f"case when {norm} > 0 then {e['dot']} / {norm} else 0 end"
-    return f"select vec_id, round(score, 6) as score from (select vec_id, {e[metric]} as score from embeddings) order by embeddings_score desc, vec_id limit 10".replace("embeddings_score", "score")
+    return f"select vec_id, round(score, 6) as score from (select vec_id, {e[metric]} as score from embeddings) order by embeddings_score desc, vec_id limit {k}".replace("embeddings_score", "score")
 
 
 def _vector(metric: str):
@@ -84,15 +91,15 @@ def _ranked(df: DataFrame, order: list[Column], n: int, key: str = "chunk_id") -
 
 _HYBRID = (
     f"{_bm25_sql(['heed'])}, lex as (select chunk_id, row_number() over (order by bm25, chunk_id) as rank from (select * from scored order by bm25, chunk_id limit 30)), "
-    "near as (select vec_id as chunk_id, row_number() over (order by label desc, vec_id) as rank from (select * from embeddings order by label desc, vec_id limit 30)), "
+    f"near as (select vec_id as chunk_id, row_number() over (order by score desc, vec_id) as rank from ({_vector_sql('cosine', 30)})), "
     "fused as (select chunk_id, sum(1.0::double / (60 + rank)) as rrf, string_agg(channel, ',' order by channel) as channels from (select *, 'lexical' as channel from lex union all select *, 'semantic' from near) group by chunk_id)"
 )
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = _ranked(search.lexical(memories(spark, sf_dir), ["heed"]), [F.col("bm25"), F.col("chunk_id")], 30)
-    near = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
-    return search.fuse({"lexical": lex, "semantic": _ranked(near, [F.desc("label"), F.col("chunk_id")], 30)})
+    near = search.vector_topk(table(spark, sf_dir, "embeddings"), QUERY_VECTOR, 30).select(F.col("vec_id").alias("chunk_id"), F.round("score", 6).alias("score"))
+    return search.fuse({"lexical": lex, "semantic": _ranked(near, [F.desc("score"), F.col("chunk_id")], 30)})
 
 
 @query(f"with {_HYBRID} :: select chunk_id, round(rrf, 8) as rrf, channels from fused")
@@ -222,13 +229,16 @@ def linked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(m, d.memory_id % 100 == m.conversation_id).select("memory_id", "message_id")
 
 
-@query("with items as (select 'memory' as kind, memory_id as id, importance as made_at, length(title) as cost from memories where tier = 'core' union all select 'message', conversation_id, sequence, length(role) from messages where sequence < 2), timed as (select *, sum(cost) over (order by made_at desc, kind, id rows unbounded preceding) as upto, row_number() over (order by made_at desc, kind, id) as place from (select * from items order by made_at desc, kind, id limit 500)) :: select kind, id, cast(place as int) as place from timed where upto <= 400 or place = 1")
+@query("with items as (select 'memory' as kind, memory_id as id, importance as made_at, length(title) + 1 as cost from memories where tier = 'core' union all select 'message', conversation_id, sequence, length(role) + 1 from messages where sequence < 2), timed as (select *, sum(cost) over (order by made_at desc, kind, id rows unbounded preceding) as upto, row_number() over (order by made_at desc, kind, id) as place from items) :: select kind, id, cast(place as int) as place from timed where upto <= 400 or place = 1")
 def timeline_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest items of both lists until a budget is used; the first one always stays. A window over at most 500 rows."""
-    a = memories(spark, sf_dir).filter("tier = 'core'").select(F.lit("memory").alias("kind"), F.col("memory_id").alias("id"), F.col("importance").cast("bigint").alias("made_at"), F.length("title").alias("cost"))
-    b = messages(spark, sf_dir).filter("sequence < 2").select(F.lit("message").alias("kind"), F.col("conversation_id").alias("id"), F.col("sequence").alias("made_at"), F.length("role").alias("cost"))
+    """The newest items of both lists until a budget is used; the first one always stays.
+
+    Each item costs one at least, so no more than the budget can stay, and the window is over that many rows.
+    """
+    a = memories(spark, sf_dir).filter("tier = 'core'").select(F.lit("memory").alias("kind"), F.col("memory_id").alias("id"), F.col("importance").cast("bigint").alias("made_at"), (F.length("title") + 1).alias("cost"))
+    b = messages(spark, sf_dir).filter("sequence < 2").select(F.lit("message").alias("kind"), F.col("conversation_id").alias("id"), F.col("sequence").alias("made_at"), (F.length("role") + 1).alias("cost"))
     order = [F.desc("made_at"), F.col("kind"), F.col("id")]
-    first = a.unionByName(b).orderBy(*order).limit(500)
+    first = a.unionByName(b).orderBy(*order).limit(401)
     timed = first.withColumn("upto", F.sum("cost").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(Window.orderBy(*order)))
     return timed.filter("upto <= 400 or place = 1").select("kind", "id", "place")
 
@@ -261,10 +271,23 @@ def project_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(x, "project", "left").select("project", "memories", "core", F.coalesce("messages", F.lit(0)).cast("bigint").alias("messages"))
 
 
-@query("with e as (select vec_id, round(least(1, 4 * abs(embedding[1]::double)), 3) as score from embeddings) :: select vec_id, score from e where score >= 0.55 and score < 0.999")
+_COS = (
+    "list_sum(list_transform(list_zip(list_transform(embedding, lambda x: x::double), {q}), lambda p: p[1] * p[2]))"
+    " / (sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) * {n}::double)"
+)
+_SCORE = f"least(1, 4 * abs({_COS.format(q='[' + ', '.join(f'{x}::double' for x in QUERY_VECTOR) + ']', n=sum(x * x for x in QUERY_VECTOR) ** 0.5)}))"
+
+
+@query(f"""
+with e as (select vec_id, round({_SCORE}, 3) as score, trim(source) as content, trim('a note of src1') as query from embeddings join documents on doc_id = vec_id) ::
+select vec_id, score from e where score >= 0.55 and (score < 0.999 or (query <> '' and content <> '' and (contains(query, content) or contains(content, query))))
+""")
 def recall_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.least(F.lit(1.0), 4 * F.abs(F.get("embedding", F.lit(0)).cast("double"))), 3).alias("score"))
-    return e.filter(search.plausible_recall(F.col("score"), F.lit("a"), F.lit("b")))
+    """Scores are cosines, spread so that near-perfect ones occur; those stay only if query and content hold one another."""
+    score = F.round(F.least(F.lit(1.0), 4 * F.abs(search.similarity(F.col("embedding"), QUERY_VECTOR))), 3)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", score.alias("score"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("content"))
+    return e.join(d, "vec_id").filter(search.plausible_recall(F.col("score"), F.lit("a note of src1"), F.col("content"))).select("vec_id", "score")
 
 
 @query("select coalesce(m.project, x.project) as project, case when m.project is null then 'removed' when x.project is null then 'added' when m.n = x.n then 'unchanged' else 'updated' end as change from (select project, count(*) as n from memories where memory_id % 2 = 0 and project < 'p7' group by project) x full join (select project, count(*) as n from memories where memory_id % 3 = 0 and project > 'p0' group by project) m on m.project = x.project")

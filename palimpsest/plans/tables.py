@@ -61,3 +61,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = micros(F.col("ts"))
     return table(spark, sf_dir, "events").selectExpr(*(f"{e} as {n}" for n, e in JOB.items()), "cast(get_json_object(props, '$.k') as bigint) as k", "ts").withColumn("made_at", at).drop("ts")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the files have fewer splits than that; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -127,9 +127,3 @@ def page_title(html: Column) -> Column:
 
 def page_links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']"""), 1))
-
-
-def completeness(text: Column, transcript: Column | None = None) -> Column:
-    """full with a transcript, content from 500 characters, partial with any text, else metadata only."""
-    out = F.when(F.length(F.coalesce(text, F.lit(""))) >= 500, "content").when(F.length(F.coalesce(text, F.lit(""))) > 0, "partial").otherwise("metadata_only")
-    return out if transcript is None else F.when(F.length(F.coalesce(transcript, F.lit(""))) > 0, "full").otherwise(out)
