@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once.
 SLICE_BYTES = 4 << 20
+#: Rows of a slice, so that short and empty texts do not add up to large arrays.
+SLICE_ROWS = 8192
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, as in tests on one machine, a new local one is set."""
+    """The folder in spark.checkpoint.dir. Where it is unset a new local one is set on one machine, and elsewhere it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)
@@ -31,7 +35,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._written = path
+    return read
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that materialise wrote, once nothing reads them any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,13 +56,13 @@ def remainder(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows whose texts together hold about `limit` bytes; one longer text is a slice of its own."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows, at most `rows`, whose texts together hold about `limit` bytes; one longer text is a slice of its own."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         begin, held = 0, 0
         for i, n in enumerate(sizes):
-            if i > begin and held + n > limit:
+            if i > begin and (held + n > limit or i - begin >= rows):
                 yield batch.slice(begin, i - begin)
                 begin, held = i, 0
             held += int(n)

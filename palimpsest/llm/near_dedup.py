@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from palimpsest.llm._shared import as_bytes, materialise, slices
+from palimpsest.llm._shared import as_bytes, forget, materialise, slices
 from palimpsest.llm._words import hashed, mixed, runs
 
 BANDS, ROWS = 24, 4
@@ -108,16 +108,15 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
 
 
 def _sets(texts: DataFrame, text_col: str) -> DataFrame:
-    """(node, shingles): 32 bits of each distinct shingle's hash."""
+    """(node, shingles): the hash of each distinct shingle."""
 
     def made(batches):
         for s in slices(batches, text_col):
             owner, value, _ = shingles(as_bytes(s.column(text_col)))
-            short = (mixed(value) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=s.num_rows))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([s.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(short))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([s.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))], ["node", "shingles"])
 
-    return texts.select("node", text_col).mapInArrow(made, "node binary, shingles array<int>")
+    return texts.select("node", text_col).mapInArrow(made, "node binary, shingles array<long>")
 
 
 def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
@@ -132,17 +131,17 @@ def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
             values = batch.column("shingles").flatten().to_numpy()
             sizes = pc.list_value_length(batch.column("shingles")).to_numpy()
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((values, shared.value[values.view(np.uint32) % CELLS], owner))
+            order = np.lexsort((values, shared.value[(values.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)], owner))
             place, n = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
             at = np.flatnonzero(place <= n - np.ceil(threshold * n - 1e-9))
             whose = pa.array(owner[at])
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(whose), batch.column("class").take(whose), pa.array(n[at], pa.int32()), pa.array(place[at], pa.int32()), pa.array(values[order][at], pa.int32())], ["node", "class", "n", "place", "shingle"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(whose), batch.column("class").take(whose), pa.array(n[at], pa.int32()), pa.array(place[at], pa.int32()), pa.array(values[order][at], pa.int64())], ["node", "class", "n", "place", "shingle"])
 
-    return rows.select("node", "class", "shingles").mapInArrow(made, "node binary, class binary, n int, place int, shingle int")
+    return rows.select("node", "class", "shingles").mapInArrow(made, "node binary, class binary, n int, place int, shingle long")
 
 
 def _settled(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, n, b, n_p): all pairs of nodes of different classes that may be as like as `threshold`, some more than once.
+    """(a, n, b, n_p, salts): all pairs of nodes of different classes that may be as like as `threshold`, some more than once.
 
     In each shingle's group those outside its largest class meet all; they are dealt over tasks by salts.
     """
@@ -155,25 +154,27 @@ def _settled(rows: DataFrame, threshold: float) -> DataFrame:
     once = (F.col("class") == F.col("main")) | (F.col("node") < F.col("b"))
     fits = F.least(F.col("n") - F.col("place"), F.col("n_p") - F.col("place_p")) >= threshold / (1 + threshold) * (F.col("n") + F.col("n_p")) - 1e-6
     on = (every["shingle"] == other["shingle"]) & (every["salt"] == other["salt"]) & (F.col("class") != F.col("class_p")) & once & fits
-    return every.hint("merge").join(other, on).select(F.col("node").alias("a"), "n", "b", "n_p")
+    return every.hint("merge").join(other, on).select(F.col("node").alias("a"), "n", "b", "n_p", F.lit(1).alias("salts"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, class) of every node in links: class is the least node that it is connected with.
 
-    Alternating large-star and small-star steps over edges. A step deals the edges twice by node and once for distinct ones,
-    and is written to the shared folder; steps go on until one changes nothing.
+    Alternating large-star and small-star steps over edges. The least neighbour of a node is aggregated with map-side combine
+    and joined back, so that adaptive execution can split a node of very many edges. A step is written to the shared folder
+    and the one before it deleted; steps go on until one changes nothing.
     """
     edges = materialise(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     state = None
     while True:
-        both = edges.union(edges.select("v", "u")).repartition("u")
+        both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").repartition("u")
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         seen = Observation()
-        edges = materialise(kept.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        before, edges = edges, materialise(kept.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        forget(before)
         if seen.get == state:
             break
         state = seen.get
@@ -192,7 +193,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     texts = docs.filter(F.col(text_col).isNotNull())
     sketched = materialise(sketch(texts, id_col, text_col, bands, rows), "sketch")
     nodes = sketched.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).filter("n > 0")
-    exploded = nodes.select("node", "n", F.posexplode("bands").alias("band", "h")).select("node", "n", F.xxhash64("band", "h").alias("key")).repartition("key")
+    exploded = nodes.select("node", "n", F.posexplode("bands").alias("band", "h")).select("node", "n", F.xxhash64("band", "h").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     sized = materialise(exploded.join(shared, "key"), "sized")
     degrees = sized.groupBy("node").agg(F.sum("size").alias("degree"))
@@ -201,15 +202,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     sets = materialise(_sets(told.join(members.select("node").distinct(), "node", "left_semi"), text_col).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (a, n, b, n_p, salts). Pairs of one b, as those with a pivot are, are dealt over its salts."""
         fits = pairs.filter(F.least("n", "n_p") >= threshold * F.greatest("n", "n_p")).filter("a <> b")
+        once = fits.groupBy("a", "b").agg(F.max("salts").alias("salts")).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+        copies = once.groupBy("b").agg(F.max("salts").alias("salts")).withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int")))).drop("salts")
         left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        met = fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-        return materialise(met.filter(F.col("both") >= threshold * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"), "links")
+        met = once.drop("salts").join(left, "a").join(copies.join(right, "b"), ["b", "salt"]).withColumn("both", F.size(F.array_intersect("x", "y")))
+        return materialise(met.filter(F.col("both") >= threshold * (F.size("x") + F.size("y") - F.col("both"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+    def by_key(rows: DataFrame, told: DataFrame) -> DataFrame:
+        """rows joined with one row for each bucket, which is copied to as many salts as its members are dealt over."""
+        salts = F.ceil(F.col("size") / SALTED).cast("int")
+        return rows.withColumn("_s", F.pmod(F.xxhash64("node"), salts).cast("int")).join(told.withColumn("_s", F.explode(F.sequence(F.lit(0), salts - 1))).drop("size"), ["key", "_s"]).drop("_s")
 
     few = members.filter(F.col("size") <= FEW).select("key", F.col("node").alias("a"), "n")
-    pairs = few.join(few.toDF("key", "b", "n_p"), "key").filter("a < b").select("a", "n", "b", "n_p")
-    many = members.filter(F.col("size") > FEW).select("key", "node", "n", "degree")
-    first = lambda *more: F.max(F.struct(*more, "degree", "node", "n", "class")).alias("p")
+    pairs = few.join(few.toDF("key", "b", "n_p"), "key").filter("a < b").select("a", "n", "b", "n_p", F.lit(1).alias("salts"))
+    many = members.filter(F.col("size") > FEW).select("key", "node", "n", "degree", "size")
+    first = lambda *more: (F.max(F.struct(*more, "degree", "node", "n", "class")).alias("p"), F.max("size").alias("size"))
+
     def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
         ends = links
         for e in ("a", "b"):
@@ -218,14 +228,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         known = classes.union(links.select("a", "a").union(links.select("b", "b")).distinct().toDF("node", "class").join(classes.select("node"), "node", "left_anti"))
         return materialise(known.join(roots, "class", "left").select("node", F.coalesce("root", "class").alias("class")), "classes")
 
-    classes, turn, mine = None, 0, many.withColumn("class", F.col("node")).repartition("key")
+    classes, turn, mine = None, 0, many.withColumn("class", F.col("node"))
     while True:
-        leads = mine.groupBy("key").agg(first())
+        leads = mine.groupBy("key").agg(*first())
         if turn:
-            mains = mine.groupBy("key", "class").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.count("*").alias("classes"))
-            mine = materialise(mine.join(mains.filter("classes > 1").drop("classes"), "key"), "open")
-            leads = mine.filter("class <> main").groupBy("key").agg(first(*([F.xxhash64("node", F.lit(turn)).alias("order")] if turn > 1 else [])))
-        met = mine.join(leads, "key").filter("class <> p.class").select(F.col("node").alias("a"), "n", F.col("p.node").alias("b"), F.col("p.n").alias("n_p"))
+            mains = mine.groupBy("key", "class").agg(F.count("*").alias("k"), F.max("size").alias("size")).groupBy("key").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.count("*").alias("classes"), F.max("size").alias("size"))
+            mine = materialise(by_key(mine, mains.filter("classes > 1").drop("classes")), "open")
+            leads = mine.filter("class <> main").groupBy("key").agg(*first(*([F.xxhash64("node", F.lit(turn)).alias("order")] if turn > 1 else [])))
+        met = by_key(mine, leads).filter("class <> p.class").select(F.col("node").alias("a"), "n", F.col("p.node").alias("b"), F.col("p.n").alias("n_p"), F.ceil(F.col("size") / SALTED).cast("int").alias("salts"))
         links = verified(met if turn else met.union(pairs))
         found = links.count() if turn else 1
         if found:
@@ -233,7 +243,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         if turn and found <= WORTH * mine.count():
             break
         turn += 1
-        mine = many.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).repartition("key")
+        mine = many.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     left = mine.select("node").distinct().join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     if not left.isEmpty():
         links = verified(_settled(sets.join(left, "node"), threshold))

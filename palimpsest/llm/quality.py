@@ -24,6 +24,8 @@ from palimpsest.llm._words import WordIndex, mixed
 DIMS = 1 << 15
 #: Labelled rows that a model is fitted on, about.
 SAMPLE_ROWS = 6_000
+#: Texts whose flags are held at once, a row of DIMS bytes each.
+FLAG_ROWS = 256
 _REPEATS = 16
 _SHARE = 0.25
 _SIGNS = re.compile(r"[^\w\s]+")
@@ -132,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, id_col: s
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
 
     def measured(batches):
-        for s in (x for b in batches for x in slices(iter([b]), text_col, 1 << 20)):
+        for s in (x for b in batches for x in slices(iter([b]), text_col, 1 << 20, FLAG_ROWS)):
             flags = indicators(as_bytes(s.column(text_col)))
             yield pa.RecordBatch.from_arrays([s.column(id_col).cast(pa.string()), s.column("_y"), pa.array([np.flatnonzero(f).astype(np.uint16).tobytes() for f in flags], pa.binary())], ["id", "y", "at"])
 
@@ -149,7 +151,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3, id_col:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def told(batches):
-        for s in (x for b in batches for x in slices(iter([b]), text_col, 1 << 20)):
+        for s in (x for b in batches for x in slices(iter([b]), text_col, 1 << 20, FLAG_ROWS)):
             got = sent.value.scores(indicators(as_bytes(s.column(text_col))))
             yield pa.RecordBatch.from_arrays([s.column(id_col), pa.array(got), pa.array((got >= threshold).astype(np.int32))], [id_col, "score", "predicted"])
 
