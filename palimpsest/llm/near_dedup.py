@@ -36,7 +36,7 @@ SHINGLE = 5
 WORTH = 0.1
 #: Counters that order shingles from rare to common; one holds the shingles of one remainder.
 CELLS = 1 << 20
-#: Rows of a shingle outside its main class that one task compares with the others.
+#: Rows of one key, a bucket, a pivot or a shingle outside its main class, that one task compares with the others.
 SALTED = 1024
 _TO_UNIT = 2.0**-53
 _GOLDEN = 0x9E3779B97F4A7C15

@@ -108,14 +108,29 @@ class Segment:
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
+    def places(self, doc_id: int) -> range:
+        """Places of the documents with an id, by binary search over the sequence of ids, of which a few values are selected."""
+        n = self.n_docs - self.nulls
+
+        def bound(after: bool) -> int:
+            low, high = 0, n
+            while low < high:
+                mid = (low + high) // 2
+                value = self.keys.select(mid) + self.first
+                low, high = (mid + 1, high) if value < doc_id or (after and value == doc_id) else (low, mid)
+            return self.nulls + low
+
+        return range(bound(False), bound(True))
+
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write every text's ids and `end_id` in ascending id order, as segments in Parquet files of the shared folder.
 
     Returns the written table (pid, seq, local_start, n_docs, n_ids, segment), read back: pid ascends with the document
-    ids, seq within pid, local_start counts the ids of pid before the segment. Texts are range-partitioned by id once
-    and encoded where they are written. Null texts are empty (the end id only); null ids come first; rows with the same
-    id stay, in any order among themselves; other columns are not read.
+    ids, seq within pid, local_start counts the ids of pid before the segment. Texts are range-partitioned by id, equal ids
+    by a hash of the text, once and encoded where they are written. Null texts are empty (the end id only); null ids come
+    first; repeated rows and rows with the same id stay, in any order among themselves; other columns, whatever their names,
+    are not read; an empty table gives an empty one.
     """
 
     def encoded(batches):
@@ -142,7 +157,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
             yield row()
 
     arrow = pa.schema([("pid", pa.int32()), ("seq", pa.int32()), ("local_start", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("segment", pa.binary())])
-    ordered = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(id_col).sortWithinPartitions(id_col)
+    ordered = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(id_col, F.xxhash64(text_col)).sortWithinPartitions(id_col)
     return materialise(ordered.mapInArrow(encoded, "pid int, seq int, local_start long, n_docs long, n_ids long, segment binary"), "tokens")
 
 
@@ -169,3 +184,16 @@ def read_documents(written: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return written.mapInArrow(decoded, f"{id_col} long, start long, n_tokens long, ids binary")
 
 
+def lookup(written: DataFrame, wanted: list[int], id_col: str = "doc_id") -> DataFrame:
+    """(id, n_tokens, ids) of the documents with the ids wanted, a list of a caller's; segments are searched by select, and only
+    the boundaries and ids of these documents are decoded. Ids that are not there give no row, repeated ones a row each."""
+    sent = written.sparkSession.sparkContext.broadcast(sorted(set(wanted)))
+
+    def found(batches):
+        for batch in batches:
+            for blob in batch.column("segment").to_pylist():
+                s = Segment(blob)
+                hits = [(i, s.document(k).astype("<u4")) for i in sent.value for k in s.places(i)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in hits], pa.int64()), pa.array([len(x) for _, x in hits], pa.int64()), pa.array([x.tobytes() for _, x in hits], pa.binary())], [id_col, "n_tokens", "ids"])
+
+    return written.select("segment").mapInArrow(found, f"{id_col} long, n_tokens long, ids binary")

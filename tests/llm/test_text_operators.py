@@ -63,6 +63,55 @@ def test_substring_odd_texts(spark):
     assert substring.remove_repeats(odd(spark, [])).count() == 0
 
 
+def test_suffix_groups_follow_prefixes():
+    counts = [np.array([3, 50, 2, 0]), np.array([20, 4, 0, 9]), np.array([100, 1, 1, 1])]
+    one, two, last = substring.plan_groups(counts, 10)
+    assert one[1] == -1 and two[0] == -1 and (last >= 0).all() and len({*one, *two, *last} - {-1}) >= 3
+    for level, c in ((one, counts[0]), (two, counts[1])):
+        for g in set(level) - {-1}:
+            assert c[level == g].sum() <= 20
+    rng = random.Random(1)
+    text = " ".join(str(rng.randrange(4)) for _ in range(3000)).encode()
+    words_, _ = substring.hashed([text])
+    for level, cells in enumerate(substring.prefix_cells(words_, 20, 16)):
+        n = (*substring.PREFIXES, 20)[level]
+        by_text = defaultdict(set)
+        w = text.split()
+        for i, c in enumerate(cells.tolist()):
+            by_text[tuple(w[i : i + n])].add(c)
+        assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_deep_nodes_of_a_subtree():
+    rng = np.random.default_rng(4)
+    labels, more = rng.integers(0, 6, 80).astype(np.uint64), rng.integers(0, 2, 80).astype(np.uint32)
+    known, keys = rng.integers(0, 2, 80).astype(np.uint8), rng.integers(-3, 4, 80)
+    order, begins = substring.deep_nodes(labels, more, known, keys)
+    leaves = defaultdict(list)
+    for i in range(80):
+        leaves[labels[i], more[i]].append((known[i], keys[i], i))
+    got = {(labels[order[a]], more[order[a]]): [(known[i], keys[i], i) for i in order[a:b]] for a, b in zip(begins, [*begins[1:], 80], strict=True)}
+    assert got == {k: sorted(v) for k, v in leaves.items()}
+
+
+def test_substring_groups_of_every_prefix_length(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(15, 120)))) for i in range(60)]
+    want = removed_by_hand(rows)
+    for most in (1, 40, 100_000):
+        monkeypatch.setattr(substring, "GROUP_SUFFIXES", most)
+        got = substring.remove_repeats(odd(spark, rows)).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == want
+        for r in got:
+            assert sum(s.length for s in r.spans) == r.n_removed and all(a.start + a.length < b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
+
+
+def test_substring_null_ids_are_not_the_least_number(spark):
+    rows = [(None, "c d " * 20), (-(2**63), "c d " * 20), (5, "c d " * 20)]
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeats(odd(spark, rows)).collect()}
+    assert got == {None: 38, -(2**63): 40, 5: 40}
+
+
 def shingle_set(text):
     w = words(text)
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

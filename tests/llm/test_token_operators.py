@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -88,6 +89,83 @@ def test_patterns_use_every_length(histogram):
     assert used == Counter(histogram)
 
 
+def least_bins(lengths, capacity):
+    """The fewest sequences, by trying every place for every piece, long ones first."""
+    best = len(lengths)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= capacity and bins[i] not in bins[:i]:
+                place(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_patterns_are_near_the_fewest(lengths):
+    used = sum(times for _, times in packing.plan_patterns(Counter(lengths), 20))
+    assert least_bins(sorted(lengths, reverse=True), 20) <= used <= least_bins(sorted(lengths, reverse=True), 20) + 1
+
+
+def test_exact_complements_are_found():
+    for histogram in ({12: 5, 8: 5}, {10: 3, 6: 3, 4: 3}, {9: 2, 5: 2, 4: 2, 2: 2}):
+        patterns = packing.plan_patterns(histogram, 20)
+        assert all(sum(x) == 20 for x, _ in patterns)
+
+
+def test_clashing_columns(spark):
+    texts = [(1, "a b c", "x", "y", 7, b"q"), (1, "a b c", "x", "y", 7, b"q"), (2, None, None, None, None, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, sequence_id string, _salt string, offset long, ids binary")
+    packed = packing.pack(packing.tokenize_pieces(docs, PATH, with_ids=False)).collect()
+    assert sorted((r.doc_id, r.length) for r in packed) == sorted((k, n) for k, n in ((1, 4), (1, 4), (2, 1)))
+    extra = spark.createDataFrame([(1, 0, 5, "s", "o", "t")], "doc_id long, piece int, length long, sequence_id string, offset string, _salt string")
+    r = packing.pack(extra).first()
+    assert (r.sequence_id, r.offset) == (0, 0)
+    named = docs.withColumns({"pid": F.lit("p"), "seq": F.lit("s"), "n_tokens": F.lit("n"), "start": F.lit("z")})
+    got = token_store.read_documents(token_store.write_tokens(named, PATH)).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 4), (1, 4), (2, 1)]
+
+
+def test_store_lookup(spark, truth):
+    written = token_store.write_tokens(spark.createDataFrame([(k, t) for k, (t, _) in truth.items()] + [(10**12, "twice"), (10**12, "twice"), (None, "n")], "doc_id long, text string"), PATH)
+    keys = [*sorted(truth)[::37], -1, 10**12]
+    got = sorted((r.doc_id, r.n_tokens, zlib.crc32(r.ids)) for r in token_store.lookup(written, keys).collect())
+    twice = [*Tokenizer.from_file(PATH).encode("twice", add_special_tokens=False).ids, 0]
+    want = [(k, len(truth[k][1]) + 1, crc([*truth[k][1], 0])) for k in keys if k in truth] + [(10**12, len(twice), crc(twice))] * 2
+    assert got == sorted(want)
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k}" for k in range(3000)])
+    text = " ".join(words[rng.integers(0, 3000, 900_000)])
+    t = Tokenizer.from_file(PATH)
+    docs = spark.createDataFrame([(1, text), (2, "short " * 3)], "doc_id long, text string")
+    ids = t.encode(text, add_special_tokens=False).ids
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, PATH).collect()}
+    assert got[1] == len(ids)
+    pieces = packing.tokenize_pieces(docs, PATH).filter("doc_id = 1").orderBy("piece").collect()
+    assert zlib.crc32(b"".join(bytes(p.ids) for p in pieces)) == crc([*ids, 0]) and all(p.ids_crc32 == zlib.crc32(bytes(p.ids)) for p in pieces)
+
+
+def test_encoder_evicts_and_stays_right():
+    t, enc = Tokenizer.from_file(PATH), tokens.ChunkEncoder(PATH, limit=300)
+    rng = np.random.default_rng(9)
+    for turn in range(12):
+        texts = [" ".join(f"{'x' * int(k % 5)}{k}" for k in rng.integers(0, 100 * (turn + 1), 60)) for _ in range(5)]
+        assert [x.tolist() for x in enc.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert enc.counts(texts).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_pack_odd(spark):
     pieces = spark.createDataFrame([(None, 0, 5), (None, 0, 5), (1, 0, 2048)], "doc_id long, piece int, length long")
     assert len({(r.sequence_id, r.offset) for r in packing.pack(pieces).collect()}) == 3
