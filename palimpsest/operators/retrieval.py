@@ -107,7 +107,7 @@ def lexical_channel(chunks: DataFrame, query: str, limit: int, f: Filters, key:
     """(key, rank): the best by BM25, cut to the limit before time is looked at, then those that time admits. Where none is
     left, or a term is too short for trigrams, rows that hold all terms anywhere follow."""
     best = search.lexical(chunks, expression(query), f.stored(), key, limit).filter(f.reason().isin(SHOWN))
-    found = best.select(key, F.lit(0).alias("_late"), F.col("bm25").alias("_by"))
+    found = best.select(key, F.lit(0).alias("_late"), F.col("bm25").alias("_by")).cache()  # a top-k list, read three times
     terms = [t.lower() for t in _TOKEN.findall(query)]
     if terms:
         late = search.substring(chunks.filter(f.stored() & f.reason().isin(SHOWN)), terms, key).join(found, key, "left_anti")
@@ -155,7 +155,7 @@ def query_words(query: str) -> list[str]:
 def find_enhanced(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int, f: Filters, key: str = "chunk_id") -> DataFrame:
     """The search, and where it gives fewer rows than wanted a substring search behind it, fused once more: ranks are then
     places in the joined list, so scores change."""
-    first = find(chunks, vectors, query, vector, limit, f, key)
+    first = find(chunks, vectors, query, vector, limit, f, key).select(key, "retrieval_score", "place").cache()  # `limit` rows
     again = replace(f, terms=tuple(query_words(query)))
     more = max(3 * limit, 20)
     hits = search.substring(chunks.filter(f.stored()), pieces(query), key).join(first.select(key), key, "left_anti").filter(f.passes())

@@ -97,7 +97,7 @@ _HYBRID = (
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = _ranked(search.lexical(memories(spark, sf_dir), ["heed"]), [F.col("bm25"), F.col("chunk_id")], 30)
+    lex = _ranked(search.lexical(spread(memories(spark, sf_dir)), ["heed"]), [F.col("bm25"), F.col("chunk_id")], 30)
     near = search.vector_topk(table(spark, sf_dir, "embeddings"), QUERY_VECTOR, 30).select(F.col("vec_id").alias("chunk_id"), F.round("score", 6).alias("score"))
     return search.fuse({"lexical": lex, "semantic": _ranked(near, [F.desc("score"), F.col("chunk_id")], 30)})
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.timefns import strict_instant
+
 MESSAGE = "message_id string, role string, content string, timestamp string"
 HISTORY = f"schema string, schema_version string, conversations array<struct<conversation_id string, title string, messages array<struct<{MESSAGE.replace(' string', ':string').replace(', ', ',')}>>>>"
 PARTS = "struct<id:string,author:struct<role:string,name:string>,content:struct<parts:array<string>,text:string,result:string>,create_time:double>"
@@ -16,26 +18,33 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"\A\s+|\s+\z", "")
 
 
-def history_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row a message of inbox files: conversation, title, position, and the message's fields."""
-    read = spark.read.schema(HISTORY).json(path, multiLine=True)
+def inbox_messages(read: DataFrame) -> DataFrame:
+    """One row a message of parsed inbox files: conversation, title, position, and the message's fields."""
     conv = read.select(F.explode("conversations").alias("c"))
     return conv.select("c.conversation_id", "c.title", F.posexplode("c.messages").alias("sequence", "m")).select("conversation_id", "title", "sequence", "m.*")
 
 
+def history_json(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of inbox files, each one JSON document."""
+    return inbox_messages(spark.read.schema(HISTORY).json(path, multiLine=True))
+
+
 def history_jsonl(lines: DataFrame) -> DataFrame:
     """Messages of typed JSON lines; lines: (file, line_no, value). A message needs its conversation's line earlier in the file.
 
-    Messages without one are returned with valid = false, and so are those whose time runs backwards.
+    valid is false where that line is missing, the time has no zone or runs backwards, or an id is not unique in its file.
     """
     record = F.from_json("value", f"type string, conversation_id string, title string, {MESSAGE}").alias("r")
     rows = lines.select("file", "line_no", record).select("file", "line_no", "r.*")
-    head = rows.filter("type = 'conversation'").groupBy("file", "conversation_id").agg(F.min("line_no").alias("_at"), F.min_by("title", "line_no").alias("_title"))
+    head = rows.filter("type = 'conversation'").groupBy("file", "conversation_id").agg(F.min("line_no").alias("_at"), F.min_by("title", "line_no").alias("_title"), F.count("*").alias("_heads"))
     said = rows.filter("type = 'message'").drop("title", "type").join(head, ["file", "conversation_id"], "left")
     w = Window.partitionBy("file", "conversation_id").orderBy("line_no")
-    ordered = said.withColumn("sequence", F.row_number().over(w) - 1).withColumn("_before", F.lag("timestamp").over(w))
-    fine = F.col("_at").isNotNull() & (F.col("_at") < F.col("line_no")) & (F.col("_before").isNull() | (F.try_to_timestamp("_before") <= F.try_to_timestamp("timestamp")))
-    return ordered.select("file", "conversation_id", F.col("_title").alias("title"), "sequence", "message_id", "role", "content", "timestamp", fine.alias("valid"))
+    alone = F.count("*").over(Window.partitionBy("file", "message_id")) == 1
+    at = strict_instant(F.col("timestamp"))
+    ordered = said.withColumn("sequence", F.row_number().over(w) - 1).withColumn("_at_time", at).withColumn("_before", F.lag(at).over(w)).withColumn("_alone", alone)
+    fine = F.col("_at").isNotNull() & (F.col("_at") < F.col("line_no")) & (F.col("_heads") == 1) & F.col("_alone") & F.col("_at_time").isNotNull()
+    fine = fine & (F.col("_before").isNull() | (F.col("_before") <= F.col("_at_time")))
+    return ordered.select("file", "conversation_id", F.col("_title").alias("title"), "sequence", "message_id", "role", "content", "timestamp", F.coalesce(fine, F.lit(False)).alias("valid"))
 
 
 def history_markdown(files: DataFrame) -> DataFrame:
@@ -59,7 +68,7 @@ def chat_export(exports: DataFrame) -> DataFrame:
     """Messages of node maps, in order of time and node; on_path tells the current branch from others.
 
     exports has the columns of EXPORT. The path from the current node to the root is walked inside each row's own map,
-    at most as many steps as it has nodes, so a cycle ends.
+    at most as many steps as it has nodes, so a cycle ends. Messages are in order of time, without one first, then of position.
     """
     walk = F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.size("mapping"), F.lit(1))),
@@ -67,26 +76,54 @@ def chat_export(exports: DataFrame) -> DataFrame:
         lambda a, _: F.struct(F.when(a.at.isNotNull() & ~F.array_contains(a.path, F.coalesce(a.at, F.lit(""))), F.element_at("mapping", a.at).parent).alias("at"), F.when(a.at.isNotNull() & ~F.array_contains(a.path, F.coalesce(a.at, F.lit(""))), F.array_append(a.path, a.at)).otherwise(a.path).alias("path")),
         lambda a: a.path,
     )
-    nodes = exports.withColumn("_path", walk).select("id", "title", "_path", F.explode("mapping").alias("node", "v")).filter("v.message is not null")
-    w = Window.partitionBy("id").orderBy(F.asc_nulls_last("v.message.create_time"), "node")
+    entries = exports.withColumn("_path", walk).select("id", "title", "_path", F.posexplode(F.map_entries("mapping")).alias("_pos", "e"))
+    nodes = entries.select("id", "title", "_path", "_pos", F.col("e.key").alias("node"), F.col("e.value").alias("v")).filter("v.message is not null")
+    w = Window.partitionBy("id").orderBy(F.coalesce("v.message.create_time", F.lit(0.0)), "_pos")
     return nodes.select(
         F.col("id").alias("conversation_id"), "title", (F.row_number().over(w) - 1).alias("sequence"), "node", F.col("v.message.author.role").alias("role"),
         flatten_parts(F.col("v.message.content")).alias("content"), F.timestamp_micros((F.col("v.message.create_time") * 1000000).cast("bigint")).alias("at"), F.array_contains("_path", F.col("node")).alias("on_path"),
     )
 
 
-def rollout(lines: DataFrame) -> DataFrame:
-    """Messages of session transcripts; lines: (file, line_no, value). Bad lines are skipped, and repeats: first by id, then by content.
+#: Longest line of a transcript that is read; longer ones are a program's own data (fixed value).
+LONGEST_LINE = 8 << 20
+
 
-    Messages without a zone are dropped, and numbers run from 0 again. A row that its id drops gives no content to compare with.
+def first_seen(rows: DataFrame, group: str, order: str, names: list[str]) -> DataFrame:
+    """Rows of which no name was seen on a row kept earlier in the group; a row that goes does not hide later ones.
+
+    Rows whose names are all unique in their group stay at once. Only the rest, its names alone, is walked in order, group by
+    group; a group is one file.
     """
+    long = rows.select(group, order, F.explode(F.array_distinct(F.array(*names))).alias("_name"))
+    repeated = long.groupBy(group, "_name").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    walked = long.join(repeated, [group, "_name"], "left_semi").groupBy(group, order).agg(F.collect_list("_name").alias("names"))
+
+    def walk(part):
+        seen: set[str] = set()
+        gone = []
+        for at, found in zip(*(part.sort_values(order)[c] for c in (order, "names")), strict=True):
+            if seen.isdisjoint(found):
+                seen.update(found)
+            else:
+                gone.append(at)
+        return part[part[order].isin(gone)][[group, order]]
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (group, order))
+    return rows.join(walked.groupBy(group).applyInPandas(walk, kinds), [group, order], "left_anti")
+
+
+def rollout(lines: DataFrame) -> DataFrame:
+    """Messages of session transcripts; lines: (file, line_no, value). Bad and overlong lines are skipped; the first session line
+    of a file names it. A message whose id, or whose role, text and time, was kept before goes. Messages without a zone are
+    dropped, and numbers run from 0 again."""
     record = F.from_json("value", "type string, timestamp string, payload struct<id:string,role:string,text:string>")
-    rows = lines.withColumn("r", record).filter(F.col("r.type").isNotNull())
-    session = rows.filter("r.type = 'session'").groupBy("file").agg(F.min_by("r.payload.id", "line_no").alias("session_id"))
+    rows = lines.filter(F.octet_length("value") <= LONGEST_LINE).withColumn("r", record).filter(F.col("r.type").isNotNull())
+    session = rows.filter("r.type = 'session' and r.payload.id <> ''").groupBy("file").agg(F.min_by("r.payload.id", "line_no").alias("session_id"))
     said = rows.filter("r.type = 'message'").filter(F.col("r.timestamp").rlike(r"(Z|[+-]\d{2}:?\d{2})$")).select("file", "line_no", F.col("r.timestamp").alias("timestamp"), "r.payload.*")
-    once = said.withColumn("_k", F.row_number().over(Window.partitionBy("file", F.coalesce("id", F.concat(F.lit("line:"), F.col("line_no")))).orderBy("line_no"))).filter("_k = 1")
-    digest = F.sha2(F.concat_ws("\x00", "role", "text", "timestamp"), 256)
-    once = once.withColumn("_k", F.row_number().over(Window.partitionBy("file", digest).orderBy("line_no"))).filter("_k = 1")
+    digest = F.sha2(F.concat_ws("|", "role", "text", "timestamp").cast("binary"), 256)
+    named = said.withColumn("_digest", digest).withColumn("_id", F.coalesce(F.nullif("id", F.lit("")), "_digest"))
+    once = first_seen(named, "file", "line_no", ["_id", "_digest"])
     order = Window.partitionBy("file").orderBy("line_no")
     return once.join(session, "file", "left").select("file", "session_id", (F.row_number().over(order) - 1).alias("sequence"), "id", "role", "text", "timestamp")
 
