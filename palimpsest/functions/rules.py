@@ -198,3 +198,44 @@ def masked(pairs: Column) -> Column:
 def bare_url(c: Column) -> Column:
     """A URL without user, query and fragment, as it may be shown."""
     return F.regexp_replace(F.regexp_replace(c, r"[?#][\s\S]*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@", "$1")
+
+
+#: Least percentages of the acceptance gate (fixed values).
+GATES = {"recall": 90, "citations": 95, "activation": 95, "tools": 95, "reduction": 90}
+
+
+def gate(r: dict[str, Column]) -> tuple[Column, Column, Column]:
+    """(verdict, recall, reduction) of a run's figures: FAIL for any that was measured and is too low, BLOCKED where one was not
+    measured, else PASS."""
+    recall, reduction = 100.0 * r["hits"] / r["total"], (1 - r["rendered"] / r["baseline"]) * 100
+    low = (recall < GATES["recall"]) | (reduction < GATES["reduction"])
+    for name in ("citations", "activation", "tools"):
+        low = low | (r[name] < GATES[name])
+    odd = (r["answered"] != 100) | (r["baseline"] <= 0) | (r["rendered"] > r["baseline"]) | (r["leaks"] != 0) | (r["repeated"] != 0)
+    for name in ("reviewed", "recovered"):
+        odd = odd | F.coalesce(r[name] != 100, F.lit(False))
+    open_ = r["reviewed"].isNull() | r["recovered"].isNull()
+    return F.when(low | odd, "FAIL").when(open_, "BLOCKED").otherwise("PASS"), recall, reduction
+
+
+#: Buckets of a failed question, the one that explains most first.
+BUCKETS = ["provenance", "temporal", "retrieval", "context", "fallback", "mcp"]
+
+
+def diagnosis(cases: list[tuple[Column, str, str]]) -> tuple[Column, Column]:
+    """(failures in order, first bucket) of cases (condition, failure, bucket)."""
+    bucket = F
+    for b in BUCKETS:
+        hit = F.lit(False)
+        for c, _, own in cases:
+            hit = hit | c if own == b else hit
+        bucket = bucket.when(hit, b)
+    return listed([(c, n) for c, n, _ in cases]), bucket.otherwise("")
+
+
+def review_action(blocked: Column, manual: Column, same_scope: Column, noise: Column, enough: Column) -> Column:
+    """What a review would do; the first that applies."""
+    return (
+        F.when(blocked, "blocked").when(manual, "requires_owner_review").when(same_scope, "would_append_evidence").when(noise, "would_auto_reject_noise")
+        .when(enough, "would_auto_approve").otherwise("requires_owner_review")
+    )

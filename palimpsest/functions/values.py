@@ -122,3 +122,8 @@ def distinct_first(a: Column, b: Column, n: int = 10) -> Column:
     """Distinct items of both lists that are not blank, those of a first, n at most."""
     kept = F.filter(F.transform(F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))), lambda x: F.trim(x)), lambda x: x != "")
     return F.slice(F.array_distinct(kept), 1, n)
+
+
+def holds_either(a: Column, b: Column) -> Column:
+    """Whether the longer of two texts contains the shorter."""
+    return F.when(F.length(a) >= F.length(b), F.contains(a, b)).otherwise(F.contains(b, a))

@@ -499,7 +499,11 @@ def privacy_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select("doc_id", F.when(F.col("hit"), textfns.privacy_class(text)).otherwise("private").alias("privacy"), F.when(F.col("hit"), textfns.redact(text)).otherwise(text).alias("redacted"))
 
 
-@query()
+@query("""
+with u as (select page_id, regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)(?:[?]([^#]*))?', ['s', 'h', 'p', 'q']) as u from pages),
+k as (select page_id, u, rtrim(u.p, '/') as path, array_to_string(list_sort(list_filter(string_split(u.q, '&'), lambda x: x <> '' and lower(split_part(x, '=', 1)) not in ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid'))), '&') as q from u)
+:: select page_id, lower(u.s) || '://' || lower(u.h) || case when path = '' then '/' else path end || case when q = '' then '' else '?' || q end as url from k
+""")
 def url_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", textfns.normalise_url(F.col("url")).alias("url"))
 
@@ -510,7 +514,19 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", history.page_title(html).alias("title"), F.size(history.page_links(html)).alias("links"))
 
 
-@query()
+_TAGS = "|".join(f"<{t}\\b.*?</{t}\\s*>" for t in ("script", "style", "noscript", "template", "svg"))
+_HTML_TEXT = (
+    f"regexp_replace(regexp_replace(regexp_replace(html, '(?is){_TAGS}|<!--.*?-->|<head\\b.*?</head\\s*>', ' ', 'g'), "
+    "'(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|blockquote|pre)\\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"
+)
+for _name, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _HTML_TEXT = f"replace({_HTML_TEXT}, '{_name}', '{_sign}')"
+
+
+@query(f"""
+with t as (select page_id, html, regexp_replace(regexp_replace(regexp_replace({_HTML_TEXT}, '[ \\t\\x{{00A0}}]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), '\\A\\s+|\\s+\\z', '', 'g') as text from pages)
+:: select page_id, text, case when length(text) >= 500 then 'content' when html <> '' then 'partial' else 'metadata_only' end as completeness from t
+""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "html", history.page_text(F.col("html")).alias("text"))
     return pages.select("page_id", "text", textfns.completeness(F.col("text"), F.lit(""), F.col("html")).alias("completeness"))

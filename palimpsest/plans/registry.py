@@ -21,10 +21,11 @@ def query(sql: str | None = None) -> Callable[[Builder], Builder]:
         if sql is not None:
             text = " ".join(sql.split())
             used = [f"{n} as ({e})" for n, e in CTE.items() if f" {n}" in f" {text}"]
-            own = text.removeprefix("with ") if text.startswith("with ") else None
+            word = "with recursive" if text.startswith("with recursive ") else "with"
+            own = text.removeprefix(f"{word} ") if text.startswith("with ") else None
             parts = [*used, *([own.split(" :: ", 1)[0]] if own else [])]
             rest = own.split(" :: ", 1)[1] if own else text
-            ORACLES[f.__name__] = f"with {', '.join(parts)} {rest}" if parts else rest
+            ORACLES[f.__name__] = f"{word} {', '.join(parts)} {rest}" if parts else rest
         return f
 
     return kept

@@ -140,7 +140,14 @@ def legacy_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists[0].union(lists[1]).union(lists[2]).groupBy("memory_id").agg(F.max("score").alias("score"))
 
 
-@query()
+@query("""
+with recursive r as (
+  select memory_type, memory_id, cast(ceil(length(text) / 3) as bigint) as cost, row_number() over (partition by memory_type order by authority desc, memory_id) as place
+  from (select * from memories where tier = 'core' order by authority desc, memory_id limit 60)),
+f as (select memory_type, 0::bigint as place, 0::bigint as used, false as kept, 0::bigint as memory_id from (select distinct memory_type from r)
+  union all select f.memory_type, f.place + 1, f.used + case when f.used + r.cost <= 3000 then r.cost else 0 end, f.used + r.cost <= 3000, r.memory_id from f join r on r.memory_type = f.memory_type and r.place = f.place + 1)
+:: select memory_type, memory_id, used from f where kept
+""")
 def legacy_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items by kind within a budget of three characters a token; one that is too big is skipped and later ones may still fit."""
     rows = memories(spark, sf_dir).filter("tier = 'core'").orderBy(F.desc("authority"), "memory_id").limit(60)

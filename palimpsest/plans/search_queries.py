@@ -253,7 +253,13 @@ def _pack(spark: SparkSession, sf_dir: str, budget: int, memory_of: str = "title
     return listed.select(F.posexplode(fold.ids).alias("place", "memory_id"))
 
 
-@query()
+@query("""
+with recursive k as (select *, case memory_type when 'decision' then 0 when 'preference' then 1 else 9 end as kind from (select * from memories where tier <> 'normal' order by authority desc, memory_id limit 40)),
+r as (select memory_id, length(text) as size, row_number() over (order by kind, memory_id) as place from k),
+f as (select 0::bigint as place, 0::bigint as used, false as kept, 0::bigint as memory_id
+  union all select f.place + 1, f.used + case when f.used + r.size <= 12000 then r.size else 0 end, f.used + r.size <= 12000, r.memory_id from f join r on r.place = f.place + 1)
+:: select cast(row_number() over (order by place) - 1 as int) as place, memory_id from f where kept
+""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pack(spark, sf_dir, 12_000)
 

@@ -134,6 +134,16 @@ def front_matter(text: Column, key: str) -> Column:
     return F.nullif(F.regexp_replace(F.trim(F.regexp_extract(head, rf"(?m)^{key}:[ \t]*(.*)$", 1)), r"^['\"]|['\"]$", ""), F.lit(""))
 
 
+def front_matter_list(text: Column, key: str) -> Column:
+    """A list of the front matter, written in brackets or as lines with a dash; a scalar is a list of itself."""
+    head = F.regexp_extract(text, r"\A\x{FEFF}?---\r?\n(?s:(.*?))\r?\n---\r?\n?", 1)
+    flow, lines = F.regexp_extract(head, rf"(?m)^{key}:[ \t]*\[(.*)\][ \t]*$", 1), F.regexp_extract(head, rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[^\n]*(?:\n|\z))+)", 1)
+    bare = lambda x: F.regexp_replace(F.trim(x), r"^['\"]|['\"]$", "")
+    dashed = F.transform(F.filter(F.split(lines, r"\n"), lambda x: F.trim(x) != ""), lambda x: bare(F.regexp_replace(x, r"^[ \t]*-[ \t]*", "")))
+    one = front_matter(text, key)
+    return F.when(flow != "", F.transform(F.split(flow, ","), bare)).when(lines != "", dashed).when(one.isNotNull() & (one != "[]"), F.array(one)).otherwise(F.array().cast("array<string>"))
+
+
 def body(text: Column) -> Column:
     return F.regexp_replace(text, r"\A\x{FEFF}?---\r?\n(?s:.*?)\r?\n---\r?\n?", "")
 
