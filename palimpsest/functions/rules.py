@@ -239,3 +239,8 @@ def review_action(blocked: Column, manual: Column, same_scope: Column, noise: Co
         F.when(blocked, "blocked").when(manual, "requires_owner_review").when(same_scope, "would_append_evidence").when(noise, "would_auto_reject_noise")
         .when(enough, "would_auto_approve").otherwise("requires_owner_review")
     )
+
+
+def parity_reason(used_a: Column, used_b: Column, most: Column, n_a: Column, n_b: Column, same: Column) -> Column:
+    """Why two packs are not the same, or that they are."""
+    return F.when((used_a > most) | (used_b > most) | (used_a != used_b), "bounds_mismatch").when((n_a == 0) & (n_b == 0), "retrieval_empty").when((n_a != n_b) | ~same, "schema_mismatch").otherwise("identity_and_bounds_equal")

@@ -209,3 +209,11 @@ def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0, most
 def clamped(limit: int, most: int = 50) -> int:
     """A limit of a caller that is bounded instead of refused."""
     return min(max(limit, 1), most)
+
+
+def authorised(rows: DataFrame, sources: DataFrame, source: str, exempt: Column) -> DataFrame:
+    """Rows without an automatic source, exempt ones, and those whose source is authorised now; sources: (source, status)."""
+    good = sources.filter(F.lower(F.trim("status")) == "authorized").select(source, F.lit(True).alias("_good")).distinct()
+    free = (F.trim(F.coalesce(source, F.lit(""))) == "") | exempt
+    governed = rows.filter(~free).join(good, source, "left_semi")
+    return rows.filter(free).unionByName(governed.select(*rows.columns))

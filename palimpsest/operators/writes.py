@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.textfns import redact
 from palimpsest.operators import merge
 
 
@@ -92,3 +93,15 @@ def revoke_running(scans: DataFrame, sources: DataFrame, source: str) -> DataFra
     known = sources.select(source, F.col("status").alias("_s"))
     lost = F.coalesce(F.col("_s") != "authorized", F.lit(True)) & F.col("status").isin("queued", "running")
     return scans.join(known, source, "left").withColumn("status", F.when(lost, "failed").otherwise(F.col("status"))).drop("_s")
+
+
+def content_addressed(rows: DataFrame, text: str, key: str, folder: str = "raw") -> DataFrame:
+    """(path, uses, first_id) of the files that keep each text once: named by its SHA-256, in folders of its first two digits."""
+    digest = F.sha2(F.col(text).cast("binary"), 256)
+    path = F.concat(F.lit(f"{folder}/"), F.substring(digest, 1, 2), F.lit("/"), digest)
+    return rows.groupBy(path.alias("path")).agg(F.count("*").alias("uses"), F.min(key).alias("first_id"))
+
+
+def sink(stored: DataFrame, batch: DataFrame, key: str, text: str, keep_first: tuple[str, ...] = ()) -> DataFrame:
+    """The read model after a batch: its texts masked first, so that no secret is stored, then merged by key."""
+    return merge.upsert(stored, batch.withColumn(text, redact(F.col(text))), [key], keep_first)

@@ -95,7 +95,10 @@ def raw_eviction_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.running_total(old, F.col("doc_id"), ["doc_id"], "n_chars").filter("before < budget").select("doc_id")
 
 
-@query("select job_id, path || case when job_id % 9 = 0 then chr(7) when job_id % 9 = 1 then '/../x' when job_id % 9 = 2 then '//y' else '' end as p, job_id % 9 > 2 as fine from jobs")
+@query("""
+select job_id, path || case when job_id % 9 = 0 then chr(7) when job_id % 9 = 1 then '/../x' when job_id % 9 = 2 then '//y' else '' end as p, job_id %
+  9 > 2 as fine from jobs
+""")
 def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths without a root, empty or dot parts, and control characters."""
     i = F.col("job_id") % 9
@@ -104,13 +107,18 @@ def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).select("job_id", p.alias("p"), fine.alias("fine"))
 
 
-@query("select job_id from (select job_id, row_number() over (order by made_at desc, job_id desc) as p from jobs where status = 'completed') where p <= 200")
+@query("""
+select job_id from (select job_id, row_number() over (order by made_at desc, job_id desc) as p from jobs where status = 'completed') where p <= 200
+""")
 def newest_retired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest two hundred retired ones of all stay."""
     return merge.newest(jobs(spark, sf_dir).filter("status = 'completed'"), None, [F.desc("made_at"), F.desc("job_id")], 200).select("job_id")
 
 
-@query("with n as (select source_id || ':' || k as key, min(job_id) as job_id from jobs where status = 'queued' group by 1) :: select key, job_id from n where key not in (select source_id || ':' || k from jobs where status = 'completed' and k is not null)")
+@query("""
+with n as (select source_id || ':' || k as key, min(job_id) as job_id from jobs where status = 'queued' group by 1) :: select key, job_id from n where
+  key not in (select source_id || ':' || k from jobs where status = 'completed' and k is not null)
+""")
 def idempotent_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job is queued once for its key, and not at all where the key is already known."""
     j = jobs(spark, sf_dir).withColumn("key", F.concat("source_id", F.lit(":"), F.col("k").cast("string")))
@@ -208,7 +216,10 @@ def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).select("memory_id", action.alias("action"))
 
 
-@query("select memory_type, count(*) as total, count(*) filter (where review = 'approved') as correct, case when bool_or(status = '') then null else round(count(*) filter (where review = 'approved')::double / count(*), 6) end as accuracy from memories group by memory_type")
+@query("""
+select memory_type, count(*) as total, count(*) filter (where review = 'approved') as correct, case when bool_or(status = '') then null else
+  round(count(*) filter (where review = 'approved')::double / count(*), 6) end as accuracy from memories group by memory_type
+""")
 def promotion_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Promoted as expected by category; the ratio is null while an outcome of the category is open."""
     ok = F.count_if(F.col("review") == "approved")
@@ -231,7 +242,10 @@ def rendered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).filter("tier = 'core'").select("memory_id", F.concat_ws("\n\n", F.concat(F.lit("## "), "title"), facts, body, cited).alias("section"))
 
 
-@query("select doc_id, cast(ceil(greatest(length(text) - 150, 1) / 1350.0) as int) as chunks from documents where length(text) > 1500 and not contains(text, chr(10) || chr(10)) and text = trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) and length(text) % 1350 <> 0 and length(text) % 1350 > 150")
+@query("""
+select doc_id, cast(ceil(greatest(length(text) - 150, 1) / 1350.0) as int) as chunks from documents where length(text) > 1500 and not contains(text,
+  chr(10) || chr(10)) and text = trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) and length(text) % 1350 <> 0 and length(text) % 1350 > 150
+""")
 def paragraph_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many chunks a text of one long paragraph gives by the plain rule: one every 1,350 characters."""
     n = F.length("text")
@@ -254,7 +268,10 @@ def note_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", history.front_matter(n, "id").alias("id"), history.front_matter(n, "status").alias("status"), tags.alias("tags"), F.sha2(history.body(n).cast("binary"), 256).alias("body_hash"))
 
 
-@query("select event_id, case when event_id % 3 = 0 then rtrim(left(event_type || ' ' || event_type || ' long', 9)) || '…' else event_type end as cut, lower(event_type) = 'view' as either from events")
+@query("""
+select event_id, case when event_id % 3 = 0 then rtrim(left(event_type || ' ' || event_type || ' long', 9)) || '…' else event_type end as cut,
+  lower(event_type) = 'view' as either from events
+""")
 def snippets_and_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut with an ellipsis, and whether one of two texts holds the other."""
     from palimpsest.functions.textfns import snippet
@@ -263,3 +280,76 @@ def snippets_and_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     either = values.holds_either(F.col("event_type"), F.lit("a view of it")) & (F.col("event_type") == "view")
     cut = F.when(F.col("event_id") % 3 == 0, snippet(t, 10)).otherwise(t)
     return table(spark, sf_dir, "events").select("event_id", cut.alias("cut"), either.alias("either"))
+
+
+# gateway, sinks and authority
+
+
+@query("""
+with a as (select memory_id, case when memory_id % 2 = 0 then 's' || (memory_id % 6) else '' end as source_id, tier = 'core' and review = 'approved' as own from memories)
+:: select memory_id from a where source_id = '' or own or source_id in ('s0', 's4')
+""")
+def source_authority_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that an automatic source brought are shown while that source is authorised; approved core memories and rows without such a
+    source always are."""
+    sources = spark.createDataFrame([("s0", "authorized"), ("s2", "revoked"), ("s4", "Authorized ")], "source_id string, status string")
+    rows = memories(spark, sf_dir).withColumn("source_id", F.when(F.col("memory_id") % 2 == 0, F.concat(F.lit("s"), F.col("memory_id") % 6)).otherwise(""))
+    return search.authorised(rows, sources, "source_id", (F.col("tier") == "core") & (F.col("review") == "approved")).select("memory_id")
+
+
+@query("select memory_id, valid_from from memories where privacy = 'private' order by valid_from desc nulls last, memory_id desc limit 100")
+def gateway_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's limit of 500 is clamped to what a gateway gives, and its privacy classes to those allowed."""
+    rows = memories(spark, sf_dir).filter(search.in_or_none("privacy", ["private"]))
+    return rows.orderBy(F.desc_nulls_last("valid_from"), F.desc("memory_id")).limit(search.clamped(500, 100)).select("memory_id", "valid_from")
+
+
+@query("select 'raw/' || substr(sha256(text), 1, 2) || '/' || sha256(text) as path, count(*) as uses, min(doc_id) as first_id from documents where text is not null group by 1")
+def raw_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw texts are kept once each, under the name of their digest."""
+    from palimpsest.operators import writes
+
+    return writes.content_addressed(table(spark, sf_dir, "documents").filter("text is not null"), "text", "doc_id")
+
+
+@query("select message_id, role || ' [REDACTED:email] ' || sequence as content, coalesce(sequence < 2, false) as known from messages")
+def structured_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of messages on its way into the read model: flattened, redacted, merged over what is stored."""
+    from palimpsest.operators import writes
+
+    m = messages(spark, sf_dir)
+    batch = m.select("message_id", F.concat("role", F.lit(" me"), "conversation_id", F.lit("@ex.org "), "sequence").alias("content"), F.lit(False).alias("known"))
+    stored = m.filter("sequence < 2").select("message_id", F.lit("old").alias("content"), F.lit(True).alias("known"))
+    return writes.sink(stored, batch, "message_id", "content", keep_first=("known",))
+
+
+@query("""
+with p as (select project, count(*) as a, count(*) filter (where tier <> 'core' or memory_id % 2 = 0) as b, cast(sum(length(title)) as bigint) as used_a, cast(sum(length(title)) as bigint) + case when project = 'p2' then 1 else 0 end as used_b, case when project = 'p1' then 10 else 100000000 end as most from memories group by project)
+:: select project, case when used_a > most or used_b > most or used_a <> used_b then 'bounds_mismatch' when a = 0 and b = 0 then 'retrieval_empty' when a <> b then 'schema_mismatch' else 'identity_and_bounds_equal' end as reason from p
+""")
+def pack_parity_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why two packs differ; bounds come before contents. Contents are compared by counts and sums of digests, not by lists."""
+    digest = F.xxhash64("memory_id").cast("decimal(38,0)")
+    in_b = (F.col("tier") != "core") | (F.col("memory_id") % 2 == 0)
+    used = F.sum(F.length("title"))
+    p = memories(spark, sf_dir).groupBy("project").agg(F.count("*").alias("a"), F.count_if(in_b).alias("b"), F.sum(digest).alias("da"), F.sum(F.when(in_b, digest)).alias("db"), used.alias("used"))
+    more = F.when(F.col("project") == "p2", 1).otherwise(0)
+    most = F.when(F.col("project") == "p1", 10).otherwise(100_000_000)
+    return p.select("project", rules.parity_reason(F.col("used"), F.col("used") + more, most, F.col("a"), F.col("b"), F.col("da").eqNullSafe(F.col("db"))).alias("reason"))
+
+
+@query("""
+with l as (select 'u' || user_id as session, event_id, case when event_id % 50 = 0 then null else event_type end as type, epoch_us(ts) as at from events where event_id % 41 <> 0) ::
+select session, count(*) filter (where type is not null) as n, count(*) filter (where type is null) as unread, max(case when type is not null then at end) as last_at from l group by session
+""")
+def session_event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event files, one a session, as JSON lines: broken lines are counted and left out; blank lines are nothing."""
+    from palimpsest.functions.timefns import micros
+    from palimpsest.sources import records
+
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    line = F.when(i % 41 == 0, "  ").when(i % 50 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("event_type").alias("type"), micros(F.col("ts")).alias("at"))))
+    lines = e.select(F.concat(F.lit("u"), "user_id").alias("file"), i.alias("line_no"), line.alias("value"))
+    told = records.event_lines(lines, "type string, at bigint")
+    return told.groupBy(F.col("file").alias("session")).agg(F.count("r.type").alias("n"), F.count_if(F.col("r.type").isNull()).alias("unread"), F.max("r.at").alias("last_at"))

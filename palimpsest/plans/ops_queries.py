@@ -16,22 +16,36 @@ from palimpsest.sources import chunking, history
 # queues and jobs
 
 
-@query("with st as (select unnest(['queued', 'running', 'retrying', 'completed', 'failed', 'cancelled']) as status) :: select st.status, count(j.job_id) as n from st left join jobs j on j.status = st.status group by st.status")
+@query("""
+with st as (select unnest(['queued', 'running', 'retrying', 'completed', 'failed', 'cancelled']) as status) :: select st.status, count(j.job_id) as n
+  from st left join jobs j on j.status = st.status group by st.status
+""")
 def jobs_by_status_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.status_counts(jobs(spark, sf_dir), "status", [*ops.JOB_STATUSES, "cancelled"])
 
 
-@query("select scan, count(*) filter (where status = 'queued') as queued, count(*) filter (where status = 'running') as running, count(*) filter (where status = 'retrying') as retrying, count(*) filter (where status = 'completed') as completed, count(*) filter (where status = 'failed') as failed from jobs group by scan")
+@query("""
+select scan, count(*) filter (where status = 'queued') as queued, count(*) filter (where status = 'running') as running, count(*) filter (where status
+  = 'retrying') as retrying, count(*) filter (where status = 'completed') as completed, count(*) filter (where status = 'failed') as failed from jobs
+  group by scan
+""")
 def jobs_by_scan_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.pivot_counts(jobs(spark, sf_dir), "scan", "status", ops.JOB_STATUSES)
 
 
-@query("select path, job_id, status from (select *, row_number() over (partition by path order by made_at desc, job_id desc) as p from jobs) where p = 1")
+@query("""
+select path, job_id, status from (select *, row_number() over (partition by path order by made_at desc, job_id desc) as p from jobs) where p = 1
+""")
 def latest_job_per_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.latest(jobs(spark, sf_dir).select("path", "job_id", "status", "made_at"), ["path"], ["made_at", "job_id"]).select("path", "job_id", "status")
 
 
-@query("with last as (select * from (select *, row_number() over (partition by path order by made_at desc, job_id desc) as p from jobs) where p = 1) :: select count(*) as total, count(*) filter (where status = 'queued') + count(*) filter (where status = 'retrying') + count(*) filter (where status = 'running') as pending, count(*) filter (where status = 'completed') as completed, count(*) filter (where status = 'failed') as failed, cast(sum(k) as bigint) as items from last")
+@query("""
+with last as (select * from (select *, row_number() over (partition by path order by made_at desc, job_id desc) as p from jobs) where p = 1) :: select
+  count(*) as total, count(*) filter (where status = 'queued') + count(*) filter (where status = 'retrying') + count(*) filter (where status =
+  'running') as pending, count(*) filter (where status = 'completed') as completed, count(*) filter (where status = 'failed') as failed, cast(sum(k)
+  as bigint) as items from last
+""")
 def job_facts_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = merge.latest(jobs(spark, sf_dir).select("path", "job_id", "status", "made_at", "k"), ["path"], ["made_at", "job_id"])
     is_ = lambda *s: F.count_if(F.col("status").isin(*s))
@@ -52,17 +66,27 @@ def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).filter("status in ('failed', 'retrying')").withColumn("failure", textfns.failure_key(F.col("source_id"), F.col("stage"), reason))
 
 
-@query(f"with f as (select *, {_KEY} as failure from jobs where status in ('failed', 'retrying')), d as (select *, row_number() over (partition by failure order by job_id) as place from f) :: select failure, count(*) as n, min(made_at) as first_at, max(made_at) as last_at, max(attempts) as max_attempts, string_agg(cast(job_id as varchar), ',' order by job_id) filter (where place <= 5) as ids from d group by failure")
+@query(f"""
+with f as (select *, {_KEY} as failure from jobs where status in ('failed', 'retrying')), d as (select *, row_number() over (partition by failure
+  order by job_id) as place from f) :: select failure, count(*) as n, min(made_at) as first_at, max(made_at) as last_at, max(attempts) as
+  max_attempts, string_agg(cast(job_id as varchar), ',' order by job_id) filter (where place <= 5) as ids from d group by failure
+""")
 def failure_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.failures(_failed(spark, sf_dir), ["failure"], id_col="job_id")
 
 
-@query(f"with f as (select *, {_KEY} as failure from jobs where status in ('failed', 'retrying')) :: select failure, count(*) as n from f group by failure having count(*) > 2")
+@query(f"""
+with f as (select *, {_KEY} as failure from jobs where status in ('failed', 'retrying')) :: select failure, count(*) as n from f group by failure
+  having count(*) > 2
+""")
 def repeated_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _failed(spark, sf_dir).groupBy("failure").agg(F.count("*").alias("n")).filter("n > 2")
 
 
-@query("select source_id, job_id, cast(merged as bigint) as merged from (select source_id, job_id, count(*) over (partition by source_id) - 1 as merged, row_number() over (partition by source_id order by made_at, job_id) as p from jobs where status = 'failed') where p = 1")
+@query("""
+select source_id, job_id, cast(merged as bigint) as merged from (select source_id, job_id, count(*) over (partition by source_id) - 1 as merged,
+  row_number() over (partition by source_id order by made_at, job_id) as p from jobs where status = 'failed') where p = 1
+""")
 def failed_items_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jobs(spark, sf_dir).filter("status = 'failed'").select("source_id", "job_id", "made_at")
     return ops.collapse(rows, "source_id", ["made_at", "job_id"]).select("source_id", "job_id", "merged")
@@ -71,12 +95,21 @@ def failed_items_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [(["unauthorized", "401", "login"], "credentials"), (["disk full", "no space"], "storage")]
 
 
-@query("select job_id, case when retryable then 'system' when contains(lower(reason), 'unauthorized') or contains(lower(reason), '401') or contains(lower(reason), 'login') then 'owner:credentials' when contains(lower(reason), 'disk full') or contains(lower(reason), 'no space') then 'owner:storage' else 'system' end as actor from jobs where status = 'failed'")
+@query("""
+select job_id, case when retryable then 'system' when contains(lower(reason), 'unauthorized') or contains(lower(reason), '401') or
+  contains(lower(reason), 'login') then 'owner:credentials' when contains(lower(reason), 'disk full') or contains(lower(reason), 'no space') then
+  'owner:storage' else 'system' end as actor from jobs where status = 'failed'
+""")
 def owner_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).filter("status = 'failed'").select("job_id", ops.owner_routing(F.col("reason"), F.col("retryable"), RULES).alias("actor"))
 
 
-@query("with c as (select count(*) as n, count(*) filter (where status <> 'queued') as s1, count(*) filter (where status in ('completed', 'failed')) as s2, count(*) filter (where status = 'completed') as s3 from jobs), u as (select 'started' as step, s1 as done, n from c union all select 'finished', s2, n from c union all select 'kept', s3, n from c) :: select step, done, cast(greatest(0, least(100, round_even(done * 100.0::double / n, 0))) as int) as percent from u")
+@query("""
+with c as (select count(*) as n, count(*) filter (where status <> 'queued') as s1, count(*) filter (where status in ('completed', 'failed')) as s2,
+  count(*) filter (where status = 'completed') as s3 from jobs), u as (select 'started' as step, s1 as done, n from c union all select 'finished', s2,
+  n from c union all select 'kept', s3, n from c) :: select step, done, cast(greatest(0, least(100, round_even(done * 100.0::double / n, 0))) as int)
+  as percent from u
+""")
 def pipeline_steps_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("status")
     one = jobs(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(s != "queued").alias("started"), F.count_if(s.isin("completed", "failed")).alias("finished"), F.count_if(s == "completed").alias("kept"))
@@ -101,7 +134,10 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).filter("status = 'retrying'").select("job_id", backoff_seconds(F.col("attempts")).alias("wait"))
 
 
-@query("select source_id, job_id from (select source_id, job_id, row_number() over (partition by source_id order by made_at desc, job_id desc) as p from jobs) where p <= 5")
+@query("""
+select source_id, job_id from (select source_id, job_id, row_number() over (partition by source_id order by made_at desc, job_id desc) as p from jobs)
+  where p <= 5
+""")
 def keep_newest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.newest(jobs(spark, sf_dir).select("source_id", "job_id", "made_at"), ["source_id"], [F.desc("made_at"), F.desc("job_id")], 5).select("source_id", "job_id")
 
@@ -112,13 +148,20 @@ def event_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(rows.agg(F.max("job_id").alias("m")))).filter("job_id > m - 500").select("job_id")
 
 
-@query("with w as (select doc_id, sum(n_chars) over (order by doc_id rows unbounded preceding) - n_chars as before, sum(n_chars) over () as total from documents) :: select doc_id from w where total - before > 1000000")
+@query("""
+with w as (select doc_id, sum(n_chars) over (order by doc_id rows unbounded preceding) - n_chars as before, sum(n_chars) over () as total from
+  documents) :: select doc_id from w where total - before > 1000000
+""")
 def storage_cap_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return merge.evict(docs, F.col("doc_id"), ["doc_id"], "n_chars", 1_000_000).select("doc_id")
 
 
-@query("with r as (select doc_id, n_chars, row_number() over (partition by n_chars >= 1000 order by doc_id desc) as p from documents where doc_id % 7 <> 0), e as (select doc_id, n_chars from r where p > 100), w as (select doc_id, sum(n_chars) over (order by doc_id rows unbounded preceding) - n_chars as before from e) :: select doc_id from w where before < 200000")
+@query("""
+with r as (select doc_id, n_chars, row_number() over (partition by n_chars >= 1000 order by doc_id desc) as p from documents where doc_id % 7 <> 0), e
+  as (select doc_id, n_chars from r where p > 100), w as (select doc_id, sum(n_chars) over (order by doc_id rows unbounded preceding) - n_chars as
+  before from e) :: select doc_id from w where before < 200000
+""")
 def raw_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oldest first until enough is freed; protected ids and the newest of each size class stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
@@ -130,7 +173,10 @@ def raw_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.running_total(eligible, F.col("doc_id"), ["doc_id"], "n_chars").filter("before < 200000").select("doc_id")
 
 
-@query("select user_id, min(epoch_us(ts)) as started, max(epoch_us(ts)) as last_at, count(*) as n, arg_min(event_type, struct_pack(a := ts, b := event_id)) as first_type, arg_max(event_type, struct_pack(a := ts, b := event_id)) as last_type from events group by user_id")
+@query("""
+select user_id, min(epoch_us(ts)) as started, max(epoch_us(ts)) as last_at, count(*) as n, arg_min(event_type, struct_pack(a := ts, b := event_id)) as
+  first_type, arg_max(event_type, struct_pack(a := ts, b := event_id)) as last_type from events group by user_id
+""")
 def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     at = micros(F.col("ts"))
@@ -138,7 +184,10 @@ def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.min(at).alias("started"), F.max(at).alias("last_at"), F.count("*").alias("n"), F.min_by("event_type", order).alias("first_type"), F.max_by("event_type", order).alias("last_type"))
 
 
-@query("select path, status, attempts from (select path, status, attempts, row_number() over (partition by path order by made_at desc, attempts desc, job_id desc) as p from jobs) where p = 1")
+@query("""
+select path, status, attempts from (select path, status, attempts, row_number() over (partition by path order by made_at desc, attempts desc, job_id
+  desc) as p from jobs) where p = 1
+""")
 def late_event_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.latest(jobs(spark, sf_dir).select("path", "status", "attempts", "made_at", "job_id"), ["path"], ["made_at", "attempts", "job_id"]).select("path", "status", "attempts")
 
@@ -149,13 +198,20 @@ def cursor_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).filter("job_id > 500").orderBy("job_id").limit(101).select("job_id", "status")
 
 
-@query("select stage as action, count(*) as n, count(*) filter (where attempts >= 4) as high from (select * from jobs order by job_id desc limit 1000) group by stage")
+@query("""
+select stage as action, count(*) as n, count(*) filter (where attempts >= 4) as high from (select * from jobs order by job_id desc limit 1000) group
+  by stage
+""")
 def review_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = jobs(spark, sf_dir).orderBy(F.desc("job_id")).limit(1000)
     return last.groupBy(F.col("stage").alias("action")).agg(F.count("*").alias("n"), F.count_if(F.col("attempts") >= 4).alias("high"))
 
 
-@query("with o as (select event_id, user_id, md5(cast(event_id as varchar)) as own, lag(md5(cast(event_id as varchar))) over (partition by user_id order by event_id) as prev from events), s as (select *, case when event_id % 97 = 0 then 'broken' else prev end as stored from o) :: select event_id from s where stored is distinct from prev")
+@query("""
+with o as (select event_id, user_id, md5(cast(event_id as varchar)) as own, lag(md5(cast(event_id as varchar))) over (partition by user_id order by
+  event_id) as prev from events), s as (select *, case when event_id % 97 = 0 then 'broken' else prev end as stored from o) :: select event_id from s
+  where stored is distinct from prev
+""")
 def hash_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.md5(F.col("event_id").cast("string").cast("binary")).alias("own"))
     before = F.lag("own").over(Window.partitionBy("user_id").orderBy("event_id"))
@@ -171,7 +227,10 @@ def conversation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).groupBy("conversation_id").agg(F.count("*").alias("turns"), F.sum(F.length("content")).cast("bigint").alias("chars"))
 
 
-@query("with g as (select conversation_id, count(*) as turns, cast(sum(length(content)) as bigint) as chars, bool_or(regexp_matches(content, 'heed|[0-9]{4}')) as signal from messages where content <> '' group by conversation_id) :: select *, not (turns < 4 and chars < 900 and not signal) as approved from g")
+@query("""
+with g as (select conversation_id, count(*) as turns, cast(sum(length(content)) as bigint) as chars, bool_or(regexp_matches(content, 'heed|[0-9]{4}'))
+  as signal from messages where content <> '' group by conversation_id) :: select *, not (turns < 4 and chars < 900 and not signal) as approved from g
+""")
 def value_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.value_gate(messages(spark, sf_dir), "conversation_id", "content", 4, 900, "heed|[0-9]{4}")
 
@@ -211,7 +270,10 @@ def pending_distillation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(d, "conversation_id", "left").filter("n_at is null or n_at <> n").select("conversation_id", "n")
 
 
-@query("select conversation_id, count(*) as n, min(sequence) = 0 and max(sequence) = count(*) - 1 and count(distinct sequence) = count(*) as contiguous from messages group by conversation_id")
+@query("""
+select conversation_id, count(*) as n, min(sequence) = 0 and max(sequence) = count(*) - 1 and count(distinct sequence) = count(*) as contiguous from
+  messages group by conversation_id
+""")
 def ordinal_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.contiguity(messages(spark, sf_dir), "conversation_id", "sequence")
 
@@ -234,7 +296,10 @@ def ref_resolution_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.unique_resolution([m.select(k.alias("ref"), "message_id") for k in keys], "ref", "message_id")
 
 
-@query("select j.job_id from jobs j where not exists (select 1 from messages m where m.conversation_id = j.job_id) and not exists (select 1 from memories d where d.title = 'src' || cast(j.job_id % 40 as varchar))")
+@query("""
+select j.job_id from jobs j where not exists (select 1 from messages m where m.conversation_id = j.job_id) and not exists (select 1 from memories d
+  where d.title = 'src' || cast(j.job_id % 40 as varchar))
+""")
 def retired_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = jobs(spark, sf_dir).select("job_id", F.concat(F.lit("src"), F.col("job_id") % 40).alias("title"))
     return j.join(messages(spark, sf_dir).select(F.col("conversation_id").alias("job_id")), "job_id", "left_anti").join(memories(spark, sf_dir).select("title"), "title", "left_anti").select("job_id")
@@ -246,7 +311,10 @@ def vector_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.missing(table(spark, sf_dir, "embeddings").select("vec_id"), docs, "vec_id")
 
 
-@query("select count(*) as expected, count(v.vec_id) as indexed, count(*) - count(v.vec_id) as missing, round(count(v.vec_id)::double / count(*), 6) as ratio from documents d left join embeddings v on v.vec_id = d.doc_id")
+@query("""
+select count(*) as expected, count(v.vec_id) as indexed, count(*) - count(v.vec_id) as missing, round(count(v.vec_id)::double / count(*), 6) as ratio
+  from documents d left join embeddings v on v.vec_id = d.doc_id
+""")
 def vector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.coverage(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
@@ -332,13 +400,21 @@ def evidence_sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.agg(is_("add").alias("added"), (2 * is_("supersede") + is_("repair")).alias("updated"), F.count_if(F.startswith("action", F.lit("archive:"))).alias("removed"), is_("unchanged").alias("unchanged"))
 
 
-@query("select memory_id, cast(row_number() over (partition by title order by importance, memory_id) as int) as version, lead(memory_id) over (partition by title order by importance, memory_id) as valid_to, case when lead(memory_id) over (partition by title order by importance, memory_id) is null then 'active' else 'superseded' end as state from memories")
+@query("""
+select memory_id, cast(row_number() over (partition by title order by importance, memory_id) as int) as version, lead(memory_id) over (partition by
+  title order by importance, memory_id) as valid_to, case when lead(memory_id) over (partition by title order by importance, memory_id) is null then
+  'active' else 'superseded' end as state from memories
+""")
 def scd2_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = memories(spark, sf_dir).select("memory_id", "title", "importance")
     return merge.close_versions(rows, "title", ["importance", "memory_id"], "memory_id").select("memory_id", "version", "valid_to", "state")
 
 
-@query("select coalesce(n.k, o.k) as k, coalesce(o.created, n.created) as created, case when n.k is not null then n.title else o.title end as title from (select memory_id as k, memory_id as created, title from memories where memory_id % 2 = 0) o full join (select memory_id as k, memory_id + 1000 as created, tags as title from memories where memory_id % 3 = 0) n on n.k = o.k")
+@query("""
+select coalesce(n.k, o.k) as k, coalesce(o.created, n.created) as created, case when n.k is not null then n.title else o.title end as title from
+  (select memory_id as k, memory_id as created, title from memories where memory_id % 2 = 0) o full join (select memory_id as k, memory_id + 1000 as
+  created, tags as title from memories where memory_id % 3 = 0) n on n.k = o.k
+""")
 def upsert_keeps_created(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = memories(spark, sf_dir)
     old = rows.filter("memory_id % 2 = 0").select(F.col("memory_id").alias("k"), F.col("memory_id").alias("created"), "title")
@@ -346,7 +422,10 @@ def upsert_keeps_created(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.upsert(old, new, ["k"], keep_first=("created",))
 
 
-@query("select n_nationkey, case when n_nationkey % 3 = 0 then 'own' else r_name end as privacy, n_nationkey % 3 <> 0 as privacy_inherited from nation join region on r_regionkey = n_regionkey")
+@query("""
+select n_nationkey, case when n_nationkey % 3 = 0 then 'own' else r_name end as privacy, n_nationkey % 3 <> 0 as privacy_inherited from nation join
+  region on r_regionkey = n_regionkey
+""")
 def inherited_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     child = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("parent"), F.when(F.col("n_nationkey") % 3 == 0, "own").alias("privacy"))
     parent = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("parent"), F.col("r_name").alias("privacy"))
@@ -358,12 +437,18 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text is not null").groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("first_id", "n")
 
 
-@query("select min(doc_id) as first_id, count(*) as n from documents group by trim(regexp_replace(regexp_replace(lower(trim(coalesce(text, ''))), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) having count(*) > 1")
+@query("""
+select min(doc_id) as first_id, count(*) as n from documents group by trim(regexp_replace(regexp_replace(lower(trim(coalesce(text, ''))),
+  '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) having count(*) > 1
+""")
 def dup_normalised_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(textfns.content_hash(F.col("text"))).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("first_id", "n")
 
 
-@query("select a.memory_id, min(b.memory_id) as other from memories a join memories b on a.title = b.title and a.memory_type = b.memory_type and a.tier <> b.tier group by a.memory_id")
+@query("""
+select a.memory_id, min(b.memory_id) as other from memories a join memories b on a.title = b.title and a.memory_type = b.memory_type and a.tier <>
+  b.tier group by a.memory_id
+""")
 def title_conflict_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least id of the same title and type in another tier.
 
@@ -376,7 +461,10 @@ def title_conflict_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(known, ["title", "memory_type"]).select("memory_id", other.alias("other")).filter("other is not null")
 
 
-@query("select count(*) as documents, count(*) filter (where text is null or trim(text) = '') as emptied, count(distinct doc_id) as ids, (select count(*) from labels l where not exists (select 1 from documents d where d.doc_id = l.doc_id)) as orphan_labels from documents")
+@query("""
+select count(*) as documents, count(*) filter (where text is null or trim(text) = '') as emptied, count(distinct doc_id) as ids, (select count(*) from
+  labels l where not exists (select 1 from documents d where d.doc_id = l.doc_id)) as orphan_labels from documents
+""")
 def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     one = d.agg(F.count("*").alias("documents"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("emptied"), F.count_distinct("doc_id").alias("ids"))
@@ -386,7 +474,10 @@ def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # review and evaluation
 
 
-@query("select doc_id, cast(least(100, pts) as int) as score, case when pts >= 90 then 'critical' when pts >= 60 then 'high' when pts >= 25 then 'medium' else 'low' end as level from (select doc_id, toxic * 75 + (1 - quality) * 30 + 5 as pts from labels)")
+@query("""
+select doc_id, cast(least(100, pts) as int) as score, case when pts >= 90 then 'critical' when pts >= 60 then 'high' when pts >= 25 then 'medium' else
+  'low' end as level from (select doc_id, toxic * 75 + (1 - quality) * 30 + 5 as pts from labels)
+""")
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     score, level = ops.capped_risk(F.array(F.col("toxic") * 75, (1 - F.col("quality")) * 30, F.lit(5)))
     return table(spark, sf_dir, "labels").select("doc_id", score.alias("score"), level.alias("level"))
@@ -409,7 +500,11 @@ def hard_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(memories(spark, sf_dir)).select("memory_id", F.array_join("findings", ",").alias("findings"))
 
 
-@query(f"with f as (select *, {_FOUND} as found from memories) :: select memory_id, case when contains(found, 'schema_invalid') then 'blocked' when found <> '' then 'requires_owner_review' when memory_id % 10 = 3 then 'would_append_evidence' when length(text) < 60 then 'would_auto_reject_noise' when importance >= 3 then 'would_auto_approve' else 'requires_owner_review' end as action from f")
+@query(f"""
+with f as (select *, {_FOUND} as found from memories) :: select memory_id, case when contains(found, 'schema_invalid') then 'blocked' when found <> ''
+  then 'requires_owner_review' when memory_id % 10 = 3 then 'would_append_evidence' when length(text) < 60 then 'would_auto_reject_noise' when
+  importance >= 3 then 'would_auto_approve' else 'requires_owner_review' end as action from f
+""")
 def review_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _findings(memories(spark, sf_dir))
     action = (
@@ -419,7 +514,11 @@ def review_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("memory_id", action.alias("action"))
 
 
-@query("select memory_id, round(weight * 0.35::double + (case tier when 'core' then 0.3 when 'pinned' then 0.2 else 0.1 end)::double * 0.25::double + greatest(0, 1 - (importance - 1) * 0.15::double) * 0.15::double + (case when importance <= 2 then 0.85 when importance <= 3 then 0.65 else 0.35 end)::double * 0.25::double, 4) as score from memories")
+@query("""
+select memory_id, round(weight * 0.35::double + (case tier when 'core' then 0.3 when 'pinned' then 0.2 else 0.1 end)::double * 0.25::double +
+  greatest(0, 1 - (importance - 1) * 0.15::double) * 0.15::double + (case when importance <= 2 then 0.85 when importance <= 3 then 0.65 else 0.35
+  end)::double * 0.25::double, 4) as score from memories
+""")
 def decision_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     speed = F.when(F.col("tier") == "core", "fast").when(F.col("tier") == "pinned", "mid").otherwise("slow")
     return memories(spark, sf_dir).select("memory_id", ops.decision_score(F.col("weight"), speed, F.col("importance")).alias("score"))
@@ -439,19 +538,29 @@ def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("g").agg(F.count("*").alias("expected"), F.count("hit").alias("found")).withColumn("recall", F.round(F.col("found") / F.col("expected"), 6))
 
 
-@query("with m as (select avg(quality::double) as recall, avg(toxic::double) as pollution, count(*) as n from labels) :: select case when recall < 0.5 or pollution > 0.5 then 'FAIL' when n < 100 then 'BLOCKED' else 'PASS' end as verdict from m")
+@query("""
+with m as (select avg(quality::double) as recall, avg(toxic::double) as pollution, count(*) as n from labels) :: select case when recall < 0.5 or
+  pollution > 0.5 then 'FAIL' when n < 100 then 'BLOCKED' else 'PASS' end as verdict from m
+""")
 def eval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A measured failure comes before a missing measurement."""
     m = table(spark, sf_dir, "labels").agg(F.avg("quality").alias("recall"), F.avg("toxic").alias("pollution"), F.count("*").alias("n"))
     return m.select(F.when((F.col("recall") < 0.5) | (F.col("pollution") > 0.5), "FAIL").when(F.col("n") < 100, "BLOCKED").otherwise("PASS").alias("verdict"))
 
 
-@query("select n_chars as value from (select n_chars, row_number() over (order by n_chars) - 1 as i, count(*) over () as n from documents) where i = cast(floor(n * 0.95::double) as bigint)")
+@query("""
+select n_chars as value from (select n_chars, row_number() over (order by n_chars) - 1 as i, count(*) over () as n from documents) where i =
+  cast(floor(n * 0.95::double) as bigint)
+""")
 def percentile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.indexed_percentile(table(spark, sf_dir, "documents"), "n_chars", 0.95)
 
 
-@query("with o as (select item_id, row_number() over (order by item_id) as i from benchmark), d as (select doc_id, row_number() over (order by doc_id) as i from labels) :: select count(*) as positions, count(*) filter (where o.i is null) as extra, count(*) filter (where d.i is null) as missing, count(*) filter (where o.item_id = d.doc_id) as same from o full join d on d.i = o.i")
+@query("""
+with o as (select item_id, row_number() over (order by item_id) as i from benchmark), d as (select doc_id, row_number() over (order by doc_id) as i
+  from labels) :: select count(*) as positions, count(*) filter (where o.i is null) as extra, count(*) filter (where d.i is null) as missing, count(*)
+  filter (where o.item_id = d.doc_id) as same from o full join d on d.i = o.i
+""")
 def import_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected and stored rows compared by position; positions come from a partitioned count, not one global window."""
     def placed(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -461,7 +570,10 @@ def import_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(d, "i", "full_outer").agg(F.count("*").alias("positions"), F.count_if(F.col("o").isNull()).alias("extra"), F.count_if(F.col("d").isNull()).alias("missing"), F.count_if(F.col("o") == F.col("d")).alias("same"))
 
 
-@query("with f as (select conflict_key, min(memory_id) as first_at from memories where conflict_key <> '' group by conflict_key order by first_at limit 4) :: select m.memory_id, m.conflict_key from memories m join f using (conflict_key) where m.tier = 'core'")
+@query("""
+with f as (select conflict_key, min(memory_id) as first_at from memories where conflict_key <> '' group by conflict_key order by first_at limit 4) ::
+  select m.memory_id, m.conflict_key from memories m join f using (conflict_key) where m.tier = 'core'
+""")
 def select_facts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of the first four distinct facts, in the order in which facts first occur."""
     rows = memories(spark, sf_dir).filter("conflict_key <> ''")
@@ -485,7 +597,11 @@ def pack_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # text and sources
 
 
-@query("select doc_id, cast(len(regexp_extract_all(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b')) as int) as email, cast(len(regexp_extract_all(text, '\\b[0-9a-f]{32}\\.[A-Za-z0-9_-]{8,32}\\b')) as int) as credential_pair, cast(len(regexp_extract_all(text, '(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]{16,}')) as int) as bearer_token from documents")
+@query("""
+select doc_id, cast(len(regexp_extract_all(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b')) as int) as email,
+  cast(len(regexp_extract_all(text, '\\b[0-9a-f]{32}\\.[A-Za-z0-9_-]{8,32}\\b')) as int) as credential_pair, cast(len(regexp_extract_all(text,
+  '(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]{16,}')) as int) as bearer_token from documents
+""")
 def privacy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = textfns.privacy_counts(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", *(counts[k].alias(k) for k in ("email", "credential_pair", "bearer_token")))
@@ -542,6 +658,8 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", textfns.preview(F.col("text")).alias("preview"), F.length("text").alias("n"))
 
 
-@query("select lang, count(*) as n, cast(sum(n_chars) as bigint) as chars, min(n_chars) as shortest, max(n_chars) as longest from documents group by lang")
+@query("""
+select lang, count(*) as n, cast(sum(n_chars) as bigint) as chars, min(n_chars) as shortest, max(n_chars) as longest from documents group by lang
+""")
 def storage_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))

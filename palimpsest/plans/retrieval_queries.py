@@ -34,7 +34,10 @@ def _best_lexical(terms: list[str], limit: int, stored: str = _STORED) -> str:
 lex as (select chunk_id, row_number() over (order by bm25, chunk_id) as rank from best where chunk_id in (select memory_id from ({_reason_sql('current')}) where reason = 'currently_valid'))"""
 
 
-@query(f"with {_find_sql(_best_lexical(['heed', 'tion'], 10), ['heed', 'tion'], 10)} :: select chunk_id, retrieval_score, channel, cast(place as int) as place from found")
+@query(f"""
+with {_find_sql(_best_lexical(['heed', 'tion'], 10), ['heed', 'tion'], 10)} :: select chunk_id, retrieval_score, channel, cast(place as int) as place
+  from found
+""")
 def search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(memories(spark, sf_dir))
     found = retrieval.find(rows, table(spark, sf_dir, "embeddings"), '"heed"  tion', QUERY_VECTOR, 10, FILTERS)

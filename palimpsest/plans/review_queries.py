@@ -12,13 +12,19 @@ from palimpsest.plans.search_queries import QUERY_VECTOR, _vector_sql
 from palimpsest.plans.tables import jobs, memories, messages, spread, table
 
 
-@query("select project, count(*) as n, case when bool_or(status = '') then null else count(*) filter (where status = 'active') end as active from memories group by project")
+@query("""
+select project, count(*) as n, case when bool_or(status = '') then null else count(*) filter (where status = 'active') end as active from memories
+  group by project
+""")
 def card_summary_unmeasured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A figure is null where any of its rows was not measured."""
     return memories(spark, sf_dir).groupBy("project").agg(F.count("*").alias("n"), review.unless_unknown(F.col("status") == "", F.count_if(F.col("status") == "active")).alias("active"))
 
 
-@query("select source_id, case when count(*) filter (where status = 'failed') * 2 > count(*) then 'failing' when bool_or(status = 'failed') then 'degraded' else 'healthy' end as health from jobs group by source_id")
+@query("""
+select source_id, case when count(*) filter (where status = 'failed') * 2 > count(*) then 'failing' when bool_or(status = 'failed') then 'degraded'
+  else 'healthy' end as health from jobs group by source_id
+""")
 def overall_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.count_if(F.col("status") == "failed")
     return jobs(spark, sf_dir).groupBy("source_id").agg(F.when(failed * 2 > F.count("*"), "failing").when(failed > 0, "degraded").otherwise("healthy").alias("health"))
@@ -29,20 +35,29 @@ def first_title_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).groupBy("title").agg(F.min_by("memory_id", F.struct("importance", "memory_id")).alias("owner"))
 
 
-@query("select day, cast(n as bigint) as promoted, n >= 10 as limit_reached from (select cast(made_at // 86400000000 as bigint) as day, count(*) as n from jobs where status = 'completed' group by 1)")
+@query("""
+select day, cast(n as bigint) as promoted, n >= 10 as limit_reached from (select cast(made_at // 86400000000 as bigint) as day, count(*) as n from
+  jobs where status = 'completed' group by 1)
+""")
 def daily_promotion_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = jobs(spark, sf_dir).filter("status = 'completed'").groupBy(F.floor(F.col("made_at") / 86_400_000_000).alias("day")).agg(F.count("*").alias("promoted"))
     return done.withColumn("limit_reached", F.col("promoted") >= 10)
 
 
-@query("with r as (select title, memory_id, row_number() over (partition by title order by importance desc, memory_id desc) as place, count(*) over (partition by title) as n from memories) :: select title, memory_id, n from r where place <= 8")
+@query("""
+with r as (select title, memory_id, row_number() over (partition by title order by importance desc, memory_id desc) as place, count(*) over (partition
+  by title) as n from memories) :: select title, memory_id, n from r where place <= 8
+""")
 def newest_notes_per_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = memories(spark, sf_dir).select("title", "memory_id", "importance")
     n = rows.groupBy("title").agg(F.count("*").alias("n"))
     return merge.newest(rows, ["title"], [F.desc("importance"), F.desc("memory_id")], 8).join(n, "title").select("title", "memory_id", "n")
 
 
-@query("select count(*) as n, count(*) - count(distinct sha256(text)) as repeated, count(*) - count(distinct doc_id) as repeated_ids from documents where text is not null")
+@query("""
+select count(*) as n, count(*) - count(distinct sha256(text)) as repeated, count(*) - count(distinct doc_id) as repeated_ids from documents where text
+  is not null
+""")
 def duplicate_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text is not null")
     return docs.agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct(F.sha2(F.col("text").cast("binary"), 256))).alias("repeated"), (F.count("*") - F.count_distinct("doc_id")).alias("repeated_ids"))
@@ -59,20 +74,29 @@ def rounds_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(rows.groupBy("path").agg(F.count("*").alias("rounds")), "path").select("job_id", "path", "rounds")
 
 
-@query("with w as (select path, made_at, lag(made_at) over (partition by path order by job_id) as before from jobs) :: select path, bool_and(before is null or before <= made_at) as ordered from w group by path")
+@query("""
+with w as (select path, made_at, lag(made_at) over (partition by path order by job_id) as before from jobs) :: select path, bool_and(before is null or
+  before <= made_at) as ordered from w group by path
+""")
 def time_order_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("made_at").over(Window.partitionBy("path").orderBy("job_id"))
     return jobs(spark, sf_dir).select("path", "made_at", before.alias("before")).groupBy("path").agg(F.bool_and(F.col("before").isNull() | (F.col("before") <= F.col("made_at"))).alias("ordered"))
 
 
-@query("with g as (select sha256(text) as h, count(distinct source) as n, min(doc_id) as first_id from documents where text is not null group by 1) :: select first_id, n from g where n >= 2")
+@query("""
+with g as (select sha256(text) as h, count(distinct source) as n, min(doc_id) as first_id from documents where text is not null group by 1) :: select
+  first_id, n from g where n >= 2
+""")
 def equal_content_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal contents that come from two sources or more."""
     docs = table(spark, sf_dir, "documents").filter("text is not null")
     return docs.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.count_distinct("source").alias("n"), F.min("doc_id").alias("first_id")).filter("n >= 2").select("first_id", "n")
 
 
-@query("select title, count(distinct conflict_key) as facts, count(distinct conflict_key) > 1 as contradicts from memories where conflict_key <> '' group by title")
+@query("""
+select title, count(distinct conflict_key) as facts, count(distinct conflict_key) > 1 as contradicts from memories where conflict_key <> '' group by
+  title
+""")
 def identity_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).filter("conflict_key <> ''").groupBy("title").agg(F.count_distinct("conflict_key").alias("facts")).withColumn("contradicts", F.col("facts") > 1)
 
@@ -82,14 +106,22 @@ def protected_raw_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).filter("status in ('queued', 'running', 'retrying') and k is not null").select(F.col("k").alias("raw_id")).distinct()
 
 
-@query("with l as (select k as candidate, arg_max(status, job_id) as status, max(job_id) as last_id from jobs where k is not null group by k) :: select candidate, status, last_id from l where status <> 'completed' and not exists (select 1 from memories m where m.memory_id = candidate and m.tier = 'core')")
+@query("""
+with l as (select k as candidate, arg_max(status, job_id) as status, max(job_id) as last_id from jobs where k is not null group by k) :: select
+  candidate, status, last_id from l where status <> 'completed' and not exists (select 1 from memories m where m.memory_id = candidate and m.tier =
+  'core')
+""")
 def pending_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = jobs(spark, sf_dir).filter("k is not null").groupBy(F.col("k").alias("candidate")).agg(F.max_by("status", "job_id").alias("status"), F.max("job_id").alias("last_id"))
     known = memories(spark, sf_dir).filter("tier = 'core'").select(F.col("memory_id").alias("candidate"))
     return last.filter("status <> 'completed'").join(known, "candidate", "left_anti")
 
 
-@query("with c as (select conversation_id, string_agg(message_id, ',' order by sequence) filter (where sequence < 3) as first_messages from messages group by conversation_id) :: select conversation_id, first_messages from c where not exists (select 1 from memories m where m.memory_id = c.conversation_id and m.review = 'approved')")
+@query("""
+with c as (select conversation_id, string_agg(message_id, ',' order by sequence) filter (where sequence < 3) as first_messages from messages group by
+  conversation_id) :: select conversation_id, first_messages from c where not exists (select 1 from memories m where m.memory_id = c.conversation_id
+  and m.review = 'approved')
+""")
 def evidence_only_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.transform(F.array_sort(F.collect_list(F.when(F.col("sequence") < 3, F.struct("sequence", "message_id")))), lambda x: x.message_id)
     cards = messages(spark, sf_dir).groupBy("conversation_id").agg(F.array_join(first, ",").alias("first_messages"))
@@ -97,7 +129,11 @@ def evidence_only_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.join(done, "conversation_id", "left_anti").withColumn("first_messages", F.nullif("first_messages", F.lit("")))
 
 
-@query("with m as (select path, min(job_id) as first_job from jobs where job_id % 2 = 0 group by path), j as (select path, max(job_id) as last_job from jobs where job_id % 3 = 0 group by path) :: select coalesce(m.path, j.path) as path, coalesce(m.first_job, j.last_job) as job_id, m.path is not null as in_manifest from m full join j on j.path = m.path")
+@query("""
+with m as (select path, min(job_id) as first_job from jobs where job_id % 2 = 0 group by path), j as (select path, max(job_id) as last_job from jobs
+  where job_id % 3 = 0 group by path) :: select coalesce(m.path, j.path) as path, coalesce(m.first_job, j.last_job) as job_id, m.path is not null as
+  in_manifest from m full join j on j.path = m.path
+""")
 def manifest_and_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the manifest, and of jobs that it does not list; the manifest's values win."""
     rows = jobs(spark, sf_dir)
@@ -113,14 +149,21 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"))
 
 
-@query("select job_id, 'src' || cast(job_id % 20 as varchar) as a, source_id as b from jobs where 'src' || cast(job_id % 20 as varchar) = 'src7' or source_id = 's7'")
+@query("""
+select job_id, 'src' || cast(job_id % 20 as varchar) as a, source_id as b from jobs where 'src' || cast(job_id % 20 as varchar) = 'src7' or source_id
+  = 's7'
+""")
 def relation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations with a node at either end: a filter with OR, one scan."""
     rows = jobs(spark, sf_dir).select("job_id", F.concat(F.lit("src"), F.col("job_id") % 20).alias("a"), F.col("source_id").alias("b"))
     return rows.filter("a = 'src7' or b = 's7'")
 
 
-@query("select m.memory_id, p.n_members, t.top from memories m left join (select project, count(*) as n_members from memories where tier = 'core' group by project) p on p.project = m.project left join (select title, max(authority) as top from memories where status = 'active' group by title) t on t.title = m.title")
+@query("""
+select m.memory_id, p.n_members, t.top from memories m left join (select project, count(*) as n_members from memories where tier = 'core' group by
+  project) p on p.project = m.project left join (select title, max(authority) as top from memories where status = 'active' group by title) t on
+  t.title = m.title
+""")
 def left_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir)
     p = m.filter("tier = 'core'").groupBy("project").agg(F.count("*").alias("n_members"))
@@ -154,13 +197,20 @@ def legacy_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.pack_skipping(rows, "memory_type", [F.desc("authority"), F.col("memory_id")], F.ceil(F.length("text") / 3), 3000, "memory_id")
 
 
-@query("select memory_id, round(least(0.95, 0.5 + case when length(text) > 100 then 0.15 else 0 end + case when length(tags) > 100 then 0.15 else 0 end + case when project = 'p1' then 0.05 else 0 end + case when title = 'src1' then 0.05 else 0 end + case when importance <= 2 then 0.1 else 0 end)::double, 2) as score from memories")
+@query("""
+select memory_id, round(least(0.95, 0.5 + case when length(text) > 100 then 0.15 else 0 end + case when length(tags) > 100 then 0.15 else 0 end + case
+  when project = 'p1' then 0.05 else 0 end + case when title = 'src1' then 0.05 else 0 end + case when importance <= 2 then 0.1 else 0 end)::double,
+  2) as score from memories
+""")
 def opportunity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = review.opportunity_score(F.col("text"), F.col("tags"), F.col("project") == "p1", F.col("title") == "src1", F.col("importance"))
     return memories(spark, sf_dir).select("memory_id", score.alias("score"))
 
 
-@query("select memory_id, cast(contains(lower(text), 'heed') as int) + cast(contains(lower(text), 'tion') as int) + cast(contains(lower(text), 'src') as int) >= 2 as covered from memories")
+@query("""
+select memory_id, cast(contains(lower(text), 'heed') as int) + cast(contains(lower(text), 'tion') as int) + cast(contains(lower(text), 'src') as int)
+  >= 2 as covered from memories
+""")
 def majority_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = F.array(F.lit("heed"), F.lit("tion"), F.lit("src"))
     return memories(spark, sf_dir).select("memory_id", (F.size(F.filter(points, lambda p: F.contains(F.lower("text"), p))) * 2 >= F.size(points)).alias("covered"))
@@ -172,7 +222,10 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).select("job_id", textfns.basename(F.col("path")).alias("name"), F.col("path").rlike(r"^[^/.][^/]*(/[^/.][^/]*)*$").alias("fine"))
 
 
-@query("with w as (select source_id, max(made_at) as last_at, greatest(60, max(value) / 2.5 / 0.25) as throttle from jobs group by source_id), n as (select max(made_at) as now from jobs) :: select source_id, round(throttle, 4) as throttle, (now - last_at) / 1000000 >= throttle as due from w, n")
+@query("""
+with w as (select source_id, max(made_at) as last_at, greatest(60, max(value) / 2.5 / 0.25) as throttle from jobs group by source_id), n as (select
+  max(made_at) as now from jobs) :: select source_id, round(throttle, 4) as throttle, (now - last_at) / 1000000 >= throttle as due from w, n
+""")
 def adaptive_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source is due once its last snapshot is older than a base or than its largest item takes at the given rate and share."""
     rows = jobs(spark, sf_dir)
@@ -187,13 +240,19 @@ def backfill_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.missing(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id").orderBy("doc_id").limit(64)
 
 
-@query("with x as (select conv_id, list_sort(list(distinct role)) as roles from conversations group by conv_id) :: select conv_id, cast(len(list_intersect(roles, ['user', 'tool'])) as int) as met, cast(len(roles) as int) as n from x")
+@query("""
+with x as (select conv_id, list_sort(list(distinct role)) as roles from conversations group by conv_id) :: select conv_id,
+  cast(len(list_intersect(roles, ['user', 'tool'])) as int) as met, cast(len(roles) as int) as n from x
+""")
 def role_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles"))
     return roles.select("conv_id", F.size(F.array_intersect("roles", F.array(F.lit("user"), F.lit("tool")))).alias("met"), F.size("roles").alias("n"))
 
 
-@query("select page_id, case when contains(regexp_extract(url, '://([^/]*)', 1), 'wiki') then 'wiki' when contains(regexp_extract(url, '://([^/]*)', 1), 'news') then 'news' else 'web' end as platform from pages")
+@query("""
+select page_id, case when contains(regexp_extract(url, '://([^/]*)', 1), 'wiki') then 'wiki' when contains(regexp_extract(url, '://([^/]*)', 1),
+  'news') then 'news' else 'web' end as platform from pages
+""")
 def page_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.regexp_extract("url", r"://([^/]*)", 1)
     return table(spark, sf_dir, "pages").select("page_id", F.when(F.contains(host, F.lit("wiki")), "wiki").when(F.contains(host, F.lit("news")), "news").otherwise("web").alias("platform"))
@@ -209,7 +268,16 @@ def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.full_text_duplicates(told.filter("tier <> 'core'"), core, "memory_id")
 
 
-@query("with c as (select *, memory_id % 6 as day, count(*) over (partition by text) > 1 and memory_id > min(memory_id) over (partition by text) as dup, case when memory_id % 8 = 0 then null else (memory_id % 50)::double / 50 end as alike, case when memory_type = 'knowledge' then 'category' end as r1, case when memory_id % 31 = 0 then 'notification' end as r2, case when memory_id % 40 < 10 then 'confidence' end as r3 from memories), g as (select *, case when status = '' then 'rejected:schema' when memory_id % 29 = 0 then 'rejected:process_log' when dup then 'rejected:duplicate' when memory_id % 23 = 0 then 'review:title_conflict' when alike is null then 'deferred:no_similarity' when alike >= 0.92 then 'rejected:semantic_duplicate' when concat_ws('+', r1, r2, r3) <> '' then 'review:' || concat_ws('+', r1, r2, r3) end as gate from c) :: select memory_id, coalesce(gate, case when row_number() over (partition by gate is null, day order by importance desc, memory_id) <= 10 then 'promoted' else 'deferred:daily_limit' end) as outcome from g")
+@query("""
+with c as (select *, memory_id % 6 as day, count(*) over (partition by text) > 1 and memory_id > min(memory_id) over (partition by text) as dup, case
+  when memory_id % 8 = 0 then null else (memory_id % 50)::double / 50 end as alike, case when memory_type = 'knowledge' then 'category' end as r1,
+  case when memory_id % 31 = 0 then 'notification' end as r2, case when memory_id % 40 < 10 then 'confidence' end as r3 from memories), g as (select
+  *, case when status = '' then 'rejected:schema' when memory_id % 29 = 0 then 'rejected:process_log' when dup then 'rejected:duplicate' when
+  memory_id % 23 = 0 then 'review:title_conflict' when alike is null then 'deferred:no_similarity' when alike >= 0.92 then
+  'rejected:semantic_duplicate' when concat_ws('+', r1, r2, r3) <> '' then 'review:' || concat_ws('+', r1, r2, r3) end as gate from c) :: select
+  memory_id, coalesce(gate, case when row_number() over (partition by gate is null, day order by importance desc, memory_id) <= 10 then 'promoted'
+  else 'deferred:daily_limit' end) as outcome from g
+""")
 def promotion_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("memory_id")
     rows = memories(spark, sf_dir).withColumn("_h", F.sha2(F.col("text").cast("binary"), 256))

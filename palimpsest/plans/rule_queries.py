@@ -419,7 +419,10 @@ def safe_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 # joins
 
 
-@query("select m.message_id, c.n from messages m join (select conversation_id, count(*) as n from messages group by conversation_id) c using (conversation_id) where m.role = 'user'")
+@query("""
+select m.message_id, c.n from messages m join (select conversation_id, count(*) as n from messages group by conversation_id) c using (conversation_id)
+  where m.role = 'user'
+""")
 def two_way_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = messages(spark, sf_dir)
     return m.filter("role = 'user'").join(m.groupBy("conversation_id").agg(F.count("*").alias("n")), "conversation_id").select("message_id", "n")
@@ -448,7 +451,10 @@ def orphaned_or_emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter("status = ''").select("memory_id", F.lit("emptied").alias("why")).unionByName(gone)
 
 
-@query("select memory_id from memories d where tier = 'normal' and exists (select 1 from jobs j where j.source_id = 's' || (d.memory_id % 20) and j.status = 'failed' and j.attempts >= 6)")
+@query("""
+select memory_id from memories d where tier = 'normal' and exists (select 1 from jobs j where j.source_id = 's' || (d.memory_id % 20) and j.status =
+  'failed' and j.attempts >= 6)
+""")
 def low_value_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = memories(spark, sf_dir).filter("tier = 'normal'").select("memory_id", F.concat(F.lit("s"), F.col("memory_id") % 20).alias("source_id"))
     return d.join(jobs(spark, sf_dir).filter("status = 'failed' and attempts >= 6").select("source_id"), "source_id", "left_semi").select("memory_id")
@@ -466,7 +472,10 @@ def authority_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "n_name", (F.col("expires") > F.col("now")).alias("valid"))
 
 
-@query("with t as (select distinct user_id from events where event_id > (select max(event_id) - 200 from events)) :: select event_id from events semi join t using (user_id)")
+@query("""
+with t as (select distinct user_id from events where event_id > (select max(event_id) - 200 from events)) :: select event_id from events semi join t
+  using (user_id)
+""")
 def touched_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of the sessions that have rows above a watermark; the sessions are read anew as a whole."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id")
@@ -474,7 +483,11 @@ def touched_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.increment(e, e.crossJoin(F.broadcast(top)).filter("event_id > w"), "user_id").select("event_id")
 
 
-@query("select m.message_id, p.memories from messages m join (select conversation_id, max(sequence) as last from messages group by conversation_id) c using (conversation_id) left join (select project, count(*) as memories from memories where tier = 'core' group by project) p on p.project = 'p' || (m.conversation_id % 11) where m.sequence = c.last")
+@query("""
+select m.message_id, p.memories from messages m join (select conversation_id, max(sequence) as last from messages group by conversation_id) c using
+  (conversation_id) left join (select project, count(*) as memories from memories where tier = 'core' group by project) p on p.project = 'p' ||
+  (m.conversation_id % 11) where m.sequence = c.last
+""")
 def inner_then_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = messages(spark, sf_dir)
     c = m.groupBy("conversation_id").agg(F.max("sequence").alias("last"))
@@ -600,7 +613,10 @@ def context_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("project").agg(F.count("*").alias("sections"), F.sum("n").cast("bigint").alias("size"), F.bit_xor("h").alias("digest"))
 
 
-@query("select user_id, concat_ws(',', first_a, first_b) as refs from (select user_id, min(event_type) as first_a, case when max(event_type) <> min(event_type) then max(event_type) end as first_b from events group by user_id)")
+@query("""
+select user_id, concat_ws(',', first_a, first_b) as refs from (select user_id, min(event_type) as first_a, case when max(event_type) <>
+  min(event_type) then max(event_type) end as first_b from events group by user_id)
+""")
 def merged_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lists of evidence as one: distinct, not blank, the first list's items first, ten at most."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array(F.min("event_type"), F.lit(" ")).alias("a"), F.array(F.max("event_type"), F.min("event_type")).alias("b"))
@@ -610,7 +626,10 @@ def merged_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # listings
 
 
-@query("select memory_id, round(weight * 0.35::double + importance * 0.1::double, 4) as score from memories where memory_type = 'decision' order by score desc, memory_id limit 10")
+@query("""
+select memory_id, round(weight * 0.35::double + importance * 0.1::double, 4) as score from memories where memory_type = 'decision' order by score
+  desc, memory_id limit 10
+""")
 def top_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best ten decisions; equal scores keep their order of input."""
     score = F.bround(F.col("weight") * 0.35 + F.col("importance") * 0.1, 4)
@@ -624,14 +643,20 @@ def distilled_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).select("memory_id", at.alias("moment")).orderBy(F.desc("moment"), F.desc("memory_id")).limit(40)
 
 
-@query("select job_id from jobs where status in ('queued', 'retrying') and job_id not in (select doc_id from documents where doc_id % 2 = 0) order by made_at, job_id limit 10")
+@query("""
+select job_id from jobs where status in ('queued', 'retrying') and job_id not in (select doc_id from documents where doc_id % 2 = 0) order by made_at,
+  job_id limit 10
+""")
 def reconciled_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The oldest pending ones that no decision covers yet."""
     done = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("job_id"))
     return jobs(spark, sf_dir).filter("status in ('queued', 'retrying')").join(done, "job_id", "left_anti").orderBy("made_at", "job_id").limit(10).select("job_id")
 
 
-@query("select memory_id, weight, tier from memories where tier in ('core', 'pinned') and contains(project, 'p') and (scope = '' or scope like '%all%') order by weight desc, case tier when 'core' then 0 else 1 end, importance desc, memory_id limit 60")
+@query("""
+select memory_id, weight, tier from memories where tier in ('core', 'pinned') and contains(project, 'p') and (scope = '' or scope like '%all%') order
+  by weight desc, case tier when 'core' then 0 else 1 end, importance desc, memory_id limit 60
+""")
 def core_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Core memories by weight, rank and importance; a project is matched as a piece of text, case counts."""
     rows = memories(spark, sf_dir).filter(F.col("tier").isin("core", "pinned") & F.contains("project", F.lit("p")) & search.scope_visible(F.col("scopes"), None))
@@ -644,7 +669,10 @@ g as (select *, row_number() over (order by moment is null, moment, sequence, co
 s as (select *, coalesce(sum(least(length(content), 4000)) over (order by place rows between unbounded preceding and 1 preceding), 0) as before from p)"""
 
 
-@query(f"with {_EVIDENCE} :: select message_id, length(substr(content, 1, greatest(0, least(4000, 5000 - before))::bigint)) as shown, length(content) > greatest(0, least(4000, 5000 - before)) as truncated, total, total > 40 as has_more from s")
+@query(f"""
+with {_EVIDENCE} :: select message_id, length(substr(content, 1, greatest(0, least(4000, 5000 - before))::bigint)) as shown, length(content) >
+  greatest(0, least(4000, 5000 - before)) as truncated, total, total > 40 as has_more from s
+""")
 def evidence_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of evidence by instant, rows without one last, each with what a budget for the page leaves of its content.
 

@@ -29,7 +29,10 @@ def _bm25_sql(terms: list[str]) -> str:
     return f"stats as ({stats}), scored as (select *, -({score}) as bm25 from memories, stats where {' and '.join(has.values())})"
 
 
-@query(f"with {_bm25_sql(['heed', 'tion'])} :: select chunk_id, round(bm25, 6) as bm25, round(1 / (1 + abs(bm25)), 6) as lexical_score from scored order by scored.bm25, chunk_id limit 20")
+@query(f"""
+with {_bm25_sql(['heed', 'tion'])} :: select chunk_id, round(bm25, 6) as bm25, round(1 / (1 + abs(bm25)), 6) as lexical_score from scored order by
+  scored.bm25, chunk_id limit 20
+""")
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.lexical(spread(memories(spark, sf_dir)), ["heed", "tion"], limit=20)
     return hits.select("chunk_id", F.round("bm25", 6).alias("bm25"), F.round("lexical_score", 6).alias("lexical_score"))
@@ -42,19 +45,27 @@ def lexical_search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.lexical(rows, ["heed", "tion"], limit=20, postings=search.trigram_postings(rows)).select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
-@query(f"with {_bm25_sql(['heed'])} :: select chunk_id, round(bm25, 6) as bm25 from scored where privacy = 'private' order by scored.bm25, chunk_id limit 15")
+@query(f"""
+with {_bm25_sql(['heed'])} :: select chunk_id, round(bm25, 6) as bm25 from scored where privacy = 'private' order by scored.bm25, chunk_id limit 15
+""")
 def lexical_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters choose rows, but statistics stay those of the whole table."""
     hits = search.lexical(memories(spark, sf_dir), ["heed"], F.col("privacy") == "private", limit=15)
     return hits.select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
-@query("select chunk_id from memories where contains(lower(title || ' ' || heading || ' ' || text || ' ' || tags), 'an') and contains(lower(title || ' ' || heading || ' ' || text || ' ' || tags), 'src1')")
+@query("""
+select chunk_id from memories where contains(lower(title || ' ' || heading || ' ' || text || ' ' || tags), 'an') and contains(lower(title || ' ' ||
+  heading || ' ' || text || ' ' || tags), 'src1')
+""")
 def lexical_fallback_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.substring(memories(spark, sf_dir), ["an", "src1"]).select("chunk_id")
 
 
-@query("select chunk_id, cast(case when contains(lower(title), 'src3') then 1 else 0 end as int) as title_hit from memories where contains(lower(title || ' ' || heading || ' ' || text || ' ' || tags), 'src3') and contains(lower(title || ' ' || heading || ' ' || text || ' ' || tags), 'de')")
+@query("""
+select chunk_id, cast(case when contains(lower(title), 'src3') then 1 else 0 end as int) as title_hit from memories where contains(lower(title || ' '
+  || heading || ' ' || text || ' ' || tags), 'src3') and contains(lower(title || ' ' || heading || ' ' || text || ' ' || tags), 'de')
+""")
 def substring_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.substring(memories(spark, sf_dir), ["src3", "de"]).select("chunk_id", F.greatest(F.contains(F.lower("title"), F.lit("src3")).cast("int"), F.lit(0)).alias("title_hit"))
 
@@ -122,18 +133,27 @@ def metadata_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).select("chunk_id", F.round(search.metadata_boost(["src1", "en"]), 8).alias("boost"))
 
 
-@query("select chunk_id from (select chunk_id, row_number() over (partition by project, memory_type order by authority desc, importance desc, chunk_id) as place from memories) where place <= 3")
+@query("""
+select chunk_id from (select chunk_id, row_number() over (partition by project, memory_type order by authority desc, importance desc, chunk_id) as
+  place from memories) where place <= 3
+""")
 def per_memory_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = memories(spark, sf_dir).withColumn("group", F.struct("project", "memory_type"))
     return search.cap_per_memory(rows, 3, "group", [F.desc("authority"), F.desc("importance"), F.col("chunk_id")]).select("chunk_id")
 
 
-@query("select chunk_id, authority from (select *, max(authority) over (partition by project, memory_type, conflict_key) as top from memories) where conflict_key = '' or authority >= top")
+@query("""
+select chunk_id, authority from (select *, max(authority) over (partition by project, memory_type, conflict_key) as top from memories) where
+  conflict_key = '' or authority >= top
+""")
 def authority_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.resolve_authority(memories(spark, sf_dir), ["project", "memory_type"]).select("chunk_id", "authority")
 
 
-@query("select chunk_id, channel, cast(place as int) as place from (select *, row_number() over (partition by channel order by authority desc, chunk_id) as place from (select *, case when tier = 'normal' then 'evidence' else 'memory' end as channel from memories)) where place <= 25")
+@query("""
+select chunk_id, channel, cast(place as int) as place from (select *, row_number() over (partition by channel order by authority desc, chunk_id) as
+  place from (select *, case when tier = 'normal' then 'evidence' else 'memory' end as channel from memories)) where place <= 25
+""")
 def channel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.channel_split(memories(spark, sf_dir), F.col("tier") == "normal", 25, [F.desc("authority"), F.col("chunk_id")]).select("chunk_id", "channel", "place")
 
@@ -160,7 +180,10 @@ def _temporal(mode: str):
 temporal_current, temporal_as_of, temporal_history = map(_temporal, ("current", "as_of", "history"))
 
 
-@query("select memory_id from memories where (tier = 'core' and review = 'approved') or title in (select title from memories group by title having count(*) filter (where authority >= 30) * 2 >= count(*))")
+@query("""
+select memory_id from memories where (tier = 'core' and review = 'approved') or title in (select title from memories group by title having count(*)
+  filter (where authority >= 30) * 2 >= count(*))
+""")
 def source_authority_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = memories(spark, sf_dir)
     trusted = rows.groupBy("title").agg(F.count_if(F.col("authority") >= 30).alias("a"), F.count("*").alias("n")).filter("a * 2 >= n").select("title", F.lit(True).alias("trusted"))
@@ -173,13 +196,19 @@ def scope_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).select("memory_id", search.scope_visible(s, None).alias("searched"), search.scope_visible(s, None, listing=True).alias("listed"), search.scope_visible(s, "a2").alias("for_a2"))
 
 
-@query("select memory_id from memories where contains(lower(project), 'p1') and privacy in ('private') and memory_type = 'decision' and regexp_matches(tags, '(^| )en( |$)')")
+@query("""
+select memory_id from memories where contains(lower(project), 'p1') and privacy in ('private') and memory_type = 'decision' and regexp_matches(tags,
+  '(^| )en( |$)')
+""")
 def post_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.split(F.lower("tags"), " ")
     return memories(spark, sf_dir).filter(F.contains(F.lower("project"), F.lit("p1")) & F.col("privacy").isin("private") & (F.col("memory_type") == "decision") & (F.size(F.array_except(F.array(F.lit("en")), tags)) == 0)).select("memory_id")
 
 
-@query("select message_id, conversation_id, sequence, n_all from (select *, count(*) over () as n_all from messages where role = 'user') order by made_at desc, sequence desc, message_id desc limit 20 offset 40")
+@query("""
+select message_id, conversation_id, sequence, n_all from (select *, count(*) over () as n_all from messages where role = 'user') order by made_at
+  desc, sequence desc, message_id desc limit 20 offset 40
+""")
 def messages_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = messages(spark, sf_dir).filter("role = 'user'")
     total = rows.agg(F.count("*").alias("n_all"))
@@ -187,7 +216,10 @@ def messages_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.crossJoin(F.broadcast(total)).select("message_id", "conversation_id", "sequence", "n_all")
 
 
-@query("select conversation_id, max(made_at) as last_at, count(*) as message_count from messages group by conversation_id order by last_at desc, conversation_id desc limit 25")
+@query("""
+select conversation_id, max(made_at) as last_at, count(*) as message_count from messages group by conversation_id order by last_at desc,
+  conversation_id desc limit 25
+""")
 def conversations_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).groupBy("conversation_id").agg(F.max("made_at").alias("last_at"), F.count("*").alias("message_count")).orderBy(F.desc("last_at"), F.desc("conversation_id")).limit(25)
 
@@ -197,13 +229,19 @@ def sources_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).groupBy(F.col("title").alias("source")).agg(F.count("*").alias("n"), F.max("memory_id").alias("last_id")).orderBy(F.desc("last_id"), "source").limit(10)
 
 
-@query("select memory_id, title, status from memories where privacy = 'private' and status in ('active', 'archived') and project = 'p3' and title ilike '%SRC1%' and valid_from is not null and valid_from >= '2026-01-05' order by importance desc, memory_id limit 50")
+@query("""
+select memory_id, title, status from memories where privacy = 'private' and status in ('active', 'archived') and project = 'p3' and title ilike
+  '%SRC1%' and valid_from is not null and valid_from >= '2026-01-05' order by importance desc, memory_id limit 50
+""")
 def inspector_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = memories(spark, sf_dir).filter((F.col("privacy") == "private") & F.col("status").isin("active", "archived") & (F.col("project") == "p3") & F.col("title").ilike("%SRC1%") & (F.col("valid_from") >= "2026-01-05"))
     return rows.orderBy(F.desc("importance"), "memory_id").limit(50).select("memory_id", "title", "status")
 
 
-@query("select memory_id, weight, importance from memories where tier = 'core' and status not in ('superseded', 'archived') order by weight desc, importance desc, memory_id limit 30")
+@query("""
+select memory_id, weight, importance from memories where tier = 'core' and status not in ('superseded', 'archived') order by weight desc, importance
+  desc, memory_id limit 30
+""")
 def core_list_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = memories(spark, sf_dir).filter((F.col("tier") == "core") & ~F.col("status").isin("superseded", "archived"))
     return rows.orderBy(F.desc("weight"), F.desc("importance"), "memory_id").limit(30).select("memory_id", "weight", "importance")
@@ -214,7 +252,11 @@ def recent_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).orderBy(F.desc_nulls_last("valid_from"), F.desc("memory_id")).limit(30).select("memory_id", "valid_from")
 
 
-@query("with s as (select source, count(*) as n_docs from documents group by source), c as (select conv_id, 'src' || cast(conv_id % 20 as varchar) as source, max(turn) as turns from conversations group by conv_id) :: select m.conv_id, m.turn, c.turns, s.n_docs from conversations m join c using (conv_id) join s using (source)")
+@query("""
+with s as (select source, count(*) as n_docs from documents group by source), c as (select conv_id, 'src' || cast(conv_id % 20 as varchar) as source,
+  max(turn) as turns from conversations group by conv_id) :: select m.conv_id, m.turn, c.turns, s.n_docs from conversations m join c using (conv_id)
+  join s using (source)
+""")
 def message_three_way_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "conversations")
     c = m.groupBy("conv_id").agg(F.max("turn").alias("turns")).withColumn("source", F.concat(F.lit("src"), F.col("conv_id") % 20))
@@ -222,14 +264,22 @@ def message_three_way_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(c, "conv_id").join(s, "source").select("conv_id", "turn", "turns", "n_docs")
 
 
-@query("select d.memory_id, m.message_id from memories d join messages m on m.conversation_id = d.memory_id % 100 and m.sequence = 1 where d.privacy = 'private' and d.scope in ('', 'all', 'a2,all') and lower(d.project) = 'p3'")
+@query("""
+select d.memory_id, m.message_id from memories d join messages m on m.conversation_id = d.memory_id % 100 and m.sequence = 1 where d.privacy =
+  'private' and d.scope in ('', 'all', 'a2,all') and lower(d.project) = 'p3'
+""")
 def linked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = memories(spark, sf_dir).filter((F.col("privacy") == "private") & search.scope_visible(F.col("scopes"), None) & (F.lower("project") == "p3"))
     m = messages(spark, sf_dir).filter("sequence = 1")
     return d.join(m, d.memory_id % 100 == m.conversation_id).select("memory_id", "message_id")
 
 
-@query("with items as (select 'memory' as kind, memory_id as id, importance as made_at, length(title) + 1 as cost from memories where tier = 'core' union all select 'message', conversation_id, sequence, length(role) + 1 from messages where sequence < 2), timed as (select *, sum(cost) over (order by made_at desc, kind, id rows unbounded preceding) as upto, row_number() over (order by made_at desc, kind, id) as place from items) :: select kind, id, cast(place as int) as place from timed where upto <= 400 or place = 1")
+@query("""
+with items as (select 'memory' as kind, memory_id as id, importance as made_at, length(title) + 1 as cost from memories where tier = 'core' union all
+  select 'message', conversation_id, sequence, length(role) + 1 from messages where sequence < 2), timed as (select *, sum(cost) over (order by
+  made_at desc, kind, id rows unbounded preceding) as upto, row_number() over (order by made_at desc, kind, id) as place from items) :: select kind,
+  id, cast(place as int) as place from timed where upto <= 400 or place = 1
+""")
 def timeline_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest items of both lists until a budget is used; the first one always stays.
 
@@ -264,13 +314,20 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pack(spark, sf_dir, 12_000)
 
 
-@query("select 'memory' as kind, memory_id as id from memories where status = 'active' union all select 'message', made_at from messages union all select 'job', event_id from events where event_type = 'error'")
+@query("""
+select 'memory' as kind, memory_id as id from memories where status = 'active' union all select 'message', made_at from messages union all select
+  'job', event_id from events where event_type = 'error'
+""")
 def activity_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [memories(spark, sf_dir).filter("status = 'active'").select(F.lit("memory").alias("kind"), F.col("memory_id").alias("id")), messages(spark, sf_dir).select(F.lit("message"), "made_at"), table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.lit("job"), "event_id")]
     return reduce(DataFrame.union, parts)
 
 
-@query("with p as (select distinct project from memories) :: select project, (select count(*) from memories m where m.project = p.project) as memories, (select count(*) from memories m where m.project = p.project and m.tier = 'core') as core, (select count(*) from messages x where 'p' || cast(x.conversation_id % 9 as varchar) = p.project) as messages from p")
+@query("""
+with p as (select distinct project from memories) :: select project, (select count(*) from memories m where m.project = p.project) as memories,
+  (select count(*) from memories m where m.project = p.project and m.tier = 'core') as core, (select count(*) from messages x where 'p' ||
+  cast(x.conversation_id % 9 as varchar) = p.project) as messages from p
+""")
 def project_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir).groupBy("project").agg(F.count("*").alias("memories"), F.count_if(F.col("tier") == "core").alias("core"))
     x = messages(spark, sf_dir).groupBy(F.concat(F.lit("p"), F.col("conversation_id") % 9).alias("project")).agg(F.count("*").alias("messages"))
@@ -296,7 +353,12 @@ def recall_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(d, "vec_id").filter(search.plausible_recall(F.col("score"), F.lit("a note of src1"), F.col("content"))).select("vec_id", "score")
 
 
-@query("select coalesce(m.project, x.project) as project, case when m.project is null then 'removed' when x.project is null then 'added' when m.n = x.n then 'unchanged' else 'updated' end as change from (select project, count(*) as n from memories where memory_id % 2 = 0 and project < 'p7' group by project) x full join (select project, count(*) as n from memories where memory_id % 3 = 0 and project > 'p0' group by project) m on m.project = x.project")
+@query("""
+select coalesce(m.project, x.project) as project, case when m.project is null then 'removed' when x.project is null then 'added' when m.n = x.n then
+  'unchanged' else 'updated' end as change from (select project, count(*) as n from memories where memory_id % 2 = 0 and project < 'p7' group by
+  project) x full join (select project, count(*) as n from memories where memory_id % 3 = 0 and project > 'p0' group by project) m on m.project =
+  x.project
+""")
 def diff_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = memories(spark, sf_dir)
     before = rows.filter("memory_id % 2 = 0 and project < 'p7'").groupBy("project").agg(F.count("*").alias("n"))

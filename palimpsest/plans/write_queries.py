@@ -20,7 +20,10 @@ def _stamp(c):
 _STAMP = "strftime(make_timestamp((1767225600 + {c})::bigint * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 
 
-@query(f"select 'c' || conversation_id as conversation_id, role, content, sequence, {_STAMP.format(c='sequence')} as timestamp from messages where content <> ''")
+@query(f"""
+select 'c' || conversation_id as conversation_id, role, content, sequence, {_STAMP.format(c='sequence')} as timestamp from messages where content <>
+  ''
+""")
 def inbox_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History inboxes of one JSON document a conversation. Only rows of a conversation are gathered to make its file."""
     m = messages(spark, sf_dir).filter("content <> ''")
@@ -147,7 +150,10 @@ def work_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.work_reports(table(spark, sf_dir, "events").filter("event_id % 10 = 0").select(F.to_json(report).alias("value")))
 
 
-@query("select 's' || user_id as session_id, row_number() over (partition by user_id order by event_id) - 1 as sequence, event_type as role, 'v' || event_id as text from events")
+@query("""
+select 's' || user_id as session_id, row_number() over (partition by user_id order by event_id) - 1 as sequence, event_type as role, 'v' || event_id
+  as text from events
+""")
 def session_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.struct("event_id", F.struct(F.col("event_type").alias("role"), F.concat(F.lit("v"), "event_id").alias("text")).alias("e"))
     b = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(event)), lambda x: x.e).alias("events"))
@@ -196,7 +202,10 @@ def reader_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", records.reader_of(kind, path, payload).alias("reader"))
 
 
-@query("select memory_id, string_agg(message_id, ',' order by sequence) as chunks from memories join messages on conversation_id = memory_id where memory_id in (3, 17, 41) group by memory_id")
+@query("""
+select memory_id, string_agg(message_id, ',' order by sequence) as chunks from memories join messages on conversation_id = memory_id where memory_id
+  in (3, 17, 41) group by memory_id
+""")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A few documents by id, each with its chunks in order; what is read is a few rows."""
     d = memories(spark, sf_dir).filter(F.col("memory_id").isin(3, 17, 41)).select("memory_id")
@@ -205,7 +214,9 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(c, "memory_id").groupBy("memory_id").agg(F.array_join(listed, ",").alias("chunks"))
 
 
-@query("select d.memory_id, d.title, m.message_id from memories d join messages m on m.conversation_id = d.memory_id order by d.memory_id, m.sequence")
+@query("""
+select d.memory_id, d.title, m.message_id from memories d join messages m on m.conversation_id = d.memory_id order by d.memory_id, m.sequence
+""")
 def scan_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks with their document, in a stable order made by a range exchange."""
     d = memories(spark, sf_dir).select("memory_id", "title")
@@ -227,7 +238,10 @@ def bundle_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.bundle_upsert(old, new, "id", F.col("id"), ["id"], 100)
 
 
-@query("select memory_id, title from memories where tier = 'normal' union all select memory_id, 'again ' || heading from memories where tier <> 'normal' and status = 'active'")
+@query("""
+select memory_id, title from memories where tier = 'normal' union all select memory_id, 'again ' || heading from memories where tier <> 'normal' and
+  status = 'active'
+""")
 def rebuild_keeps_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rebuild drops and makes anew what comes from notes; evidence rows stay."""
     rows = memories(spark, sf_dir).select("memory_id", "title", "tier")
@@ -247,7 +261,10 @@ def link_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.unlink(merge.upsert(old, new, ["m", "d"]), m.filter("sequence = 5").select(F.col("message_id").alias("m")), ["m"])
 
 
-@query("select conversation_id, count(*) as expected, count(*) filter (where role <> 'system') as found, count(*) = count(*) filter (where role <> 'system') as verified from messages group by conversation_id")
+@query("""
+select conversation_id, count(*) as expected, count(*) filter (where role <> 'system') as found, count(*) = count(*) filter (where role <> 'system')
+  as verified from messages group by conversation_id
+""")
 def link_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = messages(spark, sf_dir)
     return writes.verify_links(m.select("conversation_id", "message_id"), m.filter("role <> 'system'").select("message_id"), "conversation_id", ["message_id"])
@@ -258,7 +275,10 @@ p as (select conversation_id as k, case conversation_id % 4 when 0 then 'prepare
 d as (select conversation_id as k, count(*) as d from messages where role = 'system' and sequence > 0 group by conversation_id)"""
 
 
-@query(f"with {_STATES} :: select p.k, case when wanted = 'remove' then 'removed' when state in ('prepared', 'active') then case when coalesce(d, 0) = 0 then 'active' else 'repair_required' end else state end as state from p left join d using (k)")
+@query(f"""
+with {_STATES} :: select p.k, case when wanted = 'remove' then 'removed' when state in ('prepared', 'active') then case when coalesce(d, 0) = 0 then
+  'active' else 'repair_required' end else state end as state from p left join d using (k)
+""")
 def projection_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared projections become active if their evidence and their links are the same sets."""
     m = messages(spark, sf_dir).select(F.col("conversation_id").alias("k"), F.col("message_id").alias("r"), "role", "sequence")
@@ -281,7 +301,10 @@ def decision_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.supersede(old, new, "k").select("k", "version", "state", "until")
 
 
-@query("with u as (select vec_id, label from embeddings where vec_id % 2 = 1 union all select vec_id, label + 100 from embeddings where vec_id % 2 = 0) :: select vec_id, label from u where vec_id not in (select doc_id from documents where source = 'src3')")
+@query("""
+with u as (select vec_id, label from embeddings where vec_id % 2 = 1 union all select vec_id, label + 100 from embeddings where vec_id % 2 = 0) ::
+  select vec_id, label from u where vec_id not in (select doc_id from documents where source = 'src3')
+""")
 def vector_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points replaced by id, then those of some memories deleted."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"))
@@ -299,7 +322,10 @@ def archive_then_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return past.select("memory_id", F.lit(True).alias("in_history")).unionByName(rest.select("memory_id", F.lit(False).alias("in_history")))
 
 
-@query("select distinct 'card-' || lower(title) as card, title from memories where title not in (select title from memories where memory_id < 40 and tier = 'core')")
+@query("""
+select distinct 'card-' || lower(title) as card, title from memories where title not in (select title from memories where memory_id < 40 and tier =
+  'core')
+""")
 def opportunity_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards are written once by the slug of their title."""
     from palimpsest.functions.values import slug
@@ -314,7 +340,10 @@ a as (select 'n/' || memory_id as path, length(text) as size, importance as modi
 b as (select 'n/' || memory_id as path, length(text) + case when weight > 1 then 1 else 0 end as size, case when tier = 'core' then 9 else importance end as modified from memories where status <> 'archived')"""
 
 
-@query(f"with {_FILES} :: select coalesce(a.path, b.path) as path, case when b.path is null then 'removed' when a.path is null then 'added' when a.size = b.size and a.modified = b.modified then 'unchanged' else 'updated' end as change from a full join b on a.path = b.path")
+@query(f"""
+with {_FILES} :: select coalesce(a.path, b.path) as path, case when b.path is null then 'removed' when a.path is null then 'added' when a.size =
+  b.size and a.modified = b.modified then 'unchanged' else 'updated' end as change from a full join b on a.path = b.path
+""")
 def note_index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes are read anew only where their size or time changed."""
     rows = memories(spark, sf_dir).withColumn("path", F.concat(F.lit("n/"), "memory_id"))
@@ -352,7 +381,9 @@ def watermark_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter("event_id > 9000").agg(F.count("*").alias("n"), F.max("event_id").alias("watermark"), F.count_distinct("user_id").alias("sessions"))
 
 
-@query("select job_id, case when source_id not in ('s1', 's2', 's3') and status in ('queued', 'running') then 'failed' else status end as status from jobs")
+@query("""
+select job_id, case when source_id not in ('s1', 's2', 's3') and status in ('queued', 'running') then 'failed' else status end as status from jobs
+""")
 def revoked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running scans of sources that are revoked or unknown fail."""
     s = spark.createDataFrame([(f"s{k}", "authorized" if k < 4 else "revoked") for k in range(1, 15)], "source_id string, status string")

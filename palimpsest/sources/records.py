@@ -101,3 +101,33 @@ def reader_of(kind: Column, path: Column, payload: Column) -> Column:
         for e in ends:
             out = out.when(F.endswith(F.lower(path), F.lit(e)), name)
     return out
+
+
+def event_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """(file, line_no, r) of the lines that are not blank; r is the parsed record, with nulls where a line is broken."""
+    return lines.filter(F.trim("value") != "").select("file", "line_no", F.from_json("value", schema).alias("r"))
+
+
+def zip_entries(archives: DataFrame, ending: str = ".json", most_bytes: int = 256 << 20) -> DataFrame:
+    """(path, entry, value) of the entries of zip archives, as spark.read.format("binaryFile") gives these (path, content).
+
+    Entries that do not end as named, folders and entries over `most_bytes` unpacked are left out; a broken archive gives none.
+    """
+
+    def unpacked(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                        for info in z.infolist():
+                            if info.filename.lower().endswith(ending) and not info.is_dir() and info.file_size <= most_bytes:
+                                yield pa.RecordBatch.from_pydict({"path": [path], "entry": [info.filename], "value": [z.read(info).decode("utf-8", "replace")]})
+                except zipfile.BadZipFile:
+                    continue
+
+    return archives.select("path", "content").mapInArrow(unpacked, "path string, entry string, value string")

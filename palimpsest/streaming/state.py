@@ -10,11 +10,21 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _plain(value, kind: str):
+    """A pandas value as the Python value of a Spark type."""
+    if value is None or value != value:
+        return None
+    if kind.startswith("timestamp"):
+        return value.to_pydatetime()
+    return int(value) if kind in ("tinyint", "smallint", "int", "bigint") else float(value) if kind in ("float", "double") else bool(value) if kind == "boolean" else value
+
+
 def latest_state(events: DataFrame, key: str, at: str, rank: str, value: str) -> DataFrame:
     """The state of each key after every micro-batch that changes it; an event with an older time, or at the same time with a
-    lower rank, is ignored. events is a stream; use output mode update."""
+    lower rank, is ignored. Times, ranks and values may be of any simple type. events is a stream; use output mode update."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    out = f"{key} {kinds[key]}, {at} {kinds[at]}, {rank} {kinds[rank]}, {value} {kinds[value]}"
+    names = [at, rank, value]
+    state_schema = ", ".join(f"{c} {kinds[c]}" for c in names)
 
     def step(keys, parts, state: GroupState):
         import pandas as pd
@@ -23,14 +33,49 @@ def latest_state(events: DataFrame, key: str, at: str, rank: str, value: str) ->
         before = best
         for p in parts:
             top = p.sort_values([at, rank], kind="stable").iloc[-1]
-            new = (int(top[at]), int(top[rank]), str(top[value]))
+            new = tuple(_plain(top[c], kinds[c]) for c in names)
             if best is None or new[:2] > best[:2]:
                 best = new
         if best != before:
             state.update(best)
-            yield pd.DataFrame({key: [keys[0]], at: [best[0]], rank: [best[1]], value: [best[2]]})
+            yield pd.DataFrame({key: [keys[0]], **{c: [v] for c, v in zip(names, best, strict=True)}})
+
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {state_schema}", state_schema, "update", GroupStateTimeout.NoTimeout)
+
+
+def debounced(events: DataFrame, key: str, at: str, delay_ms: int, late: str = "0 seconds") -> DataFrame:
+    """(key, first_ms, n): changes of a key are held back until the first pending one is delay_ms old, then told together.
+
+    Unlike a session window, later changes do not prolong the wait. Time is that of the events; at the end of a stream what is
+    pending waits for the watermark.
+    """
+    kind = events.schema[key].dataType.simpleString()
+
+    def step(keys, parts, state: GroupState):
+        import pandas as pd
 
-    return events.groupBy(key).applyInPandasWithState(step, out, f"{at} bigint, {rank} bigint, {value} string", "update", GroupStateTimeout.NoTimeout)
+        first, n = tuple(state.get) if state.exists else (None, 0)
+        told = []
+        if state.hasTimedOut:
+            told.append((first, n))
+            state.remove()
+        else:
+            for t in sorted(int(v.timestamp() * 1000) for p in parts for v in p[at]):
+                if first is None or t >= first + delay_ms:
+                    told += [(first, n)] if first is not None else []
+                    first, n = t, 0
+                n += 1
+            if first + delay_ms <= state.getCurrentWatermarkMs():
+                told.append((first, n))
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((first, n))
+                state.setTimeoutTimestamp(first + delay_ms)
+        if told:
+            yield pd.DataFrame({key: [keys[0]] * len(told), "first_ms": [x for x, _ in told], "n": [y for _, y in told]})
+
+    return events.withWatermark(at, late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, first_ms bigint, n bigint", "first_ms bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def suppress_duplicates(events: DataFrame, key: list[str], at: str, window: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from palimpsest.operators import merge, ops, review, search
@@ -14,11 +13,6 @@ def test_pack_skips_what_does_not_fit(spark):
     assert [(r.id, r.used) for r in got] == [(1, 5), (3, 9)]
 
 
-def test_matching_ratios():
-    got = review.matching_ratios(pd.Series(["abcdefghij" * 5, "abc", ""]), pd.Series(["abcdefghij" * 4 + "abcdefghiX", "xyz", ""]))
-    assert round(got[0], 2) == 0.98 and got[1] == 0.0 and got[2] == 1.0
-
-
 def test_running_total_over_buckets(spark):
     rows = spark.range(100).withColumn("size", F.col("id") % 7)
     got = {r.id: r.before for r in merge.running_total(rows, F.floor(F.col("id") / 9), ["id"], "size").collect()}

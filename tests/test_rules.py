@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import rules, textfns, values
 from palimpsest.operators import merge, ops, retrieval, review, search, writes
+from palimpsest.plans import ops_queries, retrieval_queries, review_queries, tables
 from palimpsest.sources import chunking, history
 
 
@@ -203,3 +204,64 @@ def test_projection_needs_equal_sets(spark):
     e = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "a")], "k int, r string")
     has = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, "a"), (3, "b")], "k int, r string")
     assert {r.k: r.state for r in writes.project_states(p, e, has, "k", "r").collect()} == {1: "active", 2: "repair_required", 3: "repair_required", 4: "removed", 5: "received"}
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_project_pack_by_hand(spark):
+    rows = [r for r in tables.memories(spark, SMALL).collect() if r.project == "p3" and r.status == "active"]
+    kinds = {"core": lambda r: r.tier == "core", "decisions": lambda r: r.memory_type == "decision", "tasks": lambda r: r.memory_type == "preference", "recent": lambda r: r.tier == "pinned", "related": lambda r: "heed" in r.text.lower()}
+    want = []
+    for kind, fits in kinds.items():
+        used, budget = 0, int(6000 * retrieval_queries.SHARES[kind])
+        for r in sorted((r for r in rows if fits(r)), key=lambda r: (-r.importance, r.memory_id))[:40]:
+            if budget - used < 80:
+                break
+            cut = cut_by_hand(r.text.strip(" "), budget - used)
+            if cut:
+                want.append((kind, r.memory_id, cut))
+                used += len(cut)
+    assert sorted(tuple(r) for r in retrieval_queries.project_pack(spark, SMALL).collect()) == sorted(want) and want
+
+
+def test_context_pack_keeps_order_and_budget(spark):
+    got = retrieval_queries.context_pack_sections(spark, SMALL).collect()
+    assert [r["rank"] for r in got] == sorted(r["rank"] for r in got) and sum(len(r.text) + 80 for r in got) <= 12_000 + 1
+    whole = {r.memory_id: r.text for r in tables.memories(spark, SMALL).collect()}
+    assert all(r.text == whole[r.memory_id].strip(" ") or r.text.endswith("…") for r in got if r["rank"] < 3)
+
+
+def test_privacy_redact_by_hand(spark):
+    rows = {r.memory_id: r.text for r in tables.memories(spark, SMALL).collect()}
+
+    def by_hand(t):
+        for kind, _, p in textfns.PRIVACY_PATTERNS:
+            t = re.sub(p, f"[REDACTED:{kind}]", t)
+        return t
+
+    for r in ops_queries.privacy_redact(spark, SMALL).collect():
+        high = any(re.search(p, rows[r.doc_id] or "") for _, s, p in textfns.PRIVACY_PATTERNS if s == "high")
+        assert (r.privacy, r.redacted) == ("restricted" if high else "private", by_hand(rows[r.doc_id] or ""))
+
+
+def test_semantic_duplicates_by_hand(spark):
+    letters = lambda t: re.sub(r"[^\w]+", "", (t or "").lower())
+    rows = tables.memories(spark, SMALL).collect()
+    core = [(r.memory_id, letters(r.text)) for r in rows if r.tier == "core"]
+    got = {r.memory_id: (r.core_id, round(r.score, 9)) for r in review_queries.semantic_duplicates(spark, SMALL).collect()}
+    want = {}
+    for r in rows:
+        if r.tier != "core" and len(letters(r.text)) < 6000:
+            told = duplicate_by_hand(letters(r.text), [(i, t) for i, t in core if len(t) < 12_000])
+            if told:
+                want[r.memory_id] = (told[0], round(told[1], 9))
+    assert want.items() <= got.items()
+
+
+def test_chunk_query_knows_all_texts(spark):
+    rows = {r.memory_id: r.text for r in tables.memories(spark, SMALL).collect()}
+    got = ops_queries.markdown_chunks(spark, SMALL).collect()
+    want = {(k, i, c.heading, c.text, c.first, c.last) for k, t in rows.items() for i, c in enumerate(chunking.chunk(t or ""))}
+    assert {(r.doc_id, r.ordinal, r.heading, r.chunk, r.start_line, r.end_line) for r in got} == want
+    assert all(r.chunk_id == chunking.chunk_id(r.doc_id, r.heading, r.ordinal, r.chunk) and r.char_count == len(r.chunk) for r in got)

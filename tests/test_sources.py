@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import zipfile
 
 from pyspark.sql import functions as F
 
 from palimpsest.functions import textfns
 from palimpsest.functions.timefns import strict_instant, validity_reason
 from palimpsest.operators import merge, ops, search
-from palimpsest.sources import chunking, history
+from palimpsest.sources import chunking, history, records
 from palimpsest.streaming import state
 
 
@@ -42,6 +44,15 @@ def test_chat_export_marks_branches_and_survives_cycles(spark):
     assert all(r.on_path for r in rows if r.conversation_id == "y")
 
 
+def test_zip_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/conversations.json", '[{"id":"c"}]')
+        z.writestr("readme.txt", "no")
+    (tmp_path / "b.zip").write_bytes(b"not a zip")
+    read = records.zip_entries(spark.read.format("binaryFile").load(f"file://{tmp_path}/*.zip"))
+    assert [(r.entry, r.value) for r in read.collect()] == [("x/conversations.json", '[{"id":"c"}]')]
+
+
 def test_rollout_drops_repeats_and_zoneless(spark):
     said = lambda i, text, t: json.dumps({"type": "message", "timestamp": t, "payload": {"id": i, "role": "user", "text": text}})
     lines = [json.dumps({"type": "session", "payload": {"id": "s1"}}), said("1", "a", "2026-01-01T00:00:00Z"), said("1", "b", "2026-01-01T00:00:01Z"), said("2", "a", "2026-01-01T00:00:00Z"), "{broken", said("3", "c", "2026-01-01T00:00:00"), said("4", "d", "2026-01-01T00:00:02+01:00")]
@@ -64,10 +75,10 @@ def test_page_text(spark):
 
 def test_chunks_hold_all_text():
     text = "intro\n\n# A\n\n" + "x" * 3000 + "\n\nend\n## B\n" + "\n\n".join("p" * 500 for _ in range(5))
-    got = list(chunking.chunk(text, 1200, 150))
-    assert [h for h, _ in got][:2] == [chunking.NO_HEADING, "A"] and got[-1][0] == "A / B"
-    assert max(len(t) for _, t in got) <= 1200 + 152 and sum(t.count("x") for _, t in got) >= 3000
-    assert list(chunking.chunk("")) == []
+    got = chunking.chunk(text, 1200, 150)
+    assert [c.heading for c in got][:2] == [chunking.NO_HEADING, "A"] and got[-1].heading == "A / B"
+    assert max(len(c.text) for c in got) <= 1200 + 152 and sum(c.text.count("x") for c in got) >= 3000
+    assert chunking.chunk("") == []
 
 
 def test_instants_need_a_zone(spark):
@@ -118,6 +129,39 @@ def test_late_events_in_a_stream(spark, tmp_path):
     assert seen == {1: "a", 2: "y"}
 
 
+def test_late_events_with_times_and_numbers(spark, tmp_path):
+    schema = "k string, t timestamp, r int, v double"
+    at = lambda s: dt.datetime(2026, 1, 1, 0, 0, s)
+    seen: dict[str, float] = {}
+    for part in ([("a", at(5), 1, 1.5)], [("a", at(4), 9, 2.5), ("b", at(1), 1, 0.5)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = state.latest_state(state.read_new_files(spark, str(tmp_path / "in"), schema), "k", "t", "r", "v")
+        state.run_available(stream, lambda df, _: seen.update({r.k: r.v for r in df.collect()}), str(tmp_path / "cp")).awaitTermination(120)
+    assert seen == {"a": 1.5, "b": 0.5}
+
+
+def test_changes_wait_for_the_first_of_them(spark, tmp_path):
+    schema = "k string, t timestamp"
+    at = lambda s: dt.datetime(2026, 1, 1, 0, 0, s)
+    seen: list[tuple] = []
+    for part in ([("a", at(0)), ("a", at(2)), ("a", at(4)), ("a", at(11))], [("b", at(30))], [("b", at(31))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = state.debounced(state.read_new_files(spark, str(tmp_path / "in"), schema), "k", "t", 5000)
+        state.run_available(stream, lambda df, _: seen.extend((r.k, r.first_ms % 60_000, r.n) for r in df.collect()), str(tmp_path / "cp"), mode="append").awaitTermination(120)
+    assert sorted(seen) == [("a", 0, 3), ("a", 11_000, 1)]
+
+
+def test_duplicates_within_a_window(spark, tmp_path):
+    schema = "k string, t timestamp"
+    at = lambda s: dt.datetime(2026, 1, 1, 0, 0, s)
+    seen: list[tuple] = []
+    for part in ([("a", at(0)), ("a", at(3)), ("b", at(4))], [("c", at(40))], [("a", at(41))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = state.suppress_duplicates(state.read_new_files(spark, str(tmp_path / "in"), schema), ["k"], "t", "10 seconds")
+        state.run_available(stream, lambda df, _: seen.extend((r.k, r.t.second) for r in df.collect()), str(tmp_path / "cp"), mode="append").awaitTermination(120)
+    assert sorted(k for k, _ in seen) == ["a", "a", "b", "c"]
+
+
 def test_coverage_of_nothing_is_whole(spark):
     none = spark.createDataFrame([], "k long")
     assert ops.coverage(none, none, "k").first().ratio == 1.0
