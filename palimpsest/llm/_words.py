@@ -7,6 +7,8 @@ from collections.abc import Callable
 import numpy as np
 import xxhash
 
+from palimpsest.llm._shared import kept
+
 #: Longer texts are split into words piece by piece.
 PIECE_BYTES = 4 << 20
 _BLANK = b" \t\n\r\x0b\x0c"
@@ -128,12 +130,9 @@ def extremes(x: np.ndarray, n: int, pick=np.minimum) -> np.ndarray:
     return pick(x[: max(0, len(x) - rest)], x[rest:]) if rest else x
 
 
-_INDEX: dict[str, WordIndex] = {}
-
-
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts one after another, and the number of words of each."""
-    index = _INDEX.setdefault("hashes", WordIndex(hashes))
+    index = kept("hashes", lambda: WordIndex(hashes))
     numbers, (h,) = index(texts)
     lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
     return (h[np.concatenate(numbers)] if len(numbers) else np.empty(0, np.uint64)), lengths

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm._linear import dual_coordinate_descent, logistic
-from palimpsest.llm._shared import as_bytes, slices
+from palimpsest.llm._shared import as_bytes, kept, slices
 from palimpsest.llm._words import WordIndex, mixed
 
 DIMS = 1 << 15
@@ -47,14 +47,9 @@ def _described(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in texts), np.uint64, len(texts)), np.fromiter(map(known.__getitem__, shapes), np.uint64, len(texts))
 
 
-_INDEX: list[WordIndex] = []
-
-
 def indicators(texts: list[bytes], dims: int = DIMS) -> np.ndarray:
     """Which n-grams each text has: one row of `dims` flags for each."""
-    if not _INDEX:
-        _INDEX.append(WordIndex(_described))
-    numbers, (words, shapes) = _INDEX[0](texts)
+    numbers, (words, shapes) = kept("quality", lambda: WordIndex(_described))(texts)
     lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
     flat = np.concatenate(numbers) if numbers else np.empty(0, np.int32)
     text = np.repeat(np.arange(len(numbers)), lengths)

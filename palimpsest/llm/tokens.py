@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from palimpsest.llm._shared import slices
+from palimpsest.llm._shared import kept, slices
 
 #: A chunk: blanks, then printed characters; where a character that is a blank of another kind precedes a blank, they stay together.
 _CHUNK = re.compile(r"[ \n]*[^ \n]+(?:(?<=\s)[ \n]+[^ \n]*)*|[ \n]+")
@@ -81,7 +81,7 @@ class ChunkEncoder:
     that only one slice has used leave first. A file whose rules are others is used on whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -218,15 +218,9 @@ class PieceEncoder:
         return np.fromiter(map(len, self.encode(texts)), np.int64, len(texts))
 
 
-_ENCODERS: dict[str, object] = {}
-
-
 def encoder(path: str):
     """This worker's encoder for a file."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = PieceEncoder(path) if path.endswith(".model") else ChunkEncoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), lambda: PieceEncoder(path) if path.endswith(".model") else ChunkEncoder(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
