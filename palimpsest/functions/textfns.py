@@ -20,6 +20,8 @@ PRIVACY_PATTERNS = [
 ]
 #: Query keys that only track (fixed values).
 TRACKING_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid"]
+#: The same of captured pages, besides all that begin with utm_ (fixed values).
+CAPTURE_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "from", "share_source", "share_token"]
 
 
 def _java(pattern: str) -> str:
@@ -83,6 +85,25 @@ def _encoded(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
+def _pairs(query: Column) -> Column:
+    """(k, v) of each part of a query, decoded; a part without a sign has an empty value."""
+    value = lambda p: F.when(F.contains(p, F.lit("=")), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")
+    cut = lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(value(p)).alias("v"))
+    return F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), cut)
+
+
+def _joined(pairs: Column) -> Column:
+    return F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(p.k), F.lit("="), _encoded(p.v))), "&")
+
+
+def clean_url(c: Column) -> Column:
+    """A captured page's URL without fragment and tracking keys; order, host and path stay as they are written."""
+    url = F.trim(F.regexp_replace(c, r"[\t\r\n]", ""))
+    front, query = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    left = _joined(F.filter(_pairs(query), lambda p: ~F.lower(p.k).isin(CAPTURE_KEYS) & ~F.startswith(F.lower(p.k), F.lit("utm_"))))
+    return F.concat(front, F.when(left == "", "").otherwise(F.concat(F.lit("?"), left)))
+
+
 def _netloc_parts(c: Column) -> tuple[Column, Column, Column, Column, Column]:
     """(scheme, host, port, path, query) of a URL by the generic grammar, which unlike java.net.URI admits any character."""
     part = lambda n: F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?$", n)
@@ -98,10 +119,7 @@ def normalise_url(c: Column) -> Column:
     """
     scheme, host, port, path, query = _netloc_parts(F.trim(F.regexp_replace(c, r"[\t\r\n]", "")))
     bare = F.regexp_replace(path, r"/+$", "")
-    cut = lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.when(F.contains(p, F.lit("=")), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")).alias("v"))
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), cut)
-    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p.k).isin(TRACKING_KEYS)))
-    joined = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p.k), F.lit("="), _encoded(p.v))), "&")
+    joined = _joined(F.array_sort(F.filter(_pairs(query), lambda p: ~F.lower(p.k).isin(TRACKING_KEYS))))
     number = F.when(port != "", port.cast("int"))
     shown = F.when(number.isNotNull() & ~number.isin(0, 80, 443), F.concat(F.lit(":"), number.cast("string"))).otherwise("")
     out = F.concat(scheme, F.lit("://"), host, shown, F.when(bare == "", "/").otherwise(bare), F.when(joined == "", "").otherwise(F.concat(F.lit("?"), joined)))

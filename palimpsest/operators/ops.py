@@ -95,7 +95,7 @@ def owner_routing(reason: Column, retryable: Column, rules: list[tuple[list[str]
 
 
 def decision_score(score: Column, speed: Column, difficulty: Column, profile: bool = True) -> Column:
-    """Weighted sum of score, speed, ease and match with a profile, rounded half to even to four places."""
+    """Weighted sum of score, speed, ease and match with a profile, rounded half to even to four places (fixed weights)."""
     bonus = F.when(speed == "fast", 0.3).when(speed == "mid", 0.2).when(speed == "slow", 0.1).otherwise(0.0)
     ease = F.greatest(F.lit(0.0), 1 - (difficulty - 1) * 0.15)
     match = F.when(difficulty <= 2, 0.85).when(difficulty <= 3, 0.65).otherwise(0.35) if profile else F.lit(0.5)

@@ -112,7 +112,7 @@ def fuse(channels: dict[str, DataFrame], key: str = "chunk_id") -> DataFrame:
 
 
 def metadata_boost(terms: list[str], project_filter: bool = False) -> Column:
-    """The sum of small rewards for matching terms, tier, importance, recall weight, status, review and authority."""
+    """The sum of small rewards for matching terms, tier, importance, recall weight, status, review and authority (fixed values)."""
     hits = lambda c, each, most: F.least(sum((F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(t)).cast("int") for t in terms), F.lit(0)) * each, F.lit(most))
     weight = F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight"))
     return (
@@ -189,10 +189,12 @@ def json_member(column: str, wanted: str) -> Column:
 
 
 def like_any(columns: list[str], text: str) -> Column:
-    """Whether any column holds the text as it is written, without regard to case; '%' and '_' are no wildcards."""
+    """Whether any column holds the text as it is written, without regard to the case of ASCII letters, though of those alone; '%'
+    and '_' are no wildcards."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     hit = F.lit(False)
     for c in columns:
-        hit = hit | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(text.lower()))
+        hit = hit | F.contains(F.translate(F.coalesce(F.col(c), F.lit("")), upper, lower), F.translate(F.lit(text), upper, lower))
     return hit
 
 

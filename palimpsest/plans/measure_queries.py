@@ -339,8 +339,8 @@ def pack_parity_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with l as (select 'u' || user_id as session, event_id, case when event_id % 50 = 0 then null else event_type end as type, epoch_us(ts) as at from events where event_id % 41 <> 0) ::
-select session, count(*) filter (where type is not null) as n, count(*) filter (where type is null) as unread, max(case when type is not null then at end) as last_at from l group by session
+with l as (select 'u' || user_id as session, event_id, case when event_id % 50 = 0 then null else event_type end as type, epoch_us(ts) as moment from events where event_id % 41 <> 0) ::
+select session, count(*) filter (where type is not null) as n, count(*) filter (where type is null) as unread, max(case when type is not null then moment end) as last_at from l group by session
 """)
 def session_event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event files, one a session, as JSON lines: broken lines are counted and left out; blank lines are nothing."""
@@ -353,3 +353,80 @@ def session_event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = e.select(F.concat(F.lit("u"), "user_id").alias("file"), i.alias("line_no"), line.alias("value"))
     told = records.event_lines(lines, "type string, at bigint")
     return told.groupBy(F.col("file").alias("session")).agg(F.count("r.type").alias("n"), F.count_if(F.col("r.type").isNull()).alias("unread"), F.max("r.at").alias("last_at"))
+
+
+# pages
+
+
+@query("""
+with u as (select page_id, url, regexp_extract(url, '^([^?#]*)', 1) as front, regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) as q from pages),
+k as (select page_id, front, array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' and not starts_with(lower(x), 'utm_') and lower(split_part(x, '=', 1)) not in ('spm', 'from', 'share_source', 'share_token')), '&') as q from u)
+:: select page_id, front || case when q = '' then '' else '?' || q end as url from k
+""")
+def clean_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured addresses without tracking keys, otherwise as they are."""
+    from palimpsest.functions.textfns import clean_url
+
+    return table(spark, sf_dir, "pages").select("page_id", clean_url(F.col("url")).alias("url"))
+
+
+@query("select page_id, trim(regexp_replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) as title, 'utf-8' as charset from pages where html like '%charset=\"utf-8\"%'")
+def readable_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles by the parser that also gives the readable text."""
+    from palimpsest.sources import pages
+
+    rows = table(spark, sf_dir, "pages").filter(F.contains("html", F.lit('charset="utf-8"')))
+    return pages.readable_pages(spread(rows)).select("page_id", "title", F.lit("utf-8").alias("charset"))
+
+
+@query()
+def readable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readable text of every page, and how complete the capture is."""
+    from palimpsest.functions.textfns import completeness
+    from palimpsest.sources import pages
+
+    told = pages.readable_pages(spread(table(spark, sf_dir, "pages").select("page_id", "html")))
+    return told.select("page_id", "title", "text", completeness(F.col("text"), F.lit(""), F.lit("x")).alias("completeness"))
+
+
+# feeds
+
+
+@query("""
+with p as (select * from jobs where path <> '' order by made_at desc, job_id desc limit 60 offset 30), d as (select *, row_number() over (partition by path order by made_at desc, job_id desc) as n from p),
+s as (select regexp_extract(path, '[^/]*$') as name, made_at, case when status in ('queued', 'retrying', 'running') then 'processing' when status = 'failed' then 'failed' else 'kept' end as state from d where n = 1)
+:: select name, made_at, state, (select count(*) from s) = 60 as has_more from s
+""")
+def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the latest entries, each file once: repeats go after the page is cut, and whether more follow is told from what is
+    left of it."""
+    from palimpsest.functions.textfns import basename
+
+    page = jobs(spark, sf_dir).filter("path <> ''").orderBy(F.desc("made_at"), F.desc("job_id")).offset(30).limit(60)
+    last = merge.latest(page.select("path", "made_at", "job_id", "status"), ["path"], ["made_at", "job_id"])
+    told = last.select(basename(F.col("path")).alias("name"), "made_at", rules.item_status(F.lit("processed"), F.col("status")).alias("state"))
+    more = told.agg((F.count("*") == 60).alias("has_more"))
+    return told.crossJoin(F.broadcast(more))
+
+
+@query("""
+with e as (select event_id, event_type, json_extract_string(props, '$.k') as project from events order by event_id desc limit 10000), f as (select * from e where event_id > 120 and event_type in ('error', 'purchase') and project = '3' order by event_id)
+:: select event_id, event_type, (select count(*) from f) > 20 as has_more from f order by event_id limit 20
+""")
+def activity_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyset paging over the newest ten thousand events: those of some types and one project after an id, oldest first."""
+    newest = table(spark, sf_dir, "events").select("event_id", "event_type", "props").orderBy(F.desc("event_id")).limit(10_000)
+    fine = (F.col("event_id") > 120) & F.col("event_type").isin("error", "purchase") & (F.get_json_object("props", "$.k") == "3")
+    page = newest.filter(fine).orderBy("event_id").limit(21)
+    more = page.agg((F.count("*") > 20).alias("has_more"))
+    return page.orderBy("event_id").limit(20).crossJoin(F.broadcast(more)).select("event_id", "event_type", "has_more")
+
+
+@query("select typeof(props) as kind, case when json_type(props, '$.k') in ('BIGINT', 'UBIGINT') then 'number' else 'other' end as value_kind, count(*) as n, cast(sum(json_array_length('[' || user_id || ',' || event_id || ']')) as bigint) as items from (select props::json as props, user_id, event_id from events) group by 1, 2")
+def json_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds and lengths of JSON values."""
+    e = table(spark, sf_dir, "events")
+    number = F.get_json_object("props", "$.k").rlike(r"^-?\d+$")
+    length = F.json_array_length(F.concat(F.lit("["), "user_id", F.lit(","), "event_id", F.lit("]")))
+    rows = e.select(F.lit("JSON").alias("kind"), F.when(number, "number").otherwise("other").alias("value_kind"), length.alias("l"))
+    return rows.groupBy("kind", "value_kind").agg(F.count("*").alias("n"), F.sum("l").cast("bigint").alias("items"))

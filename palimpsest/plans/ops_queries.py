@@ -483,6 +483,7 @@ def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", score.alias("score"), level.alias("level"))
 
 
+#: Names of findings (fixed values).
 _FINDINGS = ["schema_invalid", "core_memory_requires_owner", "restricted_content_requires_owner", "insufficient_evidence_requires_owner"]
 
 
@@ -597,14 +598,19 @@ def pack_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # text and sources
 
 
-@query("""
-select doc_id, cast(len(regexp_extract_all(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b')) as int) as email,
-  cast(len(regexp_extract_all(text, '\\b[0-9a-f]{32}\\.[A-Za-z0-9_-]{8,32}\\b')) as int) as credential_pair, cast(len(regexp_extract_all(text,
-  '(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]{16,}')) as int) as bearer_token from documents
-""")
+#: Kinds whose patterns need no lookaround, which the oracle's engine lacks.
+_PLAIN_KINDS = [(k, p) for k, _, p in textfns.PRIVACY_PATTERNS if "(?<" not in p and "(?!" not in p]
+
+
+def _hits_sql(kind: str, pattern: str) -> str:
+    text = pattern.replace("'", "''")
+    return f"cast(len(regexp_extract_all(text, '{text}')) as int) as {kind}"
+
+
+@query(f"select doc_id, {', '.join(_hits_sql(*x) for x in _PLAIN_KINDS)} from documents")
 def privacy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = textfns.privacy_counts(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", *(counts[k].alias(k) for k in ("email", "credential_pair", "bearer_token")))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(counts[k].alias(k) for k, _ in _PLAIN_KINDS))
 
 
 @query()

@@ -37,12 +37,12 @@ def deny_all_without_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select page_id from pages where url ilike '%/a$_b%' escape '$' or url ilike '%100$%%' escape '$' or url ilike '%PAGE$_1%' escape '$' or html ilike '%it''s%' escape '$'
+select page_id from pages where url ilike '%utm$_source%' escape '$' or url ilike '%100$%%' escape '$' or url ilike '%PAGE=2%' escape '$' or html ilike '%it''s%' escape '$'
 """)
 def like_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free text over several columns; '%' and '_' stand for themselves, case of ASCII letters does not count."""
     cols = ["url", "html"]
-    texts = [("/a_b", cols[:1]), ("100%", cols[:1]), ("PAGE_1", cols[:1]), ("it's", cols[1:])]
+    texts = [("utm_source", cols[:1]), ("100%", cols[:1]), ("PAGE=2", cols[:1]), ("it's", cols[1:])]
     hit = F.lit(False)
     for text, where in texts:
         hit = hit | search.like_any(where, text)

@@ -64,6 +64,9 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores where the files have fewer splits than that; larger tables stay as they are read."""
+    """Rows of a scan dealt over all cores where its files have fewer splits than that; larger tables stay as they are read.
+
+    df must be a scan with filters and columns only, for its splits are told from its plan.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
