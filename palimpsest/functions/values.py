@@ -65,13 +65,13 @@ def _last(text: Column, piece: str) -> Column:
 def natural_cut(c: Column, budget: Column, stops: tuple[str, ...] = ("。", "\n", ". "), least: int = 20) -> Column:
     """At most about `budget` characters, cut after the last sentence or line in the second half if there is one, with an
     ellipsis; '' for a budget under `least`."""
-    text = F.trim(F.coalesce(c, F.lit("")))
+    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\A\s+|\s+\z", "")
     stop = F.greatest(budget - 1, F.lit(0))
     head = F.left(text, stop)
     places = [_last(head, s) for s in stops]
     last = F.greatest(*places) if len(places) > 1 else places[0]
     at = F.when(last < F.floor(budget / 2), stop).otherwise(last)
-    cut = F.concat(F.rtrim(F.left(text, at + 1)), F.lit("…"))
+    cut = F.concat(F.regexp_replace(F.left(text, at + 1), r"(?U)\s+\z", ""), F.lit("…"))
     return F.when((text == "") | (budget < least), "").when(F.length(text) <= budget, text).otherwise(cut)
 
 

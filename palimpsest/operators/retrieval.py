@@ -118,17 +118,22 @@ def lexical_channel(chunks: DataFrame, query: str, limit: int, f: Filters, key:
 
 
 def semantic_channel(vectors: DataFrame, vector: list[float], limit: int, least: float = 0.0, key: str = "chunk_id") -> DataFrame:
-    """(key, rank) of the nearest vectors with a score that counts."""
-    near = cleaned(search.vector_topk(vectors, vector, limit), least).withColumnRenamed("vec_id", key)
-    return _placed(near.withColumn("score", F.round("score", 6)), [-F.col("score")], limit, key)
+    """(key, rank, score) of the nearest vectors with a score that counts."""
+    near = cleaned(search.vector_topk(vectors, vector, limit), least).withColumnRenamed("vec_id", key).withColumn("score", F.round("score", 6))
+    by = [F.desc("score"), F.asc(key)]
+    return near.orderBy(*by).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*by)).cast("bigint")).select(key, "rank", "score")
 
 
-def fused(chunks: DataFrame, channels: dict[str, DataFrame], f: Filters, key: str = "chunk_id") -> DataFrame:
-    """Chunks of all channels that pass, with retrieval_score and channels. Ranks count rows that the filters then drop."""
+def fused(chunks: DataFrame, channels: dict[str, DataFrame], f: Filters, key: str = "chunk_id", semantic: DataFrame | None = None) -> DataFrame:
+    """Chunks of all channels that pass, with retrieval_score and channels. Ranks count rows that the filters then drop.
+
+    semantic has (key, score) of rows that an earlier fusion found by meaning alone; a first fusion knows none.
+    """
     ranked = search.fuse(channels, key)
+    ranked = ranked.withColumn("_semantic", F.lit(None).cast("double")) if semantic is None else ranked.join(semantic.select(key, F.col("score").alias("_semantic")), key, "left")
     rows = chunks.join(F.broadcast(ranked), key).filter(f.passes())  # at most one top-k list a channel
-    score = F.col("rrf") + search.metadata_boost(list(f.terms), bool(f.project))
-    return rows.withColumn("retrieval_score", F.round(score, PLACES)).drop("rrf")
+    score = F.col("rrf") + search.metadata_boost(list(f.terms), bool(f.project), semantic=F.col("_semantic"))
+    return rows.withColumn("retrieval_score", F.round(score, PLACES)).drop("rrf", "_semantic")
 
 
 def settled(rows: DataFrame, limit: int, key: str = "chunk_id") -> DataFrame:
@@ -141,11 +146,12 @@ def settled(rows: DataFrame, limit: int, key: str = "chunk_id") -> DataFrame:
 
 
 def find(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int, f: Filters, key: str = "chunk_id") -> DataFrame:
-    """The search: both channels, fused, filtered and settled."""
+    """The search: both channels, fused, filtered and settled; semantic_score is that of rows found by meaning."""
     n = max(OVERFETCH * limit, LEAST_CANDIDATES)
     f = replace(f, terms=tuple(query_words(query)))
     both = {"lexical": lexical_channel(chunks, query, n, f, key), "semantic": semantic_channel(vectors, vector, n, key=key)}
-    return settled(fused(chunks, both, f, key), limit, key)
+    near = both["semantic"].select(key, F.col("score").alias("semantic_score"))
+    return settled(fused(chunks, both, f, key).join(F.broadcast(near), key, "left"), limit, key)
 
 
 def query_words(query: str) -> list[str]:
@@ -154,8 +160,9 @@ def query_words(query: str) -> list[str]:
 
 def find_enhanced(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int, f: Filters, key: str = "chunk_id") -> DataFrame:
     """The search, and where it gives fewer rows than wanted a substring search behind it, fused once more: ranks are then
-    places in the joined list, so scores change."""
-    first = find(chunks, vectors, query, vector, limit, f, key).select(key, "retrieval_score", "place").cache()  # `limit` rows
+    places in the joined list, so scores change, and rows that were found by meaning alone get a little for it."""
+    alone = F.when(F.col("channels") == F.array(F.lit("semantic")), F.col("semantic_score"))
+    first = find(chunks, vectors, query, vector, limit, f, key).select(key, "retrieval_score", "place", alone.alias("score")).cache()  # `limit` rows
     again = replace(f, terms=tuple(query_words(query)))
     more = max(3 * limit, 20)
     hits = search.substring(chunks.filter(f.stored()), pieces(query), key).join(first.select(key), key, "left_anti").filter(f.passes())
@@ -164,7 +171,7 @@ def find_enhanced(chunks: DataFrame, vectors: DataFrame, query: str, vector: lis
         late.select(key, F.lit(1).alias("_late"), (-F.col("title_hit")).alias("_by"), (-F.col("weight")).alias("_w"))
     )
     ranked = _placed(joined, [F.col("_late"), F.col("_by"), F.col("_w")], limit + more, key)
-    second = settled(fused(chunks, {"lexical": ranked}, again, key), limit, key)
+    second = settled(fused(chunks, {"lexical": ranked}, again, key, first.filter("score is not null")), limit, key)
     full = first.agg((F.count("*") >= limit).alias("_full"))
     pick = lambda df, want: df.select(key, "retrieval_score", "place").crossJoin(F.broadcast(full)).filter(F.col("_full") == want).drop("_full")
     return pick(first, True).unionByName(pick(second, False))
@@ -180,6 +187,7 @@ def explained(found: DataFrame, chunks: DataFrame, query: str, f: Filters, key:
         hit = hit | F.contains(text, F.lit(t))
     current = replace(f, mode="current")
     group = ["project", "memory_type", "privacy", "conflict_key"]
+    found = found.select(key, *group, "authority").cache()  # a top-k list, read three times
     top = found.filter("conflict_key <> ''").groupBy(*group).agg(F.max("authority").alias("_top"))
     past = chunks.filter(history.passes() & hit).join(found.select(key), key, "left_anti").join(F.broadcast(top), group, "left")
     lower = F.coalesce(F.col("authority") < F.col("_top"), F.lit(False))

@@ -111,19 +111,24 @@ def fuse(channels: dict[str, DataFrame], key: str = "chunk_id") -> DataFrame:
     return both.groupBy(key).agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("rrf"), F.array_sort(F.collect_set("channel")).alias("channels"))
 
 
-def metadata_boost(terms: list[str], project_filter: bool = False) -> Column:
-    """The sum of small rewards for matching terms, tier, importance, recall weight, status, review and authority (fixed values)."""
+def metadata_boost(terms: list[str], project_filter: bool = False, pinned: Column | None = None, semantic: Column | None = None) -> Column:
+    """The sum of small rewards for matching terms, tier, importance, recall weight, status, review and authority (fixed values).
+
+    pinned tells rows that are pinned to contexts, by default by their tier; semantic is a score of rows that an earlier fusion
+    found by meaning, null for others.
+    """
     hits = lambda c, each, most: F.least(sum((F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(t)).cast("int") for t in terms), F.lit(0)) * each, F.lit(most))
     weight = F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight"))
     return (
         hits("title", 0.025, 0.10) + hits("heading", 0.012, 0.05) + hits("tags", 0.008, 0.03)
-        + F.when(F.col("tier") == "core", 0.035).when(F.col("tier") == "pinned", 0.025).otherwise(0.0)
+        + F.when(F.col("tier") == "core", 0.035).otherwise(0.0) + F.when(F.col("tier") == "pinned" if pinned is None else pinned, 0.025).otherwise(0.0)
         + F.col("importance") * 0.004
         + F.least(F.greatest(weight - 1, F.lit(-0.5)), F.lit(2.0)) * 0.01
         + (0.025 if project_filter else 0.0)
         + F.when(F.col("status") == "active", 0.008).otherwise(0.0)
         + F.when(F.col("review") == "approved", 0.008).otherwise(0.0)
         + F.col("authority") * 0.02
+        + (F.lit(0.0) if semantic is None else F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), semantic)) * 0.01, F.lit(0.0)))
     )
 
 

@@ -21,9 +21,9 @@ def _find_sql(lexical: str, terms: list[str], limit: int, stored: str = _STORED)
     boost = _BOOST.replace("'src1'", f"'{terms[0]}'").replace("'en'", f"'{terms[-1]}'")
     return f"""
 {lexical}, ok as (select memory_id from ({_reason_sql('current')}) where reason = 'currently_valid'),
-near as (select vec_id as chunk_id, row_number() over (order by score desc, vec_id) as rank from ({_vector_sql('cosine', n)}) where score >= 0),
-fused as (select chunk_id, sum(1.0::double / (60 + rank)) as rrf from (select chunk_id, rank from lex union all select chunk_id, rank from near) group by chunk_id),
-told as (select m.*, round(rrf + {boost}, 8) as retrieval_score from fused join memories m using (chunk_id) join ok using (memory_id) where {stored} and scope <> 'a1'),
+near as (select vec_id as chunk_id, score, row_number() over (order by score desc, vec_id) as rank from ({_vector_sql('cosine', n)}) where score >= 0),
+fused as (select chunk_id, sum(1.0::double / (60 + rank)) as rrf, case when bool_and(score is not null) then least(1.0, max(score)) end as alone from (select chunk_id, rank, null as score from lex union all select chunk_id, rank, score from near) group by chunk_id),
+told as (select m.*, alone, round(rrf + {boost}, 8) as retrieval_score from fused join memories m using (chunk_id) join ok using (memory_id) where {stored} and scope <> 'a1'),
 top as (select *, max(authority) over (partition by project, memory_type, conflict_key) as most, case when tier = 'normal' then 'evidence' else 'memory' end as channel from told),
 found as (select *, row_number() over (order by channel desc, retrieval_score desc, importance desc, chunk_id) as place from top where conflict_key = '' or authority >= most
   order by channel desc, retrieval_score desc, importance desc, chunk_id limit {limit})"""
@@ -58,7 +58,7 @@ late as (select chunk_id, case when contains(lower(title), 'src1') or contains(l
   and contains(lower(title || ' ' || heading || ' ' || text || ' ' || tags), 'src1') and contains(lower(title || ' ' || heading || ' ' || text || ' ' || tags), 'de')
   and chunk_id not in (select chunk_id from found) and memory_id in (select memory_id from ok) order by hit desc, weight desc, chunk_id limit 120),
 again as (select chunk_id, row_number() over (order by l, a, b, chunk_id) as rank from (select chunk_id, 0 as l, place as a, 0.0 as b from found union all select chunk_id, 1, -hit, -weight from late)),
-scored2 as (select m.*, round(1.0::double / (60 + rank) + {_BOOST.replace("'en'", "'de'")}, 8) as retrieval_score from again join memories m using (chunk_id)),
+scored2 as (select m.*, round(1.0::double / (60 + rank) + {_BOOST.replace("'en'", "'de'")} + coalesce((select alone from found where found.chunk_id = m.chunk_id), 0) * 0.01::double, 8) as retrieval_score from again join memories m using (chunk_id)),
 top2 as (select *, max(authority) over (partition by project, memory_type, conflict_key) as most, case when tier = 'normal' then 'evidence' else 'memory' end as channel from scored2),
 second as (select *, row_number() over (order by channel desc, retrieval_score desc, importance desc, chunk_id) as place from top2 where conflict_key = '' or authority >= most
   order by channel desc, retrieval_score desc, importance desc, chunk_id limit 40)

@@ -369,7 +369,7 @@ def names_and_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 with c as (select doc_id, trim(text) as c, 60 as budget from documents), s as (select *, substr(c, 1, budget - 1) as head from c),
 b as (select *, greatest(case when contains(head, chr(10)) then length(head) - strpos(reverse(head), chr(10)) else -1 end, case when contains(head, '. ') then length(head) - strpos(reverse(head), ' .') - 1 else -1 end) as last from s) ::
-select doc_id, case when c = '' then '' when length(c) <= budget then c else rtrim(substr(c, 1, case when last < budget // 2 then budget - 1 else last end + 1)) || '…' end as cut from b where not regexp_matches(head, '。') and c = regexp_replace(c, '^\\s+|\\s+$', '', 'g')
+select doc_id, case when c = '' then '' when length(c) <= budget then c else regexp_replace(substr(c, 1, case when last < budget // 2 then budget - 1 else last end + 1), '\\s+$', '') || '…' end as cut from b where not regexp_matches(head, '。') and c = regexp_replace(c, '^\\s+|\\s+$', '', 'g')
 """)
 def natural_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts (without other outer blanks) cut at sixty characters, after a sentence or line where one ends in the second half."""
