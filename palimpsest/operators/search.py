@@ -55,7 +55,11 @@ def lexical(chunks: DataFrame, terms: list[str], allowed: Column | None = None,
 
 
 def _grams(c: Column) -> Column:
-    return F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """Each three characters in a row, joined from the array of characters: substrings by place would be quadratic in length."""
+    signs = F.split(c, "")
+    after = lambda n: F.slice(signs, F.lit(n + 1), F.greatest(F.size(signs) - n, F.lit(0)))
+    three = F.zip_with(F.zip_with(signs, after(1), lambda a, b: F.concat(a, b)), after(2), lambda a, b: F.concat(a, b))
+    return F.filter(three, lambda g: F.length(g) == 3)
 
 
 def trigram_postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
