@@ -54,7 +54,7 @@ def inbox_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = messages(spark, sf_dir)
     said = m.select(c.cast("string").alias("file"), (s + 1).alias("line_no"), F.to_json(F.struct(F.lit("message").alias("type"), c.cast("string").alias("conversation_id"), ident.alias("message_id"), at.alias("timestamp"))).alias("value"))
     heads = m.filter(c % 4 > 0).select(c.cast("string").alias("file"), F.lit(0).cast("bigint").alias("line_no"), F.to_json(F.struct(F.lit("conversation").alias("type"), c.cast("string").alias("conversation_id"), F.lit("t").alias("title"))).alias("value")).distinct()
-    return history.history_jsonl(said.unionByName(heads)).select("message_id", "sequence", "valid")
+    return history.history_jsonl(said.unionByName(heads)).select("message_id", F.col("sequence").cast("bigint").alias("sequence"), "valid")
 
 
 @query("""
@@ -303,7 +303,7 @@ def decision_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with u as (select vec_id, label from embeddings where vec_id % 2 = 1 union all select vec_id, label + 100 from embeddings where vec_id % 2 = 0) ::
-  select vec_id, label from u where vec_id not in (select doc_id from documents where source = 'src3')
+  select vec_id, cast(label as bigint) as label from u where vec_id not in (select doc_id from documents where source = 'src3')
 """)
 def vector_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points replaced by id, then those of some memories deleted."""
