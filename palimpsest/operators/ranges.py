@@ -27,6 +27,8 @@ def deal(df: DataFrame, order: list[Column], name: str = "_range", least: int =
     """Adds the number of the range of `order` that a row falls in, and writes the rows. Equal rows share a range."""
     held = store(df, "held")  # the partitioner reads its input twice
     parts = range_count(held.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least, most)
+    if parts == 1:
+        return held.withColumn(name, F.lit(0))
     dealt = store(held.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id()), "dealt")
     discard(held)
     return dealt
