@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, language, near_dedup, packing, quality, substring, telephony, token_store, tokens, toxicity
+from palimpsest.llm import decontaminate, language, mixing, near_dedup, packing, quality, substring, telephony, token_store, tokens, toxicity
 from palimpsest.llm._shared import documents, materialise, remainder
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -73,6 +73,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(docs, window=20).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(documents(spark, sf_dir), weights=(1, 2, 3), percent=100, most=3))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -103,6 +107,20 @@ select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_re
 """
 
 
+OP13_SQL = """
+with sized as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents),
+sources as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from sized group by source),
+timed as (select *, sum(source_size) over ()::bigint as budget, source_size * 3 / weight as used_up, sum(weight) over () as all_weight from sources),
+levels as (select *, (budget - coalesce(sum(source_size * 3) over earlier, 0))::double / (all_weight - coalesce(sum(weight) over earlier, 0)) as level from timed window earlier as (order by used_up, source nulls last rows between unbounded preceding and 1 preceding)),
+targets as (select source, source_size, weight, budget, least((source_size * 3)::double, weight * max(level) over ()) as target from levels),
+queue as (select row_number() over () as row, doc_id, d.source, size, source_size, weight, budget, target, coalesce(sum(size) over (partition by d.source order by sha256('2024:' || doc_id), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as ahead from sized d join targets t on d.source is not distinct from t.source),
+copies as (select *, ahead + (copy - 1) * source_size as start from queue cross join (select unnest([1, 2, 3]) as copy)),
+served as (select *, greatest(0, least(size, ceil(target)::bigint - start)) as words from copies),
+placed as (select *, coalesce(sum(words) over (order by (start + words) / weight, source nulls last, start rows between unbounded preceding and 1 preceding), 0) as position from served)
+select doc_id, size, source_size, target, sum(greatest(0, least(words, budget - position)))::bigint as taken from placed group by row, doc_id, size, source_size, target
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Operators 2 and 10 have exact results that SQL can say; the others need tokenizers, models, codecs or templates."""
-    return {"op2_near_dedup": OP2_SQL, "op10_substring_dedup": OP10_SQL}
+    """The operators with exact results that SQL can say; the others need tokenizers, models, codecs or templates."""
+    return {"op2_near_dedup": OP2_SQL, "op10_substring_dedup": OP10_SQL, "op13_mixing": OP13_SQL}
