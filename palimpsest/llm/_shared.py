@@ -85,3 +85,23 @@ def kept(name: object, make: Callable):
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+#: Groups that can each hold more than one in so many of all rows; there are fewer of them than this, whatever the data.
+HOT_GROUPS = 1000
+
+
+def join_back(rows: DataFrame, groups: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """Inner join of rows to the groups that they were made of; groups has a row for each key, and `copies` how many rows hold it.
+
+    Groups that hold more than a thousandth of all `total` rows are fewer than a thousand, and are broadcast; the others are
+    joined by a shuffle in which no key is hot. Keys may be null. Both tables are read twice, so they should be written.
+    """
+    least = total // HOT_GROUPS
+    hot, rest = groups.filter(F.col(copies) > least), groups.filter(F.col(copies) <= least)
+    names = [c for c in groups.columns if c != key]
+    r, known = rows.alias("r"), F.col(f"r.{key}").eqNullSafe(F.col(f"g.{key}"))
+    out = [F.col(f"r.{c}") for c in rows.columns] + [F.col(f"g.{c}") for c in names]
+    found = r.join(F.broadcast(hot).alias("g"), known).select(*out)
+    others = r.join(F.broadcast(hot.select(key)).alias("g"), known, "left_anti").alias("r")
+    return found.unionByName(others.join(rest.alias("g"), known).select(*out))

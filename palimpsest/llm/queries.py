@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, language, mixing, near_dedup, packing, quality, substring, telephony, token_store, tokens, toxicity
+from palimpsest.llm import codes, decontaminate, importance, language, mixing, near_dedup, packing, quality, substring, telephony, token_store, tokens, toxicity
 from palimpsest.llm._shared import documents, materialise, remainder
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -73,6 +73,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(docs, window=20).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=10, least_words=20, n=1)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=16, entries=64, rounds=2, scale=256)
+    return codes.with_label_error(coded).drop("label").withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(documents(spark, sf_dir), weights=(1, 2, 3), percent=100, most=3))
 
@@ -107,6 +116,48 @@ select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_re
 """
 
 
+_RUNS = "select {id} as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from {table}"
+_NIBBLE = "(instr('0123456789ABCDEF', {}) - 1)"
+
+#: crc32 is a fold over bytes of a fold over bits.
+OP11_SQL = f"""
+with docs as ({_RUNS.format(id="doc_id", table="documents")}), items as ({_RUNS.format(id="item_id", table="benchmark")}),
+s_words as (select word, count(*) as n from (select unnest(words) as word from docs) group by word),
+t_words as (select word, count(*) as n from (select unnest(words) as word from items) group by word),
+hexes as (select word, hex(word) as h from (select word from s_words union select word from t_words)),
+bytes as (select word, list_transform(range(1, len(h), 2), lambda i: {_NIBBLE.format("h[i:i]")} * 16 + {_NIBBLE.format("h[i+1:i+1]")}) as b from hexes),
+crcs as (select word, xor(list_reduce(list_concat([4294967295::bigint], b), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 10000 as bucket from bytes),
+s_all as (select bucket, sum(n) as s from s_words join crcs using (word) group by bucket), t_all as (select bucket, sum(n) as t from t_words join crcs using (word) group by bucket),
+totals as (select (select coalesce(sum(n), 0) from s_words)::double as s_n, (select coalesce(sum(n), 0) from t_words)::double as t_n),
+gains as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::double) * (s_n + 10000) / ((s + 1.0::double) * (t_n + 10000))))::bigint as gain from s_all left join t_all using (bucket) cross join totals),
+weights as (select id, sum(gain)::bigint as weight from (select id, unnest(words) as word from docs) join crcs using (word) join gains using (bucket) group by id),
+scored as (select d.id as doc_id, len(words)::bigint as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || d.id)[1:8])::bigint + 0.5::double) / 4294967296)))::bigint as score from docs d left join weights w on w.id = d.id),
+ranked as (select *, row_number() over (order by (n_features >= 20) desc, score desc, doc_id) as place, count(*) filter (where n_features >= 20) over () as able from scored)
+select doc_id, n_features, weight, score, case when place <= 10 * able // 100 then place end as rank from ranked
+"""
+
+def _assigned(books: str) -> str:
+    square = "list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i])))"
+    return f"select vec_id, label, part, min(struct_pack(d := {square}::bigint, entry := b.entry)) as best, any_value(x.v) as v from parts x join {books} b using (part) group by vec_id, label, part"
+
+
+def _moved(assigned: str, books: str) -> str:
+    means = f"select part, entry, list(mean order by i) as v from (select part, best.entry as entry, i, floor(sum(v[i]) / count(*))::bigint as mean from (select *, unnest(range(1, len(v) + 1)) as i from {assigned}) group by 1, 2, 3) group by part, entry"
+    return f"select b.part, b.entry, coalesce(m.v, b.v) as v from {books} b left join ({means}) m using (part, entry)"
+
+
+OP12_SQL = f"""
+with kept as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (select vec_id, label, part, v[part * len(v) // 16 + 1 : (part + 1) * len(v) // 16] as v from kept cross join (select unnest(range(16)) as part)),
+books_0 as (select part, row_number() over (partition by part order by vec_id) - 1 as entry, v from parts where vec_id in (select vec_id from kept order by vec_id limit 64)),
+assigned_0 as ({_assigned("books_0")}), books_1 as ({_moved("assigned_0", "books_0")}),
+assigned_1 as ({_assigned("books_1")}), books_2 as ({_moved("assigned_1", "books_1")}),
+assigned_2 as ({_assigned("books_2")}),
+coded as (select vec_id, label, string_agg(lpad(lower(to_hex(best.entry)), 2, '0'), '' order by part) as code, sum(best.d)::bigint as error from assigned_2 group by vec_id, label),
+digest as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256 from books_2)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from coded cross join digest
+"""
+
 OP13_SQL = """
 with sized as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents),
 sources as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from sized group by source),
@@ -123,4 +174,4 @@ select doc_id, size, source_size, target, sum(greatest(0, least(words, budget -
 
 def oracle_sql() -> dict[str, str]:
     """The operators with exact results that SQL can say; the others need tokenizers, models, codecs or templates."""
-    return {"op2_near_dedup": OP2_SQL, "op10_substring_dedup": OP10_SQL, "op13_mixing": OP13_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op10_substring_dedup": OP10_SQL, "op11_importance": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_mixing": OP13_SQL}
