@@ -86,6 +86,8 @@ def _left(low: np.ndarray, high: np.ndarray, entries: np.ndarray, allowed: np.nd
 
 def assign(tree: Tree, entries: np.ndarray, codes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, int]:
     """Counts and sums of each entry's points, the code of each point in the block's order if asked for, and how many points were compared one by one."""
+    if object in (tree.points.dtype, tree.sums[0].dtype):
+        entries = entries.astype(object)
     counts, sums = np.zeros(len(entries), np.int64), np.zeros_like(entries)
     told = np.zeros(len(tree.points), np.int64) if codes else None
     nodes, allowed, opened = np.array([0]), np.ones((1, len(entries)), bool), 0
@@ -225,26 +227,40 @@ def _blocks(batches, width: int):
             yield b.slice(i, 1), [_load(fields, width) for fields in b.column("trees")[i].as_py()]
 
 
+#: Sums of any width leave a task as numbers of so many bits, the highest with the sign, so that they can be added as longs.
+_BITS = 40
+
+
+def _pieces(x: int) -> list[int]:
+    out = []
+    while not -(1 << _BITS) <= x < 1 << _BITS:
+        out.append(x & ((1 << _BITS) - 1))
+        x >>= _BITS
+    return [*out, x]
+
+
 def _round(forest: DataFrame, books: np.ndarray) -> np.ndarray:
     """Codebooks after one round: floors of means; entries without points stay."""
     parts, entries, width = books.shape
 
     def added(batches):
-        counts, sums = np.zeros((parts, entries), np.int64), np.zeros(books.shape, object)
+        sums = np.zeros((parts, entries, width + 1), object)  # the last is the count
         for _, block in _blocks(batches, width):
             for k, tree in enumerate(block):
                 n, s, _, _ = assign(tree, books[k])
-                counts[k] += n
-                sums[k] += s.astype(object)
-        k, e = np.nonzero(counts)
-        text = [[str(x) for x in row] for row in sums[k, e]]
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(counts[k, e]), pa.array(text, pa.list_(pa.string()))], ["part", "entry", "n", "sums"])
-
-    told = forest.select("trees").mapInArrow(added, "part int, entry int, n long, sums array<string>")
-    each = [F.sum(F.col("sums")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(width)]
-    out = books.astype(object)
-    for r in told.groupBy("part", "entry").agg(F.sum("n").alias("n"), *each).collect():  # a row for each entry of the codebooks
-        out[r.part, r.entry] = [int(r[f"s{i}"]) // r.n for i in range(width)]
+                sums[k, :, :width] += s.astype(object)
+                sums[k, :, width] += n
+        rows = [(k, e, c, at, piece) for k, e, c in zip(*np.nonzero(sums), strict=True) for at, piece in enumerate(_pieces(int(sums[k, e, c])))]
+        kinds = [pa.int32()] * 4 + [pa.int64()]
+        names = ["part", "entry", "component", "piece", "value"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+    told = forest.select("trees").mapInArrow(added, "part int, entry int, component int, piece int, value long")
+    sums = np.zeros((parts, entries, width + 1), object)
+    for r in told.groupBy("part", "entry", "component", "piece").agg(F.sum("value").alias("value")).collect():  # as many as the codebooks have numbers
+        sums[r.part, r.entry, r.component] += r.value << _BITS * r.piece
+    out, used = books.astype(object), sums[:, :, width] > 0
+    out[used] = sums[used][:, :width] // sums[used][:, width:]
     return _narrow(out)
 
 
@@ -279,7 +295,7 @@ def compress(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int
 
     Null vectors and those with null or non-finite components are dropped. Vectors must have one length, a multiple of `parts`;
     others are an error. With fewer kept vectors than entries, codebooks have an entry each; with none there are no rows and the
-    codebooks are empty. Repeated ids are coded one by one. An error that leaves 64 bits is null. Other columns are not read.
+    codebooks are empty. Repeated ids are coded one by one. An error, or sum of errors, that leaves 64 bits is null. Other columns are not read.
     """
     if not 1 <= entries <= 256:
         raise ValueError("a code has two hex digits: 1 to 256 entries")
@@ -298,5 +314,5 @@ def compress(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int
 def with_label_error(coded: DataFrame, label_col: str = "label") -> DataFrame:
     """Adds the error summed over equal labels, nulls together: summed in each task first, then joined back, hot labels by broadcast."""
     stored = materialise(coded, "coded")
-    sums = materialise(stored.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"), F.sum("error").alias("label_error")), "label_sums")
+    sums = materialise(stored.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"), F.try_sum("error").alias("label_error")), "label_sums")
     return join_back(stored, sums, label_col, "_n", stored.count()).drop("_n")
