@@ -28,7 +28,9 @@ def deal(df: DataFrame, order: list[Column], name: str = "_range", least: int =
     held = store(df, "held")  # the partitioner reads its input twice
     parts = range_count(held.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least, most)
     if parts == 1:
-        return held.withColumn(name, F.lit(0))
+        alone = held.withColumn(name, F.lit(0))
+        alone._written = held._written
+        return alone
     dealt = store(held.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id()), "dealt")
     discard(held)
     return dealt

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -44,3 +45,13 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         fs, at = filesystem(df.sparkSession, df._written)
         fs.delete(at, True)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A digest of the files that a table is read from: their names, sizes and times of change."""
+    told = []
+    for name in sorted(df.inputFiles()):
+        fs, at = filesystem(df.sparkSession, name)
+        status = fs.getFileStatus(at)
+        told.append(f"{name}|{status.getLen()}|{status.getModificationTime()}")
+    return hashlib.sha256("\n".join(told).encode()).hexdigest()
