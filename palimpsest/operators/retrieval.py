@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.timefns import validity_reason
 from palimpsest.operators import search
+from palimpsest.operators.ivf import VectorIndex
+from palimpsest.operators.lexical_index import LexicalIndex
 
 #: Candidates per channel for each row wanted, and their least number; ends of fused rounding (fixed values).
 OVERFETCH, LEAST_CANDIDATES, PLACES = 6, 30, 8
@@ -41,6 +44,12 @@ class Filters:
         fine = search.in_or_any("memory_type", list(self.types)) & search.in_or_none("privacy", list(self.privacy))
         return fine & search.in_or_any("status", list(self.statuses)) if self.mode in ("current", "why") else fine
 
+    def shown(self) -> Column:
+        """Whether the view in time has a row; current views leave out derived rows that are not active."""
+        fine = self.reason().isin(SHOWN)
+        derived = (F.coalesce(F.col("tier"), F.lit("")) == "derived") & (F.coalesce(F.col("status"), F.lit("")) != "active")
+        return fine & ~derived if self.mode in ("current", "why") else fine
+
     def passes(self) -> Column:
         """What is checked after candidates are ranked: all of the above, scope, project as a piece of text, tags and time."""
         tags = F.transform(F.split("tags", " "), F.lower)
@@ -95,33 +104,71 @@ def citation(source: list[str]) -> Column:
     return F.to_json(F.struct("memory_id", "heading", *source))
 
 
-def _placed(rows: DataFrame, order: list[Column], limit: int, key: str) -> DataFrame:
-    """(key, rank) of the first rows; the window is over a top-k list only."""
-    first = rows.select(key, *[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    by = [F.col(f"_o{i}") for i in range(len(order))] + [F.col(key)]
-    top = first.orderBy(*by).limit(limit)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*by)).cast("bigint")).select(key, "rank")
+@dataclass(frozen=True)
+class Archive:
+    """Chunks with all their columns, and where a search has its candidates from: lexical(terms, limit, allowed) gives rows (key,
+    bm25), near(vector, limit) rows (key, score), both best first. evidence tells which rows are shown after all others."""
+
+    chunks: DataFrame
+    lexical: Callable[[list[str], int, Column], list[Row]]
+    near: Callable[[list[float], int], list[Row]]
+    key: str = "chunk_id"
+    memory: str = "memory_id"
+    evidence: Column | None = None
+    least: float = 0.0
+
+    def keyed(self, keys: list) -> DataFrame:
+        """The chunks of a top-k list of keys."""
+        return self.chunks.filter(F.col(self.key).isin(list(keys)))
+
+    def is_evidence(self) -> Column:
+        return F.col("memory_type") == "structured_evidence" if self.evidence is None else self.evidence
+
+
+def scanned(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id", vector_key: str = "vec_id", **more) -> Archive:
+    """An archive without indexes: each search scans chunks and vectors."""
+    lexical = lambda terms, limit, allowed: search.lexical(chunks, terms, allowed, key, limit).select(key, "bm25").collect()
+    near = lambda vector, limit: search.vector_topk(vectors, vector, limit, key=vector_key).collect()
+    return Archive(chunks, lexical, near, key, **more)
 
 
-def lexical_channel(chunks: DataFrame, query: str, limit: int, f: Filters, key: str = "chunk_id") -> DataFrame:
-    """(key, rank): the best by BM25, cut to the limit before time is looked at, then those that time admits. Where none is
-    left, or a term is too short for trigrams, rows that hold all terms anywhere follow."""
-    best = search.lexical(chunks, expression(query), f.stored(), key, limit).filter(f.reason().isin(SHOWN))
-    found = best.select(key, F.lit(0).alias("_late"), F.col("bm25").alias("_by")).cache()  # a top-k list, read three times
+def indexed(chunks: DataFrame, words: LexicalIndex, vectors: VectorIndex, prove: bool = False, key: str = "chunk_id", **more) -> Archive:
+    """An archive with stored indexes; a phrase of words that are all too short for one scans the chunks."""
+
+    def lexical(terms: list[str], limit: int, allowed: Column) -> list[Row]:
+        if any(len(t.split()) != 1 for t in terms):
+            return search.lexical(chunks, terms, allowed, key, limit).select(key, "bm25").collect()
+        return words.search(terms, limit, allowed)
+
+    return Archive(chunks, lexical, lambda vector, limit: vectors.search(vector, limit, prove=prove), key, **more)
+
+
+def lexical_list(a: Archive, query: str, limit: int, f: Filters) -> list[tuple]:
+    """(key, memory) of the lexical candidates in order: the best by BM25, cut to the limit before time is looked at, then those
+    that time admits. Where none is left, or a term is too short for trigrams, chunks that hold all terms anywhere follow, the
+    first one of each memory that is not there yet."""
+    best = [r[0] for r in a.lexical(expression(query), limit, f.stored())]
+    of = {r[0]: r[1] for r in a.keyed(best).filter(f.shown()).select(a.key, a.memory).collect()} if best else {}
+    out = [(k, of[k]) for k in best if k in of]
     terms = [t.lower() for t in _TOKEN.findall(query)]
-    if terms:
-        late = search.substring(chunks.filter(f.stored() & f.reason().isin(SHOWN)), terms, key).join(found, key, "left_anti")
-        count = found.agg(F.count("*").alias("_n"))
-        late = late.crossJoin(F.broadcast(count)).filter((F.col("_n") == 0) | F.lit(short_terms(query)))
-        found = found.unionByName(late.select(key, F.lit(1).alias("_late"), F.lit(0.0).alias("_by")))
-    return _placed(found, [F.col("_late"), F.col("_by")], limit, key)
+    if terms and (not out or short_terms(query)):
+        late = search.substring(a.chunks.filter(f.stored() & f.shown()), terms, a.key).filter(~F.col(a.memory).isin([m for _, m in out]))
+        more = late.groupBy(a.memory).agg(F.min(a.key).alias("_first")).orderBy("_first").limit(max(1, limit - len(out)))
+        out += [(r[1], r[0]) for r in more.collect()]
+    return out
+
+
+def semantic_list(a: Archive, vector: list[float], limit: int) -> list[tuple]:
+    """(key, score) of the nearest vectors with a score that counts, in order of scores of six places."""
+    rows = a.near(vector, limit)
+    if not rows:
+        return []
+    told = a.chunks.sparkSession.createDataFrame([tuple(r) for r in rows], f"{a.key} {a.chunks.schema[a.key].dataType.simpleString()}, score double")
+    return [tuple(r) for r in cleaned(told, a.least).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), a.key).collect()]
 
 
-def semantic_channel(vectors: DataFrame, vector: list[float], limit: int, least: float = 0.0, key: str = "chunk_id") -> DataFrame:
-    """(key, rank, score) of the nearest vectors with a score that counts."""
-    near = cleaned(search.vector_topk(vectors, vector, limit), least).withColumnRenamed("vec_id", key).withColumn("score", F.round("score", 6))
-    by = [F.desc("score"), F.asc(key)]
-    return near.orderBy(*by).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*by)).cast("bigint")).select(key, "rank", "score")
+def _ranked(a: Archive, keys: list) -> DataFrame:
+    return a.chunks.sparkSession.createDataFrame(list(zip(keys, range(1, len(keys) + 1), strict=True)), f"{a.key} {a.chunks.schema[a.key].dataType.simpleString()}, rank long")
 
 
 def fused(chunks: DataFrame, channels: dict[str, DataFrame], f: Filters, key: str = "chunk_id", semantic: DataFrame | None = None) -> DataFrame:
@@ -136,65 +183,116 @@ def fused(chunks: DataFrame, channels: dict[str, DataFrame], f: Filters, key: st
     return rows.withColumn("retrieval_score", F.round(score, PLACES)).drop("rrf", "_semantic")
 
 
-def settled(rows: DataFrame, limit: int, key: str = "chunk_id") -> DataFrame:
-    """Lower authorities hidden, memories before evidence, at most three chunks of a memory, the best `limit` with their place."""
-    kept = search.resolve_authority(rows, ["project", "memory_type"])
-    order = [F.desc("retrieval_score"), F.desc("importance"), F.asc(key)]
-    kept = search.cap_per_memory(kept, 3, "memory_id", order).withColumn("channel", F.when(F.col("tier") == "normal", "evidence").otherwise("memory"))
-    full = [F.when(F.col("channel") == "memory", 0).otherwise(1), *order]
-    return kept.orderBy(*full).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*full)))
+@dataclass(frozen=True)
+class Found:
+    """rows: what a search shows, with retrieval_score, channel and place. hidden: (memory, project, memory_type, conflict_key) of
+    what a higher authority keeps out."""
 
+    rows: DataFrame
+    hidden: DataFrame
+
+
+_GROUP = ["project", "memory_type", "conflict_key"]
 
-def find(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int, f: Filters, key: str = "chunk_id") -> DataFrame:
-    """The search: both channels, fused, filtered and settled; semantic_score is that of rows found by meaning."""
-    n = max(OVERFETCH * limit, LEAST_CANDIDATES)
-    f = replace(f, terms=tuple(query_words(query)))
-    both = {"lexical": lexical_channel(chunks, query, n, f, key), "semantic": semantic_channel(vectors, vector, n, key=key)}
-    near = both["semantic"].select(key, F.col("score").alias("semantic_score"))
-    return settled(fused(chunks, both, f, key).join(F.broadcast(near), key, "left"), limit, key)
+
+def settled(a: Archive, rows: DataFrame, limit: int, mode: str) -> Found:
+    """At most three chunks of a memory; in current views lower authorities of a conflict hidden; memories before evidence; the
+    best `limit` with their place. rows is made once: it has no more than the top-k lists it came of."""
+    updated = [F.col("updated").desc_nulls_last()] if "updated" in rows.columns else []
+    order = [F.desc("retrieval_score"), F.desc("importance"), *updated, F.asc(a.key)]
+    capped = search.cap_per_memory(rows, 3, a.memory, order).withColumn("channel", F.when(a.is_evidence(), "evidence").otherwise("memory"))
+    kept = rows.sparkSession.createDataFrame(capped.collect(), capped.schema)
+    named = F.trim(F.coalesce("conflict_key", F.lit(""))) != ""
+    over = F.max(F.when(named, F.col("authority"))).over(Window.partitionBy(*_GROUP))
+    lower = named & (F.col("authority") < over) if mode in ("current", "why") else F.lit(False)
+    told = kept.withColumn("_lower", lower)
+    full = [F.when(F.col("channel") == "memory", 0).otherwise(1), *order]
+    shown = told.filter(~F.col("_lower")).drop("_lower").orderBy(*full).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*full)))
+    return Found(shown, told.filter("_lower").select(a.memory, *_GROUP).distinct())
 
 
 def query_words(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\w{2,}", query.lower())))
 
 
-def find_enhanced(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int, f: Filters, key: str = "chunk_id") -> DataFrame:
+def _fuse_lists(a: Archive, lexical: list, semantic: list[tuple], limit: int, f: Filters, alone: DataFrame | None = None) -> Found:
+    near = {k: s for k, s in semantic}
+    lists = {"lexical": _ranked(a, lexical), "semantic": _ranked(a, list(near))} if near else {"lexical": _ranked(a, lexical)}
+    chunks = replace(a, chunks=a.keyed({*lexical, *near})).chunks
+    rows = fused(chunks, lists, f, a.key, alone)
+    scores = a.chunks.sparkSession.createDataFrame(list(near.items()), f"{a.key} {a.chunks.schema[a.key].dataType.simpleString()}, semantic_score double")
+    return settled(a, rows.join(F.broadcast(scores), a.key, "left"), limit, f.mode)
+
+
+def find(a: Archive, query: str, vector: list[float], limit: int, f: Filters) -> Found:
+    """The search: both lists of candidates, fused, filtered and settled; semantic_score is that of rows found by meaning. Each list
+    is made once and has at most OVERFETCH times `limit` rows (or LEAST_CANDIDATES); chunks are read by their keys."""
+    n = max(OVERFETCH * limit, LEAST_CANDIDATES)
+    f = replace(f, terms=tuple(query_words(query)))
+    return _fuse_lists(a, [k for k, _ in lexical_list(a, query, n, f)], semantic_list(a, vector, n), limit, f)
+
+
+def substring_list(a: Archive, query: str, limit: int, f: Filters) -> list:
+    """Keys of chunks that hold all pieces of a query: those with the first piece in their title first (there '_' is any sign),
+    then by weight and last change, cut to the limit before scope, project, tags and time are looked at."""
+    cut = pieces(query)
+    if not cut:
+        return []
+    held = F.lit(True)
+    for p in cut:
+        held = held & search.like_any(list(search.WEIGHTS), p)
+    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    title = low(F.coalesce("title", F.lit(""))).like(f"%{cut[0]}%".translate({i: i + 32 for i in range(65, 91)}))
+    updated = [F.col("updated").desc_nulls_last()] if "updated" in a.chunks.columns else []
+    first = a.chunks.filter(f.stored() & held).orderBy(F.when(title, 0).otherwise(1), F.col("weight").desc_nulls_last(), *updated, a.key).limit(limit)
+    passing = first.withColumn("_passes", f.passes()).select(a.key, "_passes").collect()
+    return [r[0] for r in passing if r[1]]
+
+
+def find_enhanced(a: Archive, query: str, vector: list[float], limit: int, f: Filters) -> Found:
     """The search, and where it gives fewer rows than wanted a substring search behind it, fused once more: ranks are then
     places in the joined list, so scores change, and rows that were found by meaning alone get a little for it."""
-    alone = F.when(F.col("channels") == F.array(F.lit("semantic")), F.col("semantic_score"))
-    first = find(chunks, vectors, query, vector, limit, f, key).select(key, "retrieval_score", "place", alone.alias("score")).cache()  # `limit` rows
-    again = replace(f, terms=tuple(query_words(query)))
-    more = max(3 * limit, 20)
-    hits = search.substring(chunks.filter(f.stored()), pieces(query), key).join(first.select(key), key, "left_anti").filter(f.passes())
-    late = hits.orderBy(F.desc("title_hit"), F.desc("weight"), F.asc(key)).limit(more)
-    joined = first.select(key, F.lit(0).alias("_late"), F.col("place").alias("_by"), F.lit(0.0).alias("_w")).unionByName(
-        late.select(key, F.lit(1).alias("_late"), (-F.col("title_hit")).alias("_by"), (-F.col("weight")).alias("_w"))
-    )
-    ranked = _placed(joined, [F.col("_late"), F.col("_by"), F.col("_w")], limit + more, key)
-    second = settled(fused(chunks, {"lexical": ranked}, again, key, first.filter("score is not null")), limit, key)
-    full = first.agg((F.count("*") >= limit).alias("_full"))
-    pick = lambda df, want: df.select(key, "retrieval_score", "place").crossJoin(F.broadcast(full)).filter(F.col("_full") == want).drop("_full")
-    return pick(first, True).unionByName(pick(second, False))
-
-
-def explained(found: DataFrame, chunks: DataFrame, query: str, f: Filters, key: str = "chunk_id", most: int = 50) -> DataFrame:
-    """(key, excluded): for each row found, the rows of its conflict group that hold a term of the query but are not shown, each
-    with the reason; a lower authority is one, time is the other. At most `most` rows are looked at, the least ids first."""
-    history = replace(f, mode="history", statuses=())
-    hit = F.lit(False)
-    text = F.lower(F.concat_ws(" ", *search.WEIGHTS))
-    for t in query_words(query):
-        hit = hit | F.contains(text, F.lit(t))
-    current = replace(f, mode="current")
-    group = ["project", "memory_type", "privacy", "conflict_key"]
-    found = found.select(key, *group, "authority").cache()  # a top-k list, read three times
-    top = found.filter("conflict_key <> ''").groupBy(*group).agg(F.max("authority").alias("_top"))
-    past = chunks.filter(history.passes() & hit).join(found.select(key), key, "left_anti").join(F.broadcast(top), group, "left")
-    lower = F.coalesce(F.col("authority") < F.col("_top"), F.lit(False))
-    reason = F.when(lower, "lower_authority_conflict").otherwise(current.reason())
-    out = past.withColumn("reason", reason).filter(~F.col("reason").isin(SHOWN)).orderBy(key).limit(most)
-    listed = out.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), "reason"))).alias("excluded"))
-    return found.select(key, *group).join(F.broadcast(listed), group, "left").select(key, F.coalesce(F.to_json("excluded"), F.lit("[]")).alias("excluded"))
+    primary = find(a, query, vector, limit, f)
+    known = primary.rows.orderBy("place").select(a.key, "channels", "semantic_score").collect()
+    if len(known) >= limit:
+        return primary
+    late = [k for k in substring_list(a, query, max(3 * limit, 20), f) if k not in {r[0] for r in known}]
+    kind = a.chunks.schema[a.key].dataType.simpleString()
+    alone = a.chunks.sparkSession.createDataFrame([(r[0], r[2]) for r in known if list(r[1]) == ["semantic"]], f"{a.key} {kind}, score double")
+    return _fuse_lists(a, [r[0] for r in known] + late, [], limit, replace(f, terms=tuple(query_words(query))), alone)
+
+
+def explained(a: Archive, found: Found, query: str, vector: list[float], f: Filters, most: int = 50) -> DataFrame:
+    """(key, excluded): for each row found, what of its conflict group a search in history finds but the view leaves out, with the
+    reason: a lower authority that a row found keeps out, or time. Candidates are the first chunks of memories by searches for
+    the query and each of its words, best first, then by meaning; at most `most` are kept, in that order."""
+    group = [*_GROUP, "privacy"]
+    shown = found.rows.select(a.key, a.memory, *group).collect()
+    n = max(12 * len(shown), 60)
+    past = replace(f, mode="history", statuses=(), terms=tuple(query_words(query)))
+    first: dict = {}
+    for q in [query, *sorted(set(past.terms))]:
+        for k, m in lexical_list(a, q, n, past):
+            first.setdefault(m, k)
+    near = [k for k, _ in semantic_list(a, vector, n)]
+    of = {r[0]: r[1] for r in a.keyed(near).select(a.key, a.memory).collect()} if near else {}
+    for k in near:
+        if k in of:
+            first.setdefault(of[k], k)
+    here = {tuple(r[g] for g in _GROUP) for r in shown}
+    beaten = {r[0] for r in found.hidden.collect() if tuple(r[g] for g in _GROUP) in here}
+    keys = [k for m, k in first.items() if m not in {r[1] for r in shown}]
+    told = {r[0]: r for r in a.keyed(keys).filter(past.passes()).select(a.key, a.memory, *group, replace(f, mode="current").reason().alias("reason")).collect()} if keys else {}
+    out = []
+    for k in keys:
+        if k in told and (told[k][1] in beaten or told[k].reason not in SHOWN):
+            out.append((k, *(told[k][g] for g in group), "lower_authority_conflict" if told[k][1] in beaten else told[k].reason))
+    kinds = a.chunks.schema
+    schema = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in (a.key, *group))
+    out = a.chunks.sparkSession.createDataFrame(out[:most], f"{schema}, reason string").withColumnRenamed(a.key, "id")
+    listed = out.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("id", "reason"))).alias("excluded"))
+    same = [found.rows[g].eqNullSafe(listed[g]) for g in group]
+    return found.rows.join(F.broadcast(listed), same, "left").select(found.rows[a.key], F.coalesce(F.to_json("excluded"), F.lit("[]")).alias("excluded"))
 
 
 # packs

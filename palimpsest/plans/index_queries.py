@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,25 +19,29 @@ _OPEN: dict[str, VectorIndex | LexicalIndex] = {}
 PAYLOAD = ("memory_type", "status", "privacy", "scopes")
 
 
+def opened(spark: SparkSession, name: str, at: Callable, fill: Callable):
+    """The index of a name in the shared folder, opened once a process, and filled if nothing has been committed to it."""
+    root = f"{shared_dir(spark)}/{name}"
+    if root not in _OPEN:
+        index = at(root)
+        if index.store.manifest() is None:
+            fill(index)
+        _OPEN[root] = index
+    return _OPEN[root]
+
+
 def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
-    """The index of embeddings in the shared folder, with memories' payload where a vector has one; built where there is none."""
+    """The index of embeddings, with memories' payload where a vector has one."""
     vectors = table(spark, sf_dir, "embeddings")
     mark = fingerprint(vectors)
-    root = f"{shared_dir(spark)}/vectors-{mark[:24]}"
-    if root not in _OPEN:
-        _OPEN[root] = index = VectorIndex(spark, root)
-        payload = memories(spark, sf_dir).select(F.col("memory_id").alias("vec_id"), *PAYLOAD)
-        index.build(vectors.join(payload, "vec_id", "left"), mark)
-    return _OPEN[root]
+    payload = memories(spark, sf_dir).select(F.col("memory_id").alias("vec_id"), *PAYLOAD)
+    return opened(spark, f"vectors-{mark[:24]}", lambda root: VectorIndex(spark, root), lambda index: index.build(vectors.join(payload, "vec_id", "left"), mark))
 
 
 def lexical_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
     mark = fingerprint(table(spark, sf_dir, "documents"))
-    root = f"{shared_dir(spark)}/words-{mark[:24]}"
-    if root not in _OPEN:
-        _OPEN[root] = index = LexicalIndex(spark, root, payload=("memory_type", "status", "privacy"))
-        index.commit(memories(spark, sf_dir), mark)
-    return _OPEN[root]
+    payload = ("memory_type", "status", "privacy")
+    return opened(spark, f"words-{mark[:24]}", lambda root: LexicalIndex(spark, root, payload=payload), lambda index: index.commit(memories(spark, sf_dir), mark))
 
 
 def listed(spark: SparkSession, rows: list, schema: str) -> DataFrame:

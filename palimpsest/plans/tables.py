@@ -22,6 +22,15 @@ MEMORY = {
     "valid_to": "case when doc_id % 3 = 0 then '2026-02-' || lpad(cast(doc_id % 28 + 1 as varchar(9)), 2, '0') || 'T00:00:00+00:00' when doc_id % 23 = 0 then 'soon' else null end",
     "scope": "case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then 'all' when doc_id % 4 = 2 then 'a1' else 'a2,all' end",
 }
+#: Pieces of documents of PIECE characters, several a memory; derived and evidence rows, and a time of change.
+PIECE = 400
+CHUNK = MEMORY | {
+    "chunk_id": "doc_id * 100000 + part", "heading": "lang || cast(part % 3 as varchar(9))", "text": f"substr(text, cast(part * {PIECE} + 1 as int), {PIECE})",
+    "memory_type": "case when doc_id % 4 = 3 then 'structured_evidence' when doc_id % 3 = 0 then 'decision' else 'knowledge' end",
+    "tier": "case when doc_id % 9 = 0 then 'core' when doc_id % 9 = 1 then 'pinned' when doc_id % 9 < 4 then 'derived' else 'normal' end",
+    "status": "case when doc_id % 7 = 0 then 'superseded' when doc_id % 11 = 0 then 'archived' when doc_id % 5 = 2 then 'needs_review' else 'active' end",
+    "updated": "'2026-01-' || lpad(cast(doc_id % 28 + 1 as varchar(9)), 2, '0')",
+}
 MESSAGE = {
     "conversation_id": "conv_id", "sequence": "turn", "message_id": "cast(conv_id as varchar(20)) || ':' || cast(turn as varchar(20))", "role": "role", "content": "text",
     "source_id": "'s' || cast(conv_id % 5 as varchar(9))", "made_at": "conv_id * 1000 + turn",
@@ -41,6 +50,7 @@ def _sql(columns: dict[str, str], table: str, more: str = "") -> str:
 #: Common table expressions for the oracle.
 CTE = {
     "memories": _sql(MEMORY, "documents"),
+    "chunks": _sql(CHUNK, f"(select *, unnest(range(cast(greatest(ceil(length(text) / {PIECE}.0), 1) as bigint))) as part from documents)"),
     "messages": _sql(MESSAGE, "conversations"),
     "jobs": _sql(JOB, "events", ", cast(json_extract(props, '$.k') as bigint) as k, epoch_us(ts) as made_at"),
 }
@@ -54,6 +64,12 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*(f"{e} as {n}" for n, e in MEMORY.items())).withColumn("scopes", F.filter(F.split("scope", ","), lambda x: x != ""))
 
 
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / F.lit(float(PIECE))), F.lit(1)).cast("bigint") - 1)
+    rows = table(spark, sf_dir, "documents").withColumn("part", F.explode(parts)).selectExpr(*(f"{e} as {n}" for n, e in CHUNK.items()))
+    return rows.withColumn("scopes", F.filter(F.split("scope", ","), lambda x: x != ""))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(*(f"{e} as {n}" for n, e in MESSAGE.items()))
 
