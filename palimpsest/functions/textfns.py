@@ -32,7 +32,8 @@ def _java(pattern: str) -> str:
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Blanks of any kind as one; no-break and ideographic blanks too."""
+    return F.trim(F.regexp_replace(c, _java(r"\s+"), " "))
 
 
 def normalise_content(c: Column) -> Column:
@@ -155,7 +156,7 @@ def query_terms(c: Column) -> Column:
 
 def failure_reason(c: Column) -> Column:
     """Failure texts that differ in numbers or blanks only become one."""
-    text = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\b\d+\b", " "), r"\s+", " ")))
+    text = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), _java(r"\b\d+\b"), " "), _java(r"\s+"), " ")))
     return F.when(text == "", "unknown failure").otherwise(text)
 
 

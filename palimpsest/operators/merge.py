@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.ranges import running
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], keep_first: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of new replace those of old with the same key; columns in keep_first stay as they were first."""
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], keep_first: tuple[str, ...] = (), order: list[str] | None = None) -> DataFrame:
+    """Rows of new replace those of old with the same key; columns in keep_first stay as they were first. Of several new rows of
+    a key the last in `order` counts, by default the greatest of all values. old has one row a key."""
     values = [c for c in old.columns if c not in key]
-    n = new.select(*key, F.struct(*values).alias("_n"))
+    n = latest(new, key, order or values).select(*key, F.struct(*values).alias("_n"))
     o = old.select(*key, F.struct(*values).alias("_o"))
     pick = lambda c: F.coalesce(F.col(f"_o.{c}"), F.col(f"_n.{c}")) if c in keep_first else F.when(F.col("_n").isNotNull(), F.col(f"_n.{c}")).otherwise(F.col(f"_o.{c}"))
     return o.join(n, key, "full_outer").select(*key, *(pick(c).alias(c) for c in values))
@@ -20,11 +23,17 @@ def replace_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def inherit(child: DataFrame, parent: DataFrame, key: str, column: str) -> DataFrame:
-    """A value given in the row wins and clears the flag; else the parent's value holds, with the flag set."""
-    up = parent.select(key, F.col(column).alias("_up"))
-    own = F.col(column).isNotNull()
-    return child.join(up, key, "left").withColumn(f"{column}_inherited", ~own).withColumn(column, F.coalesce(column, "_up")).drop("_up")
+def inherit(child: DataFrame, parent: DataFrame, key: str, column: str, stored: DataFrame | None = None, child_key: str = "") -> DataFrame:
+    """A value given in the row wins and clears the flag; else what is stored for the row holds with the flag it has; else the
+    parent's value, with the flag set. stored: (child_key, column, column_inherited), one row a child."""
+    up, flag = parent.select(key, F.col(column).alias("_up")), f"{column}_inherited"
+    both = child.join(up, key, "left")
+    if stored is not None:
+        both = both.join(stored.select(child_key, F.col(column).alias("_was"), F.col(flag).alias("_flag")), child_key, "left")
+    else:
+        both = both.withColumns({"_was": F.lit(None).cast(child.schema[column].dataType), "_flag": F.lit(None).cast("boolean")})
+    told = F.when(F.col(column).isNotNull(), False).when(F.col("_was").isNotNull(), F.coalesce("_flag", F.lit(False))).otherwise(True)
+    return both.withColumn(flag, told).withColumn(column, F.coalesce(column, "_was", "_up")).drop("_up", "_was", "_flag")
 
 
 def diff(before: DataFrame, after: DataFrame, key: str, fingerprint: str) -> DataFrame:
@@ -94,33 +103,12 @@ def newest(rows: DataFrame, per: list[str] | None, order: list[Column], k: int)
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).filter(F.col("_place") <= k).drop("_place")
 
 
-def ranged(rows: DataFrame, by: Column, n: int = 256, name: str = "_range") -> DataFrame:
-    """Adds the number of one of n ranges of `by`, which must be a number; ranges ascend and hold about equally many rows.
-
-    The edges are approximate percentiles: one row of n - 1 numbers, whatever the number of rows. A row finds its range by
-    two steps of about sqrt(n) comparisons.
-    """
-    step = max(1, int(n**0.5))
-    edges = rows.agg(F.percentile_approx(by, [k / n for k in range(1, n)], 100 * n).alias("_edges"))
-    below = lambda array: F.size(F.filter(array, lambda e: e < by))
-    coarse = below(F.transform(F.sequence(F.lit(step), F.lit(n - 1), F.lit(step)), lambda i: F.get("_edges", i - 1)))
-    found = rows.crossJoin(F.broadcast(edges)).withColumn("_coarse", F.coalesce(coarse, F.lit(0)))
-    fine = below(F.slice("_edges", F.col("_coarse") * step + 1, F.lit(step)))
-    return found.withColumn(name, F.col("_coarse") * step + F.coalesce(fine, F.lit(0))).drop("_edges", "_coarse")
-
-
 def running_total(rows: DataFrame, by: Column, order: list[str], size: str, name: str = "before") -> DataFrame:
-    """Adds the total of size of all rows that come before, in two levels: ranges of `by` first, then within a range.
+    """Adds the total of size of all rows that come before, over ranges of (by, order) that grow in number with the rows.
 
-    `by` is a number that ascends with order and has no value that a large share of the rows hold. So the ordered sum over
-    all rows never meets in one task; only one row for each of the 256 ranges does.
+    `by` ascends with order, which may tell rows of one value apart: a value that most rows hold then is dealt over many ranges.
     """
-    dealt = ranged(rows, by)
-    sums = dealt.groupBy("_range").agg(F.sum(size).alias("_sum"))
-    shift = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_shift"))
-    within = F.sum(size).over(Window.partitionBy("_range").orderBy(*order)) - F.col(size)
-    total = dealt.withColumn("_within", within).join(F.broadcast(shift), "_range")
-    return total.withColumn(name, F.col("_within") + F.col("_shift")).drop("_range", "_within", "_shift")
+    return running(rows, [by, *map(F.col, order)], {name: F.col(size)})
 
 
 def evict(rows: DataFrame, by: Column, order: list[str], size: str, cap: int) -> DataFrame:

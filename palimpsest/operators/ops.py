@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import merge
+from palimpsest.operators.containment import containing
+from palimpsest.operators.ranges import deal
 
 JOB_STATUSES = ["queued", "running", "retrying", "completed", "failed"]
 #: Points of review findings and the levels of their capped sum (fixed values).
@@ -128,8 +130,8 @@ def contained_passages(docs: DataFrame, items: DataFrame, item: str, passage: st
 
     Passages of seven words and more meet texts through their second to sixth word, which stand between blanks in the text too,
     wherever the passage begins: a hash join on those five words, broadcast while the passages are few. Only ids and hashes are
-    exploded; texts come back for the pairs found. Shorter passages are a query set of their own, compared directly, in
-    blocks of a bounded size.
+    exploded; texts come back for the pairs found. Shorter passages are found by automata over blocks of a bounded size, which
+    read each text once a block.
     """
     words = lambda c: F.split(F.translate(c, "\n", " "), " ")
     cut = items.select(item, passage, words(passage).alias("_w"))
@@ -144,11 +146,7 @@ def contained_passages(docs: DataFrame, items: DataFrame, item: str, passage: st
     side = F.broadcast(long) if small else long
     pairs = runs.join(side, "_key").select(id_col, item, passage).distinct()
     exact = pairs.join(read, id_col).filter(F.contains(F.col(text_col), F.col(passage))).select(item, id_col)
-    blocks = 1 if small else -(-((sizes.n or 0) + 64 * sizes.m) // block_chars)
-    for k in range(blocks):
-        block = short if blocks == 1 else short.filter(F.pmod(F.xxhash64(item), F.lit(blocks)) == k)
-        exact = exact.unionByName(read.join(F.broadcast(block), F.contains(F.col(text_col), F.col(passage))).select(item, id_col))
-    return exact.distinct()
+    return exact.unionByName(containing(read, short, id_col, text_col, item, passage)).distinct()
 
 
 def pack_parity(rows: DataFrame, per: str, key: str, order: str, also: str) -> DataFrame:
@@ -157,7 +155,7 @@ def pack_parity(rows: DataFrame, per: str, key: str, order: str, also: str) -> D
 
     The greatest `order` before a row is taken in ranges of the key first, so that no group is one task's.
     """
-    ranges = merge.ranged(rows, F.col(key))
+    ranges = deal(rows, [F.col(key), F.col(per)])
     tops = ranges.groupBy(per, "_range").agg(F.min(order).alias("least"), F.max(order).alias("top"))
     before = F.max("top").over(Window.partitionBy(per).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     crossed = tops.withColumn("_b", before).groupBy(per).agg(F.bool_or(F.coalesce(F.col("_b") > F.col("least"), F.lit(False))).alias("crossed"))

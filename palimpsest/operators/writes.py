@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.textfns import redact
@@ -10,7 +10,7 @@ from palimpsest.operators import merge
 
 
 def numbered(rows: DataFrame, by: Column, order: list[str], start: int = 0, name: str = "ordinal") -> DataFrame:
-    """Rows with their place in order from `start`; by is a number that ascends with order. Places are counted in two levels."""
+    """Rows with their place in order from `start`; by is a number that ascends with order. Places are counted over ranges."""
     placed = merge.running_total(rows.withColumn("_one", F.lit(1)), by, order, "_one", name).drop("_one")
     return placed.withColumn(name, F.col(name) + start)
 
@@ -52,11 +52,19 @@ def project_states(projections: DataFrame, evidence: DataFrame, links: DataFrame
 
 def supersede(decisions: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Decisions after new ones of the same key: the active one is closed where the new authority is not lower; else the new
-    one is refused and nothing changes. decisions and new: (key, version, authority, since, state, until)."""
-    active = decisions.filter("state = 'active'").select(key, F.col("authority").alias("_a"))
-    judged = new.join(active, key, "left").withColumn("_ok", F.col("_a").isNull() | (F.col("authority") >= F.col("_a"))).drop("_a")
-    taken = judged.filter("_ok").drop("_ok")
-    closing = taken.select(key, F.col("since").alias("_until"))
+    one is refused and nothing changes. decisions and new: (key, version, authority, since, state, until).
+
+    Several new ones of a key are taken in order of (since, version): each closes the one before it, and is refused if any that
+    was taken before it has a higher authority. Only the last one taken is active.
+    """
+    active = decisions.filter("state = 'active'").groupBy(key).agg(F.max("authority").alias("_a"))
+    turn = Window.partitionBy(key).orderBy("since", "version")
+    most = F.greatest("_a", F.max("authority").over(turn.rowsBetween(Window.unboundedPreceding, -1)))
+    judged = new.join(active, key, "left").withColumn("_most", most)
+    taken = judged.filter(F.col("_most").isNull() | (F.col("authority") >= F.col("_most"))).drop("_a", "_most")
+    following = F.lead("since").over(turn)
+    taken = taken.withColumn("_next", following).withColumn("until", F.coalesce("_next", "until")).withColumn("state", F.when(F.col("_next").isNotNull(), "superseded").otherwise(F.col("state"))).drop("_next")
+    closing = taken.groupBy(key).agg(F.min("since").alias("_until"))
     hit = (F.col("state") == "active") & F.col("_until").isNotNull()
     old = decisions.join(closing, key, "left").withColumn("until", F.when(hit, F.col("_until")).otherwise(F.col("until")))
     old = old.withColumn("state", F.when(hit, "superseded").otherwise(F.col("state"))).drop("_until")

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators import ops
+from palimpsest.operators.containment import quoted_in
+from palimpsest.operators.hashtree import DigestedTable, reconcile
 from palimpsest.operators.ivf import VectorIndex
 from palimpsest.operators.lexical_index import LexicalIndex
+from palimpsest.operators.projection import Change, Projection
+from palimpsest.operators.ranges import running
 from palimpsest.operators.stored import fingerprint, new_folder, shared_dir
 from palimpsest.plans.registry import query
 from palimpsest.plans.search_queries import QUERY_VECTOR, _bm25_sql, _vector_sql
-from palimpsest.plans.tables import memories, table
+from palimpsest.plans.tables import chunks, memories, messages, table
 
 #: Indexes that this process has opened, by folder.
 _OPEN: dict[str, VectorIndex | LexicalIndex] = {}
@@ -93,3 +98,76 @@ def lexical_index_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = rows.filter("chunk_id % 3 = 0 and chunk_id % 5 <> 1").withColumn("text", F.concat("text", F.lit(" heedless heed")))
     index.commit(new, "second", removed=rows.filter("chunk_id % 5 = 1").select("chunk_id"))
     return listed(spark, index.search(["heed"], 25), "chunk_id long, bm25 double").withColumn("bm25", F.round("bm25", 6))
+
+
+# references by eight ways, digests, two phases
+
+_RECORDS = """
+r as (select message_id, 'X' || conversation_id || '-' || sequence as external_id, cast(conversation_id as varchar) as conversation, 'conv:' || conversation_id as conversation_external, source_id, 'src:' || source_id as source_external,
+  'raw/' || conversation_id || '/' || sequence as raw_reference, '{"mail":"M' || conversation_id || '_' || sequence || '@h","role":"' || role || '"}' as metadata from messages),
+refs as (select distinct case k when 0 then message_id when 1 then external_id when 2 then conversation when 3 then conversation_external when 4 then source_external when 5 then raw_reference when 6 then 'm' || conversation || substr(raw_reference, 5 + length(conversation)) || '@H'
+  when 7 then 'M' || conversation || '%@h' else 'nothing ' || message_id end as ref from (select *, (row_number() over (order by message_id) - 1) % 9 as k from r))"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = F.col("conversation_id").cast("string"), F.col("sequence").cast("string")
+    joined = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in x))
+    return messages(spark, sf_dir).select(
+        "message_id", joined("X", c, "-", s).alias("external_id"), c.alias("conversation"), joined("conv:", c).alias("conversation_external"), "source_id", joined("src:", F.col("source_id")).alias("source_external"),
+        joined("raw/", c, "/", s).alias("raw_reference"), joined('{"mail":"M', c, "_", s, '@h","role":"', F.col("role"), '"}').alias("metadata"),
+    )
+
+
+@query(f"""
+with {_RECORDS}, hits as (select ref, r.message_id from refs join r on ref in (r.message_id, r.external_id, r.conversation, r.conversation_external, r.source_id, r.source_external, r.raw_reference) or lower(r.metadata) like lower('%"' || ref || '"%')) ::
+select ref, case when n = 1 then message_id end as message_id, case when n is null then 'unresolved' when n = 1 then 'resolved' else 'ambiguous' end as outcome from refs left join (select ref, count(*) as n, min(message_id) as message_id from (select distinct * from hits) group by ref) using (ref)
+""")
+def ref_resolution_all_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References by seven equalities and by a quoted piece of metadata with LIKE's wildcards; one that exactly one message answers
+    to is resolved. Each equality is a hash join of its own; quoted pieces are joined by hash too, those with wildcards by automata."""
+    r = _records(spark, sf_dir)
+    c = F.col("conversation")
+    mine = F.concat(F.lit("m"), c, F.substring("raw_reference", F.length(c) + 5, F.lit(1 << 20)), F.lit("@H"))
+    ways = [F.col("message_id"), F.col("external_id"), c, F.col("conversation_external"), F.col("source_external"), F.col("raw_reference"), mine, F.concat(F.lit("M"), c, F.lit("%@h")), F.concat(F.lit("nothing "), "message_id")]
+    turn = running(r, [F.col("message_id")], {}, "nth").withColumn("nth", F.col("nth") - 1)
+    refs = turn.select(F.element_at(F.array(*ways), (F.pmod("nth", F.lit(9)) + 1).cast("int")).alias("ref")).distinct()
+    keys = ["message_id", "external_id", "conversation", "conversation_external", "source_id", "source_external", "raw_reference"]
+    equal = [refs.join(r.select(F.col(k).alias("ref"), F.col("message_id").alias("_m")), "ref").select("ref", F.col("_m").alias("message_id")) for k in keys]
+    told = ops.unique_resolution([*equal, quoted_in(r, refs, "message_id", "metadata", "ref")], "ref", "message_id")
+    return refs.join(told, "ref", "left").withColumn("outcome", F.coalesce("outcome", F.lit("unresolved")))
+
+
+@query("""
+with a as (select doc_id as id, sha256(coalesce(text, '')) as h from documents), b as (select id, case when id % 499 = 7 then 'changed' else h end as h from a where id % 331 <> 5 union all select id + 1000000000, h from a where id % 499 = 3) ::
+select id, case when a.id is null then 'added' when b.id is null then 'removed' else 'updated' end as change from a full join b using (id) where a.h is distinct from b.h
+""")
+def reconcile_by_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored copies of a table, one a few changes behind: only folders whose digests differ are read."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
+    behind, ahead = (DigestedTable(spark, new_folder(spark, "digests"), "id", "h", leaves=64) for _ in range(2))
+    behind.commit(rows, "first")
+    ahead.commit(rows, "first")
+    new = rows.filter("id % 499 = 7").withColumn("h", F.lit("changed")).unionByName(rows.filter("id % 499 = 3").withColumn("id", F.col("id") + 1_000_000_000))
+    ahead.commit(new.filter("id % 331 <> 5 or id >= 1000000000"), "second", removed=rows.filter("id % 331 = 5"))
+    return reconcile(behind, ahead)
+
+
+@query("""
+with d as (select memory_id, title, length(text) as size from memories where memory_id % 4 <> 1), p as (select chunk_id, memory_id from chunks where memory_id % 4 <> 1) ::
+select memory_id, case when memory_id % 4 = 2 then 'again ' || title else title end as title, count(chunk_id) as pieces from d left join p using (memory_id) group by all
+""")
+def two_phase_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and their chunks as one projection: a change that ends between its phases leaves no trace, is repaired and made
+    again; a replay writes nothing. A quarter of the documents changes, a quarter goes, with all of their chunks."""
+    docs, parts = memories(spark, sf_dir).select("memory_id", "title"), chunks(spark, sf_dir).select("chunk_id", "memory_id")
+    store = Projection(spark, new_folder(spark, "projection"), {"documents": "memory_id", "chunks": "memory_id"})
+    store.commit({"documents": Change(docs), "chunks": Change(parts)}, "first")
+    gone = docs.filter("memory_id % 4 = 1")
+    new = docs.filter("memory_id % 4 = 2").withColumn("title", F.concat(F.lit("again "), "title"))
+    change = {"documents": Change(new, gone), "chunks": Change(parts.filter("memory_id % 4 = 2"), gone)}
+    store.prepare(change, "second")
+    store.repair()
+    store.commit(change, "second")
+    store.commit(change, "second")
+    counts = store.read("chunks").groupBy("memory_id").agg(F.count("*").alias("pieces"))
+    return store.read("documents").join(counts, "memory_id", "left").fillna(0, ["pieces"])

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import rules, values
+from palimpsest.functions.textfns import completeness
 from palimpsest.operators import merge, search
 from palimpsest.plans.registry import query
 from palimpsest.plans.tables import jobs, memories, messages, spread, table
-from palimpsest.sources import chunking
+from palimpsest.sources import chunking, history
 
 # evidence
 
@@ -139,7 +140,7 @@ select count(*) as paired, count(*) filter (where e.message_id = a.message_id) a
 """)
 def import_audit_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected and stored messages paired by place: how many keys, roles, numbers and hashes agree, which keys are missing or
-    extra, and how many records one external source has beyond the first. Places are counted in two levels."""
+    extra, and how many records one external source has beyond the first. Places are counted over ranges."""
     m = messages(spark, sf_dir)
     s, sha = F.col("sequence"), lambda c: F.sha2(c.cast("binary"), 256)
     known = [F.col("conversation_id").alias("c"), s]
@@ -259,8 +260,6 @@ with n as (select doc_id, '---' || chr(10) || 'id: n' || doc_id || chr(10) || 't
 """)
 def note_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalars and lists of a front matter, and the digest of the body behind it."""
-    from palimpsest.sources import history
-
     note = F.concat(F.lit("---\nid: n"), "doc_id", F.lit("\ntags: ["), "lang", F.lit(", "), "source", F.lit("]\nstatus: active\n---\n"), "text")
     rows = table(spark, sf_dir, "documents").select("doc_id", note.alias("note"))
     n = F.col("note")
@@ -370,23 +369,30 @@ def clean_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", clean_url(F.col("url")).alias("url"))
 
 
-@query("select page_id, trim(regexp_replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) as title, 'utf-8' as charset from pages where html like '%charset=\"utf-8\"%'")
+_TITLE = "trim(regexp_replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(f"select page_id, {_TITLE} as title from pages")
 def readable_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles by the parser that also gives the readable text."""
-    from palimpsest.sources import pages
+    return table(spark, sf_dir, "pages").select("page_id", F.replace(history.page_title(F.col("html")), F.lit("&amp;"), F.lit("&")).alias("title"))
 
-    rows = table(spark, sf_dir, "pages").filter(F.contains("html", F.lit('charset="utf-8"')))
-    return pages.readable_pages(spread(rows)).select("page_id", "title", F.lit("utf-8").alias("charset"))
 
+_GONE = "|".join([*(f"<{t}\\b.*?</{t}\\s*>" for t in history.HIDDEN), "<!--.*?-->"])
+_TAGS = "|".join(history.SPOKEN)
 
-@query()
-def readable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The readable text of every page, and how complete the capture is."""
-    from palimpsest.functions.textfns import completeness
-    from palimpsest.sources import pages
 
-    told = pages.readable_pages(spread(table(spark, sf_dir, "pages").select("page_id", "html")))
-    return told.select("page_id", "title", "text", completeness(F.col("text"), F.lit(""), F.lit("x")).alias("completeness"))
+@query(f"""
+with a as (select page_id, html, regexp_replace(translate(coalesce(html, ''), chr(1) || chr(2), '  '), '(?is){_GONE}', ' ', 'g') as t from pages),
+b as (select page_id, html, regexp_replace(regexp_replace(regexp_replace(t, '(?is)</(?:{_TAGS})\\b[^>]*>', chr(2), 'g'), '(?is)<(?:{_TAGS})\\b[^>]*>', chr(1), 'g'), '(?s)<[^>]*>', ' ', 'g') as t from a),
+c as (select page_id, html, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as t from b),
+d as (select page_id, html, trim(regexp_replace(array_to_string(list_transform(string_split(t, chr(2)), lambda x: case when contains(x, chr(1)) then regexp_replace(regexp_replace(x, '(?s)^[^\x01]*', ''), '[\x01\\s\\x{{00A0}}]+', ' ', 'g') else '' end), chr(10)), ' *\\n\\s*', chr(10), 'g'), ' ' || chr(10)) as text from c)
+:: select page_id, {_TITLE} as title, text, case when length(text) >= 500 then 'content' when html <> '' or text <> '' then 'partial' else 'metadata_only' end as completeness from d
+""")
+def readable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every page says, and how complete the capture is."""
+    told = table(spark, sf_dir, "pages").withColumn("text", history.spoken_text(F.col("html")))
+    title = F.replace(history.page_title(F.col("html")), F.lit("&amp;"), F.lit("&"))
+    return told.select("page_id", title.alias("title"), "text", completeness(F.col("text"), F.lit(""), F.col("html")).alias("completeness"))
 
 
 # feeds

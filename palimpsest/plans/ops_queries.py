@@ -432,6 +432,19 @@ def inherited_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.inherit(child, parent, "parent", "privacy").select("n_nationkey", "privacy", "privacy_inherited")
 
 
+@query("""
+select c_custkey, case when c_custkey % 5 = 0 then 'given' when c_custkey % 3 = 0 then 'stored' || c_custkey % 2 else n_name end as privacy,
+  case when c_custkey % 5 = 0 then false when c_custkey % 3 = 0 then c_custkey % 2 = 1 else true end as privacy_inherited from customer join nation on n_nationkey = c_nationkey
+""")
+def inherited_after_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A given value, else the stored one with its flag, else the parent's."""
+    key = F.col("c_custkey")
+    child = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("parent"), F.when(key % 5 == 0, "given").alias("privacy"))
+    stored = table(spark, sf_dir, "customer").filter(key % 3 == 0).select("c_custkey", F.concat(F.lit("stored"), key % 2).alias("privacy"), (key % 2 == 1).alias("privacy_inherited"))
+    parent = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("parent"), F.col("n_name").alias("privacy"))
+    return merge.inherit(child, parent, "parent", "privacy", stored, "c_custkey").select("c_custkey", "privacy", "privacy_inherited")
+
+
 @query("select min(doc_id) as first_id, count(*) as n from documents where text is not null group by sha256(text) having count(*) > 1")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text is not null").groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("first_id", "n")

@@ -30,10 +30,17 @@ def optional_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(fine & search.in_or_any("privacy", []) & search.json_member("tags_json", "de")).select("memory_id")
 
 
-@query("select memory_id from memories where false")
-def deny_all_without_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A viewer without any allowed class sees nothing: here an empty list denies."""
-    return memories(spark, sf_dir).filter(search.in_or_none("privacy", [])).select("memory_id")
+@query("""
+with v as (select n_nationkey as viewer, case n_nationkey % 3 when 0 then []::varchar[] when 1 then ['private'] else ['private', 'restricted'] end as allowed from nation), n as (select privacy, count(*) as n from memories group by privacy) ::
+select viewer, cast(coalesce(sum(n), 0) as bigint) as visible from v left join n on list_contains(allowed, privacy) group by viewer
+""")
+def visible_to_viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many memories each viewer may see: here an empty list of classes denies all. Memories are counted by class first."""
+    k = F.col("n_nationkey") % 3
+    allowed = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("private"))).otherwise(F.array(F.lit("private"), F.lit("restricted")))
+    viewers = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("viewer"), F.explode_outer(allowed).alias("privacy"))
+    classes = memories(spark, sf_dir).groupBy("privacy").agg(F.count("*").alias("n"))
+    return viewers.join(classes, "privacy", "left").groupBy("viewer").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("visible"))
 
 
 @query("""

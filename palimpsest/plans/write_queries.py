@@ -301,6 +301,22 @@ def decision_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.supersede(old, new, "k").select("k", "version", "state", "until")
 
 
+@query("""
+with n as (select title as k, memory_id as version, authority from memories where tier = 'pinned'), o as (select title as k, max(memory_id) as version, max(authority) % 30 as authority from memories where tier = 'core' group by title),
+j as (select n.*, greatest(o.authority, max(n.authority) over (partition by n.k order by n.version rows between unbounded preceding and 1 preceding)) as most from n left join o using (k)),
+t as (select k, version, lead(version) over (partition by k order by version) as until from j where most is null or authority >= most) ::
+select o.k, o.version, case when f.k is null then 'active' else 'superseded' end as state, f.until from o left join (select k, min(version) as until from t group by k) f on f.k = o.k
+union all select k, version, case when until is null then 'active' else 'superseded' end, until from t
+""")
+def decisions_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several new decisions of a key, one after another: each closes the one before, and one of lower authority is refused."""
+    rows = memories(spark, sf_dir).withColumnRenamed("title", "k")
+    own = [F.lit("active").alias("state"), F.lit(None).cast("bigint").alias("until")]
+    old = rows.filter("tier = 'core'").groupBy("k").agg(F.max("memory_id").alias("version"), (F.max("authority") % 30).alias("authority")).select("k", "version", "authority", F.lit(-1).cast("bigint").alias("since"), *own)
+    new = rows.filter("tier = 'pinned'").select("k", F.col("memory_id").alias("version"), "authority", F.col("memory_id").alias("since"), *own)
+    return writes.supersede(old, new, "k").select("k", "version", "state", "until")
+
+
 @query("""
 with u as (select vec_id, label from embeddings where vec_id % 2 = 1 union all select vec_id, label + 100 from embeddings where vec_id % 2 = 0) ::
   select vec_id, cast(label as bigint) as label from u where vec_id not in (select doc_id from documents where source = 'src3')

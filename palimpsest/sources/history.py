@@ -174,3 +174,29 @@ def page_title(html: Column) -> Column:
 
 def page_links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']"""), 1))
+
+
+#: Elements that are not text, and those that hold what a page says (fixed values).
+HIDDEN = ["script", "style", "noscript", "svg", "canvas"]
+SPOKEN = ["p", "article", "section", "main", "h1", "h2", "h3", "h4", "li", "blockquote", "pre"]
+
+
+def _unescaped(c: Column) -> Column:
+    for name, sign in _ENTITIES:
+        c = F.replace(c, F.lit(name), F.lit(sign))
+    return c
+
+
+def spoken_text(html: Column) -> Column:
+    """What a page says: the text from the start of a speaking element to the next end of one, a line for each such end.
+
+    Two signs that no text holds stand for starts and ends; what is left of the page then is split at ends, and each part is
+    what follows its first start. Elements that are not text and comments go first, other tags count as blanks.
+    """
+    gone = "|".join([*(rf"<{t}\b.*?</{t}\s*>" for t in HIDDEN), "<!--.*?-->"])
+    text = F.regexp_replace(F.translate(F.coalesce(html, F.lit("")), "\x01\x02", "  "), f"(?is){gone}", " ")
+    tags = "|".join(SPOKEN)
+    text = F.regexp_replace(F.regexp_replace(text, rf"(?is)</(?:{tags})\b[^>]*>", "\x02"), rf"(?is)<(?:{tags})\b[^>]*>", "\x01")
+    text = _unescaped(F.regexp_replace(text, "(?s)<[^>]*>", " "))
+    said = F.transform(F.split(text, "\x02"), lambda x: F.when(F.contains(x, F.lit("\x01")), F.regexp_replace(F.regexp_replace(x, "(?s)^[^\x01]*", ""), r"[\x01\s\x{00A0}]+", " ")).otherwise(F.lit("")))
+    return strip(F.regexp_replace(F.array_join(said, "\n"), r" *\n\s*", "\n"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import textfns
 from palimpsest.functions.timefns import strict_instant, validity_reason
 from palimpsest.operators import merge, ops, search
-from palimpsest.sources import chunking, history, pages, records
+from palimpsest.sources import chunking, history, records
 from palimpsest.streaming import state
 
 
@@ -73,14 +73,14 @@ def test_page_text(spark):
     assert (r.t, r.n, r.l) == ("One two\nThree & four\nl", "A b", ["u"])
 
 
-def test_readable_pages(spark):
+def test_spoken_text(spark):
     html = (
-        "<html><head><title>A <b>t</b></title><meta name='Author' content=' me '><meta property='og:x' content=''><link rel='Canonical' href='u'></head><body>"
-        "out<p>one &amp; <b>two</b></p>between<script>p<p>no</p></script><ul><li>three<li>four</ul>five<svg><text>x</text></svg><pre>a  b\nc</pre></body>"
+        "<html><head><title>A</title><style>p{}</style></head><body>out<p>one &amp; <b>two</b></p>between<script>p<p>no</p></script><ul><li>three<li>four</ul>five"
+        "<svg><text>x</text></svg></li>after<PRE class='x'>a  b\nc</pre><!-- <p>gone</p> --><p>last"
     )
-    rows = pages.readable_pages(spark.createDataFrame([(1, html), (2, None), (3, "<p>open")], "page_id long, html string")).orderBy("page_id").collect()
-    assert (rows[0].title, rows[0].text) == ("A t", "one & two\nthree four five a b c") or rows[0].text.startswith("one & two\nthree four")
-    assert (rows[0].meta, rows[0].links) == ({"author": "me"}, {"canonical": "u"}) and rows[1].text == "" and rows[2].text == "open"
+    rows = spark.createDataFrame([(1, html), (2, None), (3, "<p>open"), (4, "no tags"), (5, "<p>a</p>\x01\x02<h1>b</h1>")], "page_id long, html string")
+    got = {r.page_id: r.t for r in rows.select("page_id", history.spoken_text(F.col("html")).alias("t")).collect()}
+    assert got == {1: "one & two\nthree four five\na b c\nlast", 2: "", 3: "open", 4: "", 5: "a\nb"}
 
 
 def test_chunks_hold_all_text():
