@@ -227,12 +227,35 @@ def test_decontamination_of_changed_questions(spark):
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short")], "item_id int, text string")
     rows = [(1, "so " + other + " indeed"), (2, "nothing of that kind is said in this text at all, 12 apples or not"), (3, None), (4, ""), (5, "too short"), (6, item.upper()), (None, item)]
     got = {r.doc_id for r in decontaminate.find_contamination(odd(spark, rows), bench, agreement=1.0).collect()}
-    assert got >= {1, None} and not got & {2, 3, 4, 5}
+    assert got >= {1, None, 5} and not got & {2, 3, 4}  # an item of two words is found as it is written
     assert not decontaminate.find_contamination(odd(spark, [(1, mixed)]), bench, agreement=1.0).collect()
     assert decontaminate.find_contamination(odd(spark, []), bench).count() == 0
     assert decontaminate.find_contamination(odd(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_poor_and_short_items(spark):
+    """Items of little but placeholders, of one and two words, with units and names; equality, not a superset."""
+    items = [(0, "In 1999 Paris had 12 km"), (1, "prove it"), (2, "Capital Paris"), (3, "Anna sold 12 kg of Maple sugar for 30 dollars in May"), (4, "7 8 9"), (5, "walls")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, "so In 2003 London had 15 km of road"), (2, "In 1999 Paris had 12 km"), (3, "In 2003 London lost 15 km"), (4, "please prove it now"), (5, "prove that it holds"), (6, "the Capital Paris is big"),
+        (7, "the Capital London is big"), (8, "yes. Tom Reed sold 99 kg of Birch sugar for 5 dollars in June, yes"), (9, "Tom sold 99 bags of Birch bark for 5 coins in June"), (10, "and 7 8 9 too"), (11, "and 1 2 3 too"), (12, "four walls"),
+    ]
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.find_contamination(odd(spark, rows), bench).collect())
+    assert got == [(1, 0), (2, 0), (4, 1), (6, 2), (8, 3), (10, 4), (12, 5)]
+
+
+def test_decontamination_shared_lines(spark):
+    """A line that many items share says nothing of them; a passage that they share is told once, an item of its own by itself."""
+    line = "answer the following question as well as you can in words"
+    passage = " ".join(f"story{k}" for k in range(40))
+    items = [(i, f"{line} what is thing{i} of kind{i}") for i in range(3000)] + [(5000 + i, f"{passage} ask{i} why{i} now{i}") for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, line), (2, items[7][1]), (3, passage), (4, f"{line} what is thing9 for others"), (5, items[3009][1])]
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.find_contamination(odd(spark, rows), bench).collect())
+    assert [g for g in got if g[0] in (1, 2, 3)] == [(2, 7), (3, 5000)] and (5, 5009) in got and len([g for g in got if g[0] == 5]) <= 2
+
+
 def test_decontamination_by_occurrence(spark):
     item = "Alice buys 12 apples for 3 dollars each and gives Bob half of all the apples that she bought then Alice has how many apples left"
     other = item.replace("Alice", "Carol").replace("12", "40").replace("3", "5").replace("Bob", "Dave")
