@@ -42,6 +42,8 @@ def containing(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str
     out = read.crossJoin(F.broadcast(known.filter(F.col(pattern) == "").limit(1).select(F.lit("").alias("_p")))).select(id_col, "_p")  # at most one row
     for k in range(blocks if total else 0):
         block = [r[0] for r in distinct.filter(F.pmod(F.xxhash64("_p"), F.lit(blocks)) == k).collect()]  # bounded by block_chars
+        if not block:
+            continue
         name = uuid.uuid4().hex
 
         def found(batches, block=block, name=name):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import ops
+from palimpsest.operators import ops, trees
 from palimpsest.operators.containment import quoted_in
 from palimpsest.operators.hashtree import DigestedTable, reconcile
 from palimpsest.operators.ivf import VectorIndex
@@ -171,3 +171,35 @@ def two_phase_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.commit(change, "second")
     counts = store.read("chunks").groupBy("memory_id").agg(F.count("*").alias("pieces"))
     return store.read("documents").join(counts, "memory_id", "left").fillna(0, ["pieces"])
+
+
+# trees
+
+_TREE = """
+t as (select doc_id as node, case when doc_id % 97 = 0 then null when doc_id = 200 then 203 when doc_id % 5 = 0 then doc_id - 3 else doc_id - 1 end as parent from documents)"""
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of 97 with branches, one with a cycle; all in one tree table."""
+    d = F.col("doc_id")
+    parent = F.when(d % 97 == 0, None).when(d == 200, 203).when(d % 5 == 0, d - 3).otherwise(d - 1)
+    return table(spark, sf_dir, "documents").select(F.lit("c").alias("conversation"), d.alias("node"), parent.cast("long").alias("parent"))
+
+
+@query(f"""
+with recursive {_TREE}, walk(node, root, depth) as (select node, node, 0::bigint from t where parent is null or parent not in (select node from t) union all select t.node, walk.root, walk.depth + 1 from walk join t on t.parent = walk.node) ::
+select node, root, depth from t left join walk using (node)
+""")
+def tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root and depth of every node; none for those that a cycle keeps from a root."""
+    return trees.roots(_tree(spark, sf_dir), "conversation", "node", "parent").drop("conversation")
+
+
+@query(f"""
+with recursive {_TREE}, walk(node) as (select node from t where node % 211 = 60 or node = 230 union select t.parent from walk join t using (node) where t.parent in (select node from t)) ::
+select node from walk
+""")
+def tree_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes on the way from chosen ones to their roots, a cycle once."""
+    nodes = _tree(spark, sf_dir)
+    return trees.ancestors(nodes, nodes.filter("node % 211 = 60 or node = 230"), "conversation", "node", "parent").select("node")

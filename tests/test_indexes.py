@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import hashtree, ivf, lexical_index, merge, search
+from palimpsest.operators import containment, hashtree, ivf, lexical_index, merge, search, trees, writes
 from palimpsest.operators.projection import Change, Projection
 from palimpsest.operators.stored import new_folder
 
@@ -203,3 +203,73 @@ def test_reconcile_reads_what_differs(spark):
     assert "PartitionFilters: [leaf" in plan
     before.commit(new, "n", removed=spark.createDataFrame([(10,), (11,)], "id long"))
     assert hashtree.differing(before, after) == []
+
+
+# trees
+
+
+def test_tree_of_many_nodes(spark):
+    """One conversation of 100,000 nodes: a long chain, a star, branches, a missing parent and a cycle that nodes lead to."""
+    parent = {i: i - 1 for i in range(1, 5000)} | {i: 7 for i in range(5000, 60_000)} | {i: i // 2 + 30_000 for i in range(60_001, 99_000)} | {60_000: 7} | {99_000: 99_002, 99_001: 99_000, 99_002: 99_001}
+    parent |= {i: i - 1 for i in range(99_003, 99_500)} | {99_500: 123_456_789, 99_501: 99_501} | {i: None for i in range(99_502, 100_000)} | {0: None}
+    depth: dict = {}
+    for i in parent:
+        way, at = [], i
+        while at is not None and at in parent and at not in depth and len(way) < 10_000 and at not in way[-4:]:
+            way.append(at)
+            at = parent[at]
+        if at is None or at not in parent:
+            depth[way[-1]] = (way[-1], 0)
+        elif at not in depth:
+            depth |= {w: (None, None) for w in way}
+        for w in reversed(way):
+            if w not in depth:
+                r, d = depth[parent[w]]
+                depth[w] = (r, None if d is None else d + 1)
+    df = spark.createDataFrame([("c", i, p) for i, p in parent.items()], "t string, n long, p long")
+    got = {r.n: (r.root, r.depth) for r in trees.roots(df, "t", "n", "p").collect()}
+    assert got == depth and got[4999] == (0, 4999) and got[99_400] == (None, None) == got[99_501]
+    up = {r.n for r in trees.ancestors(df, df.filter("n in (70000, 99100, 99600)"), "t", "n", "p").collect()}
+    want, at = {99_600, *range(99_000, 99_101)}, 70_000
+    while at is not None:
+        want.add(at)
+        at = parent[at]
+    assert up == want
+
+
+# patterns
+
+
+def test_containing(spark):
+    texts = [(1, "abcabc"), (2, "xaby"), (3, None), (4, ""), (5, "Ünïcödé ab")]
+    items = [(1, "abc"), (2, "ab"), (3, ""), (4, None), (5, "nïc"), (6, "ab"), (7, "zz")]
+    df, patterns = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame(items, "item int, p string")
+    want = sorted((i, d) for i, p in items for d, t in texts if p is not None and t is not None and p in t)
+    for block in (1 << 20, 3):
+        assert sorted(map(tuple, containment.containing(df, patterns, "id", "t", "item", "p", block).collect())) == want
+
+
+def test_quoted_like(spark):
+    texts = [(1, '{"a":"M1_x"}'), (2, '{"A":"m1Zx","b":""}'), (3, '"a.b" c "d"'), (4, None), (5, 'say "it" and " c "')]
+    refs = ["M1_x", "m1zx", "M1%", "", "a.b", "a_b", ' c ', "%", 'd"', "é", "a"]
+    df, r = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame([(x,) for x in refs], "ref string")
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create table t as select * from (values " + ", ".join(f"({i}, {'null' if t is None else chr(39) + t + chr(39)})" for i, t in texts) + ") v(id, t)")
+    con.sql("create table r as select * from (values " + ", ".join(f"('{x}')" for x in refs) + ") v(ref)")
+    want = sorted(con.sql("select ref, id from t join r on lower(t) like lower('%\"' || ref || '\"%')").fetchall())
+    assert sorted(map(tuple, containment.quoted_in(df, r, "id", "t", "ref").collect())) == want and len(want) > 10
+
+
+# states after repeated keys
+
+
+def test_repeated_new_keys(spark):
+    own = "k string, version int, authority int, since int, state string, until int"
+    old = spark.createDataFrame([("a", 1, 5, 0, "active", None), ("b", 2, 9, 0, "active", None)], own)
+    new = spark.createDataFrame([("a", 3, 6, 10, "active", None), ("a", 4, 5, 20, "active", None), ("a", 5, 6, 30, "active", None), ("b", 6, 1, 5, "active", None), ("c", 7, 1, 5, "active", None)], own)
+    got = sorted((r.k, r.version, r.state, r.until) for r in writes.supersede(old, new, "k").collect())
+    assert got == [("a", 1, "superseded", 10), ("a", 3, "superseded", 30), ("a", 5, "active", None), ("b", 2, "active", None), ("c", 7, "active", None)]
+    before, rows = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(1, "y"), (1, "z"), (2, "w")], "k int, v string")
+    assert sorted(map(tuple, merge.upsert(before, rows, ["k"]).collect())) == [(1, "z"), (2, "w")]
