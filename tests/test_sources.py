@@ -182,3 +182,27 @@ def test_upsert_and_replace(spark):
     assert sorted(map(tuple, merge.upsert(old, new, ["k"], ("born",)).collect())) == [(1, "a", 1), (2, "c", 1), (3, "d", 9)]
     assert sorted(map(tuple, merge.replace_rows(old, new, "k").collect())) == [(1, "a", 1), (2, "c", 9), (3, "d", 9)]
     assert merge.record_once(old, new, "k").count() == 1
+
+
+def test_stateful_streams_go_on_from_their_checkpoint(spark, tmp_path):
+    """Two runs of one query: late events change nothing, what is pending waits in the state and is told by a timer later."""
+    from palimpsest.streaming import processors
+
+    at = lambda s: f"2026-01-01T00:00:{s:02d}Z"
+    make = lambda rows: spark.createDataFrame(rows, "k string, s string, r int, v string").withColumn("t", F.to_timestamp("s")).drop("s")
+    latest, groups = {}, []
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, processors._PROVIDER)
+    try:
+        for run in ([("a", at(5), 1, "x"), ("a", at(6), 1, "y"), ("b", at(1), 1, "z")], [("a", at(5), 9, "late"), ("a", at(6), 2, "w"), ("a", at(6), 1, "no"), ("a", at(40), 1, "end")]):
+            make(run).write.mode("append").parquet(str(tmp_path / "in"))
+            source = spark.readStream.schema("k string, r int, v string, t timestamp").parquet(str(tmp_path / "in"))
+            for stream, mode, write in (
+                (processors.latest_by_rule(source, "k", "t", "r", "v"), "update", lambda df, _: latest.update({r.k: r.v for r in df.collect()})),
+                (processors.grouped_changes(source, "k", "t", 3000, "10 seconds"), "append", lambda df, _: groups.extend((r.k, r.first_ms // 1000 % 60, r.n) for r in df.collect())),
+            ):
+                stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp-{mode}")).trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.set(name, before)
+    assert latest == {"a": "end", "b": "z"} and sorted(groups) == [("a", 5, 5), ("b", 1, 1)]
