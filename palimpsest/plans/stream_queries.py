@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.timefns import micros
+from palimpsest.operators.stored import new_folder
 from palimpsest.plans.registry import query
 from palimpsest.plans.tables import table
+from palimpsest.sources import lines
 from palimpsest.streaming.processors import drained, grouped_changes, latest_by_rule
 
 DELAY_MS = 3_600_000
@@ -45,3 +47,17 @@ def streamed_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user in an hour from it, repeats suppressed."""
     told = drained(spark, _events(spark, sf_dir), lambda s: grouped_changes(s, "user_id", "at", DELAY_MS), "append")
     return told.select("user_id", "first_ms")
+
+
+@query("select conv_id, turn, role, text from conversations")
+def archive_lines_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns through an archive of lines that grows between two runs of one query: each line is read once, from stored positions."""
+    lines.register(spark)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    folder, out, checkpoint = (new_folder(spark, n) for n in ("archive", "read", "checkpoint"))
+    for part in (rows.filter("conv_id % 2 = 0"), rows.filter("conv_id % 2 = 1")):
+        part.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).write.mode("append").option("lineSep", "\n").text(folder)
+        stream = spark.readStream.format(lines.FORMAT).option("suffix", ".txt").load(folder)
+        parsed = stream.select(F.from_json("line", rows.schema).alias("r")).select("r.*")
+        parsed.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)

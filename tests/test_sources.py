@@ -206,3 +206,36 @@ def test_stateful_streams_go_on_from_their_checkpoint(spark, tmp_path):
     finally:
         spark.conf.set(name, before)
     assert latest == {"a": "end", "b": "z"} and sorted(groups) == [("a", 5, 5), ("b", 1, 1)]
+
+
+def test_archive_lines(spark, tmp_path):
+    """Ranges of any size give each line once; a stream gives what was appended, whole lines only."""
+    from palimpsest.sources import lines
+
+    lines.register(spark)
+    box = tmp_path / "box" / "in"
+    box.mkdir(parents=True)
+    text = "".join(f"line {k} é\n" for k in range(40)) + "\n\r\nlast without a break"
+    (box / "a.jsonl").write_text(text, newline="")
+    (box / "b.jsonl").write_text("")
+    (box / "c.txt").write_text("no\n")
+    want = [x.rstrip("\r") for x in text.split("\n")]
+    for size in (1, 7, 64, 1 << 20):
+        rows = spark.read.format(lines.FORMAT).option("rangeBytes", size).load(str(tmp_path / "box")).orderBy("position").collect()
+        assert [r.line for r in rows] == want and {r.file for r in rows} == {"in/a.jsonl"}
+
+    seen = []
+
+    def run():
+        stream = spark.readStream.format(lines.FORMAT).load(f"file://{tmp_path}/box")
+        stream.writeStream.foreachBatch(lambda df, _: seen.extend(sorted((r.file, r.line) for r in df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+        out = list(seen)
+        seen.clear()
+        return out
+
+    assert len(run()) == 42
+    with (box / "a.jsonl").open("a") as f:
+        f.write(" now\nnext\nhal")
+    (box / "d.jsonl").write_text("one\n")
+    assert run() == [("in/a.jsonl", "last without a break now"), ("in/a.jsonl", "next"), ("in/d.jsonl", "one")]
+    assert run() == []
