@@ -176,3 +176,23 @@ def overall_state(*parts: str) -> Column:
     for p in parts:
         bad = bad | F.col(p).isin("degraded", "unavailable")
     return F.when(bad, "degraded").otherwise("healthy")
+
+
+def score_questions(expected: DataFrame, forbidden: DataFrame, recalled: DataFrame, facts: DataFrame, question: str, fact: str) -> DataFrame:
+    """(question, expected, hits, error, failure) of each question that expects or recalls something.
+
+    Evidence that no fact of the corpus stands for is an error, then forbidden evidence, then evidence that was not expected: the
+    first of these is told and nothing else counts. Otherwise a question fails if a fact that it expects is missing. All are
+    sets of (question, fact), compared by one grouping, and facts of the corpus are joined by their own key.
+    """
+    marked = [df.select(question, fact, *(F.lit(name == n).alias(n) for n in "efr")).distinct() for name, df in (("e", expected), ("f", forbidden), ("r", recalled))]
+    sets = marked[0].unionByName(marked[1]).unionByName(marked[2]).groupBy(question, fact).agg(*(F.bool_or(n).alias(n) for n in "efr"))
+    known = sets.join(facts.select(fact, F.lit(True).alias("_known")).distinct(), fact, "left")
+    r = F.col("r")
+    told = known.groupBy(question).agg(
+        F.count_if(F.col("e")).alias("expected"), F.count_if(r & F.col("e")).alias("hits"), F.count_if(r & F.col("_known").isNull()).alias("_u"),
+        F.count_if(r & F.col("f")).alias("_f"), F.count_if(r & ~F.col("e")).alias("_x"), F.count_if(F.col("e") | r).alias("_n"),
+    )
+    error = F.when(F.col("_u") > 0, "unknown_evidence").when(F.col("_f") > 0, "forbidden_evidence").when(F.col("_x") > 0, "extra_evidence")
+    failure = F.when(error.isNull() & (F.col("hits") < F.col("expected")), "expected_fact_missing")
+    return told.filter("_n > 0").select(question, "expected", "hits", error.alias("error"), failure.alias("failure"))

@@ -295,6 +295,17 @@ def explained(a: Archive, found: Found, query: str, vector: list[float], f: Filt
     return found.rows.join(F.broadcast(listed), same, "left").select(found.rows[a.key], F.coalesce(F.to_json("excluded"), F.lit("[]")).alias("excluded"))
 
 
+def core_list(rows: DataFrame, f: Filters, limit: int, pinned: Column, updated: Column, key: str = "memory_id") -> DataFrame:
+    """Core memories by weight, importance and last change. Current views list pinned active ones. The limit comes before time,
+    scope and project are looked at, so a list may be shorter than what there is to show; a project's case counts."""
+    fine = (F.col("tier") == "core") & search.in_or_none("privacy", list(f.privacy))
+    if f.mode in ("current", "why"):
+        fine = fine & pinned & (F.col("status") == "active")
+    first = rows.filter(fine).orderBy(F.col("weight").desc_nulls_last(), F.desc("importance"), updated.desc_nulls_last(), F.asc(key)).limit(limit)
+    shown = f.reason().isin(SHOWN) & search.scope_visible(F.col("scopes"), f.agent)
+    return first.filter(shown & F.contains("project", F.lit(f.project)) if f.project else shown)
+
+
 # packs
 
 

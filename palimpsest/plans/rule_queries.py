@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import rules, textfns, values
 from palimpsest.functions.timefns import strict_instant
-from palimpsest.operators import merge, ops, search
+from palimpsest.operators import merge, ops, retrieval, search
 from palimpsest.plans.registry import query
+from palimpsest.plans.search_queries import AS_OF, _reason_sql
 from palimpsest.plans.tables import jobs, memories, messages, table
 
 
@@ -588,6 +589,23 @@ def question_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("conv_id", hits.cast("bigint").alias("hits"), F.size("expected").cast("bigint").alias("n_expected"), F.array_join(failures, ",").alias("failures"))
 
 
+@query("""
+with m as (select conv_id, conv_id || ':' || turn as fact, role, turn, text from conversations),
+s as (select conv_id, fact, role = 'user' as e, role = 'system' as f, (role = 'user' and length(text) > 40) or (role = 'system' and length(text) % 5 = 0) or (role = 'assistant' and length(text) % 11 = 0) as r, true as known from m
+  union all select conv_id, conv_id || ':gone', false, false, true, false from m group by conv_id having sum(length(text)) % 4 = 0),
+t as (select conv_id, count(*) filter (where e) as expected, count(*) filter (where e and r) as hits, count(*) filter (where r and not known) as u, count(*) filter (where r and f) as f, count(*) filter (where r and not e) as x, count(*) filter (where e or r) as n from s group by conv_id) ::
+select conv_id, expected, hits, case when u > 0 then 'unknown_evidence' when f > 0 then 'forbidden_evidence' when x > 0 then 'extra_evidence' end as error,
+  case when u + f + x = 0 and hits < expected then 'expected_fact_missing' end as failure from t where n > 0
+""")
+def question_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown, forbidden and extra evidence are errors, in this order; what is missing fails a question without errors."""
+    m = table(spark, sf_dir, "conversations").select("conv_id", F.concat("conv_id", F.lit(":"), "turn").alias("fact"), "role", F.length("text").alias("n"))
+    role, n = F.col("role"), F.col("n")
+    lost = m.groupBy("conv_id").agg(F.sum("n").alias("n")).filter("n % 4 = 0").select("conv_id", F.concat("conv_id", F.lit(":gone")).alias("fact"))
+    recalled = m.filter(((role == "user") & (n > 40)) | ((role == "system") & (n % 5 == 0)) | ((role == "assistant") & (n % 11 == 0))).select("conv_id", "fact").unionByName(lost)
+    return ops.score_questions(m.filter(role == "user"), m.filter(role == "system"), recalled, m, "conv_id", "fact")
+
+
 @query("""
 select count(*) filter (where l.doc_id is null) as missing, (select count(*) from labels x where not exists (select 1 from documents d where d.doc_id = x.doc_id)) as extra, count(*) - count(distinct d.doc_id) as repeated from documents d left join labels l on l.doc_id = d.doc_id
 """)
@@ -660,14 +678,14 @@ def reconciled_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).filter("status in ('queued', 'retrying')").join(done, "job_id", "left_anti").orderBy("made_at", "job_id").limit(10).select("job_id")
 
 
-@query("""
-select memory_id, weight, tier from memories where tier in ('core', 'pinned') and contains(project, 'p') and (scope = '' or scope like '%all%') order
-  by weight desc, case tier when 'core' then 0 else 1 end, importance desc, memory_id limit 60
+@query(f"""
+with first_ as (select * from memories where tier = 'core' and review = 'approved' and status = 'active' and privacy in ('private', 'restricted') order by weight desc, importance desc, valid_from desc nulls last, memory_id limit 40) ::
+select memory_id, weight, tier from first_ where (scope = '' or scope like '%all%') and contains(project, 'p') and memory_id in (select memory_id from ({_reason_sql("current")}) where reason = 'currently_valid')
 """)
 def core_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Core memories by weight, rank and importance; a project is matched as a piece of text, case counts."""
-    rows = memories(spark, sf_dir).filter(F.col("tier").isin("core", "pinned") & F.contains("project", F.lit("p")) & search.scope_visible(F.col("scopes"), None))
-    return rows.orderBy(F.desc("weight"), F.when(F.col("tier") == "core", 0).otherwise(1), F.desc("importance"), "memory_id").limit(60).select("memory_id", "weight", "tier")
+    """Pinned core memories; the limit comes before scope, project and time."""
+    f = retrieval.Filters(privacy=("private", "restricted"), project="p", instant=AS_OF)
+    return retrieval.core_list(memories(spark, sf_dir), f, 40, F.col("review") == "approved", F.col("valid_from")).select("memory_id", "weight", "tier")
 
 
 _EVIDENCE = """
