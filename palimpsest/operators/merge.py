@@ -103,6 +103,22 @@ def newest(rows: DataFrame, per: list[str] | None, order: list[Column], k: int)
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).filter(F.col("_place") <= k).drop("_place")
 
 
+def ranged(rows: DataFrame, by: Column, n: int = 256, name: str = "_range") -> DataFrame:
+    """Adds the number of one of n ranges of `by`, which must be a number; ranges ascend and hold about equally many rows. Nothing
+    is written for it, unlike ranges.deal, but n is fixed and rows of one value stay together.
+
+    The edges are approximate percentiles: one row of n - 1 numbers, whatever the number of rows. A row finds its range by
+    two steps of about sqrt(n) comparisons.
+    """
+    step = max(1, int(n**0.5))
+    edges = rows.agg(F.percentile_approx(by, [k / n for k in range(1, n)], 100 * n).alias("_edges"))
+    below = lambda array: F.size(F.filter(array, lambda e: e < by))
+    coarse = below(F.transform(F.sequence(F.lit(step), F.lit(n - 1), F.lit(step)), lambda i: F.get("_edges", i - 1)))
+    found = rows.crossJoin(F.broadcast(edges)).withColumn("_coarse", F.coalesce(coarse, F.lit(0)))
+    fine = below(F.slice("_edges", F.col("_coarse") * step + 1, F.lit(step)))
+    return found.withColumn(name, F.col("_coarse") * step + F.coalesce(fine, F.lit(0))).drop("_edges", "_coarse")
+
+
 def running_total(rows: DataFrame, by: Column, order: list[str], size: str, name: str = "before") -> DataFrame:
     """Adds the total of size of all rows that come before, over ranges of (by, order) that grow in number with the rows.
 
