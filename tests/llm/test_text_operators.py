@@ -256,6 +256,27 @@ def test_decontamination_shared_lines(spark):
     assert [g for g in got if g[0] in (1, 2, 3)] == [(2, 7), (3, 5000)] and (5, 5009) in got and len([g for g in got if g[0] == 5]) <= 2
 
 
+def test_decontamination_tells_all_items_of_shared_windows(spark, monkeypatch):
+    """Windows of more than SHARED items lead to each item: alike ones, one with an edited passage, one whose values alone fit."""
+    alike = [(i, f"the farmer had {i + 10} sheep and then bought {i + 90 if i % 2 else i + 10} more sheep before the long winter came") for i in range(30)]
+    words = [f"story{k}" for k in range(40)]
+    tails = [(100 + i, " ".join([*words, f"ask{i}", f"why{i}", f"now{i}"])) for i in range(30)]
+    long = "when {} met {} at the old stone bridge near the river they spoke about the weather and the harvest and about many other small things of the year until {} went home through the dark woods again"
+    named = [(200 + i, long.format("Anna", "Bert", "Anna" if i < 29 else "Bert") + f" tell{i} why{i}") for i in range(30)]
+    bench = spark.createDataFrame([(i, t) for i, t in alike + tails + named] + [(300, tails[0][1])], "item_id long, text string")
+    edited = " ".join([*words[:19], "odd", *words[20:34], "odd", *words[35:], "ask7", "why7", "now7"])
+    rows = [(1, f"so {alike[7][1]} we read"), (2, " ".join(words)), (3, edited), (4, long.format("Carl", "Dora", "Dora")), (5, " ".join(words[:20])), (6, alike[6][1].replace("16", "8"))]
+
+    def told(once):
+        return sorted((r.doc_id, r.item_id) for r in decontaminate.find_contamination(odd(spark, rows), bench, once=once).collect())
+
+    every = told(False)
+    assert every == sorted([*((1, i) for i in range(1, 30, 2)), *((2, i) for i in (*range(100, 130), 300)), (3, 107), (4, 229), *((6, i) for i in range(30))])
+    assert told(True) == [(1, 1), (2, 100), (2, 300), (3, 107), (4, 229), (6, 0)]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    assert told(False) == every and {d for d, _ in told(True)} == {1, 2, 3, 4, 6}
+
+
 def test_decontamination_by_occurrence(spark):
     item = "Alice buys 12 apples for 3 dollars each and gives Bob half of all the apples that she bought then Alice has how many apples left"
     other = item.replace("Alice", "Carol").replace("12", "40").replace("3", "5").replace("Bob", "Dave")
