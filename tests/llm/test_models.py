@@ -220,6 +220,18 @@ def test_stages_against_brute_force(spark, docs):
         held = kept
 
 
+def test_contamination_by_items_that_share_their_windows(spark, tmp_path):
+    """Of many alike items each counts, not only the first: documents whose values fit another one, or with an edited passage, go."""
+    words = [f"story{k}" for k in range(40)]
+    alike = [f"the farmer had {i + 10} sheep and then bought {i + 90 if i % 2 else i + 10} more sheep before the long winter came" for i in range(30)]
+    items = alike + [" ".join([*words, f"ask{i}", f"why{i}", f"now{i}"]) for i in range(30)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    edited = " ".join([*words[:19], "odd", *words[20:34], "odd", *words[35:], "ask7", "why7", "now7"])
+    texts = [alike[7], edited, " ".join(words), " ".join(words[:20]), alike[6].replace("had 16", "had 5"), None, items[0]]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()) == [3, 5]
+
+
 def test_pipeline_ignores_columns_of_its_own_names(spark):
     rows = [(1, "a b c d e f g", "en", "s", 13, 9, "x", 0.5), (2, "a b c d e f g", "en", "s", 13, 9, "x", 0.5), (3, None, None, None, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row int, class_id string, score double")
