@@ -372,9 +372,11 @@ def clean_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TITLE = "trim(regexp_replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g'))"
 
 
-@query(f"select page_id, {_TITLE} as title from pages")
+@query(f"select page_id, {_TITLE} as title, lower(regexp_extract(html, '(?is)<meta\\b[^>]*?\\bcharset\\s*=\\s*[\"'']?\\s*([^\\s\"''/>;]+)', 1)) as charset from pages")
 def readable_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.replace(history.page_title(F.col("html")), F.lit("&amp;"), F.lit("&")).alias("title"))
+    """Title and declared character set of every page; a page that declares none has an empty one."""
+    title = F.replace(history.page_title(F.col("html")), F.lit("&amp;"), F.lit("&"))
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), history.page_charset(F.col("html")).alias("charset"))
 
 
 _GONE = "|".join([*(f"<{t}\\b.*?</{t}\\s*>" for t in history.HIDDEN), "<!--.*?-->"])

@@ -172,6 +172,10 @@ def page_title(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
 
 
+def page_charset(html: Column) -> Column:
+    return F.lower(F.regexp_extract(html, r"""(?is)<meta\b[^>]*?\bcharset\s*=\s*["']?\s*([^\s"'/>;]+)""", 1))
+
+
 def page_links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']"""), 1))
 

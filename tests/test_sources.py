@@ -73,6 +73,25 @@ def test_page_text(spark):
     assert (r.t, r.n, r.l) == ("One two\nThree & four\nl", "A b", ["u"])
 
 
+def test_readable_titles_and_charsets_of_all_pages(spark, tmp_path):
+    """Every page has a row with what it declares, also one in another character set, one without any and a null page."""
+    import duckdb
+
+    from palimpsest.plans import measure_queries
+    from palimpsest.plans.registry import ORACLES
+
+    pages = [
+        (1, '<head><meta charset="utf-8"><title>A &amp; b</title></head>'), (2, "<META name=x CHARSET = 'ISO-8859-1' /><TITLE lang=en> One\n two </TITLE>"), (3, "<meta charset=koi8-r><p>none</p>"),
+        (4, '<meta http-equiv="Content-Type" content="text/html; charset=windows-1252"><title></title>'), (5, "<title>charset=x</title>"), (6, ""), (7, None),
+    ]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in measure_queries.readable_titles(spark, str(tmp_path)).select("page_id", "title", "charset").collect())
+    assert got == [(1, "A & b", "utf-8"), (2, "One two", "iso-8859-1"), (3, "", "koi8-r"), (4, "", "windows-1252"), (5, "charset=x", ""), (6, "", ""), (7, None, None)]
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(con.sql(ORACLES["readable_titles"]).select("page_id, title, charset").fetchall()) == got
+
+
 def test_spoken_text(spark):
     html = (
         "<html><head><title>A</title><style>p{}</style></head><body>out<p>one &amp; <b>two</b></p>between<script>p<p>no</p></script><ul><li>three<li>four</ul>five"
