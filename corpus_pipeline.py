@@ -49,10 +49,10 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows that hold a benchmark item. Null texts hold none; repeated rows go or stay together; other columns are dropped; an
-    empty table, or an empty benchmark, drops nothing."""
+    """Drops rows that hold a benchmark item, or half of one and more, however many items share what they hold. Null texts hold none;
+    repeated rows go or stay together; other columns are dropped; an empty table, or an empty benchmark, drops nothing."""
     rows = _numbered(docs)
-    hits = decontaminate.find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").select("_row").distinct()
+    hits = decontaminate.find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row", shared=True).select("_row").distinct()
     return rows.join(hits, "_row", "left_anti").select(*COLUMNS)
 
 

@@ -232,6 +232,51 @@ def test_contamination_by_items_that_share_their_windows(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()) == [3, 5]
 
 
+def shared_families(n):
+    """n items of each of three kinds that differ only where a window cannot tell: in a last word, in a tail, in poor windows."""
+    words = [f"story{k}" for k in range(40)]
+    out = [" ".join([*(f"tale{k}" for k in range(24)), f"end{i}"]) for i in range(n)]
+    out += [" ".join([*words, f"ask{i}", f"why{i}", f"now{i}"]) for i in range(n)]
+    return out + [f"the farmer had many sheep and sold them for {' '.join(str(i + 40 * k) for k in range(1, 9))} dollars" for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [20, 21, 60])
+def test_contamination_whatever_number_of_items_share_it(spark, tmp_path, n):
+    """A document goes for what it holds of an item, if one has it or sixty: 24 words of 25, edited passages, other numbers."""
+    spark.createDataFrame(list(enumerate(shared_families(n))), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = [f"story{k}" for k in range(40)]
+    texts = [" ".join([*(f"tale{k}" for k in range(24)), "other"]), " ".join([*words[:19], "odd", *words[20:34], "odd", *words[35:]]), "the farmer had many sheep and sold them for 5 6 7 8 9 11 12 13 dollars"]
+    texts += [" ".join(words[:20]), "tale0 tale1 tale2 tale3 tale4 tale5 tale6 tale7 tale8 and no more", "the farmer had many sheep and kept them", None]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()) == [3, 4, 5, 6]
+
+
+def test_shared_windows_lead_to_what_windows_of_few_items_do(monkeypatch):
+    """Random families of items: the same documents are told as if no window were common, at any bound on the pairs held."""
+    for seed in range(4):
+        rng = random.Random(seed)
+        word = lambda: rng.choice([f"w{rng.randrange(60)}", f"w{rng.randrange(60)}", str(rng.randrange(5)), rng.choice(["Anna", "Bert", "Carl"])])
+        stems = [[word() for _ in range(rng.randrange(9, 50))] for _ in range(4)]
+        edited = lambda x, k: [word() if rng.random() < k else w for w in x]
+        items = [" ".join([*edited(rng.choice(stems), 0.03), *(word() for _ in range(rng.randrange(8)))]) for _ in range(240)]
+        texts = []
+        for k in range(60):
+            source = rng.choice(items).split() if k % 2 else rng.choice(stems)
+            part = edited(source[rng.randrange(1 + len(source) // 2) :], rng.choice([0, 0.05, 0.15]))
+            texts.append(" ".join([*(word() for _ in range(rng.randrange(9))), *part, *part[: rng.randrange(20)], *(word() for _ in range(9))]).encode())
+        told = {}
+        for common, pairs in ((10**9, 1 << 20), (20, 1 << 20), (20, 50)):
+            monkeypatch.setattr(decontaminate, "SHARED", common)
+            monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+            block = decontaminate.Block(list(enumerate(items)))
+            assert bool(block.common) == (common == 20)
+            told[common, pairs] = [{(r[0], r[1]) for r in block.matches(texts, 0.5, 0.8, once=once, shared=True)} for once in (False, True)]
+        every = told[10**9, 1 << 20][0]
+        assert len({t for t, _ in every}) > 20
+        for each, first in told.values():
+            assert each == every and first <= every and {t for t, _ in first} == {t for t, _ in every}
+
+
 def test_pipeline_ignores_columns_of_its_own_names(spark):
     rows = [(1, "a b c d e f g", "en", "s", 13, 9, "x", 0.5), (2, "a b c d e f g", "en", "s", 13, 9, "x", 0.5), (3, None, None, None, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row int, class_id string, score double")
