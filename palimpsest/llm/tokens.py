@@ -26,6 +26,8 @@ _CHUNK = re.compile(r"[ \n]*[^ \n]+(?:(?<=\s)[ \n]+[^ \n]*)*|[ \n]+")
 _SAFE = re.compile(r"(?<=\S)[ \n]")
 #: A blank that follows white space; texts without one are cut before every blank and line break.
 _ODD = r"[\t-\r\x1c-\x1f \x{85}\pZ][ \n]"
+#: Signs that the byte-level pre-tokenizer always parts from a letter before them (an apostrophe may go with what follows it).
+_SIGNS = "!\"#$%&()*+,-./:;=?@"
 #: Characters of one text that are cut into chunks at once.
 _PART = 1 << 20
 
@@ -90,6 +92,9 @@ class ChunkEncoder:
         before = rules.get("pre_tokenizer") or {}
         self.local = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not rules.get("normalizer")
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        added = {x["id"]: x["content"] for x in rules.get("added_tokens") or []}
+        self.signs = "".join(c for c in _SIGNS if not any(c in x for x in added.values()))
+        self.widths = self._widths(added) if self.local else np.empty(0, np.int64)
         self._hold(_Chunks(), np.empty(0, self.dtype), np.empty(0, np.int64), np.empty(0, np.int32))
 
     def _hold(self, numbers, flat, lengths, uses):
@@ -107,17 +112,73 @@ class ChunkEncoder:
         lengths = self.lengths[kept]
         self._hold(numbers, self.flat[_spans(self.starts[kept], lengths)], lengths, uses[kept] // 2)
 
+    def _widths(self, added: dict[int, str]) -> np.ndarray:
+        """Bytes of each id: a byte-level token is spelled by one character a byte, an added one as it stands; 0 where no token has an id."""
+        vocab = self.tokenizer.get_vocab()
+        widths = np.zeros(max(vocab.values(), default=-1) + 1, np.int64)
+        for token, i in vocab.items():
+            widths[i] = len(token.encode()) if i in added else len(token)
+        return widths
+
+    def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after another, and how many each has; every chunk is a text of its own."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum())), sizes
+
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _each, for chunks that begin with a blank and end with a printed character: as one text, cut where chunks end by
+        the bytes of its ids. Should ids not end where every chunk does, each is encoded alone."""
+        flat = np.array(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.cumsum(np.asarray(pc.binary_length(pa.array(chunks, pa.string())), np.int64))
+        upto = np.cumsum(self.widths[flat])
+        last = np.searchsorted(upto, ends)
+        if not len(upto) or upto[-1] != ends[-1] or (upto[last] != ends).any():
+            return self._each(chunks)
+        return flat, np.diff(last, prepend=-1)
+
+    def _signed(self, new: list[str]) -> tuple[list[int], list[int], list[int]]:
+        """Places of new keys that are a letter's chunk and signs behind it, and the numbers of both; what of these is new is learned too."""
+        places, stems, tails = [], [], []
+        for k, key in enumerate(new):
+            stem = key.rstrip(self.signs)
+            if len(stem) < len(key) and stem[-1:].isalpha() and stem[-1] < "\u0250":
+                places.append(k)
+                stems.append(self.numbers[stem])
+                tails.append(self.numbers[f" {key[len(stem) :]}"])
+        return places, stems, tails
+
     def _learn(self):
         new, self.numbers.new = self.numbers.new, []
-        for k in range(0, len(new), 20_000):
-            got = self.tokenizer.encode_batch_fast([_spelled(x) for x in new[k : k + 20_000]], add_special_tokens=False)
-            ids = [e.ids for e in got]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum()))
-            self.starts = _grown(self.starts, self.known, self.n_flat + np.cumsum(sizes) - sizes)
-            self.lengths, self.uses = _grown(self.lengths, self.known, sizes), _grown(self.uses, self.known, np.zeros(len(ids), np.int32))
-            self.flat = _grown(self.flat, self.n_flat, flat)
-            self.known, self.n_flat = self.known + len(ids), self.n_flat + len(flat)
+        places, stems, tails = self._signed(new)
+        new += self.numbers.new
+        self.numbers.new = []
+        first, n = self.known, len(new)
+        whole = np.ones(n, bool)
+        whole[places] = False
+        starts, sizes = np.empty(n, np.int64), np.empty(n, np.int64)
+        todo = np.flatnonzero(whole)
+        for k in range(0, len(todo), 20_000):
+            some = todo[k : k + 20_000]
+            chunks = [_spelled(new[i]) for i in some.tolist()]
+            joins = np.fromiter((x != "" and x[0] in " \n" and not x[-1].isspace() for x in chunks), bool, len(chunks))
+            for mine, encode in ((joins, self._joined), (~joins, self._each)):
+                if mine.any():
+                    at = np.flatnonzero(mine)
+                    flat, of_each = encode([chunks[i] for i in at.tolist()])
+                    starts[some[at]], sizes[some[at]] = self.n_flat + np.cumsum(of_each) - of_each, of_each
+                    self.flat, self.n_flat = _grown(self.flat, self.n_flat, flat), self.n_flat + len(flat)
+        self.starts, self.lengths = _grown(self.starts, first, starts), _grown(self.lengths, first, sizes)
+        self.uses = _grown(self.uses, first, np.zeros(n, np.int32))
+        self.known = first + n
+        if places:
+            both = np.array([stems, tails]).T
+            np.add.at(self.uses, both.ravel(), 1)
+            lengths = self.lengths[both]
+            flat, of_each = self.flat[_spans(self.starts[both].ravel(), lengths.ravel())], lengths.sum(axis=1)
+            at = first + np.array(places)
+            self.starts[at], self.lengths[at] = self.n_flat + np.cumsum(of_each) - of_each, of_each
+            self.flat, self.n_flat = _grown(self.flat, self.n_flat, flat), self.n_flat + len(flat)
 
     def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chunk numbers of all texts one after another, how many each text has, and the distinct ones of most."""
@@ -126,7 +187,7 @@ class ChunkEncoder:
         plain = texts.filter(pa.array(~odd)) if odd.any() else texts
         split = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
         coded = split.flatten().dictionary_encode()
-        mine = np.fromiter(map(get, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
+        mine = np.fromiter(map(get, coded.dictionary.to_numpy(zero_copy_only=False)), np.int32, len(coded.dictionary))
         found = mine[coded.indices.to_numpy()]
         sizes = np.asarray(pc.list_value_length(split), np.int64)
         begins = np.cumsum(sizes) - sizes

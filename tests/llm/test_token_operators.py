@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import zlib
@@ -166,6 +167,43 @@ def test_encoder_evicts_and_stays_right():
         assert enc.counts(texts).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+class Counting:
+    """The tokenizer, and what it was asked to encode."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def encode_batch_fast(self, texts, **named):
+        self.asked += texts
+        return self.tokenizer.encode_batch_fast(texts, **named)
+
+
+def test_new_chunks_are_encoded_together_and_without_their_signs():
+    t, enc = Tokenizer.from_file(PATH), tokens.ChunkEncoder(PATH)
+    enc.tokenizer = Counting(t)
+    words = [f"{a}{b}" for a in ("stra\u00dfe", "tion", "\u00e9ro", "Th") for b in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [" ".join(f"x{w}{sign}" for w in words) for sign in ("", ",", ".", "!!", "$$$", ".&&&")]
+    assert [x.tolist() for x in enc.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(enc.tokenizer.asked) < 20 and sum(x.count("x") for x in enc.tokenizer.asked) <= len(words) + 2 * len(texts)
+
+
+@functools.cache
+def forgetful(widths):
+    """The tokenizer, and an encoder that keeps no chunk for the next texts; without widths it finds no chunk's end in joined ones."""
+    enc = tokens.ChunkEncoder(PATH, limit=0)
+    enc.widths = enc.widths * widths
+    return Tokenizer.from_file(PATH), enc
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aZ\u00e9\u00df\u0301\u0430\u65e57.,!$%&#'\u2019-_<|>\u00bd\u2028\x1f\t \n"), min_size=1, max_size=8), max_size=12), st.booleans())
+def test_signs_behind_any_character(words, widths):
+    t, enc = forgetful(widths)
+    texts = [" ".join(words), *words, "<|endoftext|>, <|endoftext|> I'll. I'll", "\n".join(words)]
+    assert [x.tolist() for x in enc.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert enc.counts(texts).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_pack_odd(spark):
     pieces = spark.createDataFrame([(None, 0, 5), (None, 0, 5), (1, 0, 2048)], "doc_id long, piece int, length long")
     assert len({(r.sequence_id, r.offset) for r in packing.pack(pieces).collect()}) == 3
