@@ -251,6 +251,19 @@ def test_contamination_whatever_number_of_items_share_it(spark, tmp_path, n):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()) == [3, 4, 5, 6]
 
 
+@pytest.mark.parametrize("n", [20, 21, 60])
+def test_op3_tells_items_whatever_number_share_them(spark, tmp_path, n):
+    """op3 gives each item of a family that a document holds enough of, if the family has twenty items or sixty; half a line is none."""
+    spark.createDataFrame(list(enumerate(shared_families(n))), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = [f"story{k}" for k in range(40)]
+    texts = [" ".join([*(f"tale{k}" for k in range(24)), "other"]), " ".join([*words[:19], "odd", *words[20:34], "odd", *words[35:]]), "the farmer had many sheep and sold them for 5 6 7 8 9 11 12 13 dollars"]
+    texts += [" ".join(words[:20]), "the farmer had many sheep and kept them", None, " ".join([*words[:34], "ask3", "why3", "now3"])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.item_id) for r in queries.op3_decontamination(spark, str(tmp_path)).collect())
+    assert got == [(d, f * n + i) for d, f in ((0, 0), (1, 1), (2, 2), (6, 1)) for i in range(n)]
+
+
 def test_shared_windows_lead_to_what_windows_of_few_items_do(monkeypatch):
     """Random families of items: the same documents are told as if no window were common, at any bound on the pairs held."""
     for seed in range(4):
