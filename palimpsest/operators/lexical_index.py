@@ -15,24 +15,31 @@ from __future__ import annotations
 import zlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palimpsest.functions.textfns import occurrences
 from palimpsest.operators.projection import Change, Projection
-from palimpsest.operators.ranges import deal
+from palimpsest.operators.ranges import range_count
 from palimpsest.operators.search import K1, WEIGHTS, B
-from palimpsest.operators.stored import discard
+from palimpsest.operators.stored import discard, store
 
 #: Folders of postings and of trigrams, by a hash of the word or trigram.
 FOLDERS = 16
 #: Chunks of a block, and blocks that are scored before the others are bounded.
 BLOCK_CHUNKS, FIRST_BLOCKS = 256, 8
-#: Chunks whose postings of a folder make a file, about.
-FILE_CHUNKS = 1 << 17
+#: Letters of chunks whose postings a task sorts and writes, a file a folder, about.
+TASK_LETTERS = 1 << 25
+#: Letters whose words a task counts at once, about; a chunk is not parted.
+COUNTED_LETTERS = 1 << 22
+#: Keys of replaced and removed chunks that are broadcast to find their postings; more are joined.
+BROADCAST_KEYS = 1 << 21
 #: Words of a term that go into the filter of a scan; with more, the folders alone are pruned and words are joined.
 NAMED_WORDS = 500
-_BLANK = r"[\x20\x09-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def _folder(c: Column) -> Column:
@@ -48,10 +55,54 @@ def _three(word: Column) -> Column:
     return F.array_distinct(F.filter(three, lambda g: F.length(g) == 3))
 
 
-def _weighted_words(column: str, weight: float) -> Column:
-    """The words of a column, each with the weight of the column."""
-    words = F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), _BLANK)
-    return F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(weight).alias("tf")))
+def _block(bounds: np.ndarray, length: np.ndarray, mix: np.ndarray) -> np.ndarray:
+    """The range that a length falls in; a length that several bounds have is dealt over their ranges."""
+    low, high = np.searchsorted(bounds, length, "left"), np.searchsorted(bounds, length, "right")
+    return low + mix % (high - low + 1)
+
+
+def _posted(key: str, bounds: list[int], base: int):
+    """Gives the postings of batches of (key, length, _mix, columns in lower case) in the order of folders, words and blocks, so that
+    sorting a task's rows finds long runs. Words are parted by blanks of any kind."""
+
+    def posted(batches):
+        limits = np.array(bounds, np.int64)
+        for whole in batches:
+            ends, first = np.cumsum(whole.column("length").to_numpy() + 1), 0
+            while first < whole.num_rows:
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + COUNTED_LETTERS, "right")))
+                b, n, first = whole.slice(first, last - first), last - first, last
+                length = b.column("length").to_numpy()
+                block = base + _block(limits, length, b.column("_mix").to_numpy())
+                lists = [pc.utf8_split_whitespace(b.column(c)) for c in WEIGHTS]
+                sizes = np.concatenate([pc.fill_null(pc.list_value_length(x), 0).to_numpy() for x in lists])
+                parted = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+                words, codes = parted.dictionary, parted.indices.to_numpy()
+                turn = np.argsort(block, kind="stable")
+                place = np.empty(n, np.int64)
+                place[turn] = np.arange(n)
+                folder = pa.array([zlib.crc32(w) % FOLDERS for w in words.cast(pa.binary()).to_pylist()], pa.int32())
+                told = pa.table({"folder": folder, "word": words})
+                order = pc.sort_indices(told, sort_keys=[("folder", "ascending"), ("word", "ascending")])
+                rank = np.empty(len(words), np.int64)
+                rank[order.to_numpy()] = np.arange(len(words))
+                at = rank[codes] * n + np.repeat(np.tile(place, len(lists)), sizes)
+                weights = np.repeat(np.repeat(list(WEIGHTS.values()), n), sizes)
+                held = np.isin(codes, pc.index(words, pa.scalar("", words.type)).as_py(), invert=True)  # what stands before and behind blanks
+                at, weights = at[held], weights[held]
+                if not len(at):
+                    continue
+                sorting = np.argsort(at)
+                at = at[sorting]
+                begins = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                row = turn[at[begins] % n]
+                told = told.take(order.take(pa.array(at[begins] // n))).combine_chunks()
+                yield pa.RecordBatch.from_arrays(
+                    [told["word"].combine_chunks(), told["folder"].combine_chunks(), pa.array(block[row]), b.column(key).take(pa.array(row)), pa.array(length[row]), pa.array(np.add.reduceat(weights[sorting], begins))],
+                    ["word", "folder", "block", key, "length", "tf"],
+                )
+
+    return posted
 
 
 class LexicalIndex:
@@ -65,23 +116,40 @@ class LexicalIndex:
 
     def commit(self, chunks: DataFrame, fingerprint: str, removed: DataFrame | None = None) -> bool:
         """Adds chunks in place of those of the same key, and takes out the keys in removed; all tables change at once, or, if
-        the index stands for the fingerprint, none. removed needs the key only. What goes is counted back from its own postings."""
+        the index stands for the fingerprint, none. removed needs the key only. What goes is counted back from its own postings. Chunks
+        are read once a table and not written, so they must be the same rows each time they are read."""
         now = self.store.manifest()
         if now is not None and now.fingerprint == fingerprint:
             return False
         length = reduce(lambda a, b: a + b, (F.greatest(F.length(F.coalesce(c, F.lit(""))) - 2, F.lit(0)) for c in WEIGHTS)).cast("long")
-        number = now.number + 1 if now else 1
-        held = deal(chunks.select(self.key, *WEIGHTS, *self.payload, length.alias("length")), [F.col("length"), F.col(self.key)], "_range", least=BLOCK_CHUNKS, most=BLOCK_CHUNKS * 256)
-        dealt = held.withColumn("block", F.lit(number).cast("long") * (1 << 32) + F.col("_range")).drop("_range")
-        parts = F.flatten(F.array(*(_weighted_words(c, v) for c, v in WEIGHTS.items())))
-        posted = dealt.select(self.key, "block", "length", F.explode(parts).alias("p")).filter("p.word <> ''").groupBy(F.col("p.word").alias("word"), "block", self.key, "length").agg(F.sum("p.tf").alias("tf"))
-        # counts that leave the index: the living postings and documents of every key that is replaced or removed
+        base = (now.number + 1 if now else 1) * (1 << 32)
         counts = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")]
+        lengths = store(chunks.select(length.alias("length")), "lengths")
+        sums = lengths.agg(*counts).first()
+        ranges = range_count(sums.n, int(self.spark.conf.get("spark.sql.shuffle.partitions")), BLOCK_CHUNKS, BLOCK_CHUNKS * 256)
+        shares = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
+        bounds = sorted(lengths.agg(F.percentile_approx("length", shares, max(10_000, 10 * ranges))).first()[0] or []) if ranges > 1 else []
+        discard(lengths)
+        mixed = chunks.select(self.key, length.alias("length"), F.pmod(F.xxhash64(self.key), F.lit(1 << 31)).alias("_mix"), *(F.lower(c).alias(c) for c in WEIGHTS))
+        told = chunks.select(self.key, length.alias("length"), F.pmod(F.xxhash64(self.key), F.lit(1 << 31)).alias("block"), *self.payload)
+        kind = chunks.select(self.key).schema[0].dataType.simpleString()
+
+        def dealt(batches):
+            for b in batches:
+                block = base + _block(np.array(bounds, np.int64), b.column("length").to_numpy(), b.column("block").to_numpy())
+                yield b.set_column(b.schema.get_field_index("block"), "block", pa.array(block))
+
+        docs = told.mapInArrow(dealt, StructType([*told.schema.fields]))
+        tasks = max(2 * self.spark.sparkContext.defaultParallelism, sums.total // TASK_LETTERS)
+        posted = mixed.repartition(tasks, self.key).mapInArrow(_posted(self.key, bounds, base), f"word string, folder int, block long, `{self.key}` {kind}, length long, tf double")
+        # counts that leave the index: the living postings and documents of every key that is replaced or removed
+        keys = None
         if now:
-            keys = dealt.select(self.key) if removed is None else dealt.select(self.key).unionByName(removed.select(self.key)).distinct()
-            old = self.store.read("postings", now).join(keys, self.key, "left_semi").groupBy("word", "block").agg((-F.count(F.lit(1))).alias("n")).withColumns({"most": F.lit(0.0), "shortest": F.lit(None).cast("long")})
-            gone = self.store.read("docs", now).join(keys, self.key, "left_semi").agg(*counts).first()
-        sums = dealt.agg(*counts).first()
+            own = chunks.select(self.key)
+            keys = store((own if removed is None else own.unionByName(removed.select(self.key))).distinct(), "keys")
+            sent = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+            old = self.store.read("postings", now).join(sent, self.key, "left_semi").groupBy("word", "block").agg((-F.count(F.lit(1))).alias("n")).withColumns({"most": F.lit(0.0), "shortest": F.lit(None).cast("long")})
+            gone = self.store.read("docs", now).join(sent, self.key, "left_semi").agg(*counts).first()
         facts = {"n": sums.n, "total": sums.total}
         if now:
             facts = {k: now.facts[k] + facts[k] - gone[k] for k in facts}
@@ -89,23 +157,23 @@ class LexicalIndex:
 
         def headers(done: dict[str, DataFrame]) -> DataFrame:
             new = done["postings"].groupBy("word", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("length").alias("shortest"))
-            return foldered(new.unionByName(old) if now else new).repartition("folder")
+            return foldered(new.unionByName(old) if now else new)
 
         def grams(done: dict[str, DataFrame]) -> DataFrame:
             known = done["headers"].select("word").distinct()
             if now:
-                known = known.join(self.store.read("grams", now).select("word").distinct(), "word", "left_anti")
-            return known.select("word", F.explode(_three("word")).alias("gram")).withColumn("folder", _folder(F.col("gram"))).repartition("folder")
+                known = known.join(self.store.read("headers", now).select("word").distinct(), "word", "left_anti")
+            return known.select("word", F.explode(_three("word")).alias("gram")).withColumn("folder", _folder(F.col("gram")))
 
-        salted = foldered(posted).repartition("folder", F.pmod(F.xxhash64("word", "block"), F.lit(1 + sums.n // FILE_CHUNKS)))
         changes = {
-            "docs": Change(dealt.select(self.key, "length", "block", *self.payload), removed, sort=("block",)),
-            "postings": Change(salted, _keys_only(removed, dealt, self.key), by=("folder",), sort=("folder", "word", "block"), replaces=False),
+            "docs": Change(docs, removed, sort=("block",)),
+            "postings": Change(posted, keys, by=("folder",), sort=("folder", "word", "block"), replaces=False),
             "headers": Change(headers, by=("folder",), sort=("folder", "word", "block"), replaces=False),
             "grams": Change(grams, by=("folder",), sort=("folder", "gram"), replaces=False),
         }
         written = self.store.commit(changes, fingerprint, facts)
-        discard(held)
+        if keys is not None:
+            discard(keys)
         return written
 
     # reading
@@ -178,12 +246,6 @@ class LexicalIndex:
         return hits.select(self.key, (-scored(lambda i: F.col(f"t{i}"), F.col("length"))).alias("bm25")).orderBy("bm25", self.key).limit(limit).collect()
 
 
-def _keys_only(removed: DataFrame | None, dealt: DataFrame, key: str) -> DataFrame:
-    """Keys whose postings go: those of new chunks and of removed ones."""
-    own = dealt.select(key)
-    return own if removed is None else own.unionByName(removed.select(key))
-
-
 def _part(n: int, df: Column, tf: Column, size: Column, average: float) -> Column:
     """The score of one term, in the order of operations of search.lexical."""
     raw = F.log((F.lit(n) - df + 0.5) / (df + 0.5))

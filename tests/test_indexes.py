@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from palimpsest.operators import containment, hashtree, ivf, lexical_index, merge, search, trees, writes
@@ -14,6 +16,38 @@ from palimpsest.operators.stored import new_folder
 SF = "/root/testdata/sf0.01"
 
 
+def test_lexical_commit_writes_no_text_and_counts_words_before_a_shuffle(spark, monkeypatch):
+    """Postings are those of plain Python, blanks of every kind, nulls and chunks of one length among them; the columns of chunks are not
+    written on the way, and rows are shuffled as chunks, not as words."""
+    rng, seen, plans = random.Random(5), [], []
+    blanks = [chr(c) for c in range(1, 0x3001) if chr(c).isspace()]
+    text = lambda n: "".join(rng.choice(["Aa", "bb", "É", "日本", "c1"]) + rng.choice([*blanks, " ", " ", "x"]) * rng.randrange(1, 3) for _ in range(n))
+    rows = [(k, "t " + text(1), None if k % 7 == 0 else "head", None if k % 9 == 0 else text(rng.randrange(12)), "") for k in range(60)] + [(k, "same", "", "one two", "x") for k in range(60, 160)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, title string, heading string, text string, tags string")
+    write, commit = DataFrameWriter.parquet, Projection.commit
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: seen.append(self._df.columns) or write(self, *a, **k))
+    monkeypatch.setattr(Projection, "commit", lambda self, changes, *a: plans.append(changes["postings"].rows._jdf.queryExecution().executedPlan().toString()) or commit(self, changes, *a))
+    monkeypatch.setattr(lexical_index, "BLOCK_CHUNKS", 16)
+    index = lexical_index.LexicalIndex(spark, new_folder(spark, "w"))
+    index.commit(chunks, "one")
+    assert not [c for c in seen if {"text", "title", "tags"} & set(c)]
+    assert plans[0].count("Exchange") == 1 and plans[0].index("MapInArrow") < plans[0].index("Exchange")
+    want = Counter()
+    for k, *columns in rows:
+        for value, weight in zip(columns, search.WEIGHTS.values(), strict=True):
+            for w in (value or "").lower().split():
+                want[k, w] += weight
+    held = index.store.read("postings").collect()
+    assert {(r.chunk_id, r.word): r.tf for r in held} == want and len(held) == len(want)
+    blocks = {r.chunk_id: r.block for r in index.store.read("docs").collect()}
+    assert all(blocks[r.chunk_id] == r.block for r in held) and len(blocks) == 160 and len({blocks[k] for k in range(60, 160)}) > 2
+    index.commit(chunks.filter("chunk_id % 3 = 0").withColumn("text", F.lit("new")), "two", removed=chunks.filter("chunk_id % 5 = 1").select("chunk_id"))
+    left = {k: v for k, v in want.items() if k[0] % 3 and k[0] % 5 != 1}
+    assert {k: v for k, v in {(r.chunk_id, r.word): r.tf for r in index.store.read("postings").collect()}.items() if k[0] % 3} == left
+    counts = {r.word: r.n for r in index.store.read("headers").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    assert counts["new"] == len(range(0, 160, 3)) and counts["same"] == sum(k % 3 == 0 or k % 5 != 1 for k in range(60, 160))
+
+
 # two-phase projections
 
 
