@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from palimpsest.operators.stored import filesystem
+from palimpsest.operators.stored import filesystem, shuffles_dropped
 
 #: Segments of a table that compact leaves alone.
 MOST_SEGMENTS = 8
@@ -124,14 +124,16 @@ class Projection:
             key, folder = self.keys[name], f"{change}/{name}"
             made = c.rows(done) if callable(c.rows) else c.rows
             rows = made.sortWithinPartitions(*c.sort) if c.sort else made
-            rows.write.option("compression", "zstd").parquet(f"{self.root}/{folder}/rows", partitionBy=list(c.by) or None)
+            with shuffles_dropped(self.spark):
+                rows.write.option("compression", "zstd").parquet(f"{self.root}/{folder}/rows", partitionBy=list(c.by) or None)
             done[name] = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{folder}/rows")
             gone = None
             if name in now.tables:
                 own = done[name].select(key) if c.replaces else None
                 keys = own if c.removed is None else c.removed.select(key) if own is None else own.unionByName(c.removed.select(key))
                 if keys is not None:
-                    keys.distinct().write.option("compression", "zstd").parquet(f"{self.root}/{folder}/gone")
+                    with shuffles_dropped(self.spark):
+                        keys.distinct().write.option("compression", "zstd").parquet(f"{self.root}/{folder}/gone")
                     gone = f"{folder}/gone"
             tables.setdefault(name, []).append({"number": number, "rows": f"{folder}/rows", "schema": rows.schema.json(), "gone": gone})
         return Manifest(number, fingerprint, tables, (now.facts | facts) if facts else now.facts)

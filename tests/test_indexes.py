@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import DataFrameWriter
@@ -75,6 +77,24 @@ def test_projection_phases(spark):
     assert again.commit(change, "two") and state(again) == [(2, "w"), (3, "q")] and state(again, "b") == [(1, "n"), (4, "m")]
 
 
+def test_projection_leaves_no_shuffle_files(spark):
+    """What a commit has shuffled goes when its tables are written, while the plan is still held; other queries keep their setting."""
+    folders = [Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in d.rglob("shuffle_*") if f.stat().st_size}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, mode = files(), spark.conf.get(name)
+    p = Projection(spark, new_folder(spark, "p"), {"a": "id", "b": "id"})
+    rows = spark.range(5000).select("id", F.col("id").cast("string").alias("v")).repartition(6, "id")
+    for k in "xy":
+        p.commit({"a": Change(rows), "b": Change(rows.groupBy("id").count())}, k)
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(name) == mode
+    assert rows.count() == 5000 == p.read("a").count()
+
+
 def test_projection_two_writers(spark):
     p = Projection(spark, new_folder(spark, "p"), {"a": "id"})
     p.commit({"a": Change(table(spark, [(1, "x")]))}, "one")
